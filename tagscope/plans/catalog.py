@@ -93,3 +93,230 @@ select inst.TagName, inst.DateTime, h.Value
 from inst asof left join history h on h.TagName = inst.TagName and h.DateTime <= inst.DateTime""")
 def q_values_n_instants(spark, sf_dir):
     return pit.values_at_instants(td.history(spark, sf_dir), FROM, TO, N_INSTANTS)
+
+
+# ---- shared oracle fragments ------------------------------------------------
+STEP = 60                     # resample step (s) of the registered range queries
+CYCLIC_MS = 60000             # historian cyclic resolution
+DIF_FROM = "2024-01-05 06:00:00"
+DIF_TO = "2024-01-25 18:00:00"
+N_BUCKETS = 300
+N_DAYS = 31
+N_FEW = 7
+
+from tagscope.functions.timecols import epoch_us_value, seconds_between  # noqa: E402
+from tagscope.operators import aggregate as agg  # noqa: E402
+from tagscope.operators import buckets as bk  # noqa: E402
+from tagscope.operators import resample as rs  # noqa: E402
+
+T_SEC = seconds_between(FROM, TO)
+K_CYC = -(-(T_SEC * 1000) // CYCLIC_MS)
+
+
+def rounded(df: DataFrame, col: str = "Value") -> DataFrame:
+    return df.select(*[r6(F.col(c)).alias(c) if c == col else F.col(c) for c in df.columns])
+
+
+def seeded_union_sql(src: str, a: str, b: str) -> str:
+    return (f"select TagName, DateTime, Value from {src} where DateTime between {ts(a)} and {ts(b)} "
+            f"union all select TagName, {ts(a)}, arg_max(Value, DateTime) from {src} where DateTime <= {ts(a)} group by TagName "
+            f"union all select TagName, {ts(b)}, arg_max(Value, DateTime) from {src} where DateTime <= {ts(b)} group by TagName")
+
+
+def runs_sql(rows: str, step_s: int, keys: str = "TagName") -> str:
+    """Present slots (mean per step) with the length until the next present slot."""
+    us = step_s * 1_000_000
+    return (f"select {keys}, slot, v, coalesce(lead(slot) over (partition by {keys} order by slot), slot + 1) as nxt "
+            f"from (select {keys}, floor(epoch_us(DateTime) / {us})::bigint as slot, avg(Value) as v "
+            f"from ({rows}) group by all)")
+
+
+def buckets_sql(n: int) -> str:
+    return (f"select i, {ts(FROM)} + to_seconds(((i - 1) * {T_SEC}) // {n}) as lo, "
+            f"{ts(FROM)} + to_seconds((i * {T_SEC}) // {n}) as hi from range(1, {n} + 1) r(i)")
+
+
+# ---- range retrieval (RNG1-4) -------------------------------------------------
+@register("range_raw", f"""
+with {V_HISTORY}
+select TagName, DateTime, Value from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}""")
+def q_range_raw(spark, sf_dir):
+    return rs.range_raw(td.history(spark, sf_dir), FROM, TO)
+
+
+@register("range_resampled_seeded", f"""
+with {V_HISTORY}, r as ({runs_sql(seeded_union_sql('history', FROM, TO), STEP)})
+select TagName, make_timestamp(s * {STEP * 1_000_000}) as DateTime, round(v, {DIGITS}) as Value
+from (select TagName, v, unnest(generate_series(slot, nxt - 1)) as s from r)""")
+def q_range_resampled_seeded(spark, sf_dir):
+    return rounded(rs.resample(td.history(spark, sf_dir), FROM, TO, step_seconds=STEP, seeded=True))
+
+
+@register("range_gapfill", f"""
+with {V_HISTORY}, r as ({runs_sql(f"select * from history where DateTime between {ts(FROM)} and {ts(TO)}", STEP)})
+select TagName, make_timestamp(s * {STEP * 1_000_000}) as DateTime, round(v, {DIGITS}) as Value
+from (select TagName, v, unnest(generate_series(slot, nxt - 1)) as s from r)""")
+def q_range_gapfill(spark, sf_dir):
+    return rounded(rs.resample(td.history(spark, sf_dir), FROM, TO, step_seconds=STEP, seeded=False))
+
+
+CYCLIC_INSTANTS = f"""
+inst as (select TagName, {ts(FROM)} + to_microseconds(k::bigint * {CYCLIC_MS * 1000}) as DateTime
+         from (select distinct TagName from history
+               where DateTime <= {ts(FROM)} + to_microseconds(({K_CYC} - 1)::bigint * {CYCLIC_MS * 1000})), range(0, {K_CYC}) r(k)),
+cyc as (select i.TagName, i.DateTime, h.Value from inst i asof join history h
+        on h.TagName = i.TagName and h.DateTime <= i.DateTime)"""
+
+
+@register("range_cyclic", f"""
+with {V_HISTORY}, {CYCLIC_INSTANTS}
+select TagName, DateTime, Value from cyc""")
+def q_range_cyclic(spark, sf_dir):
+    return pit.values_cyclic(td.history(spark, sf_dir), FROM, TO, CYCLIC_MS)
+
+
+# ---- grouped values (AGG1-9) ----------------------------------------------------
+for _g in ("avg", "sum", "min", "max"):
+    def _mk(g):
+        def q(spark, sf_dir):
+            return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, g, mode="raw"))
+        return q
+    register(f"group_{_g}", f"""
+with {V_HISTORY}
+select TagName, {ts(TO)} as DateTime, round({_g}(Value), {DIGITS}) as Value
+from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)} group by TagName""")(_mk(_g))
+
+
+@register("group_count", f"""
+with {V_HISTORY}
+select TagName, {ts(TO)} as DateTime, cast(count(Value) as double) as Value
+from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)} group by TagName""")
+def q_group_count(spark, sf_dir):
+    return agg.aggregate(td.history(spark, sf_dir), FROM, TO, "count", mode="raw")
+
+
+def _weighted_sql(rows: str, step: int = 1) -> str:
+    return (f"with {V_HISTORY}, r as ({runs_sql(rows, step)}) "
+            f"select TagName, {ts(TO)} as DateTime, round(sum(v * (nxt - slot)) / sum(nxt - slot), {DIGITS}) as Value "
+            f"from r group by TagName")
+
+
+@register("group_filled", _weighted_sql(f"select * from history where DateTime between {ts(FROM)} and {ts(TO)}"))
+def q_group_filled(spark, sf_dir):
+    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "avg", mode="filled"))
+
+
+@register("group_filled_seeded", _weighted_sql(seeded_union_sql("history", FROM, TO)))
+def q_group_filled_seeded(spark, sf_dir):
+    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "avg", mode="seeded"))
+
+
+@register("group_avgm", _weighted_sql(seeded_union_sql("history", FROM, TO)))
+def q_group_avgm(spark, sf_dir):
+    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "avgm", mode="filled"))
+
+
+@register("group_cyclic", f"""
+with {V_HISTORY}, {CYCLIC_INSTANTS}
+select TagName, {ts(TO)} as DateTime, round(avg(Value), {DIGITS}) as Value from cyc group by TagName""")
+def q_group_cyclic(spark, sf_dir):
+    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "avg", mode="cyclic"))
+
+
+@register("group_hours", f"""
+with {V_HISTORY}, {CYCLIC_INSTANTS}
+select TagName, {ts(TO)} as DateTime, round(count(Value) / 60.0, {DIGITS}) as Value from cyc group by TagName""")
+def q_group_hours(spark, sf_dir):
+    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "count", mode="cyclic"))
+
+
+@register("group_dif", f"""
+with {V_HISTORY}, {V_COUNTER},
+f as (select TagName, arg_max(Value, DateTime) as v from counter_history where DateTime <= {ts(DIF_FROM)} group by TagName),
+t as (select TagName, arg_max(Value, DateTime) as v from counter_history where DateTime <= {ts(DIF_TO)} group by TagName)
+select t.TagName, {ts(DIF_TO)} as DateTime, round(t.v - f.v, {DIGITS}) as Value from t left join f on f.TagName = t.TagName""")
+def q_group_dif(spark, sf_dir):
+    return rounded(agg.aggregate(td.counter_history(spark, sf_dir), DIF_FROM, DIF_TO, "dif", mode="filled"))
+
+
+def _interp_sql(src: str, at: str, name: str) -> str:
+    return (f"{name} as (select b.TagName, case when epoch_us(a.at_) = epoch_us(b.bt) then bv else bv + "
+            f"(epoch_us({ts(at)}) - epoch_us(b.bt))::double / (epoch_us(a.at_) - epoch_us(b.bt))::double * (av - bv) end as v "
+            f"from (select TagName, max(DateTime) as bt, arg_max(Value, DateTime) as bv from {src} where DateTime <= {ts(at)} group by TagName) b "
+            f"join (select TagName, min(DateTime) as at_, arg_min(Value, DateTime) as av from {src} where DateTime >= {ts(at)} group by TagName) a "
+            f"on a.TagName = b.TagName)")
+
+
+@register("group_dif_interp", f"""
+with {V_HISTORY}, {V_COUNTER}, {_interp_sql('counter_history', DIF_FROM, 'f')}, {_interp_sql('counter_history', DIF_TO, 't')},
+tg as (select distinct TagName from counter_history)
+select tg.TagName, {ts(DIF_TO)} as DateTime, round(t.v - f.v, {DIGITS}) as Value
+from tg left join t on t.TagName = tg.TagName left join f on f.TagName = tg.TagName""")
+def q_group_dif_interp(spark, sf_dir):
+    return rounded(agg.aggregate(td.counter_history(spark, sf_dir), DIF_FROM, DIF_TO, "dif", mode="raw"))
+
+
+@register("totals", f"""
+with {V_HISTORY}
+select count(distinct TagName) as tags, count(*) as records from history""")
+def q_totals(spark, sf_dir):
+    return agg.totals(td.history(spark, sf_dir))
+
+
+# ---- N buckets (AGG10-11) -------------------------------------------------------
+@register("buckets_raw", f"""
+with {V_HISTORY}, b as ({buckets_sql(N_BUCKETS)}),
+tg as (select distinct TagName from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}),
+a as (select h.TagName, b.i, avg(h.Value) as v from history h join b on h.DateTime >= b.lo and h.DateTime < b.hi group by all)
+select tg.TagName, b.hi as DateTime, round(a.v, {DIGITS}) as Value
+from tg cross join b left join a on a.TagName = tg.TagName and a.i = b.i""")
+def q_buckets_raw(spark, sf_dir):
+    return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_BUCKETS, "avg", mode="raw"))
+
+
+@register("buckets_count", f"""
+with {V_STATE}, b as ({buckets_sql(N_FEW)}),
+tg as (select distinct TagName from state_history where DateTime between {ts(FROM)} and {ts(TO)}),
+a as (select h.TagName, b.i, count(h.Value) as v from state_history h join b on h.DateTime between b.lo and b.hi group by all)
+select tg.TagName, b.hi as DateTime, cast(coalesce(a.v, 0) as double) as Value
+from tg cross join b left join a on a.TagName = tg.TagName and a.i = b.i""")
+def q_buckets_count(spark, sf_dir):
+    return bk.buckets(td.state_history(spark, sf_dir), FROM, TO, N_FEW, "count", mode="closed_raw")
+
+
+@register("buckets_filled", f"""
+with {V_HISTORY}, b as ({buckets_sql(N_DAYS)}),
+tg as (select distinct TagName from history where DateTime between {ts(FROM)} and {ts(TO)}),
+x as (select h.TagName, b.i, h.DateTime, h.Value from history h join b on h.DateTime between b.lo and b.hi),
+r as ({runs_sql('select * from x', 1, 'TagName, i')}),
+a as (select TagName, i, sum(v * (nxt - slot)) / sum(nxt - slot) as v from r group by all)
+select tg.TagName, b.hi as DateTime, round(a.v, {DIGITS}) as Value
+from tg cross join b left join a on a.TagName = tg.TagName and a.i = b.i""")
+def q_buckets_filled(spark, sf_dir):
+    return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_DAYS, "avg", mode="filled"))
+
+
+@register("buckets_avgm", f"""
+with {V_HISTORY}, b as ({buckets_sql(N_FEW)}),
+r as ({runs_sql(seeded_union_sql('history', FROM, TO), 1)}),
+rr as (select TagName, v, slot - {epoch_us_value(FROM) // 1_000_000} as ys, nxt - 1 - {epoch_us_value(FROM) // 1_000_000} as ye from r),
+bb as (select i, ((i - 1) * {T_SEC}) // {N_FEW} as a, (i * {T_SEC}) // {N_FEW} as b, hi from ({buckets_sql(N_FEW)})),
+x as (select rr.TagName, bb.i, rr.v, least(rr.ye, bb.b - 1) - greatest(rr.ys, bb.a + 1) + 1 as w
+      from rr join bb on rr.ys <= bb.b - 1 and rr.ye >= bb.a + 1),
+a as (select TagName, i, sum(v * w) / sum(w) as v from x where w > 0 group by all),
+tg as (select distinct TagName from r)
+select tg.TagName, bb.hi as DateTime, round(a.v, {DIGITS}) as Value
+from tg cross join bb left join a on a.TagName = tg.TagName and a.i = bb.i""")
+def q_buckets_avgm(spark, sf_dir):
+    return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_FEW, "avgm"))
+
+
+@register("buckets_dif", f"""
+with {V_HISTORY}, {V_COUNTER},
+tg as (select distinct TagName from counter_history where DateTime <= {ts(TO)}),
+e as (select tg.TagName, j, {ts(FROM)} + to_seconds((j * {T_SEC}) // {N_DAYS}) as DateTime from tg, range(0, {N_DAYS} + 1) r(j)),
+v as (select e.TagName, e.j, e.DateTime, h.Value from e asof left join counter_history h on h.TagName = e.TagName and h.DateTime <= e.DateTime)
+select TagName, DateTime, round(Value - lag(Value) over (partition by TagName order by j), {DIGITS}) as Value
+from v qualify j >= 1""")
+def q_buckets_dif(spark, sf_dir):
+    return rounded(bk.buckets(td.counter_history(spark, sf_dir), FROM, TO, N_DAYS, "dif"))
