@@ -320,3 +320,60 @@ select TagName, DateTime, round(Value - lag(Value) over (partition by TagName or
 from v qualify j >= 1""")
 def q_buckets_dif(spark, sf_dir):
     return rounded(bk.buckets(td.counter_history(spark, sf_dir), FROM, TO, N_DAYS, "dif"))
+
+
+# ---- events and paging (WIN, SRT) -------------------------------------------------
+from tagscope.operators import events as ev  # noqa: E402
+from tagscope.operators import filters as flt  # noqa: E402
+from tagscope.operators import paging as pg  # noqa: E402
+
+NTH = 2
+PAGE = 3
+MASK = "A20_WT_1*"
+
+_TRANSITIONS = f"""
+with {V_STATE}
+select TagName, DateTime from (
+  select TagName, DateTime, Value, lag(Value) over (partition by TagName order by DateTime) as was,
+         lag(DateTime) over (partition by TagName order by DateTime) as was_date
+  from state_history where DateTime between {ts(FROM)} and {ts(TO)})
+where Value = {{v}} and (was_date is null or Value <> was)"""
+
+
+@register("down_events", _TRANSITIONS.format(v="0.0"))
+def q_down_events(spark, sf_dir):
+    return ev.down_events(td.state_history(spark, sf_dir), FROM, TO)
+
+
+@register("up_events", _TRANSITIONS.format(v="1.0"))
+def q_up_events(spark, sf_dir):
+    return ev.up_events(td.state_history(spark, sf_dir), FROM, TO)
+
+
+@register("nth_down_event", f"""
+select TagName, DateTime from ({_TRANSITIONS.format(v="0.0")}) e
+qualify row_number() over (partition by TagName order by DateTime) = {NTH + 1}""")
+def q_nth_down_event(spark, sf_dir):
+    return ev.nth_event(ev.down_events(td.state_history(spark, sf_dir), FROM, TO), NTH)
+
+
+@register("tag_list_mask", f"""
+with {V_HISTORY}
+select distinct TagName from history where TagName like '{flt.mask_to_like(MASK)}'""")
+def q_tag_list_mask(spark, sf_dir):
+    return flt.tag_list(td.history(spark, sf_dir), MASK)
+
+
+@register("page_of_tags", f"""
+with {V_STATE}
+select TagName from (select distinct TagName from state_history) order by TagName
+limit {pg.PER_PAGE} offset {(PAGE - 1) * pg.PER_PAGE}""")
+def q_page_of_tags(spark, sf_dir):
+    return pg.page(td.state_history(spark, sf_dir).select("TagName").distinct(), ["TagName"], PAGE)
+
+
+@register("load_mark", f"""
+with {V_HISTORY}
+select max(DateTime) as LoadMark from history""")
+def q_load_mark(spark, sf_dir):
+    return flt.load_mark(td.history(spark, sf_dir))
