@@ -377,3 +377,162 @@ with {V_HISTORY}
 select max(DateTime) as LoadMark from history""")
 def q_load_mark(spark, sf_dir):
     return flt.load_mark(td.history(spark, sf_dir))
+
+
+# ---- column jobs: time normalisation, decoding, logs, formatting (COL, SRC9) -----
+from tagscope.functions import numbers as num  # noqa: E402
+from tagscope.functions import tagdecode as dec  # noqa: E402
+from tagscope.functions import timeparse as tp  # noqa: E402
+from tagscope.sources import logs as lg  # noqa: E402
+
+LATEST_K = 20
+ROUND = num.DEFAULT_ROUND
+
+V_RAW_TIMES = """raw_times as (select event_id, case event_id % 6
+  when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then strftime(ts, '%Y-%m-%dT%H:%M:%S')
+  when 2 then strftime(ts, '%d.%m.%Y %H:%M:%S')
+  when 3 then cast(epoch_us(ts) // 86400000000 + 25569 as varchar) || ',' ||
+              lpad(cast((epoch_us(ts) % 86400000000) * 100000000 // 86400000000 as varchar), 8, '0')
+  when 4 then cast(epoch_us(ts) // 1000 as varchar) else 'bad-' || event_id end as raw from events)"""
+
+# DuckDB spellings of the text layouts the fixture produces, in cascade order
+_DUCK_LAYOUTS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M",
+                 "%d.%m.%Y %H:%M:%S", "%d.%m.%Y %H:%M"]
+
+
+@register("timestamps_normalised", f"""
+with {V_RAW_TIMES},
+p as (select event_id, raw, regexp_replace(raw, ' +', ' ', 'g') as s, strpos(raw, ':') > 0 as has_colon,
+      case when regexp_matches(regexp_replace(raw, ',', '.'), '{tp._NUMBER}')
+           then try_cast(regexp_replace(raw, ',', '.') as double) end as x from raw_times),
+q as (select event_id, raw, has_colon, case when raw = '' then null
+        when has_colon then coalesce({', '.join(f"try_strptime(s, '{f}')" for f in _DUCK_LAYOUTS)})
+        when x > 1e9 then make_timestamp(trunc(x)::bigint * 1000)
+        else make_timestamp(trunc((x - 25569.0) * 86400.0)::bigint * 1000000) end as DateTime from p)
+select event_id, raw, DateTime,
+  case when DateTime is not null then null when raw = '' or has_colon then '{tp.ERR_INVALID_DATE}'
+       else '{tp.ERR_NOT_A_FLOAT}' end as error from q""")
+def q_timestamps_normalised(spark, sf_dir):
+    return tp.normalise_times(td.raw_times(spark, sf_dir))
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _duck_field(regex: str, spec: dict) -> str:
+    import re as _re
+    group = int(spec.get("group", 0))
+    value = spec.get("value")
+    has_group = group != -1 and group + 1 <= _re.compile(regex).groups
+    cap = f"regexp_extract(TagName, {_sql_str(regex)}, {group + 1})"
+    if isinstance(value, str) and group == -1:
+        return _sql_str(value)
+    if isinstance(value, dict) and has_group and value:
+        whens = " ".join(f"when {_sql_str(k)} then {_sql_str(v)}" for k, v in value.items())
+        return f"(case {cap} {whens} else {cap} end)"
+    return cap if has_group else "''"
+
+
+def decode_sql(classifier: dict = dec.DEFAULT_CLASSIFIER) -> str:
+    per: dict = {}
+    for cls in classifier.values():
+        m = f"regexp_matches(TagName, {_sql_str(cls['regex'])})"
+        for f, spec in cls.get("on_match", {}).items():
+            per.setdefault(f, []).append(f"case when {m} then {_duck_field(cls['regex'], spec)} end")
+    cols = [f for f in dec.FIELDS_ORDER if f in per]
+    exprs = [(f"coalesce({', '.join(reversed(per[f]))})" if len(per[f]) > 1 else per[f][0]) + f" as {f}" for f in cols]
+    return "select TagName as tag_name, " + ", ".join(exprs)
+
+
+V_TAG_NAMES = f"""tag_names as (select distinct concat_ws('_', (['{"','".join(td.TAG_AREAS)}'])[p_partkey % 5 + 1],
+  nullif((['{"','".join(td.TAG_DEVICES)}'])[p_size % 6 + 1], ''), lpad(cast(p_partkey % 100 as varchar), 2, '0'))
+  || (['{"','".join(td.TAG_SUFFIXES)}'])[p_partkey % 7 + 1] as TagName from part)"""
+
+
+@register("tag_dimension", f"""
+with {V_TAG_NAMES}
+{decode_sql()} from tag_names""")
+def q_tag_dimension(spark, sf_dir):
+    return dec.decode_tags(td.tag_names(spark, sf_dir))
+
+
+def _units_sql() -> str:
+    parts = []
+    for codes, unit in dec.UNIT_BY_DEVICE:
+        parts.append(f"when device_type_id in ({', '.join(_sql_str(c) for c in codes)}) then {_sql_str(unit)}")
+    for frags, unit in dec.UNIT_BY_FRAGMENT:
+        cond = " or ".join(f"contains(lower(tag_name), {_sql_str(f)})" for f in frags)
+        parts.append(f"when {cond} then {_sql_str(unit)}")
+    parts.append("when tag_type in ('alarm', 'state') then ''")
+    return "case " + " ".join(parts) + f" else {_sql_str(dec.NO_UNIT)} end"
+
+
+def _descr_sql() -> str:
+    head = ("case when coalesce(device_type, '') <> '' and coalesce(device_num, '') <> '' then device_type || ' No ' || device_num "
+            f"when coalesce(device_type, '') <> '' then device_type else {_sql_str(dec.GENERIC_DESCRIPTION)} end")
+    area = ("case when coalesce(area_descr, '') <> '' then ' (' || area_descr || ')' "
+            "when coalesce(area, '') <> '' then ' (' || area || ')' else '' end")
+    descr = "case when coalesce(tag_descr, '') <> '' then ' - ' || tag_descr else '' end"
+    s = f"({head}) || ({area}) || ({descr})"
+    return f"upper(substr({s}, 1, 1)) || substr({s}, 2)"
+
+
+@register("tag_units", f"""
+with {V_TAG_NAMES}, d as ({decode_sql()} from tag_names)
+select tag_name, {_units_sql()} as unit, {_descr_sql()} as description from d""")
+def q_tag_units(spark, sf_dir):
+    return dec.tag_units(td.tag_names(spark, sf_dir))
+
+
+V_LOG_LINES = """log_lines as (select event_id, case event_id % 3
+  when 0 then '{"time":"' || t || '","level":"' || lvl || '","msg":"' || msg || '"}'
+  when 1 then 'time=' || t || ' level=' || lower(lvl) || ' msg="' || msg || '"'
+  else msg || ' at ' || t end as value
+  from (select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as t,
+        case event_type when 'error' then 'ERROR' when 'signup' then 'WARN' else 'INFO' end as lvl,
+        'event ' || event_id || ' ' || event_type as msg from events))"""
+
+LOGS_PARSED_SQL = r"""
+select event_id,
+  case when (case when json_valid(value) then json_type(value) = 'OBJECT' else false end) then try_strptime(json_extract_string(value, '$.time'), '%Y-%m-%dT%H:%M:%SZ')
+       else try_strptime(regexp_extract(value, '^.*(?:^|\s)time=(\S*)', 1), '%Y-%m-%dT%H:%M:%SZ') end as time,
+  case when (case when json_valid(value) then json_type(value) = 'OBJECT' else false end) then json_extract_string(value, '$.level')
+       when regexp_matches(value, '(?:^|\s)level=') then regexp_extract(value, '^.*(?:^|\s)level=(\S*)', 1)
+       else 'UNKNOWN' end as level,
+  case when (case when json_valid(value) then json_type(value) = 'OBJECT' else false end) then json_extract_string(value, '$.msg')
+       when strpos(value, 'msg=') > 0 then
+         case when length(substr(value, strpos(value, 'msg=') + 4)) >= 2
+                   and starts_with(substr(value, strpos(value, 'msg=') + 4), '"')
+                   and ends_with(substr(value, strpos(value, 'msg=') + 4), '"')
+              then substr(substr(value, strpos(value, 'msg=') + 4), 2, length(substr(value, strpos(value, 'msg=') + 4)) - 2)
+              else substr(value, strpos(value, 'msg=') + 4) end
+       else value end as msg
+from log_lines where value <> ''"""
+
+
+@register("logs_parsed", f"with {V_LOG_LINES}\n{LOGS_PARSED_SQL}")
+def q_logs_parsed(spark, sf_dir):
+    return lg.parse_log_lines(td.log_lines(spark, sf_dir))
+
+
+@register("latest_logs", f"""
+with {V_LOG_LINES}, parsed as ({LOGS_PARSED_SQL})
+select time, level, msg from parsed order by time desc nulls last, msg desc limit {LATEST_K}""")
+def q_latest_logs(spark, sf_dir):
+    logs = lg.parse_log_lines(td.log_lines(spark, sf_dir)).select("time", "level", "msg")
+    return pg.latest(logs, "time", LATEST_K, tiebreak=["msg"])
+
+
+@register("values_formatted", f"""
+with {V_HISTORY}, v as (select TagName, max(DateTime) as DateTime, arg_max(Value, DateTime) as Value
+  from history where DateTime <= {ts(AT)} group by TagName)
+select TagName, strftime(DateTime, '%Y-%m-%d %H:%M:%S') as date,
+  round(Value * {10 ** ROUND}.0) / {10 ** ROUND}.0 as value,
+  replace(regexp_replace(cast(round(Value * {10 ** ROUND}.0) / {10 ** ROUND}.0 as varchar), '\\.0$', ''), '.', ',') as text
+from v""")
+def q_values_formatted(spark, sf_dir):
+    v = pit.value_at(td.history(spark, sf_dir), AT)
+    r = num.round_half_away(F.col("Value"), ROUND)
+    return v.select("TagName", F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss").alias("date"),
+                    r.alias("value"), num.decimal_comma(r).alias("text"))

@@ -78,18 +78,21 @@ def tag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event times rendered as text in six ways (event_id % 6)."""
-    e = _events(spark, sf_dir)
+    """Event times rendered as text in six ways (event_id % 6): ISO, ISO with
+    T, ``dd.MM.yyyy HH:mm:ss``, Excel day serial with a decimal comma (8
+    decimals, integer arithmetic), epoch milliseconds, and invalid text."""
+    e = _events(spark, sf_dir).withColumn(
+        "_us", F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts")))
     ts = F.col("ts")
     k = F.col("event_id") % 6
-    excel = F.format_string(
-        "%.8f", F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts) / 86400e6 + 25569.0)
-    millis = F.floor(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts) / 1000)
+    excel = F.expr("concat(cast(_us div 86400000000L + 25569 as string), ',', "
+                   "lpad(cast(pmod(_us, 86400000000L) * 100000000L div 86400000000L as string), 8, '0'))")
+    millis = F.expr("cast(_us div 1000L as string)")
     raw = (F.when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
            .when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
            .when(k == 2, F.date_format(ts, "dd.MM.yyyy HH:mm:ss"))
-           .when(k == 3, F.regexp_replace(excel, r"\.", ","))
-           .when(k == 4, millis.cast("string"))
+           .when(k == 3, excel)
+           .when(k == 4, millis)
            .otherwise(F.concat(F.lit("bad-"), F.col("event_id").cast("string"))))
     return e.select("event_id", raw.alias("raw"))
 
