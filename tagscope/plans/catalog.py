@@ -536,3 +536,35 @@ def q_values_formatted(spark, sf_dir):
     r = num.round_half_away(F.col("Value"), ROUND)
     return v.select("TagName", F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss").alias("date"),
                     r.alias("value"), num.decimal_comma(r).alias("text"))
+
+
+# ---- templates and chart exports (TPL, EXP) ----------------------------------------
+from tagscope.plans import templates as tpl  # noqa: E402
+from tagscope.sinks import export as exp  # noqa: E402
+
+# A stored query in the reference's placeholder style.
+TEMPLATE_NAME = "tag_stats"
+TEMPLATE_BODY = ("select TagName, count(*) as n, round(avg(Value), 6) as avg_value, round(max(Value), 6) as max_value "
+                 "from history where DateTime >= '{from}' and DateTime < '{to}' group by TagName")
+
+
+@register("template_exec", f"""
+with {V_HISTORY}
+select TagName, count(*) as n, round(avg(Value), 6) as avg_value, round(max(Value), 6) as max_value
+from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)} group by TagName""")
+def q_template_exec(spark, sf_dir):
+    td.history(spark, sf_dir).createOrReplaceTempView("history")
+    templates = tpl.template_table(spark, [(TEMPLATE_NAME, TEMPLATE_BODY), ("tag_count", "select count(distinct TagName) as n from history")])
+    return tpl.template_exec(spark, templates, TEMPLATE_NAME, {"from": FROM, "to": TO})
+
+
+@register("grafana_by_time")
+def q_grafana_by_time(spark, sf_dir):
+    b = bk.buckets(td.history(spark, sf_dir), FROM, TO, N_BUCKETS, "avg", mode="raw")
+    return exp.grafana_by_time(b)
+
+
+@register("grafana_by_series")
+def q_grafana_by_series(spark, sf_dir):
+    b = bk.buckets(td.history(spark, sf_dir), FROM, TO, N_BUCKETS, "avg", mode="raw")
+    return exp.grafana_by_series(b)
