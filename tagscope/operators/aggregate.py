@@ -84,8 +84,8 @@ def cyclic_runs(history: DataFrame, start, end, step_ms: int = 60000, tags=None,
     last_at = pit.from_us_value(epoch_us_value(start) + max(k - 1, 0) * step_us)
     runs = pit.instant_runs(filter_tags(history, tags), start, k,
                             lambda x: pit._first_instant_step(x, step_us), last_at, lookback_seconds)
-    runs = runs.select("TagName", "i", F.col("_l.Value").alias("Value"))
-    nb = neighbour(runs, ["TagName"], ["i"], ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
+    runs = runs.select("TagName", "i", "Value")
+    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
     return nb.select("TagName", "i", F.coalesce("next_i", F.lit(k).cast("long")).alias("next_i"), "Value")
 
 
@@ -108,19 +108,21 @@ def aggregate_dif(history: DataFrame, start, end, tags=None, interpolate: bool =
     AGG6 with ``interpolate``: the same with linear interpolation at both ends.
     NULL when a side is missing."""
     h = filter_tags(history, tags)
-    s = F.struct("DateTime", "Value")
     a, b = ts_lit(start), ts_lit(end)
     t = F.col("DateTime")
     if not interpolate:
         g = filter_range(h, None, end, "[]").groupBy("TagName").agg(
-            F.max(F.when(t <= a, s)).alias("_f"), F.max(s).alias("_t"))
-        v = F.col("_t.Value") - F.col("_f.Value")
+            *pit.last_sample(t <= a, "f_"), *pit.last_sample(None, "t_"))
+        v = F.col("t_Value") - F.col("f_Value")
+        g = g.withColumn("_v", F.when(F.col("f_DateTime").isNotNull(), v))
     else:
         g = h.groupBy("TagName").agg(
-            F.max(F.when(t <= a, s)).alias("_fb"), F.min(F.when(t >= a, s)).alias("_fa"),
-            F.max(F.when(t <= b, s)).alias("_tb"), F.min(F.when(t >= b, s)).alias("_ta"))
-        v = (pit.interpolate_expr(F.lit(epoch_us_value(end)), F.col("_tb"), F.col("_ta"))
-             - pit.interpolate_expr(F.lit(epoch_us_value(start)), F.col("_fb"), F.col("_fa")))
+            *pit.last_sample(t <= a, "fb_"), *pit.first_sample(t >= a, "fa_"),
+            *pit.last_sample(t <= b, "tb_"), *pit.first_sample(t >= b, "ta_"))
+        v = (pit.interpolate_expr(F.lit(epoch_us_value(end)), pit.sample_struct("tb_"), pit.sample_struct("ta_"))
+             - pit.interpolate_expr(F.lit(epoch_us_value(start)), pit.sample_struct("fb_"), pit.sample_struct("fa_")))
+        g = g.withColumn("_v", v)
+    v = F.col("_v")
     return _stamp(g, end, v)
 
 

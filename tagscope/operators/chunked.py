@@ -32,53 +32,56 @@ def index_chunk(col: str | Column, size: int = 4096) -> Column:
     return F.floor(c / F.lit(size)).cast("long")
 
 
-def _ordering(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
-
-
 def _default_chunk(order: Sequence[str], chunk: Column | None) -> Column:
     return chunk if chunk is not None else time_chunk(order[0])
 
 
-def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
               direction: int = -1, chunk: Column | None = None, prefix: str | None = None) -> DataFrame:
     """Add, per row, the values of ``cols`` on the previous (``direction=-1``)
-    or next (``+1``) row of the same key ordered by ``order``.
+    or next (``+1``) row of the same key ordered by the column ``order``.
 
     New columns are named ``prefix + col`` (default ``prev_`` / ``next_``);
-    they are NULL on the first / last row of a key.
+    they are NULL on the first / last row of a key.  ``order`` must be unique
+    within a key.  Chunk edges are primitive ``max_by``/``min_by`` hash
+    aggregates (partial, map-side).
     """
-    keys, order, cols = list(keys), list(order), list(cols)
+    keys, cols = list(keys), list(cols)
     prefix = prefix if prefix is not None else ("prev_" if direction < 0 else "next_")
-    d = df.withColumn(CK, _default_chunk(order, chunk))
-    payload = F.struct(*[F.col(c).alias(c) for c in cols])
+    d = df.withColumn(CK, _default_chunk([order], chunk))
     pick = F.max_by if direction < 0 else F.min_by
     shift = F.lag if direction < 0 else F.lead
-    edges = d.groupBy(*keys, CK).agg(pick(payload, _ordering(order)).alias("_edge"))
-    carry = edges.select(*keys, CK, shift("_edge").over(Window.partitionBy(*keys).orderBy(CK)).alias("_carry"))
+    edges = d.groupBy(*keys, CK).agg(*[pick(F.col(c), F.col(order)).alias(f"_e{i}") for i, c in enumerate(cols)])
+    ws = Window.partitionBy(*keys).orderBy(CK)
+    carry = edges.select(*keys, CK, *[shift(f"_e{i}").over(ws).alias(f"_c{i}") for i in range(len(cols))])
     j = d.join(carry, [*keys, CK], "left")
-    w = Window.partitionBy(*keys, CK).orderBy(*order)
+    w = Window.partitionBy(*keys, CK).orderBy(order)
     at_edge = shift(F.lit(1)).over(w).isNull()
-    new = [F.when(at_edge, F.col("_carry")[c]).otherwise(shift(c).over(w)).alias(prefix + c) for c in cols]
+    new = [F.when(at_edge, F.col(f"_c{i}")).otherwise(shift(c).over(w)).alias(prefix + c) for i, c in enumerate(cols)]
     return j.select(*[F.col(c) for c in df.columns], *new)
 
 
-def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
-                 out: str | None = None, chunk: Column | None = None) -> DataFrame:
-    """Replace NULLs of ``col`` by the last non-NULL earlier value of its key."""
-    keys, order = list(keys), list(order)
-    out = out or col
-    d = df.withColumn(CK, _default_chunk(order, chunk))
-    edges = d.groupBy(*keys, CK).agg(
-        F.max_by(F.col(col), F.when(F.col(col).isNotNull(), _ordering(order))).alias("_edge"))
+def fill_forward(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], present: str,
+                 chunk: Column | None = None) -> DataFrame:
+    """Rows where ``present`` is false take ``cols`` from the last earlier row
+    of their key where it is true (NULL when there is none)."""
+    keys, cols = list(keys), list(cols)
+    d = df.withColumn(CK, _default_chunk([order], chunk))
+    o = F.when(F.col(present), F.col(order))
+    edges = d.groupBy(*keys, CK).agg(F.max(o).alias("_eo"),
+                                     *[F.max_by(F.col(c), o).alias(f"_e{i}") for i, c in enumerate(cols)])
     before = Window.partitionBy(*keys).orderBy(CK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = edges.select(*keys, CK, F.last("_edge", ignorenulls=True).over(before).alias("_carry"))
+    last_edge = F.last(F.when(F.col("_eo").isNotNull(), F.struct(*[F.col(f"_e{i}") for i in range(len(cols))])),
+                       ignorenulls=True).over(before)
+    carry = edges.select(*keys, CK, last_edge.alias("_carry"))
     j = d.join(carry, [*keys, CK], "left")
-    w = (Window.partitionBy(*keys, CK).orderBy(*order)
+    w = (Window.partitionBy(*keys, CK).orderBy(order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = F.coalesce(F.last(col, ignorenulls=True).over(w), F.col("_carry"))
-    rest = [F.col(c) for c in df.columns if c != out]
-    return j.select(*rest, filled.alias(out))
+    inside = F.last(F.when(F.col(present), F.struct(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(cols)])),
+                    ignorenulls=True).over(w)
+    filled = F.coalesce(inside, F.col("_carry"))
+    rest = [F.col(c) for c in df.columns if c not in cols]
+    return j.select(*rest, *[filled[f"_e{i}"].alias(c) for i, c in enumerate(cols)])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, out: str,

@@ -17,7 +17,7 @@ def with_previous(history: DataFrame, start=None, end=None, tags=None, bounds: s
     """WIN1: ``prev_Value`` and ``prev_DateTime`` of the previous sample in the
     filtered range (the filter runs first, as in the reference)."""
     h = filter_range(filter_tags(history, tags), start, end, bounds)
-    return neighbour(h.select("TagName", "DateTime", "Value"), ["TagName"], ["DateTime"],
+    return neighbour(h.select("TagName", "DateTime", "Value"), ["TagName"], "DateTime",
                      ["Value", "DateTime"], direction=-1)
 
 
@@ -51,4 +51,5 @@ def nth_event(events: DataFrame, n) -> DataFrame:
 
 def hold_previous(df: DataFrame, col: str = "Value") -> DataFrame:
     """WIN5: fill NULL values with the previous non-NULL value of the tag."""
-    return fill_forward(df, ["TagName"], ["DateTime"], col)
+    d = df.withColumn("_present", F.col(col).isNotNull())
+    return fill_forward(d, ["TagName"], "DateTime", [col], "_present").drop("_present")

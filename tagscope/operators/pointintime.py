@@ -20,9 +20,29 @@ from tagscope.operators.chunked import fill_forward, index_chunk
 from tagscope.operators.filters import filter_range, filter_tags, guard_after_mark, load_mark
 
 
-def _last() -> Column:
-    """Sample as ``struct(DateTime, Value)``: its max is the latest sample (ties: larger value)."""
-    return F.struct("DateTime", "Value")
+def last_sample(cond: Column | None = None, prefix: str = "") -> list[Column]:
+    """Latest sample (optionally among rows where ``cond``) as two primitive
+    aggregates, so the aggregation stays a hash aggregate with partials.
+    Duplicate times of one tag pick an arbitrary one (see ``collapse_duplicates``)."""
+    t = F.col("DateTime") if cond is None else F.when(cond, F.col("DateTime"))
+    return [F.max(t).alias(prefix + "DateTime"), F.max_by(F.col("Value"), t).alias(prefix + "Value")]
+
+
+def first_sample(cond: Column | None = None, prefix: str = "") -> list[Column]:
+    t = F.col("DateTime") if cond is None else F.when(cond, F.col("DateTime"))
+    return [F.min(t).alias(prefix + "DateTime"), F.min_by(F.col("Value"), t).alias(prefix + "Value")]
+
+
+def sample_struct(prefix: str) -> Column:
+    """``struct(DateTime, Value)`` of aggregated columns, NULL when no sample."""
+    return F.when(F.col(prefix + "DateTime").isNotNull(),
+                  F.struct(F.col(prefix + "DateTime").alias("DateTime"), F.col(prefix + "Value").alias("Value")))
+
+
+def collapse_duplicates(history: DataFrame, how: str = "avg") -> DataFrame:
+    """One sample per (tag, time): mean (``avg``) or ``max`` of duplicates."""
+    f = F.avg if how == "avg" else F.max
+    return history.groupBy("TagName", "DateTime").agg(f("Value").alias("Value"))
 
 
 def _since(start, lookback_seconds):
@@ -41,11 +61,11 @@ def value_at(history: DataFrame, at, tags=None, lookback_seconds: int | None = N
     """
     h = filter_tags(history, tags)
     src = filter_range(h, _since(at, lookback_seconds), at, "[]")
-    last = src.groupBy("TagName").agg(F.max(_last()).alias("_l"))
-    value = F.col("_l.Value")
+    last = src.groupBy("TagName").agg(*last_sample())
+    value = F.col("Value")
     if guard:
         value = guard_after_mark(value, at, mark if mark is not None else load_mark(history))
-    return last.select("TagName", F.col("_l.DateTime").alias("DateTime"), value.alias("Value"))
+    return last.select("TagName", "DateTime", value.alias("Value"))
 
 
 def value_exact(history: DataFrame, at, tags=None) -> DataFrame:
@@ -75,11 +95,10 @@ def value_interpolated(history: DataFrame, at, tags=None, lookback_seconds: int
         hi = to_datetime(at) + _dt.timedelta(seconds=lookback_seconds)
         h = filter_range(h, lo, hi, "[]")
     a = ts_lit(at)
-    g = h.groupBy("TagName").agg(
-        F.max(F.when(F.col("DateTime") <= a, _last())).alias("_b"),
-        F.min(F.when(F.col("DateTime") >= a, _last())).alias("_a"))
-    v = interpolate_expr(F.lit(epoch_us_value(at)), F.col("_b"), F.col("_a"))
-    return (g.filter(F.col("_b").isNotNull() & F.col("_a").isNotNull())
+    g = h.groupBy("TagName").agg(*last_sample(F.col("DateTime") <= a, "b_"),
+                                 *first_sample(F.col("DateTime") >= a, "a_"))
+    v = interpolate_expr(F.lit(epoch_us_value(at)), sample_struct("b_"), sample_struct("a_"))
+    return (g.filter(F.col("b_DateTime").isNotNull() & F.col("a_DateTime").isNotNull())
             .select("TagName", a.alias("DateTime"), v.alias("Value")))
 
 
@@ -106,22 +125,25 @@ def instant_runs(history: DataFrame, start, n_instants: int, first_instant: Colu
                  last_instant_at, lookback_seconds: int | None = None) -> DataFrame:
     """Samples reduced to the last one per (tag, first instant it feeds).
 
-    Returns ``TagName, i, _l = struct(DateTime, Value)`` for non-empty i only.
+    Returns ``TagName, i, DateTime, Value`` for non-empty i only.
     """
     src = filter_range(history, _since(start, lookback_seconds), last_instant_at, "[]")
     x_us = epoch_us("DateTime") - F.lit(epoch_us_value(start))
     b = src.withColumn("i", first_instant(x_us)).filter(F.col("i").isNotNull() & (F.col("i") < n_instants))
-    return b.groupBy("TagName", "i").agg(F.max(_last()).alias("_l"))
+    return b.groupBy("TagName", "i").agg(*last_sample())
 
 
 def _carry_grid(runs: DataFrame, n_instants: int, chunk_size: int) -> DataFrame:
-    """Every tag x instant 0..K-1 with the value carried from the last run at or before it."""
+    """Every tag x instant 0..K-1 with the sample carried from the last run at
+    or before it (``TagName, i, DateTime, Value``; NULL before the first)."""
     grid = (runs.select("TagName").distinct()
             .select("TagName", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_instants - 1).cast("long"))).alias("i"),
-                    F.lit(1).alias("_kind"), F.lit(None).cast(runs.schema["_l"].dataType).alias("_l")))
-    u = runs.select("TagName", "i", F.lit(0).alias("_kind"), "_l").unionByName(grid)
-    f = fill_forward(u, ["TagName"], ["i", "_kind"], "_l", chunk=index_chunk("i", chunk_size))
-    return f.filter(F.col("_kind") == 1).drop("_kind")
+                    F.lit(1).alias("_kind"), F.lit(None).cast("timestamp_ntz").alias("DateTime"),
+                    F.lit(None).cast("double").alias("Value")))
+    u = runs.select("TagName", "i", F.lit(0).alias("_kind"), "DateTime", "Value").unionByName(grid)
+    u = u.withColumn("_o", F.col("i") * 2 + F.col("_kind")).withColumn("_present", F.col("_kind") == 0)
+    f = fill_forward(u, ["TagName"], "_o", ["DateTime", "Value"], "_present", chunk=index_chunk("i", chunk_size))
+    return f.filter(F.col("_kind") == 1).select("TagName", "i", "DateTime", "Value")
 
 
 def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
@@ -141,7 +163,7 @@ def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
     runs = instant_runs(filter_tags(history, tags), start, k, lambda x: _first_instant_even(x, T, n),
                         last_at, lookback_seconds)
     g = _carry_grid(runs, k, chunk_size)
-    return g.select("TagName", add_seconds(start, off(F.col("i"))).alias("DateTime"), F.col("_l.Value").alias("Value"))
+    return g.select("TagName", add_seconds(start, off(F.col("i"))).alias("DateTime"), "Value")
 
 
 def values_cyclic(history: DataFrame, start, end, step_ms: int = 60000, tags=None,
@@ -158,9 +180,9 @@ def values_cyclic(history: DataFrame, start, end, step_ms: int = 60000, tags=Non
     last_at = from_us_value(epoch_us_value(start) + (k - 1) * step_us)
     runs = instant_runs(filter_tags(history, tags), start, k, lambda x: _first_instant_step(x, step_us),
                         last_at, lookback_seconds)
-    g = _carry_grid(runs, k, chunk_size).filter(F.col("_l").isNotNull())
+    g = _carry_grid(runs, k, chunk_size).filter(F.col("DateTime").isNotNull())
     t = from_epoch_us(F.lit(epoch_us_value(start)) + F.col("i") * F.lit(step_us))
-    return g.select("TagName", t.alias("DateTime"), F.col("_l.Value").alias("Value"))
+    return g.select("TagName", t.alias("DateTime"), "Value")
 
 
 def from_us_value(us: int) -> _dt.datetime:

@@ -50,7 +50,7 @@ def fill_runs(history: DataFrame, start, end, step_seconds: int = 1, seeded: boo
         rows = seeded_rows(h, start, end, lookback_seconds) if seeded else \
             filter_range(h, start, end, "[]").select("TagName", "DateTime", "Value")
     per_slot = rows.groupBy(*keys, slot_of(step_seconds).alias("slot")).agg(F.avg("Value").alias("Value"))
-    nb = neighbour(per_slot, keys, ["slot"], ["slot"], direction=+1,
+    nb = neighbour(per_slot, keys, "slot", ["slot"], direction=+1,
                    chunk=index_chunk("slot", max(1, chunk_seconds // step_seconds)))
     return nb.select(*keys, "slot", F.coalesce(F.col("next_slot"), F.col("slot") + 1).alias("next_slot"), "Value")
 
