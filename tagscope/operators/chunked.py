@@ -21,8 +21,14 @@ DEFAULT_CHUNK_SECONDS = 3600
 CK = "_ck"
 
 
-def time_chunk(col: str | Column, seconds: int = DEFAULT_CHUNK_SECONDS) -> Column:
+def chunk_seconds() -> int:
+    """Current chunk width (module setting, read at plan-build time)."""
+    return DEFAULT_CHUNK_SECONDS
+
+
+def time_chunk(col: str | Column, seconds: int | None = None) -> Column:
     """Chunk number of a timestamp: ``floor(epoch / seconds)``."""
+    seconds = seconds or chunk_seconds()
     return F.floor(epoch_us(col) / F.lit(seconds * US)).cast("long")
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagscope.functions.timecols import US, epoch_us, from_epoch_us, ts_lit
-from tagscope.operators.chunked import DEFAULT_CHUNK_SECONDS, index_chunk, neighbour
+from tagscope.operators import chunked
+from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags
 from tagscope.operators.pointintime import value_at
 
@@ -37,7 +38,7 @@ def slot_of(step_seconds: int):
 
 def fill_runs(history: DataFrame, start, end, step_seconds: int = 1, seeded: bool = True, tags=None,
               keys=("TagName",), lookback_seconds: int | None = None, rows: DataFrame | None = None,
-              chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+              chunk_seconds: int | None = None) -> DataFrame:
     """Runs of the step-filled series: ``keys..., slot, next_slot, Value``.
 
     Each present slot holds the mean of its samples and lasts until the next
@@ -49,6 +50,7 @@ def fill_runs(history: DataFrame, start, end, step_seconds: int = 1, seeded: boo
         h = filter_tags(history, tags)
         rows = seeded_rows(h, start, end, lookback_seconds) if seeded else \
             filter_range(h, start, end, "[]").select("TagName", "DateTime", "Value")
+    chunk_seconds = chunk_seconds or chunked.chunk_seconds()
     per_slot = rows.groupBy(*keys, slot_of(step_seconds).alias("slot")).agg(F.avg("Value").alias("Value"))
     nb = neighbour(per_slot, keys, "slot", ["slot"], direction=+1,
                    chunk=index_chunk("slot", max(1, chunk_seconds // step_seconds)))
