@@ -29,6 +29,11 @@ def _value(r: int | None) -> Column:
     return v if r is None else round_half_away(v, r)
 
 
+def _json_value(r: int | None) -> Column:
+    """Value for chart JSON: NaN has no JSON form and becomes null."""
+    return F.nanvl(_value(r), F.lit(None).cast("double"))
+
+
 def text_lines(df: DataFrame, r: int | None = DEFAULT_ROUND, decimal_mark: str = ",") -> DataFrame:
     """EXP1: ``tag TAB time TAB value`` lines (decimal comma by default)."""
     v = _value(r)
@@ -83,7 +88,7 @@ def grafana_by_time(df: DataFrame, r: int | None = DEFAULT_ROUND) -> DataFrame:
     number of tags, not by the history.
     """
     pts = df.select(_date().alias("time"), F.struct(F.col("TagName").alias("name"),
-                                                    _value(r).alias("value")).alias("p"))
+                                                    _json_value(r).alias("value")).alias("p"))
     g = pts.groupBy("time").agg(F.sort_array(F.collect_list("p")).alias("data"))
     return g.select("time", F.to_json(F.struct("time", "data")).alias("json"))
 
@@ -97,7 +102,7 @@ def grafana_by_series(df: DataFrame, r: int | None = DEFAULT_ROUND,
     """EXP5: ``{target, datapoints: [{value, ms}]}`` per tag and time chunk."""
     ms = F.floor(epoch_us("DateTime") / F.lit(1000)).cast("long")
     pts = df.select(F.col("TagName").alias("target"), _chunk(chunk_seconds).alias("chunk"),
-                    F.struct(ms.alias("ms"), _value(r).alias("value")).alias("p"))
+                    F.struct(ms.alias("ms"), _json_value(r).alias("value")).alias("p"))
     g = pts.groupBy("target", "chunk").agg(F.sort_array(F.collect_list("p")).alias("pts"))
     dp = F.transform("pts", lambda p: F.struct(p["value"].alias("value"), p["ms"].alias("ms")))
     return g.select("target", "chunk", F.to_json(F.struct(F.col("target"), dp.alias("datapoints"))).alias("json"))
@@ -110,7 +115,7 @@ def tag_time_map(df: DataFrame, r: int | None = DEFAULT_ROUND,
     per_sec = df.groupBy("TagName", _date().alias("t"), _chunk(chunk_seconds).alias("chunk")).agg(
         F.avg("Value").alias("Value"))
     g = per_sec.groupBy("TagName", "chunk").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", _value(r).alias("v"))))).alias("m"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", _json_value(r).alias("v"))))).alias("m"))
     return g.select("TagName", "chunk", F.to_json("m").alias("json"))
 
 
