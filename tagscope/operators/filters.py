@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagscope.functions.timecols import bound_filter, ts_lit
+from tagscope.functions.timecols import bound_filter, to_datetime, ts_lit
 
 # Above this many names a tag list is joined (left_semi) instead of inlined.
 INLINE_TAG_LIMIT = 1000
@@ -46,8 +46,19 @@ def filter_tags(history: DataFrame, tags: str | Iterable[str] | DataFrame | None
 
 
 def filter_range(history: DataFrame, start, end, bounds: str = "[]", col: str = "DateTime") -> DataFrame:
-    """Time range with bound kind ``[]`` (ClickHouse), ``[)`` (MS SQL, MySQL) or ``()``."""
-    return history.filter(bound_filter(col, start, end, bounds))
+    """Time range with bound kind ``[]`` (ClickHouse), ``[)`` (MS SQL, MySQL) or ``()``.
+
+    On a day-partitioned history (a ``day`` date column, see
+    ``sources.history.write_history``) the matching ``day`` bounds are added so
+    whole folders are pruned, not only row groups.
+    """
+    h = history.filter(bound_filter(col, start, end, bounds))
+    if "day" in history.columns and col == "DateTime":
+        if start is not None:
+            h = h.filter(F.col("day") >= F.lit(to_datetime(start).date()))
+        if end is not None:
+            h = h.filter(F.col("day") <= F.lit(to_datetime(end).date()))
+    return h
 
 
 def mask_to_like(mask: str | None) -> str:

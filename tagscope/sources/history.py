@@ -52,26 +52,14 @@ def normalize_history(df: DataFrame, tag: str | None = None) -> DataFrame:
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """SRC1: Parquet history (optionally day-partitioned) with the canonical schema.
 
-    Partition columns such as ``day`` stay usable for pruning by Catalyst:
-    a ``DateTime`` range filter also needs ``day`` bounds to skip folders, which
-    ``with_day_bounds`` adds."""
+    A ``day`` partition column is kept: the range filters add ``day`` bounds
+    to it, so folders outside a range are never listed or read."""
     df = spark.read.parquet(path)
     if {"TagName", "DateTime", "Value"} <= set(df.columns):
         return df.select("TagName", "DateTime", "Value") if "day" not in df.columns else df
     return normalize_history(df)
 
 
-def with_day_bounds(df: DataFrame, start=None, end=None) -> DataFrame:
-    """Add ``day`` predicates matching a time range (partition pruning)."""
-    from tagscope.functions.timecols import to_datetime
-    if "day" not in df.columns:
-        return df
-    if start is not None:
-        df = df.filter(F.col("day") >= F.lit(to_datetime(start).date()))
-    if end is not None:
-        df = df.filter(F.col("day") <= F.lit(to_datetime(end).date()))
-    return df
-
 
 def write_history(df: DataFrame, path: str, mode: str = "append") -> None:
     """Day-partitioned, tag-clustered Parquet layout for large histories."""

@@ -66,6 +66,11 @@ def _writer(sink_dir: str, reject_dir: str, kind: str):
         (good.withColumn("day", F.to_date("DateTime")).withColumn("batch", F.lit(batch_id))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch", "day").parquet(sink_dir))
+        if kind == "history":
+            # the load mark: newest sample time of this batch, one row per batch
+            (good.agg(F.max("DateTime").alias("LoadMark")).withColumn("batch", F.lit(batch_id))
+                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy("batch").parquet(mark_dir(sink_dir)))
         (rejects.withColumn("batch", F.lit(batch_id))
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("batch").json(reject_dir))
@@ -85,14 +90,20 @@ def start_ingest(spark: SparkSession, source_dir: str, sink_dir: str, reject_dir
     return w.start()
 
 
+def mark_dir(sink_dir: str) -> str:
+    """Where the per-batch load marks live (beside the sink, not inside it)."""
+    return sink_dir.rstrip("/") + "_loadmark"
+
+
 def read_ingested(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """The ingested history (canonical columns)."""
-    return spark.read.parquet(sink_dir).select("TagName", "DateTime", "Value")
+    """The ingested history (canonical columns plus the ``day`` partition)."""
+    return spark.read.parquet(sink_dir).select("TagName", "DateTime", "Value", "day")
 
 
 def load_mark(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """SRC8/STR2: newest loaded sample time over the sink (one row)."""
-    return read_ingested(spark, sink_dir).agg(F.max("DateTime").alias("LoadMark"))
+    """SRC8/STR2: newest loaded sample time (one row), read from the per-batch
+    marks the ingest writes, so it never scans the history."""
+    return spark.read.parquet(mark_dir(sink_dir)).agg(F.max("LoadMark").alias("LoadMark"))
 
 
 def running_load_mark(stream: DataFrame) -> DataFrame:

@@ -148,3 +148,17 @@ def test_streaming_ingest(spark):
     q.awaitTermination(120)
     t = spark.read.parquet(tsink).first()
     assert (t.CertNum, t.Brutto) == ("c1", 2.0)
+
+
+def test_day_partition_pruning(spark):
+    from tagscope.operators import pointintime as pit
+    from tagscope.operators import resample as rs
+    out = os.path.join(tempfile.mkdtemp(prefix="tagscope-prune-"), "h")
+    hs.write_history(td.history(spark, SF_SMALL), out)
+    h = hs.read_history(spark, out)
+    df = rs.range_raw(h, "2024-01-05 00:00:00", "2024-01-06 00:00:00")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "day#" in plan
+    want = td.history(spark, SF_SMALL).filter("DateTime >= '2024-01-05' and DateTime < '2024-01-06'").count()
+    assert df.count() == want
+    assert pit.value_at(h, "2024-01-10 00:00:00").count() == pit.value_at(td.history(spark, SF_SMALL), "2024-01-10 00:00:00").count()
