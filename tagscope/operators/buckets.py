@@ -91,7 +91,8 @@ def buckets_dif(history: DataFrame, start, end, n: int, tags=None, lookback_seco
     T = seconds_between(start, end)
     runs = pit.instant_runs(filter_tags(history, tags), start, n + 1,
                             lambda x: pit._first_instant_even(x, T, n), end, lookback_seconds)
-    g = pit._carry_grid(runs, n + 1, chunk_size).select("TagName", "i", F.col("Value").alias("v"))
+    g = pit.instant_values(runs, n + 1, leading_nulls=True, chunk_size=chunk_size).select(
+        "TagName", "i", F.col("Value").alias("v"))
     p = neighbour(g, ["TagName"], "i", ["v"], direction=-1, chunk=index_chunk("i", chunk_size))
     p = p.filter(F.col("i") >= 1)
     return _label(p, start, T, n, F.col("v") - F.col("prev_v"))

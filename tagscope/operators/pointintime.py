@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tagscope.functions.timecols import (
     US, add_seconds, epoch_us, epoch_us_value, from_epoch_us, seconds_between, to_datetime, ts_lit)
-from tagscope.operators.chunked import fill_forward, index_chunk
+from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags, guard_after_mark, load_mark
 
 
@@ -133,17 +133,23 @@ def instant_runs(history: DataFrame, start, n_instants: int, first_instant: Colu
     return b.groupBy("TagName", "i").agg(*last_sample())
 
 
-def _carry_grid(runs: DataFrame, n_instants: int, chunk_size: int) -> DataFrame:
-    """Every tag x instant 0..K-1 with the sample carried from the last run at
-    or before it (``TagName, i, DateTime, Value``; NULL before the first)."""
-    grid = (runs.select("TagName").distinct()
-            .select("TagName", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_instants - 1).cast("long"))).alias("i"),
-                    F.lit(1).alias("_kind"), F.lit(None).cast("timestamp_ntz").alias("DateTime"),
-                    F.lit(None).cast("double").alias("Value")))
-    u = runs.select("TagName", "i", F.lit(0).alias("_kind"), "DateTime", "Value").unionByName(grid)
-    u = u.withColumn("_o", F.col("i") * 2 + F.col("_kind")).withColumn("_present", F.col("_kind") == 0)
-    f = fill_forward(u, ["TagName"], "_o", ["DateTime", "Value"], "_present", chunk=index_chunk("i", chunk_size))
-    return f.filter(F.col("_kind") == 1).select("TagName", "i", "DateTime", "Value")
+def instant_values(runs: DataFrame, n_instants: int, leading_nulls: bool, chunk_size: int) -> DataFrame:
+    """Expand reduced runs to one row per tag and instant: ``TagName, i, DateTime, Value``.
+
+    Each non-empty instant holds until the next non-empty one (found with the
+    chunked lead), so rows are produced by ``explode`` where the run lives and
+    the output is never sorted or shuffled.  With ``leading_nulls`` the
+    instants before a tag's first sample are emitted with NULLs.
+    """
+    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
+    upto = F.coalesce(F.col("next_i"), F.lit(n_instants).cast("long")) - 1
+    out = nb.select("TagName", F.explode(F.sequence(F.col("i"), upto)).alias("i"), "DateTime", "Value")
+    if leading_nulls:
+        first = runs.groupBy("TagName").agg(F.min("i").alias("_first")).filter(F.col("_first") > 0)
+        lead = first.select("TagName", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_first") - 1)).alias("i"),
+                            F.lit(None).cast("timestamp_ntz").alias("DateTime"), F.lit(None).cast("double").alias("Value"))
+        out = out.unionByName(lead)
+    return out
 
 
 def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
@@ -162,7 +168,7 @@ def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
     last_at = to_datetime(start) + _dt.timedelta(seconds=(max(n - 1, 0) * T) // n)
     runs = instant_runs(filter_tags(history, tags), start, k, lambda x: _first_instant_even(x, T, n),
                         last_at, lookback_seconds)
-    g = _carry_grid(runs, k, chunk_size)
+    g = instant_values(runs, k, leading_nulls=True, chunk_size=chunk_size)
     return g.select("TagName", add_seconds(start, off(F.col("i"))).alias("DateTime"), "Value")
 
 
@@ -180,7 +186,7 @@ def values_cyclic(history: DataFrame, start, end, step_ms: int = 60000, tags=Non
     last_at = from_us_value(epoch_us_value(start) + (k - 1) * step_us)
     runs = instant_runs(filter_tags(history, tags), start, k, lambda x: _first_instant_step(x, step_us),
                         last_at, lookback_seconds)
-    g = _carry_grid(runs, k, chunk_size).filter(F.col("DateTime").isNotNull())
+    g = instant_values(runs, k, leading_nulls=False, chunk_size=chunk_size)
     t = from_epoch_us(F.lit(epoch_us_value(start)) + F.col("i") * F.lit(step_us))
     return g.select("TagName", t.alias("DateTime"), "Value")
 
