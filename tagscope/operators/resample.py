@@ -8,14 +8,16 @@ itself) explodes runs, and it does so per row, spread over all tasks.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagscope.functions.timecols import US, epoch_us, from_epoch_us, ts_lit
+from tagscope.functions.timecols import US, epoch_us, from_epoch_us, to_datetime, ts_lit
 from tagscope.operators import chunked
 from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags
-from tagscope.operators.pointintime import value_at
+from tagscope.operators.pointintime import last_sample
 
 
 def range_raw(history: DataFrame, start, end, tags=None, bounds: str = "[)") -> DataFrame:
@@ -25,11 +27,18 @@ def range_raw(history: DataFrame, start, end, tags=None, bounds: str = "[)") ->
 
 
 def seeded_rows(history: DataFrame, start, end, lookback_seconds: int | None = None) -> DataFrame:
-    """Closed-range rows plus the last value at or before each bound, stamped with the bound."""
+    """Closed-range rows plus the last value at or before each bound, stamped
+    with the bound.  Both seeds come from one conditional hash aggregate."""
     rows = filter_range(history, start, end, "[]").select("TagName", "DateTime", "Value")
-    seeds = [value_at(history, b, lookback_seconds=lookback_seconds)
-             .select("TagName", ts_lit(b).alias("DateTime"), "Value") for b in (start, end)]
-    return rows.unionByName(seeds[0]).unionByName(seeds[1])
+    since = None if lookback_seconds is None else to_datetime(start) - _dt.timedelta(seconds=lookback_seconds)
+    a = ts_lit(start)
+    seeds = filter_range(history, since, end, "[]").groupBy("TagName").agg(
+        *last_sample(F.col("DateTime") <= a, "s_"), *last_sample(None, "e_"))
+    pairs = F.array(F.struct(a.alias("DateTime"), F.col("s_DateTime").alias("_t"), F.col("s_Value").alias("Value")),
+                    F.struct(ts_lit(end).alias("DateTime"), F.col("e_DateTime").alias("_t"), F.col("e_Value").alias("Value")))
+    seed_rows = (seeds.select("TagName", F.inline(pairs)).filter(F.col("_t").isNotNull())
+                 .select("TagName", "DateTime", "Value"))
+    return rows.unionByName(seed_rows)
 
 
 def slot_of(step_seconds: int):
