@@ -568,3 +568,61 @@ def q_grafana_by_time(spark, sf_dir):
 def q_grafana_by_series(spark, sf_dir):
     b = bk.buckets(td.history(spark, sf_dir), FROM, TO, N_BUCKETS, "avg", mode="raw")
     return exp.grafana_by_series(b)
+
+
+# ---- more surface: labelled average, exports as rows, full tag list ----------------
+def _round2_sql(v: str) -> str:
+    return f"round({v} * {10 ** ROUND}.0) / {10 ** ROUND}.0"
+
+
+def _plain_sql(v: str) -> str:
+    """Shortest plain text of a double (values here are far from exponent range)."""
+    return f"regexp_replace(cast({v} as varchar), '\\.0$', '')"
+
+
+@register("group_avg_labelled_from", f"""
+with {V_HISTORY}
+select TagName, {ts(FROM)} as DateTime, round(avg(Value), {DIGITS}) as Value
+from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)} group by TagName""")
+def q_group_avg_labelled_from(spark, sf_dir):
+    return rounded(agg.average_labelled_from(td.history(spark, sf_dir), FROM, TO))
+
+
+@register("tag_list_all", f"""
+with {V_STATE}
+select distinct TagName from state_history where TagName like '%'""")
+def q_tag_list_all(spark, sf_dir):
+    return flt.tag_list(td.state_history(spark, sf_dir), "")
+
+
+@register("export_text_lines", f"""
+with {V_HISTORY}
+select concat_ws(chr(9), TagName, strftime(DateTime, '%Y-%m-%d %H:%M:%S'),
+                 replace({_plain_sql(_round2_sql('Value'))}, '.', ',')) as value
+from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}""")
+def q_export_text_lines(spark, sf_dir):
+    return exp.text_lines(rs.range_raw(td.history(spark, sf_dir), FROM, TO), ROUND)
+
+
+@register("export_json_records", f"""
+with {V_HISTORY}
+select TagName as name, strftime(DateTime, '%Y-%m-%d %H:%M:%S') as date,
+       case when isnan({_round2_sql('Value')}) then 0.0 else {_round2_sql('Value')} end as value
+from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}""")
+def q_export_json_records(spark, sf_dir):
+    return exp.json_records(rs.range_raw(td.history(spark, sf_dir), FROM, TO), ROUND)
+
+
+@register("export_xml_rows", f"""
+with {V_HISTORY}
+select '<row>' || chr(10) || '    <TagName>' || TagName || '</TagName>' || chr(10) ||
+       '    <DateTime>' || strftime(DateTime, '%Y-%m-%d %H:%M:%S') || '</DateTime>' || chr(10) ||
+       '    <Value>' || cast({_round2_sql('Value')} as varchar) || '</Value>' || chr(10) || '</row>' as value
+from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}""")
+def q_export_xml_rows(spark, sf_dir):
+    return exp.xml_rows(rs.range_raw(td.history(spark, sf_dir), FROM, TO), ROUND)
+
+
+@register("export_tag_time_map")
+def q_export_tag_time_map(spark, sf_dir):
+    return exp.tag_time_map(rs.range_raw(td.history(spark, sf_dir), FROM, TO), ROUND)

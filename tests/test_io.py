@@ -162,3 +162,16 @@ def test_day_partition_pruning(spark):
     want = td.history(spark, SF_SMALL).filter("DateTime >= '2024-01-05' and DateTime < '2024-01-06'").count()
     assert df.count() == want
     assert pit.value_at(h, "2024-01-10 00:00:00").count() == pit.value_at(td.history(spark, SF_SMALL), "2024-01-10 00:00:00").count()
+
+
+def test_streaming_running_load_mark(spark):
+    base = tempfile.mkdtemp(prefix="tagscope-mark-")
+    src = os.path.join(base, "in")
+    os.makedirs(src)
+    _gz(os.path.join(src, "hs_1.json.gz"), ['{"TagName":"A","DateTime":"2024-01-01 00:00:00","Value":1}',
+                                             '{"TagName":"A","DateTime":"2024-01-03 00:00:00","Value":2}', "junk"])
+    q = (ingest.running_load_mark(ingest.drop_stream(spark, src)).writeStream.outputMode("complete")
+         .format("memory").queryName("tagscope_mark").option("checkpointLocation", os.path.join(base, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    assert spark.sql("select LoadMark from tagscope_mark").first().LoadMark.day == 3
