@@ -22,6 +22,7 @@ from tagscope.operators import pointintime as pit
 from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags
 from tagscope.operators.resample import fill_runs
+from tagscope.operators.rollup import asof_source
 
 GROUPS = ("avg", "sum", "min", "max", "count", "dif", "avgm")
 MODES = ("raw", "filled", "seeded", "cyclic")
@@ -62,39 +63,41 @@ def aggregate_raw(history: DataFrame, start, end, group: str, tags=None, bounds:
 
 
 def filled_runs_weighted(history, start, end, seeded: bool, tags=None, step_seconds: int = 1,
-                         lookback_seconds: int | None = None) -> DataFrame:
-    runs = fill_runs(history, start, end, step_seconds, seeded, tags, lookback_seconds=lookback_seconds)
+                         lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
+    runs = fill_runs(history, start, end, step_seconds, seeded, tags, lookback_seconds=lookback_seconds,
+                     rollup=rollup)
     return runs.withColumn("w", F.col("next_slot") - F.col("slot"))
 
 
 def aggregate_filled(history: DataFrame, start, end, group: str, seeded: bool = False, tags=None,
-                     lookback_seconds: int | None = None) -> DataFrame:
+                     lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """AGG2 (unseeded) / AGG3 (seeded): aggregate of the 1-second filled series."""
     g = check_group(group)
-    r = filled_runs_weighted(history, start, end, seeded, tags, lookback_seconds=lookback_seconds)
+    r = filled_runs_weighted(history, start, end, seeded, tags, lookback_seconds=lookback_seconds, rollup=rollup)
     return _stamp(r.groupBy("TagName").agg(weighted_agg(g).alias("_v")), end, F.col("_v"))
 
 
 def cyclic_runs(history: DataFrame, start, end, step_ms: int = 60000, tags=None,
-                lookback_seconds: int | None = None, chunk_size: int = 4096) -> DataFrame:
+                lookback_seconds: int | None = None, chunk_size: int = 4096,
+                rollup: DataFrame | None = None) -> DataFrame:
     """Runs of the cyclic series: ``TagName, i, next_i, Value`` (instant numbers)."""
     step_us = step_ms * 1000
     span_us = epoch_us_value(end) - epoch_us_value(start)
     k = max(0, -(-span_us // step_us))
     last_at = pit.from_us_value(epoch_us_value(start) + max(k - 1, 0) * step_us)
     runs = pit.instant_runs(filter_tags(history, tags), start, k,
-                            lambda x: pit._first_instant_step(x, step_us), last_at, lookback_seconds)
+                            lambda x: pit._first_instant_step(x, step_us), last_at, lookback_seconds, rollup)
     runs = runs.select("TagName", "i", "Value")
     nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
     return nb.select("TagName", "i", F.coalesce("next_i", F.lit(k).cast("long")).alias("next_i"), "Value")
 
 
 def aggregate_cyclic(history: DataFrame, start, end, group: str, step_ms: int = 60000, tags=None,
-                     lookback_seconds: int | None = None) -> DataFrame:
+                     lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """AGG4 / AGG7 (MS SQL): aggregate of the cyclic series; ``count`` is hours
     (number of cyclic values x step / 1 h, i.e. count/60.0 at one minute)."""
     g = check_group(group)
-    r = cyclic_runs(history, start, end, step_ms, tags, lookback_seconds).withColumn(
+    r = cyclic_runs(history, start, end, step_ms, tags, lookback_seconds, rollup=rollup).withColumn(
         "w", F.col("next_i") - F.col("i"))
     if g == "count":
         v = weighted_agg("count") * F.lit(step_ms / 3_600_000)
@@ -103,7 +106,8 @@ def aggregate_cyclic(history: DataFrame, start, end, group: str, step_ms: int =
     return _stamp(r.groupBy("TagName").agg(v.alias("_v")), end, F.col("_v"))
 
 
-def aggregate_dif(history: DataFrame, start, end, tags=None, interpolate: bool = False) -> DataFrame:
+def aggregate_dif(history: DataFrame, start, end, tags=None, interpolate: bool = False,
+                  rollup: DataFrame | None = None) -> DataFrame:
     """AGG5: value at ``to`` minus value at ``from`` (last at or before each);
     AGG6 with ``interpolate``: the same with linear interpolation at both ends.
     NULL when a side is missing."""
@@ -111,7 +115,7 @@ def aggregate_dif(history: DataFrame, start, end, tags=None, interpolate: bool =
     a, b = ts_lit(start), ts_lit(end)
     t = F.col("DateTime")
     if not interpolate:
-        g = filter_range(h, None, end, "[]").groupBy("TagName").agg(
+        g = asof_source(h, start, end, rollup).groupBy("TagName").agg(
             *pit.last_sample(t <= a, "f_"), *pit.last_sample(None, "t_"))
         v = F.col("t_Value") - F.col("f_Value")
         g = g.withColumn("_v", F.when(F.col("f_DateTime").isNotNull(), v))
@@ -127,7 +131,7 @@ def aggregate_dif(history: DataFrame, start, end, tags=None, interpolate: bool =
 
 
 def aggregate(history: DataFrame, start, end, group: str, mode: str = "filled", tags=None,
-              lookback_seconds: int | None = None) -> DataFrame:
+              lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """AGG12: grouped value per tag for any group name and series mode.
 
     ``dif`` is the last-value difference except in ``raw`` mode (interpolated,
@@ -137,26 +141,28 @@ def aggregate(history: DataFrame, start, end, group: str, mode: str = "filled",
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if g == "dif":
-        return aggregate_dif(history, start, end, tags, interpolate=(mode == "raw"))
+        return aggregate_dif(history, start, end, tags, interpolate=(mode == "raw"), rollup=rollup)
     if g == "avgm":
-        return average_of_series(history, start, end, mode, tags, lookback_seconds)
+        return average_of_series(history, start, end, mode, tags, lookback_seconds, rollup)
     if mode == "raw":
         return aggregate_raw(history, start, end, g, tags)
     if mode == "cyclic":
-        return aggregate_cyclic(history, start, end, g, tags=tags, lookback_seconds=lookback_seconds)
+        return aggregate_cyclic(history, start, end, g, tags=tags, lookback_seconds=lookback_seconds, rollup=rollup)
     return aggregate_filled(history, start, end, g, seeded=(mode == "seeded"), tags=tags,
-                            lookback_seconds=lookback_seconds)
+                            lookback_seconds=lookback_seconds, rollup=rollup)
 
 
 def average_of_series(history: DataFrame, start, end, mode: str = "filled", tags=None,
-                      lookback_seconds: int | None = None) -> DataFrame:
+                      lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """AGG8 ``avgm``: arithmetic mean of the points the range retrieval returns
     (ClickHouse: the seeded 1-second series; MS SQL: cyclic; MySQL: raw)."""
     if mode == "raw":
         return aggregate_raw(history, start, end, "avg", tags)
     if mode == "cyclic":
-        return aggregate_cyclic(history, start, end, "avg", tags=tags, lookback_seconds=lookback_seconds)
-    return aggregate_filled(history, start, end, "avg", seeded=True, tags=tags, lookback_seconds=lookback_seconds)
+        return aggregate_cyclic(history, start, end, "avg", tags=tags, lookback_seconds=lookback_seconds,
+                                rollup=rollup)
+    return aggregate_filled(history, start, end, "avg", seeded=True, tags=tags, lookback_seconds=lookback_seconds,
+                            rollup=rollup)
 
 
 def average_labelled_from(history: DataFrame, start, end, tags=None) -> DataFrame:

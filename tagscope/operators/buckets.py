@@ -85,12 +85,12 @@ def buckets_filled(history: DataFrame, start, end, n: int, group: str, tags=None
 
 
 def buckets_dif(history: DataFrame, start, end, n: int, tags=None, lookback_seconds: int | None = None,
-                chunk_size: int = 4096) -> DataFrame:
+                chunk_size: int = 4096, rollup: DataFrame | None = None) -> DataFrame:
     """AGG10 with ``dif``: as-of value at each right edge minus at the left edge."""
     _check_n(n)
     T = seconds_between(start, end)
     runs = pit.instant_runs(filter_tags(history, tags), start, n + 1,
-                            lambda x: pit._first_instant_even(x, T, n), end, lookback_seconds)
+                            lambda x: pit._first_instant_even(x, T, n), end, lookback_seconds, rollup)
     g = pit.instant_values(runs, n + 1, leading_nulls=True, chunk_size=chunk_size).select(
         "TagName", "i", F.col("Value").alias("v"))
     p = neighbour(g, ["TagName"], "i", ["v"], direction=-1, chunk=index_chunk("i", chunk_size))
@@ -98,7 +98,8 @@ def buckets_dif(history: DataFrame, start, end, n: int, tags=None, lookback_seco
     return _label(p, start, T, n, F.col("v") - F.col("prev_v"))
 
 
-def buckets_avgm(history: DataFrame, start, end, n: int, tags=None, lookback_seconds: int | None = None) -> DataFrame:
+def buckets_avgm(history: DataFrame, start, end, n: int, tags=None, lookback_seconds: int | None = None,
+                 rollup: DataFrame | None = None) -> DataFrame:
     """AGG11: per bucket, mean of the seeded 1-second series strictly inside ``(e(i-1), e(i))``.
 
     Runs stay unexploded: each run is split only over the buckets it overlaps
@@ -107,7 +108,7 @@ def buckets_avgm(history: DataFrame, start, end, n: int, tags=None, lookback_sec
     _check_n(n)
     T = seconds_between(start, end)
     s0 = epoch_us_value(start) // US
-    runs = fill_runs(history, start, end, 1, seeded=True, tags=tags, lookback_seconds=lookback_seconds)
+    runs = fill_runs(history, start, end, 1, seeded=True, tags=tags, lookback_seconds=lookback_seconds, rollup=rollup)
     r = runs.select("TagName", "Value", (F.col("slot") - F.lit(s0)).alias("ys"),
                     (F.col("next_slot") - F.lit(s0) - 1).alias("ye"))
     if T == 0:
@@ -127,13 +128,14 @@ def buckets_avgm(history: DataFrame, start, end, n: int, tags=None, lookback_sec
     return _label(agg, start, T, n, F.col("_v"))
 
 
-def buckets(history: DataFrame, start, end, n: int, group: str, mode: str = "filled", tags=None) -> DataFrame:
+def buckets(history: DataFrame, start, end, n: int, group: str, mode: str = "filled", tags=None,
+            rollup: DataFrame | None = None) -> DataFrame:
     """Dispatch for ``count`` + ``group`` requests (GetTagCountGroup)."""
     g = check_group(group)
     if g == "avgm":
-        return buckets_avgm(history, start, end, n, tags)
+        return buckets_avgm(history, start, end, n, tags, rollup=rollup)
     if g == "dif":
-        return buckets_dif(history, start, end, n, tags)
+        return buckets_dif(history, start, end, n, tags, rollup=rollup)
     if mode == "raw":
         return buckets_raw(history, start, end, n, g, tags, "[)")
     if mode == "closed_raw":

@@ -18,6 +18,7 @@ from tagscope.functions.timecols import (
     US, add_seconds, epoch_us, epoch_us_value, from_epoch_us, seconds_between, to_datetime, ts_lit)
 from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags, guard_after_mark, load_mark
+from tagscope.operators.rollup import asof_source
 
 
 def last_sample(cond: Column | None = None, prefix: str = "") -> list[Column]:
@@ -52,15 +53,15 @@ def _since(start, lookback_seconds):
 
 
 def value_at(history: DataFrame, at, tags=None, lookback_seconds: int | None = None,
-             guard: bool = False, mark: DataFrame | None = None) -> DataFrame:
+             guard: bool = False, mark: DataFrame | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """PIT1/PIT4: last sample at or before ``at`` per tag.
 
     Returns ``TagName, DateTime`` (the sample's own time), ``Value``.  With
     ``guard`` the value is NULL when ``at`` is past the load mark (FLT5).
-    ``lookback_seconds`` bounds the search (prunes old partitions).
+    ``lookback_seconds`` bounds the search (prunes old partitions); a daily
+    ``rollup`` (see ``operators.rollup``) makes the search exact and bounded.
     """
-    h = filter_tags(history, tags)
-    src = filter_range(h, _since(at, lookback_seconds), at, "[]")
+    src = asof_source(history, at, at, rollup, lookback_seconds, tags)
     last = src.groupBy("TagName").agg(*last_sample())
     value = F.col("Value")
     if guard:
@@ -122,12 +123,12 @@ def _first_instant_step(x_us: Column, step_us: int) -> Column:
 
 
 def instant_runs(history: DataFrame, start, n_instants: int, first_instant: Column,
-                 last_instant_at, lookback_seconds: int | None = None) -> DataFrame:
+                 last_instant_at, lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Samples reduced to the last one per (tag, first instant it feeds).
 
     Returns ``TagName, i, DateTime, Value`` for non-empty i only.
     """
-    src = filter_range(history, _since(start, lookback_seconds), last_instant_at, "[]")
+    src = asof_source(history, start, last_instant_at, rollup, lookback_seconds)
     x_us = epoch_us("DateTime") - F.lit(epoch_us_value(start))
     b = src.withColumn("i", first_instant(x_us)).filter(F.col("i").isNotNull() & (F.col("i") < n_instants))
     return b.groupBy("TagName", "i").agg(*last_sample())
@@ -153,7 +154,8 @@ def instant_values(runs: DataFrame, n_instants: int, leading_nulls: bool, chunk_
 
 
 def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
-                       lookback_seconds: int | None = None, chunk_size: int = 4096) -> DataFrame:
+                       lookback_seconds: int | None = None, chunk_size: int = 4096,
+                       rollup: DataFrame | None = None) -> DataFrame:
     """PIT5: as-of value at N evenly spaced instants ``start + (i*T) div N`` s.
 
     One row per tag and instant (``TagName, DateTime, Value``); Value is NULL
@@ -167,13 +169,14 @@ def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
     off, k = even_offsets(T, n)
     last_at = to_datetime(start) + _dt.timedelta(seconds=(max(n - 1, 0) * T) // n)
     runs = instant_runs(filter_tags(history, tags), start, k, lambda x: _first_instant_even(x, T, n),
-                        last_at, lookback_seconds)
+                        last_at, lookback_seconds, rollup)
     g = instant_values(runs, k, leading_nulls=True, chunk_size=chunk_size)
     return g.select("TagName", add_seconds(start, off(F.col("i"))).alias("DateTime"), "Value")
 
 
 def values_cyclic(history: DataFrame, start, end, step_ms: int = 60000, tags=None,
-                  lookback_seconds: int | None = None, chunk_size: int = 4096) -> DataFrame:
+                  lookback_seconds: int | None = None, chunk_size: int = 4096,
+                  rollup: DataFrame | None = None) -> DataFrame:
     """RNG3: cyclic retrieval, one held value every ``step_ms`` in ``[start, end)``.
 
     Instants before a tag's first sample are dropped.
@@ -185,7 +188,7 @@ def values_cyclic(history: DataFrame, start, end, step_ms: int = 60000, tags=Non
         return history.sparkSession.createDataFrame([], "TagName string, DateTime timestamp_ntz, Value double")
     last_at = from_us_value(epoch_us_value(start) + (k - 1) * step_us)
     runs = instant_runs(filter_tags(history, tags), start, k, lambda x: _first_instant_step(x, step_us),
-                        last_at, lookback_seconds)
+                        last_at, lookback_seconds, rollup)
     g = instant_values(runs, k, leading_nulls=False, chunk_size=chunk_size)
     t = from_epoch_us(F.lit(epoch_us_value(start)) + F.col("i") * F.lit(step_us))
     return g.select("TagName", t.alias("DateTime"), "Value")

@@ -8,16 +8,15 @@ itself) explodes runs, and it does so per row, spread over all tasks.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagscope.functions.timecols import US, epoch_us, from_epoch_us, to_datetime, ts_lit
+from tagscope.functions.timecols import US, epoch_us, from_epoch_us, ts_lit
 from tagscope.operators import chunked
 from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags
 from tagscope.operators.pointintime import last_sample
+from tagscope.operators.rollup import asof_source
 
 
 def range_raw(history: DataFrame, start, end, tags=None, bounds: str = "[)") -> DataFrame:
@@ -26,13 +25,14 @@ def range_raw(history: DataFrame, start, end, tags=None, bounds: str = "[)") ->
     return h.select("TagName", "DateTime", "Value")
 
 
-def seeded_rows(history: DataFrame, start, end, lookback_seconds: int | None = None) -> DataFrame:
+def seeded_rows(history: DataFrame, start, end, lookback_seconds: int | None = None,
+                rollup: DataFrame | None = None) -> DataFrame:
     """Closed-range rows plus the last value at or before each bound, stamped
-    with the bound.  Both seeds come from one conditional hash aggregate."""
+    with the bound.  Both seeds come from one conditional hash aggregate over
+    the as-of source (bounded when a daily rollup is given)."""
     rows = filter_range(history, start, end, "[]").select("TagName", "DateTime", "Value")
-    since = None if lookback_seconds is None else to_datetime(start) - _dt.timedelta(seconds=lookback_seconds)
     a = ts_lit(start)
-    seeds = filter_range(history, since, end, "[]").groupBy("TagName").agg(
+    seeds = asof_source(history, start, end, rollup, lookback_seconds).groupBy("TagName").agg(
         *last_sample(F.col("DateTime") <= a, "s_"), *last_sample(None, "e_"))
     pairs = F.array(F.struct(a.alias("DateTime"), F.col("s_DateTime").alias("_t"), F.col("s_Value").alias("Value")),
                     F.struct(ts_lit(end).alias("DateTime"), F.col("e_DateTime").alias("_t"), F.col("e_Value").alias("Value")))
@@ -47,7 +47,7 @@ def slot_of(step_seconds: int):
 
 def fill_runs(history: DataFrame, start, end, step_seconds: int = 1, seeded: bool = True, tags=None,
               keys=("TagName",), lookback_seconds: int | None = None, rows: DataFrame | None = None,
-              chunk_seconds: int | None = None) -> DataFrame:
+              chunk_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Runs of the step-filled series: ``keys..., slot, next_slot, Value``.
 
     Each present slot holds the mean of its samples and lasts until the next
@@ -57,7 +57,7 @@ def fill_runs(history: DataFrame, start, end, step_seconds: int = 1, seeded: boo
     keys = list(keys)
     if rows is None:
         h = filter_tags(history, tags)
-        rows = seeded_rows(h, start, end, lookback_seconds) if seeded else \
+        rows = seeded_rows(h, start, end, lookback_seconds, rollup) if seeded else \
             filter_range(h, start, end, "[]").select("TagName", "DateTime", "Value")
     chunk_seconds = chunk_seconds or chunked.chunk_seconds()
     per_slot = rows.groupBy(*keys, slot_of(step_seconds).alias("slot")).agg(F.avg("Value").alias("Value"))
@@ -67,9 +67,10 @@ def fill_runs(history: DataFrame, start, end, step_seconds: int = 1, seeded: boo
 
 
 def resample(history: DataFrame, start, end, step_seconds: int = 1, seeded: bool = True, tags=None,
-             lookback_seconds: int | None = None) -> DataFrame:
+             lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """RNG2 (seeded) / RNG4 (unseeded): mean per step, every missing step filled
     with the previous value, from the first to the last present step."""
-    runs = fill_runs(history, start, end, step_seconds, seeded, tags, lookback_seconds=lookback_seconds)
+    runs = fill_runs(history, start, end, step_seconds, seeded, tags, lookback_seconds=lookback_seconds,
+                     rollup=rollup)
     s = runs.select("TagName", "Value", F.explode(F.sequence("slot", F.col("next_slot") - 1)).alias("s"))
     return s.select("TagName", from_epoch_us(F.col("s") * F.lit(step_seconds * US)).alias("DateTime"), "Value")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tagscope.operators.rollup import daily_last
+
 # File-name globs and record layouts of the drops.
 HISTORY_GLOB = "{result,hs}_*.json.gz"
 TRUCK_GLOB = "av_*.json.gz"
@@ -71,6 +73,10 @@ def _writer(sink_dir: str, reject_dir: str, kind: str):
             (good.agg(F.max("DateTime").alias("LoadMark")).withColumn("batch", F.lit(batch_id))
                  .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                  .partitionBy("batch").parquet(mark_dir(sink_dir)))
+            # the daily last-sample rollup of this batch (bounded as-of lookups)
+            (daily_last(good).withColumn("batch", F.lit(batch_id))
+                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy("batch").parquet(rollup_dir(sink_dir)))
         (rejects.withColumn("batch", F.lit(batch_id))
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("batch").json(reject_dir))
@@ -90,6 +96,16 @@ def start_ingest(spark: SparkSession, source_dir: str, sink_dir: str, reject_dir
     return w.start()
 
 
+def rollup_dir(sink_dir: str) -> str:
+    """Where the per-batch daily last-sample rollups live."""
+    return sink_dir.rstrip("/") + "_daily_last"
+
+
+def read_rollup(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The daily rollup of everything ingested (pass as ``rollup=`` to as-of operators)."""
+    return spark.read.parquet(rollup_dir(sink_dir)).select("TagName", "day", "DateTime", "Value")
+
+
 def mark_dir(sink_dir: str) -> str:
     """Where the per-batch load marks live (beside the sink, not inside it)."""
     return sink_dir.rstrip("/") + "_loadmark"

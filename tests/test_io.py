@@ -142,6 +142,11 @@ def test_streaming_ingest(spark):
     q = ingest.start_ingest(spark, src, sink, rej, ck)
     q.awaitTermination(120)
     assert ingest.read_ingested(spark, sink).count() == 4
+    from tagscope.operators import pointintime as pit
+    h, r = ingest.read_ingested(spark, sink), ingest.read_rollup(spark, sink)
+    assert r.count() == 3    # one row per (batch, tag, day)
+    assert sorted(map(tuple, pit.value_at(h, "2024-01-02 00:00:00", rollup=r).collect())) == \
+        sorted(map(tuple, pit.value_at(h, "2024-01-02 00:00:00").collect()))
     # truck-scale drops go through the same job with their own schema
     tsink = os.path.join(base, "trucks")
     q = ingest.start_ingest(spark, src, tsink, os.path.join(base, "trej"), os.path.join(base, "tck"), kind="truck")

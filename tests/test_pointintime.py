@@ -107,3 +107,25 @@ def test_duplicates_collapse(spark):
     h = hist(spark, [("A", "2024-01-01 00:00:00", 1), ("A", "2024-01-01 00:00:00", 3)])
     r = pit.value_at(pit.collapse_duplicates(h), "2024-01-01 00:00:01").collect()
     assert r[0].Value == 2.0
+
+
+def test_rollup_gives_identical_asof(spark):
+    from tagscope.operators import aggregate as agg
+    from tagscope.operators import buckets as bk
+    from tagscope.operators import resample as rs
+    from tagscope.operators.rollup import daily_last
+    from tagscope.sources import testdata as td
+    from tests.conftest import SF_SMALL
+    h = td.history(spark, SF_SMALL)
+    r = daily_last(h).unionByName(daily_last(h))    # duplicate rollup rows are harmless
+    def same(a, b):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    for at in ["2024-01-10 00:00:00", "2024-01-10 13:17:00", "2024-01-01 00:00:00"]:
+        same(pit.value_at(h, at, rollup=r), pit.value_at(h, at))
+    a, b = "2024-01-12 06:00:00", "2024-01-14 18:30:00"
+    same(rs.resample(h, a, b, 600, rollup=r), rs.resample(h, a, b, 600))
+    same(pit.values_at_instants(h, a, b, 50, rollup=r), pit.values_at_instants(h, a, b, 50))
+    same(pit.values_cyclic(h, a, b, 3600000, rollup=r), pit.values_cyclic(h, a, b, 3600000))
+    same(agg.aggregate(h, a, b, "dif", rollup=r), agg.aggregate(h, a, b, "dif"))
+    same(agg.aggregate(h, a, b, "avgm", rollup=r), agg.aggregate(h, a, b, "avgm"))
+    same(bk.buckets(h, a, b, 5, "dif", rollup=r), bk.buckets(h, a, b, 5, "dif"))
