@@ -20,6 +20,15 @@ from tagscope.functions.timecols import US, epoch_us
 DEFAULT_CHUNK_SECONDS = 3600
 CK = "_ck"
 
+# Adaptive chunking (off when None): each key gets its own chunk width so its
+# densest hour holds about this many rows per chunk.  The per-key width table
+# is broadcast only when it has at most MAX_BROADCAST_KEYS rows (checked with a
+# count); beyond that the fixed width is used.
+ADAPTIVE_TARGET_ROWS: int | None = None
+MAX_BROADCAST_KEYS = 2_000_000
+MAX_CHUNK_SECONDS = 86400
+CONF_TARGET_ROWS = "spark.tagscope.chunkTargetRows"
+
 
 def chunk_seconds() -> int:
     """Current chunk width (module setting, read at plan-build time)."""
@@ -42,6 +51,36 @@ def _default_chunk(order: Sequence[str], chunk: Column | None) -> Column:
     return chunk if chunk is not None else time_chunk(order[0])
 
 
+def adaptive_target(df: DataFrame) -> int | None:
+    """Rows per chunk for adaptive chunking: the session setting
+    ``spark.tagscope.chunkTargetRows`` wins over the module default."""
+    v = df.sparkSession.conf.get(CONF_TARGET_ROWS, None)
+    return int(v) if v else ADAPTIVE_TARGET_ROWS
+
+
+def chunk_widths(df: DataFrame, keys: Sequence[str], order: str, target_rows: int) -> DataFrame:
+    """Per key: a chunk width (s) putting ~``target_rows`` of its densest hour in one chunk."""
+    hour = F.floor(epoch_us(order) / F.lit(3600 * US))
+    peak = df.groupBy(*keys, hour.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
+        F.max("_n").alias("_peak"))
+    w = F.least(F.lit(MAX_CHUNK_SECONDS).cast("long"),
+                F.greatest(F.lit(1).cast("long"), F.floor(F.lit(3600.0 * target_rows) / F.col("_peak")).cast("long")))
+    return peak.select(*keys, w.alias("_w"))
+
+
+def with_chunk(df: DataFrame, keys: Sequence[str], order: str, chunk: Column | None = None) -> DataFrame:
+    """``df`` plus the chunk column: explicit, adaptive per key, or fixed width."""
+    target = adaptive_target(df)
+    if chunk is not None or target is None:
+        return df.withColumn(CK, _default_chunk([order], chunk))
+    widths = chunk_widths(df, keys, order, target)
+    if widths.count() > MAX_BROADCAST_KEYS:          # size check before broadcasting
+        return df.withColumn(CK, time_chunk(order))
+    j = df.join(F.broadcast(widths), list(keys), "left")
+    ck = F.floor(epoch_us(order) / (F.coalesce(F.col("_w"), F.lit(DEFAULT_CHUNK_SECONDS)) * F.lit(US))).cast("long")
+    return j.withColumn(CK, ck).drop("_w")
+
+
 def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
               direction: int = -1, chunk: Column | None = None, prefix: str | None = None) -> DataFrame:
     """Add, per row, the values of ``cols`` on the previous (``direction=-1``)
@@ -54,7 +93,7 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str
     """
     keys, cols = list(keys), list(cols)
     prefix = prefix if prefix is not None else ("prev_" if direction < 0 else "next_")
-    d = df.withColumn(CK, _default_chunk([order], chunk))
+    d = with_chunk(df, keys, order, chunk)
     pick = F.max_by if direction < 0 else F.min_by
     shift = F.lag if direction < 0 else F.lead
     edges = d.groupBy(*keys, CK).agg(*[pick(F.col(c), F.col(order)).alias(f"_e{i}") for i, c in enumerate(cols)])
@@ -72,7 +111,7 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[
     """Rows where ``present`` is false take ``cols`` from the last earlier row
     of their key where it is true (NULL when there is none)."""
     keys, cols = list(keys), list(cols)
-    d = df.withColumn(CK, _default_chunk([order], chunk))
+    d = with_chunk(df, keys, order, chunk)
     o = F.when(F.col(present), F.col(order))
     edges = d.groupBy(*keys, CK).agg(F.max(o).alias("_eo"),
                                      *[F.max_by(F.col(c), o).alias(f"_e{i}") for i, c in enumerate(cols)])
@@ -94,7 +133,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: s
                 chunk: Column | None = None) -> DataFrame:
     """Cumulative sum of ``col`` per key in ``order`` (NULLs count as 0)."""
     keys, order = list(keys), list(order)
-    d = df.withColumn(CK, _default_chunk(order, chunk))
+    d = with_chunk(df, keys, order[0], chunk) if len(order) == 1 else df.withColumn(CK, _default_chunk(order, chunk))
     totals = d.groupBy(*keys, CK).agg(F.sum(col).alias("_tot"))
     before = Window.partitionBy(*keys).orderBy(CK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, CK, F.coalesce(F.sum("_tot").over(before), F.lit(0.0)).alias("_carry"))
@@ -115,7 +154,7 @@ def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
     keys, order = list(keys), list(order)
     if n < 0:
         n = 0
-    d = df.withColumn(CK, _default_chunk(order, chunk))
+    d = with_chunk(df, keys, order[0], chunk) if len(order) == 1 else df.withColumn(CK, _default_chunk(order, chunk))
     counts = d.groupBy(*keys, CK).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(CK).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, CK, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -75,3 +75,23 @@ def test_neighbour_next(spark, small_chunks):
     assert len(m) == len(pdf)
     assert ((m.next_DateTime == m.nxt) | (m.next_DateTime.isna() & m.nxt.isna())).all()
     assert isinstance(pd.__version__, str)
+
+
+@pytest.mark.parametrize("max_keys", [2_000_000, 0])
+def test_adaptive_chunks_equal_plain_window(spark, monkeypatch, max_keys):
+    # tiny target: dense tags get 1-second-scale chunks, sparse ones wide chunks;
+    # max_keys=0 exercises the fallback when the width table is too large to broadcast
+    monkeypatch.setattr(chunked, "ADAPTIVE_TARGET_ROWS", 3)
+    monkeypatch.setattr(chunked, "MAX_BROADCAST_KEYS", max_keys)
+    h = td.history(spark, SF_SMALL)
+    got = ev.with_previous(h).select("TagName", "DateTime", "prev_Value")
+    w = Window.partitionBy("TagName").orderBy("DateTime")
+    want = h.select("TagName", "DateTime", F.lag("Value").over(w).alias("prev_Value"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    rs = chunked.running_sum(h, ["TagName"], ["DateTime"], "Value", "t").toPandas()
+    pdf = h.toPandas().sort_values(["TagName", "DateTime"])
+    pdf["t"] = pdf.groupby("TagName")["Value"].cumsum()
+    m = rs.merge(pdf, on=["TagName", "DateTime"])
+    assert len(m) == len(pdf) and ((m.t_x - m.t_y).abs() < 1e-6).all()
+    widths = {r.TagName: r._w for r in chunked.chunk_widths(h, ["TagName"], "DateTime", 3).collect()}
+    assert min(widths.values()) >= 1 and max(widths.values()) <= chunked.MAX_CHUNK_SECONDS
