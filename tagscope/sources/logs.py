@@ -33,8 +33,10 @@ def parse_log_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     msg_pos = F.instr(line, "msg=")
     staged = lines.filter(line != "").select(
         *rest, line.alias("_line"),
-        F.json_object_keys(line).isNotNull().alias("_is_json"),
-        F.from_json(line, LOG_JSON_SCHEMA).alias("_j"),
+        # only lines opening with "{" can hold a JSON object: skip the parser otherwise
+        F.coalesce(F.when(F.ltrim(line).startswith("{"), F.json_object_keys(line).isNotNull()),
+                   F.lit(False)).alias("_is_json"),
+        F.when(F.ltrim(line).startswith("{"), F.from_json(line, LOG_JSON_SCHEMA)).alias("_j"),
         F.when(msg_pos > 0, F.expr(f"substring({col}, instr({col}, 'msg=') + 4)")).alias("_after"))
     after = F.col("_after")
     quoted = (F.length(after) >= 2) & after.startswith('"') & after.endswith('"')
