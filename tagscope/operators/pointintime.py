@@ -103,10 +103,9 @@ def value_interpolated(history: DataFrame, at, tags=None, lookback_seconds: int
             .select("TagName", a.alias("DateTime"), v.alias("Value")))
 
 
-def even_offsets(total_seconds: int, n: int, include_end: bool = False):
-    """Offsets (s) of PIT5 instants ``(i*T) div N``; with ``include_end`` also i=N."""
-    k = n + 1 if include_end else n
-    return lambda i: F.floor(i * F.lit(total_seconds) / F.lit(n)).cast("long"), k
+def even_offset(i: Column, total_seconds: int, n: int) -> Column:
+    """Offset (s) of instant ``i``: ``(i*T) div N``."""
+    return F.floor(i * F.lit(total_seconds) / F.lit(n)).cast("long")
 
 
 def _first_instant_even(x_us: Column, total_seconds: int, n: int) -> Column:
@@ -155,23 +154,29 @@ def instant_values(runs: DataFrame, n_instants: int, leading_nulls: bool, chunk_
 
 def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
                        lookback_seconds: int | None = None, chunk_size: int = 4096,
-                       rollup: DataFrame | None = None) -> DataFrame:
+                       rollup: DataFrame | None = None, guard: bool = False,
+                       mark: DataFrame | None = None) -> DataFrame:
     """PIT5: as-of value at N evenly spaced instants ``start + (i*T) div N`` s.
 
     One row per tag and instant (``TagName, DateTime, Value``); Value is NULL
-    before a tag's first sample.  N < 1 is an error, as in the reference.
+    before a tag's first sample and, with ``guard``, for instants after the
+    load mark (FLT5 per instant).  N < 1 is an error, as in the reference.
     """
     if n is None or n == 0:
         raise ValueError("count is empty")
     if n < 1:
         raise ValueError("count is less than one")
     T = seconds_between(start, end)
-    off, k = even_offsets(T, n)
-    last_at = to_datetime(start) + _dt.timedelta(seconds=(max(n - 1, 0) * T) // n)
-    runs = instant_runs(filter_tags(history, tags), start, k, lambda x: _first_instant_even(x, T, n),
+    last_at = to_datetime(start) + _dt.timedelta(seconds=((n - 1) * T) // n)
+    runs = instant_runs(filter_tags(history, tags), start, n, lambda x: _first_instant_even(x, T, n),
                         last_at, lookback_seconds, rollup)
-    g = instant_values(runs, k, leading_nulls=True, chunk_size=chunk_size)
-    return g.select("TagName", add_seconds(start, off(F.col("i"))).alias("DateTime"), "Value")
+    g = instant_values(runs, n, leading_nulls=True, chunk_size=chunk_size)
+    t = add_seconds(start, even_offset(F.col("i"), T, n))
+    value = F.col("Value")
+    if guard:
+        m = (mark if mark is not None else load_mark(history))
+        value = F.when(t > m.select(F.max(m.columns[0])).scalar(), F.lit(None).cast("double")).otherwise(value)
+    return g.select("TagName", t.alias("DateTime"), value.alias("Value"))
 
 
 def values_cyclic(history: DataFrame, start, end, step_ms: int = 60000, tags=None,

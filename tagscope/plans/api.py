@@ -46,7 +46,7 @@ def get_tag(spark: SparkSession, history: DataFrame, tag=None, date=None, start=
     if count is not None and group is not None:
         return bk.buckets(history, a, b, int(count), group, mode, tags)
     if count is not None:
-        return pit.values_at_instants(history, a, b, int(count), tags)
+        return pit.values_at_instants(history, a, b, int(count), tags, guard=guard)
     if group is not None:
         return agg.aggregate(history, a, b, group, mode, tags)
     if mode == "raw":

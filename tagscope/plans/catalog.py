@@ -626,3 +626,16 @@ def q_export_xml_rows(spark, sf_dir):
 @register("export_tag_time_map")
 def q_export_tag_time_map(spark, sf_dir):
     return exp.tag_time_map(rs.range_raw(td.history(spark, sf_dir), FROM, TO), ROUND)
+
+
+@register("values_n_instants_guarded", f"""
+with {V_HISTORY},
+tg as (select distinct TagName from history
+       where DateTime <= {ts(FROM)} + to_seconds(({N_INSTANTS} - 1) * (epoch({ts(TO)}) - epoch({ts(FROM)}))::bigint // {N_INSTANTS})),
+inst as (select TagName, {ts(FROM)} + to_seconds((i * (epoch({ts(TO)}) - epoch({ts(FROM)}))::bigint) // {N_INSTANTS}) as DateTime
+         from tg, range(0, {N_INSTANTS}) r(i))
+select inst.TagName, inst.DateTime,
+       case when inst.DateTime > (select max(DateTime) from history) then null else h.Value end as Value
+from inst asof left join history h on h.TagName = inst.TagName and h.DateTime <= inst.DateTime""")
+def q_values_n_instants_guarded(spark, sf_dir):
+    return pit.values_at_instants(td.history(spark, sf_dir), FROM, TO, N_INSTANTS, guard=True)
