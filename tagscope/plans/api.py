@@ -35,25 +35,28 @@ def parse_request_time(spark: SparkSession, value) -> _dt.datetime:
 
 
 def get_tag(spark: SparkSession, history: DataFrame, tag=None, date=None, start=None, end=None,
-            count=None, group=None, mode: str = "filled", guard: bool = True) -> DataFrame:
-    """``/get/tag/``: value at a date, range, grouped value, N instants or N buckets."""
+            count=None, group=None, mode: str = "filled", guard: bool = True,
+            rollup: DataFrame | None = None) -> DataFrame:
+    """``/get/tag/``: value at a date, range, grouped value, N instants or N buckets.
+
+    ``rollup`` (a daily last-sample table) bounds every as-of search."""
     tags = flt.split_tags(tag, strict=group is not None) if tag is not None else None
     if date is not None:
-        return pit.value_at(history, parse_request_time(spark, date), tags, guard=guard)
+        return pit.value_at(history, parse_request_time(spark, date), tags, guard=guard, rollup=rollup)
     if start is None or end is None:
         raise ValueError("need date, or from and to")
     a, b = parse_request_time(spark, start), parse_request_time(spark, end)
     if count is not None and group is not None:
-        return bk.buckets(history, a, b, int(count), group, mode, tags)
+        return bk.buckets(history, a, b, int(count), group, mode, tags, rollup=rollup)
     if count is not None:
-        return pit.values_at_instants(history, a, b, int(count), tags, guard=guard)
+        return pit.values_at_instants(history, a, b, int(count), tags, guard=guard, rollup=rollup)
     if group is not None:
-        return agg.aggregate(history, a, b, group, mode, tags)
+        return agg.aggregate(history, a, b, group, mode, tags, rollup=rollup)
     if mode == "raw":
         return rs.range_raw(history, a, b, tags)
     if mode == "cyclic":
-        return pit.values_cyclic(history, a, b, tags=tags)
-    return rs.resample(history, a, b, 1, seeded=(mode != "gapfill"), tags=tags)
+        return pit.values_cyclic(history, a, b, tags=tags, rollup=rollup)
+    return rs.resample(history, a, b, 1, seeded=(mode != "gapfill"), tags=tags, rollup=rollup)
 
 
 def get_tag_list(tag_table: DataFrame, like: str | None = None, page: int | None = None,

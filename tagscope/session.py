@@ -63,3 +63,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for a written table."""
     return os.path.join(checkpoint_dir(spark).rstrip("/"), name)
+
+
+def materialize(df, name: str, mode: str = "overwrite"):
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it
+    back: cuts lineage, so a lost executor later costs a re-read, not a
+    recomputation of everything upstream."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -60,6 +60,14 @@ def json_records(df: DataFrame, r: int | None = DEFAULT_ROUND) -> DataFrame:
     return df.select(F.col("TagName").alias("name"), _date().alias("date"), v.alias("value"))
 
 
+def json_table_rows(df: DataFrame) -> DataFrame:
+    """EXP2 for generic (template) results: one JSON object per row, cells as
+    text (the reference's headers+rows form, without one record that holds
+    the whole result)."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]
+    return df.select(F.to_json(F.struct(*cells)).alias("value"))
+
+
 def write_json(df: DataFrame, path: str, r: int | None = DEFAULT_ROUND) -> None:
     json_records(df, r).write.mode("overwrite").json(path)
 

@@ -180,3 +180,15 @@ def test_streaming_running_load_mark(spark):
          .trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert spark.sql("select LoadMark from tagscope_mark").first().LoadMark.day == 3
+
+
+def test_materialize_and_table_json(spark):
+    from tagscope.session import materialize
+    h = td.history(spark, SF_SMALL)
+    m = materialize(h, "test_materialize")
+    assert m.count() == h.count() and m.rdd.getNumPartitions() >= 1
+    assert spark.conf.get("spark.checkpoint.dir") in m.inputFiles()[0]
+    rows = [json.loads(r.value) for r in exp.json_table_rows(
+        spark.createDataFrame([("a", 1, None)], "x string, n int, z double")).collect()]
+    assert rows == [{"x": "a", "n": "1", "z": ""}]
+    assert exp.table_text(spark.createDataFrame([("a", 1)], "x string, n int")).first().value == "a\t1"
