@@ -639,3 +639,16 @@ select inst.TagName, inst.DateTime,
 from inst asof left join history h on h.TagName = inst.TagName and h.DateTime <= inst.DateTime""")
 def q_values_n_instants_guarded(spark, sf_dir):
     return pit.values_at_instants(td.history(spark, sf_dir), FROM, TO, N_INSTANTS, guard=True)
+
+
+V_SPARSE = ("sparse_history as (select concat('A20_WT_', lpad(cast(user_id % 20 as varchar), 2, '0')) as TagName, "
+            "ts as DateTime, case when event_type <> 'view' then cast(value as double) end as Value from events)")
+
+
+@register("values_held", f"""
+with {V_SPARSE}
+select TagName, DateTime, last_value(Value ignore nulls) over (partition by TagName order by DateTime
+       rows between unbounded preceding and current row) as Value
+from sparse_history""")
+def q_values_held(spark, sf_dir):
+    return ev.hold_previous(td.sparse_history(spark, sf_dir))

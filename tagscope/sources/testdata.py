@@ -44,6 +44,16 @@ def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sparse_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``history`` with the value missing (NULL) on every 'view' event."""
+    e = _events(spark, sf_dir)
+    return e.select(
+        F.concat(F.lit("A20_WT_"), F.lpad((F.col("user_id") % 20).cast("string"), 2, "0")).alias("TagName"),
+        F.col("ts").alias("DateTime"),
+        F.when(F.col("event_type") != "view", F.col("value").cast("double")).alias("Value"),
+    )
+
+
 def counter_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A growing totaliser per tag: running sum of the value, rounded to 2."""
     h = history(spark, sf_dir)

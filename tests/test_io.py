@@ -5,7 +5,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from tagscope.plans import api
 from tagscope.plans import templates as tpl
