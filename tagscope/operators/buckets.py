@@ -20,6 +20,7 @@ from tagscope.operators.aggregate import check_group, raw_agg, weighted_agg
 from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags
 from tagscope.operators.resample import fill_runs
+from tagscope.session import shared
 
 
 def _check_n(n):
@@ -64,9 +65,10 @@ def buckets_raw(history: DataFrame, start, end, n: int, group: str, tags=None, b
     T = seconds_between(start, end)
     rows = filter_range(filter_tags(history, tags), start, end, bounds).select("TagName", "DateTime", "Value")
     b = _explode_buckets(rows, start, T, n, bounds).select("TagName", "i", "Value")
-    grid = _grid(b.select("TagName").distinct(), n).withColumn("Value", F.lit(None).cast("double"))
-    agg = b.unionByName(grid).groupBy("TagName", "i").agg(raw_agg(g).alias("_v"))
-    return _label(agg, start, T, n, F.col("_v"))
+    agg = shared(b.groupBy("TagName", "i").agg(raw_agg(g).alias("_v")))
+    full = _grid(agg.select("TagName").distinct(), n).join(agg, ["TagName", "i"], "left")
+    v = F.coalesce(F.col("_v"), F.lit(0)) if g == "count" else F.col("_v")
+    return _label(full, start, T, n, v)
 
 
 def buckets_filled(history: DataFrame, start, end, n: int, group: str, tags=None, step_seconds: int = 1) -> DataFrame:

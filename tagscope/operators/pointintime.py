@@ -19,6 +19,7 @@ from tagscope.functions.timecols import (
 from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags, guard_after_mark, load_mark
 from tagscope.operators.rollup import asof_source
+from tagscope.session import shared
 
 
 def last_sample(cond: Column | None = None, prefix: str = "") -> list[Column]:
@@ -130,7 +131,7 @@ def instant_runs(history: DataFrame, start, n_instants: int, first_instant: Colu
     src = asof_source(history, start, last_instant_at, rollup, lookback_seconds)
     x_us = epoch_us("DateTime") - F.lit(epoch_us_value(start))
     b = src.withColumn("i", first_instant(x_us)).filter(F.col("i").isNotNull() & (F.col("i") < n_instants))
-    return b.groupBy("TagName", "i").agg(*last_sample())
+    return shared(b.groupBy("TagName", "i").agg(*last_sample()))
 
 
 def instant_values(runs: DataFrame, n_instants: int, leading_nulls: bool, chunk_size: int) -> DataFrame:

@@ -72,3 +72,20 @@ def materialize(df, name: str, mode: str = "overwrite"):
     path = scratch_path(df.sparkSession, name)
     df.write.mode(mode).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+# Reduced intermediates read by several branches of one plan (per-slot means,
+# per-instant runs, bucket aggregates) are checkpointed once into the shared
+# checkpoint folder, so the scan and aggregation beneath them run once instead
+# of once per branch, and lineage is cut for executor loss.  Session setting
+# ``spark.tagscope.shareIntermediates`` = true / false (default true).
+CONF_SHARE = "spark.tagscope.shareIntermediates"
+
+
+def shared(df):
+    """Checkpoint a small reduced DataFrame that several branches consume."""
+    spark = df.sparkSession
+    if str(spark.conf.get(CONF_SHARE, "true")).lower() != "true":
+        return df
+    checkpoint_dir(spark)
+    return df.checkpoint(eager=True)
