@@ -18,6 +18,8 @@ CORE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpointed intermediates are deleted once the driver drops them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
