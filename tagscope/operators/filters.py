@@ -11,6 +11,8 @@ from tagscope.functions.timecols import bound_filter, to_datetime, ts_lit
 
 # Above this many names a tag list is joined (left_semi) instead of inlined.
 INLINE_TAG_LIMIT = 1000
+# A driver-side list larger than this is refused (send a DataFrame of names).
+MAX_BROADCAST_TAGS = 1_000_000
 
 
 def split_tags(tag: str | Iterable[str] | None, strict: bool = False) -> list[str] | None:
@@ -39,9 +41,12 @@ def filter_tags(history: DataFrame, tags: str | Iterable[str] | DataFrame | None
         return history.join(tags.select("TagName").distinct(), "TagName", "left_semi")
     names = split_tags(tags, strict)
     if len(names) > INLINE_TAG_LIMIT:
+        if len(names) > MAX_BROADCAST_TAGS:
+            raise ValueError(f"{len(names)} tag names: pass them as a DataFrame instead")
         spark = history.sparkSession
-        return history.join(spark.createDataFrame([(n,) for n in names], "TagName string"),
-                            "TagName", "left_semi")
+        # the list came from the driver, so its size is known: broadcast it
+        names_df = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "TagName string")
+        return history.join(F.broadcast(names_df), "TagName", "left_semi")
     return history.filter(F.col("TagName").isin(names))
 
 

@@ -3,8 +3,9 @@
 Single-date lookups are one hash aggregate with partial (map-side) combine,
 so a hot tag is pre-reduced in every task before the shuffle.  The N-instant
 form never joins instants to samples: each sample is numbered with the first
-instant it feeds (pure arithmetic), reduced to one row per (tag, instant), and
-the few reduced rows are carried forward with the chunked fill.
+instant it feeds (pure arithmetic), reduced to one row per (tag, instant)
+(checkpointed once), and each reduced row is exploded over the instants it
+holds, up to the next reduced row found with the chunked lead.
 """
 
 from __future__ import annotations
