@@ -1,8 +1,9 @@
 """Time helpers that stay in TIMESTAMP_NTZ and in JVM expressions.
 
-All arithmetic goes through ``timestampdiff``/``timestampadd`` against the
-NTZ epoch, so results never depend on the session time zone, and literals are
-typed NTZ so that range filters reach the Parquet scan as pushed filters.
+All arithmetic is NTZ interval arithmetic against the NTZ epoch
+(``epoch_us``) or ``timestampadd`` on NTZ, so results never depend on the
+session time zone, and literals are typed NTZ so that range filters reach the
+Parquet scan as pushed filters.
 """
 
 from __future__ import annotations
@@ -41,8 +42,15 @@ def seconds_between(start, end) -> int:
 
 
 def epoch_us(col: str | Column) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, without any time zone.
+
+    NTZ minus NTZ is a day-time interval (exact, zone-free); narrowed to
+    seconds and read as a decimal it gives the microseconds.  (``timestamp_diff``
+    would cast NTZ to the session zone and shift wall times in DST gaps.)
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), c)
+    secs = (c - F.expr(EPOCH)).cast("interval second").cast("decimal(20,6)")
+    return (secs * F.lit(US)).cast("long")
 
 
 def epoch_us_value(value) -> int:

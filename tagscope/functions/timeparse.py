@@ -50,11 +50,14 @@ _NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _parse_layout(text: Column, pattern: str, has_offset: bool) -> Column:
+    """Parse to UTC wall time without consulting the session zone: text
+    without an offset gets an explicit ``+0000`` (so wall times in a DST gap
+    of the session zone cannot shift), and the parsed instant is rendered as
+    NTZ from its epoch microseconds."""
+    if not has_offset:
+        text, pattern = F.concat(text, F.lit(" +0000")), pattern + " xx"
     t = F.try_to_timestamp(text, F.lit(pattern))
-    if has_offset:
-        # the instant, rendered as UTC wall time
-        return from_epoch_us(F.unix_micros(t))
-    return t.cast("timestamp_ntz")
+    return from_epoch_us(F.unix_micros(t))
 
 
 def parse_text_time(text: Column, layouts=DATE_LAYOUTS) -> Column:

@@ -13,6 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagscope.functions.timecols import epoch_us
 from tagscope.operators.chunked import running_sum
 
 
@@ -91,8 +92,7 @@ def raw_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times rendered as text in six ways (event_id % 6): ISO, ISO with
     T, ``dd.MM.yyyy HH:mm:ss``, Excel day serial with a decimal comma (8
     decimals, integer arithmetic), epoch milliseconds, and invalid text."""
-    e = _events(spark, sf_dir).withColumn(
-        "_us", F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts")))
+    e = _events(spark, sf_dir).withColumn("_us", epoch_us("ts"))
     ts = F.col("ts")
     k = F.col("event_id") % 6
     excel = F.expr("concat(cast(_us div 86400000000L + 25569 as string), ',', "
