@@ -44,13 +44,16 @@ def seconds_between(start, end) -> int:
 def epoch_us(col: str | Column) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, without any time zone.
 
-    NTZ minus NTZ is a day-time interval (exact, zone-free); narrowed to
-    seconds and read as a decimal it gives the microseconds.  (``timestamp_diff``
-    would cast NTZ to the session zone and shift wall times in DST gaps.)
+    NTZ minus NTZ is a day-time interval (exact, zone-free); its day, hour,
+    minute and second fields give the microseconds in long and compact
+    decimal(16,6) arithmetic.  (``timestamp_diff`` would cast NTZ to the
+    session zone and shift wall times in DST gaps.)
     """
     c = F.col(col) if isinstance(col, str) else col
-    secs = (c - F.expr(EPOCH)).cast("interval second").cast("decimal(20,6)")
-    return (secs * F.lit(US)).cast("long")
+    iv = c - F.expr(EPOCH)
+    minutes = ((F.extract(F.lit("DAY"), iv).cast("long") * 24 + F.extract(F.lit("HOUR"), iv)) * 60
+               + F.extract(F.lit("MINUTE"), iv))
+    return minutes * F.lit(60 * US) + (F.extract(F.lit("SECOND"), iv) * F.lit(US)).cast("long")
 
 
 def epoch_us_value(value) -> int:
