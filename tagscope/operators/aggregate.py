@@ -22,7 +22,7 @@ from tagscope.operators import pointintime as pit
 from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags
 from tagscope.operators.resample import fill_runs
-from tagscope.operators.rollup import asof_source
+from tagscope.operators.rollup import around_source, asof_source
 
 GROUPS = ("avg", "sum", "min", "max", "count", "dif", "avgm")
 MODES = ("raw", "filled", "seeded", "cyclic")
@@ -120,7 +120,8 @@ def aggregate_dif(history: DataFrame, start, end, tags=None, interpolate: bool =
         v = F.col("t_Value") - F.col("f_Value")
         g = g.withColumn("_v", F.when(F.col("f_DateTime").isNotNull(), v))
     else:
-        g = h.groupBy("TagName").agg(
+        src = around_source(h, [start, end], rollup) if rollup is not None else h
+        g = src.groupBy("TagName").agg(
             *pit.last_sample(t <= a, "fb_"), *pit.first_sample(t >= a, "fa_"),
             *pit.last_sample(t <= b, "tb_"), *pit.first_sample(t >= b, "ta_"))
         v = (pit.interpolate_expr(F.lit(epoch_us_value(end)), pit.sample_struct("tb_"), pit.sample_struct("ta_"))

@@ -19,7 +19,7 @@ from tagscope.functions.timecols import (
     US, add_seconds, epoch_us, epoch_us_value, from_epoch_us, seconds_between, to_datetime, ts_lit)
 from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags, guard_after_mark, load_mark
-from tagscope.operators.rollup import asof_source
+from tagscope.operators.rollup import around_source, asof_source
 from tagscope.session import shared
 
 
@@ -90,10 +90,14 @@ def interpolate_expr(at_us: Column, before: Column, after: Column) -> Column:
             .otherwise(before["Value"] + frac * (after["Value"] - before["Value"])))
 
 
-def value_interpolated(history: DataFrame, at, tags=None, lookback_seconds: int | None = None) -> DataFrame:
-    """PIT3: linear interpolation at ``at``; tags lacking a side give no row."""
-    h = filter_tags(history, tags)
-    if lookback_seconds is not None:
+def value_interpolated(history: DataFrame, at, tags=None, lookback_seconds: int | None = None,
+                       rollup: DataFrame | None = None) -> DataFrame:
+    """PIT3: linear interpolation at ``at``; tags lacking a side give no row.
+
+    With a daily ``rollup`` only the day partitions of ``at`` are scanned
+    (exact); ``lookback_seconds`` instead bounds both sides (inexact)."""
+    h = around_source(history, [at], rollup, tags) if rollup is not None else filter_tags(history, tags)
+    if lookback_seconds is not None and rollup is None:
         lo = _since(at, lookback_seconds)
         hi = to_datetime(at) + _dt.timedelta(seconds=lookback_seconds)
         h = filter_range(h, lo, hi, "[]")

@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 from tagscope.functions.timecols import to_datetime
 from tagscope.operators.filters import filter_range, filter_tags
 
-ROLLUP_COLUMNS = ["TagName", "day", "DateTime", "Value"]
+ROLLUP_COLUMNS = ["TagName", "day", "DateTime", "Value", "FirstDateTime", "FirstValue"]
 
 
 def daily_last(history: DataFrame) -> DataFrame:
-    """The rollup: last sample per tag and day (a hash aggregate with partials)."""
+    """The rollup: last (and first) sample per tag and day, one hash aggregate
+    with partials.  ``DateTime, Value`` is the day's last sample,
+    ``FirstDateTime, FirstValue`` its first (for interpolation)."""
     return history.groupBy("TagName", F.to_date("DateTime").alias("day")).agg(
-        F.max("DateTime").alias("DateTime"), F.max_by("Value", "DateTime").alias("Value"))
+        F.max("DateTime").alias("DateTime"), F.max_by("Value", "DateTime").alias("Value"),
+        F.min("DateTime").alias("FirstDateTime"), F.min_by("Value", "DateTime").alias("FirstValue"))
 
 
 def write_daily_last(history: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -55,3 +58,32 @@ def asof_source(history: DataFrame, start, end, rollup: DataFrame | None = None,
     recent = filter_range(h, d0, end, "[]").select("TagName", "DateTime", "Value")
     older = filter_tags(rollup, tags).filter(F.col("day") < F.lit(d0.date())).select("TagName", "DateTime", "Value")
     return older.unionByName(recent)
+
+
+def after_source(history: DataFrame, at, rollup: DataFrame | None = None, tags=None) -> DataFrame:
+    """Rows giving the exact first sample at or after ``at``: the history of
+    ``at``'s day from ``at`` on, plus the first sample of every later day from
+    the rollup.  Without a rollup, all history from ``at`` on."""
+    h = filter_tags(history, tags)
+    if rollup is None:
+        return filter_range(h, at, None, "[]").select("TagName", "DateTime", "Value")
+    d0 = day_start(at)
+    same_day = filter_range(h, at, d0 + _dt.timedelta(days=1), "[)").select("TagName", "DateTime", "Value")
+    later = (filter_tags(rollup, tags).filter(F.col("day") > F.lit(d0.date()))
+             .select("TagName", F.col("FirstDateTime").alias("DateTime"), F.col("FirstValue").alias("Value")))
+    return later.unionByName(same_day)
+
+
+def around_source(history: DataFrame, points, rollup: DataFrame | None = None, tags=None) -> DataFrame:
+    """Rows giving the exact samples on both sides of each instant in ``points``
+    (union of the as-of and after sources; the whole history without a rollup)."""
+    if rollup is None:
+        return filter_tags(history, tags).select("TagName", "DateTime", "Value")
+    parts = []
+    for p in points:
+        parts.append(asof_source(history, p, p, rollup, tags=tags))
+        parts.append(after_source(history, p, rollup, tags))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out

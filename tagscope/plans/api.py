@@ -36,13 +36,22 @@ def parse_request_time(spark: SparkSession, value) -> _dt.datetime:
 
 def get_tag(spark: SparkSession, history: DataFrame, tag=None, date=None, start=None, end=None,
             count=None, group=None, mode: str = "filled", guard: bool = True,
-            rollup: DataFrame | None = None) -> DataFrame:
+            rollup: DataFrame | None = None, method: str = "previous") -> DataFrame:
     """``/get/tag/``: value at a date, range, grouped value, N instants or N buckets.
 
-    ``rollup`` (a daily last-sample table) bounds every as-of search."""
+    A date lookup is ``method='previous'`` (last value, optionally guarded by
+    the load mark), ``'linear'`` (interpolated) or ``'exact'``.  ``rollup``
+    (a daily last/first-sample table) bounds every as-of search."""
     tags = flt.split_tags(tag, strict=group is not None) if tag is not None else None
     if date is not None:
-        return pit.value_at(history, parse_request_time(spark, date), tags, guard=guard, rollup=rollup)
+        at = parse_request_time(spark, date)
+        if method == "linear":
+            return pit.value_interpolated(history, at, tags, rollup=rollup)
+        if method == "exact":
+            return pit.value_exact(history, at, tags)
+        if method != "previous":
+            raise ValueError(f"method must be previous, linear or exact, got {method!r}")
+        return pit.value_at(history, at, tags, guard=guard, rollup=rollup)
     if start is None or end is None:
         raise ValueError("need date, or from and to")
     a, b = parse_request_time(spark, start), parse_request_time(spark, end)

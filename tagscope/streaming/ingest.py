@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tagscope.operators.rollup import daily_last
+from tagscope.operators.rollup import ROLLUP_COLUMNS, daily_last
 
 # File-name globs and record layouts of the drops.
 HISTORY_GLOB = "{result,hs}_*.json.gz"
@@ -103,7 +103,7 @@ def rollup_dir(sink_dir: str) -> str:
 
 def read_rollup(spark: SparkSession, sink_dir: str) -> DataFrame:
     """The daily rollup of everything ingested (pass as ``rollup=`` to as-of operators)."""
-    return spark.read.parquet(rollup_dir(sink_dir)).select("TagName", "day", "DateTime", "Value")
+    return spark.read.parquet(rollup_dir(sink_dir)).select(*ROLLUP_COLUMNS)
 
 
 def mark_dir(sink_dir: str) -> str:

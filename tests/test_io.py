@@ -100,6 +100,10 @@ def test_history_layout_roundtrip(spark):
 def test_api_dispatch(spark):
     h = td.history(spark, SF_SMALL)
     assert api.get_tag(spark, h, "A20_WT_01, A20_WT_02", date="10.01.2024 00:00:00").count() == 2
+    assert api.get_tag(spark, h, "A20_WT_01, A20_WT_02", date="10.01.2024 00:00:00", method="linear").count() == 2
+    assert api.get_tag(spark, h, "A20_WT_01", date="10.01.2024 00:00:00", method="exact").count() == 0
+    with pytest.raises(ValueError):
+        api.get_tag(spark, h, "A20_WT_01", date="10.01.2024 00:00:00", method="nearest")
     n_tags = h.filter("DateTime <= '2024-01-01 23:00:00'").select("TagName").distinct().count()
     assert api.get_tag(spark, h, None, start="2024-01-01 00:00:00", end="2024-01-02 00:00:00", count=24).count() == n_tags * 24
     assert api.get_tag(spark, h, "A20_WT_01", start="2024-01-01 00:00:00", end="2024-01-02 00:00:00", group="AVG").count() == 1

@@ -129,3 +129,6 @@ def test_rollup_gives_identical_asof(spark):
     same(agg.aggregate(h, a, b, "dif", rollup=r), agg.aggregate(h, a, b, "dif"))
     same(agg.aggregate(h, a, b, "avgm", rollup=r), agg.aggregate(h, a, b, "avgm"))
     same(bk.buckets(h, a, b, 5, "dif", rollup=r), bk.buckets(h, a, b, 5, "dif"))
+    for at in ["2024-01-10 00:00:00", "2024-01-10 13:17:00", "2024-01-29 23:00:00"]:
+        same(pit.value_interpolated(h, at, rollup=r), pit.value_interpolated(h, at))
+    same(agg.aggregate(h, a, b, "dif", mode="raw", rollup=r), agg.aggregate(h, a, b, "dif", mode="raw"))
