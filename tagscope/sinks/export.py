@@ -15,7 +15,7 @@ from tagscope.functions.numbers import DEFAULT_ROUND, decimal_comma, plain_text,
 from tagscope.functions.timecols import US, epoch_us
 
 DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
-SERIES_CHUNK_SECONDS = 86400
+SERIES_CHUNK_SECONDS = 3600
 
 FORMATS = ("text", "json", "xml", "csv", "grafana")
 
