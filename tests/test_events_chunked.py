@@ -95,3 +95,17 @@ def test_adaptive_chunks_equal_plain_window(spark, monkeypatch, max_keys):
     assert len(m) == len(pdf) and ((m.t_x - m.t_y).abs() < 1e-6).all()
     widths = {r.TagName: r._w for r in chunked.chunk_widths(h, ["TagName"], "DateTime", 3).collect()}
     assert min(widths.values()) >= 1 and max(widths.values()) <= chunked.MAX_CHUNK_SECONDS
+
+
+def test_hot_tag_is_split_into_bounded_chunks(spark, monkeypatch):
+    """One tag holding every row: adaptive chunks keep each window partition small."""
+    monkeypatch.setattr(chunked, "ADAPTIVE_TARGET_ROWS", 20)
+    hot = td.history(spark, "/root/testdata/sf0.01").withColumn("TagName", F.lit("HOT"))
+    d = chunked.with_chunk(hot, ["TagName"], "DateTime")
+    sizes = d.groupBy("TagName", chunked.CK).count()
+    total, biggest, parts = hot.count(), sizes.agg(F.max("count")).first()[0], sizes.count()
+    assert parts > 100 and biggest <= 10 * 20 and biggest < total / 50
+    got = ev.with_previous(hot).select("DateTime", "prev_DateTime")
+    w = Window.partitionBy("TagName").orderBy("DateTime")
+    want = hot.select("DateTime", F.lag("DateTime").over(w).alias("prev_DateTime"))
+    assert got.exceptAll(want).count() == 0

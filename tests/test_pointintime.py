@@ -132,3 +132,10 @@ def test_rollup_gives_identical_asof(spark):
     for at in ["2024-01-10 00:00:00", "2024-01-10 13:17:00", "2024-01-29 23:00:00"]:
         same(pit.value_interpolated(h, at, rollup=r), pit.value_interpolated(h, at))
     same(agg.aggregate(h, a, b, "dif", mode="raw", rollup=r), agg.aggregate(h, a, b, "dif", mode="raw"))
+
+
+def test_more_instants_than_seconds(spark):
+    rows = [("A", "2024-01-01 00:00:01.5", 1.0), ("A", "2024-01-01 00:00:02", 2.0)]
+    got = sorted(tuple(r) for r in pit.values_at_instants(hist(spark, rows), "2024-01-01 00:00:00",
+                                                          "2024-01-01 00:00:04", 10, chunk_size=3).collect())
+    assert got == sorted(bf.instants(rows, "2024-01-01 00:00:00", "2024-01-01 00:00:04", 10))
