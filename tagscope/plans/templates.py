@@ -30,14 +30,18 @@ def template_list(templates: DataFrame, prefix: str = "") -> DataFrame:
     return templates.filter(F.col("Name").like(like)).select("Name", "Body")
 
 
-def to_bound_sql(body: str) -> tuple[str, list[str]]:
-    """``{key}`` / ``'{key}'`` -> ``:key``; returns the SQL and the keys used."""
+def to_bound_sql(body: str, identifiers=()) -> tuple[str, list[str]]:
+    """``{key}`` / ``'{key}'`` -> ``:key``; returns the SQL and the keys used.
+
+    Keys listed in ``identifiers`` name a table or column and become
+    ``IDENTIFIER(:key)``, still bound, never spliced."""
     keys: list[str] = []
+    idents = set(identifiers)
 
     def repl(m):
         k = m.group(1) or m.group(2)
         keys.append(k)
-        return f":{k}"
+        return f"IDENTIFIER(:{k})" if k in idents else f":{k}"
     return _PLACEHOLDER.sub(repl, body), keys
 
 
@@ -49,9 +53,10 @@ def template_body(templates: DataFrame, name: str) -> str:
     return rows[0][0]
 
 
-def template_exec(spark: SparkSession, templates: DataFrame, name: str, params: dict | None = None) -> DataFrame:
+def template_exec(spark: SparkSession, templates: DataFrame, name: str, params: dict | None = None,
+                  identifiers=()) -> DataFrame:
     """TPL1: run a stored template with bound parameters; a lazy DataFrame."""
-    sql, keys = to_bound_sql(template_body(templates, name))
+    sql, keys = to_bound_sql(template_body(templates, name), identifiers)
     params = dict(params or {})
     missing = [k for k in keys if k not in params]
     if missing:

@@ -69,6 +69,9 @@ def test_templates(spark):
     with pytest.raises(KeyError):
         tpl.template_exec(spark, t, "by_tag", {})
     assert tpl.to_bound_sql("a = '{x}' and b = {y}") == ("a = :x and b = :y", ["x", "y"])
+    t2 = tpl.template_table(spark, [("count_of", "select count(*) as n from {table} where TagName = '{tag}'")])
+    n = tpl.template_exec(spark, t2, "count_of", {"table": "history", "tag": "A20_WT_01"}, identifiers=["table"]).first().n
+    assert n == td.history(spark, SF_SMALL).filter("TagName = 'A20_WT_01'").count()
     assert tpl.exec_query(spark, "select :a + 1 as v", {"a": 1}).first().v == 2
 
 
