@@ -31,16 +31,21 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", app="tagscope-bench", shuffle_partitions=int(cpus) * 2,
                           extra={"spark.driver.memory": "16g"})
     from tagscope.plans.catalog import QUERIES
-    timings = {}
+    timings, failed = {}, {}
     for name, fn in QUERIES.items():
         if only and name not in only:
             continue
-        run(fn(spark, sf_dir))  # warm-up (also plans and JIT-compiles)
-        ts = []
-        for _ in range(runs):
-            t0 = time.perf_counter()
-            run(fn(spark, sf_dir))
-            ts.append(time.perf_counter() - t0)
+        try:
+            run(fn(spark, sf_dir))  # warm-up (also plans and JIT-compiles)
+            ts = []
+            for _ in range(runs):
+                t0 = time.perf_counter()
+                run(fn(spark, sf_dir))  # plan building is timed too (it may checkpoint)
+                ts.append(time.perf_counter() - t0)
+        except Exception as exc:  # report and go on: one failure must not hide the rest
+            failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
+            print(f"# {name}: FAILED {failed[name]}", file=sys.stderr, flush=True)
+            continue
         timings[name] = round(statistics.median(ts), 3)
         print(f"# {name}: {timings[name]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
@@ -53,6 +58,7 @@ def main() -> None:
         "spark": spark.version,
         "cpus": int(cpus),
         "runs": runs,
+        "failed": failed,
     }))
 
 
