@@ -6,7 +6,8 @@ right edge.  A sample finds its buckets by arithmetic: a handful of candidate
 numbers around ``x*N/T`` are generated and filtered by exact integer edge
 tests, so a sample on an inner edge of a closed bucket lands in both buckets
 and no range join is needed.  Empty buckets come from a small tag x bucket
-grid unioned in before the final aggregation.
+grid: left-joined to the checkpointed bucket aggregate (raw samples) or
+unioned in before the final aggregation (filled series).
 """
 
 from __future__ import annotations
