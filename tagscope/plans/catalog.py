@@ -558,16 +558,32 @@ def q_template_exec(spark, sf_dir):
     return tpl.template_exec(spark, templates, TEMPLATE_NAME, {"from": FROM, "to": TO})
 
 
-@register("grafana_by_time")
+_BUCKET_AVG_SQL = f"""{V_HISTORY}, b as ({buckets_sql(N_BUCKETS)}),
+tg as (select distinct TagName from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}),
+a as (select h.TagName, b.i, avg(h.Value) as v from history h join b on h.DateTime >= b.lo and h.DateTime < b.hi group by all),
+ba as (select tg.TagName, b.hi as DateTime, round(round(a.v, {DIGITS}) * 100.0) / 100.0 as v
+       from tg cross join b left join a on a.TagName = tg.TagName and a.i = b.i)"""
+
+
+@register("grafana_by_time", f"""
+with {_BUCKET_AVG_SQL}
+select strftime(DateTime, '%Y-%m-%d %H:%M:%S') as time,
+       to_json({{'time': strftime(DateTime, '%Y-%m-%d %H:%M:%S'),
+                 'data': list({{'name': TagName, 'value': v}} order by TagName, v nulls first)}}) as json
+from ba group by DateTime""")
 def q_grafana_by_time(spark, sf_dir):
-    b = bk.buckets(td.history(spark, sf_dir), FROM, TO, N_BUCKETS, "avg", mode="raw")
-    return exp.grafana_by_time(b)
+    # the chart of the registered bucket result (6-digit means, as in buckets_raw)
+    return exp.grafana_by_time(q_buckets_raw(spark, sf_dir))
 
 
-@register("grafana_by_series")
+@register("grafana_by_series", f"""
+with {_BUCKET_AVG_SQL}
+select TagName as target, floor(epoch_us(DateTime) / {exp.SERIES_CHUNK_SECONDS * 1_000_000})::bigint as chunk,
+       to_json({{'target': TagName, 'datapoints': list({{'value': v, 'ms': epoch_us(DateTime) // 1000}}
+                 order by epoch_us(DateTime) // 1000, v nulls first)}}) as json
+from ba group by TagName, chunk""")
 def q_grafana_by_series(spark, sf_dir):
-    b = bk.buckets(td.history(spark, sf_dir), FROM, TO, N_BUCKETS, "avg", mode="raw")
-    return exp.grafana_by_series(b)
+    return exp.grafana_by_series(q_buckets_raw(spark, sf_dir))
 
 
 # ---- more surface: labelled average, exports as rows, full tag list ----------------
@@ -623,9 +639,14 @@ def q_export_xml_rows(spark, sf_dir):
     return exp.xml_rows(rs.range_raw(td.history(spark, sf_dir), FROM, TO), ROUND)
 
 
-@register("export_tag_time_map")
+@register("export_tag_time_map", f"""
+with {_BUCKET_AVG_SQL}
+select TagName, floor(epoch_us(DateTime) / {exp.SERIES_CHUNK_SECONDS * 1_000_000})::bigint as chunk,
+       to_json(map_from_entries(list({{'k': strftime(DateTime, '%Y-%m-%d %H:%M:%S'), 'v': v}}
+                                     order by strftime(DateTime, '%Y-%m-%d %H:%M:%S')))) as json
+from ba group by TagName, chunk""")
 def q_export_tag_time_map(spark, sf_dir):
-    return exp.tag_time_map(rs.range_raw(td.history(spark, sf_dir), FROM, TO), ROUND)
+    return exp.tag_time_map(q_buckets_raw(spark, sf_dir), ROUND)
 
 
 @register("values_n_instants_guarded", f"""

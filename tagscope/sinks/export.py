@@ -16,6 +16,8 @@ from tagscope.functions.timecols import US, epoch_us
 
 DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
 SERIES_CHUNK_SECONDS = 3600
+# missing values are written as null rather than dropped from the object
+JSON_OPTIONS = {"ignoreNullFields": "false"}
 
 FORMATS = ("text", "json", "xml", "csv", "grafana")
 
@@ -98,7 +100,7 @@ def grafana_by_time(df: DataFrame, r: int | None = DEFAULT_ROUND) -> DataFrame:
     pts = df.select(_date().alias("time"), F.struct(F.col("TagName").alias("name"),
                                                     _json_value(r).alias("value")).alias("p"))
     g = pts.groupBy("time").agg(F.sort_array(F.collect_list("p")).alias("data"))
-    return g.select("time", F.to_json(F.struct("time", "data")).alias("json"))
+    return g.select("time", F.to_json(F.struct("time", "data"), JSON_OPTIONS).alias("json"))
 
 
 def _chunk(chunk_seconds: int) -> Column:
@@ -113,7 +115,8 @@ def grafana_by_series(df: DataFrame, r: int | None = DEFAULT_ROUND,
                     F.struct(ms.alias("ms"), _json_value(r).alias("value")).alias("p"))
     g = pts.groupBy("target", "chunk").agg(F.sort_array(F.collect_list("p")).alias("pts"))
     dp = F.transform("pts", lambda p: F.struct(p["value"].alias("value"), p["ms"].alias("ms")))
-    return g.select("target", "chunk", F.to_json(F.struct(F.col("target"), dp.alias("datapoints"))).alias("json"))
+    return g.select("target", "chunk",
+                    F.to_json(F.struct(F.col("target"), dp.alias("datapoints")), JSON_OPTIONS).alias("json"))
 
 
 def tag_time_map(df: DataFrame, r: int | None = DEFAULT_ROUND,
@@ -124,7 +127,7 @@ def tag_time_map(df: DataFrame, r: int | None = DEFAULT_ROUND,
         F.avg("Value").alias("Value"))
     g = per_sec.groupBy("TagName", "chunk").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", _json_value(r).alias("v"))))).alias("m"))
-    return g.select("TagName", "chunk", F.to_json("m").alias("json"))
+    return g.select("TagName", "chunk", F.to_json("m", JSON_OPTIONS).alias("json"))
 
 
 def export(df: DataFrame, fmt: str, path: str, r: int | None = DEFAULT_ROUND) -> None:
