@@ -85,10 +85,10 @@ def cyclic_runs(history: DataFrame, start, end, step_ms: int = 60000, tags=None,
     span_us = epoch_us_value(end) - epoch_us_value(start)
     k = max(0, -(-span_us // step_us))
     last_at = pit.from_us_value(epoch_us_value(start) + max(k - 1, 0) * step_us)
-    runs = pit.instant_runs(filter_tags(history, tags), start, k,
-                            lambda x: pit._first_instant_step(x, step_us), last_at, lookback_seconds, rollup)
+    runs, small = pit.instant_runs(filter_tags(history, tags), start, k,
+                                   lambda x: pit._first_instant_step(x, step_us), last_at, lookback_seconds, rollup)
     runs = runs.select("TagName", "i", "Value")
-    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
+    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size), small=small)
     return nb.select("TagName", "i", F.coalesce("next_i", F.lit(k).cast("long")).alias("next_i"), "Value")
 
 

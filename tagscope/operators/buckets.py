@@ -96,7 +96,8 @@ def buckets_dif(history: DataFrame, start, end, n: int, tags=None, lookback_seco
                             lambda x: pit._first_instant_even(x, T, n), end, lookback_seconds, rollup)
     g = pit.instant_values(runs, n + 1, leading_nulls=True, chunk_size=chunk_size).select(
         "TagName", "i", F.col("Value").alias("v"))
-    p = neighbour(g, ["TagName"], "i", ["v"], direction=-1, chunk=index_chunk("i", chunk_size))
+    # the edge grid has tags x (N+1) rows: small exactly when the runs are
+    p = neighbour(g, ["TagName"], "i", ["v"], direction=-1, chunk=index_chunk("i", chunk_size), small=runs[1])
     p = p.filter(F.col("i") >= 1)
     return _label(p, start, T, n, F.col("v") - F.col("prev_v"))
 

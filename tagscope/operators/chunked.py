@@ -82,7 +82,8 @@ def with_chunk(df: DataFrame, keys: Sequence[str], order: str, chunk: Column | N
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
-              direction: int = -1, chunk: Column | None = None, prefix: str | None = None) -> DataFrame:
+              direction: int = -1, chunk: Column | None = None, prefix: str | None = None,
+              small: bool = False) -> DataFrame:
     """Add, per row, the values of ``cols`` on the previous (``direction=-1``)
     or next (``+1``) row of the same key ordered by the column ``order``.
 
@@ -93,9 +94,12 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str
     """
     keys, cols = list(keys), list(cols)
     prefix = prefix if prefix is not None else ("prev_" if direction < 0 else "next_")
+    shift = F.lag if direction < 0 else F.lead
+    if small:  # proven small input: one plain window is bounded and cheaper
+        w1 = Window.partitionBy(*keys).orderBy(order)
+        return df.select(*[F.col(c) for c in df.columns], *[shift(c).over(w1).alias(prefix + c) for c in cols])
     d = with_chunk(df, keys, order, chunk)
     pick = F.max_by if direction < 0 else F.min_by
-    shift = F.lag if direction < 0 else F.lead
     edges = d.groupBy(*keys, CK).agg(*[pick(F.col(c), F.col(order)).alias(f"_e{i}") for i, c in enumerate(cols)])
     ws = Window.partitionBy(*keys).orderBy(CK)
     carry = edges.select(*keys, CK, *[shift(f"_e{i}").over(ws).alias(f"_c{i}") for i in range(len(cols))])
@@ -145,7 +149,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: s
 
 
 def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-            chunk: Column | None = None) -> DataFrame:
+            chunk: Column | None = None, small: bool = False) -> DataFrame:
     """Row number ``n`` (0-based) of each key in ``order``; keys with fewer rows vanish.
 
     Counts per chunk locate the one chunk holding the row, so only that chunk
@@ -154,6 +158,10 @@ def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
     keys, order = list(keys), list(order)
     if n < 0:
         n = 0
+    if small:  # proven small input: rank within the key directly
+        w1 = Window.partitionBy(*keys).orderBy(*order)
+        return (df.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") == n + 1)
+                .select(*[F.col(c) for c in df.columns]))
     d = with_chunk(df, keys, order[0], chunk) if len(order) == 1 else df.withColumn(CK, _default_chunk(order, chunk))
     counts = d.groupBy(*keys, CK).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(CK).rowsBetween(Window.unboundedPreceding, -1)

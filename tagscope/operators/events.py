@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagscope.operators.chunked import fill_forward, neighbour, nth_row
 from tagscope.operators.filters import filter_range, filter_tags
-from tagscope.session import shared
+from tagscope.session import shared_sized
 
 
 def with_previous(history: DataFrame, start=None, end=None, tags=None, bounds: str = "[]") -> DataFrame:
@@ -48,7 +48,8 @@ def nth_event(events: DataFrame, n) -> DataFrame:
     except (TypeError, ValueError):
         k = 0
     # events are few; checkpoint them so counting and ranking do not each redo detection
-    return nth_row(shared(events), ["TagName"], ["DateTime"], max(k, 0))
+    ev, small = shared_sized(events)
+    return nth_row(ev, ["TagName"], ["DateTime"], max(k, 0), small=small)
 
 
 def hold_previous(df: DataFrame, col: str = "Value") -> DataFrame:

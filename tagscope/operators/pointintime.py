@@ -20,7 +20,7 @@ from tagscope.functions.timecols import (
 from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags, guard_after_mark, load_mark
 from tagscope.operators.rollup import around_source, asof_source
-from tagscope.session import shared
+from tagscope.session import shared_sized
 
 
 def last_sample(cond: Column | None = None, prefix: str = "") -> list[Column]:
@@ -131,15 +131,16 @@ def instant_runs(history: DataFrame, start, n_instants: int, first_instant: Colu
                  last_instant_at, lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Samples reduced to the last one per (tag, first instant it feeds).
 
-    Returns ``TagName, i, DateTime, Value`` for non-empty i only.
+    Returns ``(runs, small)``: ``TagName, i, DateTime, Value`` for non-empty i
+    only (checkpointed), and whether it is provably small (see ``shared_sized``).
     """
     src = asof_source(history, start, last_instant_at, rollup, lookback_seconds)
     x_us = epoch_us("DateTime") - F.lit(epoch_us_value(start))
     b = src.withColumn("i", first_instant(x_us)).filter(F.col("i").isNotNull() & (F.col("i") < n_instants))
-    return shared(b.groupBy("TagName", "i").agg(*last_sample()))
+    return shared_sized(b.groupBy("TagName", "i").agg(*last_sample()))
 
 
-def instant_values(runs: DataFrame, n_instants: int, leading_nulls: bool, chunk_size: int) -> DataFrame:
+def instant_values(runs, n_instants: int, leading_nulls: bool, chunk_size: int) -> DataFrame:
     """Expand reduced runs to one row per tag and instant: ``TagName, i, DateTime, Value``.
 
     Each non-empty instant holds until the next non-empty one (found with the
@@ -147,7 +148,8 @@ def instant_values(runs: DataFrame, n_instants: int, leading_nulls: bool, chunk_
     the output is never sorted or shuffled.  With ``leading_nulls`` the
     instants before a tag's first sample are emitted with NULLs.
     """
-    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
+    runs, small = runs
+    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size), small=small)
     upto = F.coalesce(F.col("next_i"), F.lit(n_instants).cast("long")) - 1
     out = nb.select("TagName", F.explode(F.sequence(F.col("i"), upto)).alias("i"), "DateTime", "Value")
     if leading_nulls:

@@ -17,7 +17,7 @@ from tagscope.operators.chunked import index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags
 from tagscope.operators.pointintime import last_sample
 from tagscope.operators.rollup import asof_source
-from tagscope.session import shared
+from tagscope.session import shared_sized
 
 
 def range_raw(history: DataFrame, start, end, tags=None, bounds: str = "[)") -> DataFrame:
@@ -62,9 +62,10 @@ def fill_runs(history: DataFrame, start, end, step_seconds: int = 1, seeded: boo
             filter_range(h, start, end, "[]").select("TagName", "DateTime", "Value")
     chunk_seconds = chunk_seconds or chunked.chunk_seconds()
     # the first reduction: read by both the edge summary and the main pass of the lead
-    per_slot = shared(rows.groupBy(*keys, slot_of(step_seconds).alias("slot")).agg(F.avg("Value").alias("Value")))
+    per_slot, small = shared_sized(
+        rows.groupBy(*keys, slot_of(step_seconds).alias("slot")).agg(F.avg("Value").alias("Value")))
     nb = neighbour(per_slot, keys, "slot", ["slot"], direction=+1,
-                   chunk=index_chunk("slot", max(1, chunk_seconds // step_seconds)))
+                   chunk=index_chunk("slot", max(1, chunk_seconds // step_seconds)), small=small)
     return nb.select(*keys, "slot", F.coalesce(F.col("next_slot"), F.col("slot") + 1).alias("next_slot"), "Value")
 
 

@@ -93,8 +93,21 @@ CONF_SHARE = "spark.tagscope.shareIntermediates"
 
 def shared(df):
     """Checkpoint a small reduced DataFrame that several branches consume."""
+    return shared_sized(df)[0]
+
+
+# At most this many rows: a per-key window over the whole table is bounded by
+# it, so the chunked (skew-safe) machinery is not needed.
+ONE_TASK_ROWS = 1_000_000
+
+
+def shared_sized(df):
+    """``shared(df)`` plus a proven size class: True when the checkpointed
+    table has at most ``ONE_TASK_ROWS`` rows (counted on the checkpoint, which
+    is cheap), False when larger or not checkpointed (size unknown)."""
     spark = df.sparkSession
     if str(spark.conf.get(CONF_SHARE, "true")).lower() != "true":
-        return df
+        return df, False
     checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    c = df.checkpoint(eager=True)
+    return c, c.count() <= ONE_TASK_ROWS

@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tagscope import session  # noqa: E402
 from tagscope.operators import chunked  # noqa: E402
 from tagscope.session import build_session  # noqa: E402
 
@@ -23,8 +24,10 @@ def spark():
 
 @pytest.fixture
 def small_chunks(monkeypatch):
-    """Force many chunk edges (60 s chunks) to exercise the cross-chunk carry."""
+    """Force many chunk edges (60 s chunks) to exercise the cross-chunk carry,
+    and disable the plain-window path for small checkpointed inputs."""
     monkeypatch.setattr(chunked, "DEFAULT_CHUNK_SECONDS", 60)
+    monkeypatch.setattr(session, "ONE_TASK_ROWS", -1)
     yield 60
 
 

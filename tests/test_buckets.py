@@ -68,7 +68,11 @@ def test_buckets_avgm(spark, small_chunks):
     same(as_map(bk.buckets(hist(spark, rows), S, E, 6, "avgm")), bf.buckets_avgm(rows, S, E, 6))
 
 
-def test_buckets_dif(spark):
+@pytest.mark.parametrize("chunked_path", [False, True])
+def test_buckets_dif(spark, monkeypatch, chunked_path):
+    if chunked_path:
+        from tagscope import session
+        monkeypatch.setattr(session, "ONE_TASK_ROWS", -1)
     rows = random_rows(26)
     got = as_map(bk.buckets_dif(hist(spark, rows), S, E, 4, chunk_size=2))
     e = bf.edges(S, E, 4)

@@ -30,7 +30,12 @@ def test_down_up_cases(spark, small_chunks):
     assert [d for t, d in down if t == "flip"] == [bf.D("2024-01-01 00:05:00"), bf.D("2024-01-01 00:07:00")]
 
 
-def test_nth_event(spark, small_chunks):
+@pytest.mark.parametrize("use_chunks", [False, True])
+def test_nth_event(spark, monkeypatch, use_chunks):
+    if use_chunks:
+        from tagscope import session
+        monkeypatch.setattr(session, "ONE_TASK_ROWS", -1)
+        monkeypatch.setattr(chunked, "DEFAULT_CHUNK_SECONDS", 60)
     h = hist(spark, CASES)
     e = ev.down_events(h, S, E)
     assert [(r.TagName, r.DateTime) for r in ev.nth_event(e, 1).collect()] == [("flip", bf.D("2024-01-01 00:07:00"))]

@@ -80,6 +80,15 @@ def test_value_at_and_interp_random(spark, seed):
 
 @pytest.mark.parametrize("seed,n", [(4, 7), (5, 300), (6, 1)])
 def test_instants_random(spark, seed, n):
+    _instants_check(spark, seed, n)
+
+
+@pytest.mark.parametrize("seed,n", [(4, 7), (5, 300)])
+def test_instants_random_chunked_path(spark, small_chunks, seed, n):
+    _instants_check(spark, seed, n)
+
+
+def _instants_check(spark, seed, n):
     rows = random_rows(seed)
     got = sorted(tuple(r) for r in pit.values_at_instants(
         hist(spark, rows), "2024-01-01 00:10:00", "2024-01-01 01:56:39", n, chunk_size=5).collect())
@@ -96,7 +105,7 @@ def test_instants_errors(spark):
 
 
 @pytest.mark.parametrize("seed", [7, 8])
-def test_cyclic_random(spark, seed):
+def test_cyclic_random(spark, small_chunks, seed):
     rows = random_rows(seed)
     got = sorted(tuple(r) for r in pit.values_cyclic(
         hist(spark, rows), "2024-01-01 00:00:30", "2024-01-01 01:30:00", 60000, chunk_size=7).collect())
