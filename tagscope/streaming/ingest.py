@@ -35,6 +35,8 @@ def drop_stream(spark: SparkSession, source_dir: str, kind: str = "history",
     glob, schema = (HISTORY_GLOB, HISTORY_SCHEMA) if kind == "history" else (TRUCK_GLOB, TRUCK_SCHEMA)
     r = (spark.readStream.schema(schema)
          .option("pathGlobFilter", glob)
+         # an unreadable file (e.g. a truncated gzip) is skipped, not fatal
+         .option("ignoreCorruptFiles", "true")
          .option("mode", "PERMISSIVE")
          .option("columnNameOfCorruptRecord", "_corrupt_record")
          .option("timestampNTZFormat", TIME_FORMAT))

@@ -136,6 +136,8 @@ def test_streaming_ingest(spark):
                                                  '{"DateTime":"2024-01-01 00:01:00","Value":3}'])
     _gz(os.path.join(src, "av_1.json.gz"), ['{"DateTime":"2024-01-01 00:00:00","CertNum":"c1","Tare":1,"Brutto":2}'])
     _gz(os.path.join(src, "other.json.gz"), ['{"TagName":"Z","DateTime":"2024-01-01 00:00:00","Value":9}'])
+    with open(os.path.join(src, "hs_broken.json.gz"), "wb") as fh:   # corrupt gzip: skipped, not fatal
+        fh.write(gzip.compress(b'{"TagName":"Q","DateTime":"2024-01-01 00:00:00","Value":1}\n')[:10] + b"\x00junk" * 20)
     q = ingest.start_ingest(spark, src, sink, rej, ck)
     q.awaitTermination(120)
     assert ingest.read_ingested(spark, sink).count() == 3
