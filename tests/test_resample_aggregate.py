@@ -106,3 +106,36 @@ def test_sum_with_nulls_and_totals(spark):
 def test_labelled_from(spark):
     r = agg.average_labelled_from(hist(spark, ROWS), "2024-01-01 00:00:00", "2024-01-01 00:15:00").collect()
     assert {(x.TagName, x.DateTime, x.Value) for x in r} == {("A", dt.datetime(2024, 1, 1), 2.0)}
+
+
+def test_empty_range_seed_only(spark):
+    # every sample before `from`: the seeded series is the seed held to `to`
+    rows = [("A", "2024-01-01 00:00:00", 4), ("A", "2024-01-01 00:00:30", 6)]
+    h = hist(spark, rows)
+    a, b = "2024-01-01 00:01:00", "2024-01-01 00:01:05"
+    got = [(r.DateTime.second, r.Value) for r in rs.resample(h, a, b).orderBy("DateTime").collect()]
+    assert got == [(0, 6.0), (1, 6.0), (2, 6.0), (3, 6.0), (4, 6.0), (5, 6.0)]
+    assert rs.resample(h, a, b, seeded=False).count() == 0
+    assert agg.aggregate(h, a, b, "avg", mode="filled").count() == 0
+    assert agg.aggregate(h, a, b, "avg", mode="seeded").first().Value == 6.0
+    assert agg.aggregate(h, a, b, "count", mode="raw").count() == 0
+
+
+@pytest.mark.parametrize("where,want", [("from", [(0, 5.0), (1, 5.0), (2, 5.0)]), ("to", [(2, 5.0)])])
+def test_one_sample_on_a_bound(spark, where, want):
+    a, b = "2024-01-01 00:00:00", "2024-01-01 00:00:02"
+    h = hist(spark, [("A", a if where == "from" else b, 5)])
+    got = [(r.DateTime.second, r.Value) for r in rs.resample(h, a, b).orderBy("DateTime").collect()]
+    assert got == want
+    assert rs.range_raw(h, a, b).count() == (1 if where == "from" else 0)      # half-open
+    assert rs.range_raw(h, a, b, bounds="[]").count() == 1
+
+
+def test_two_tags_one_absent(spark):
+    from tagscope.operators import pointintime as pit
+    rows = [("A", "2024-01-01 00:00:00", 1), ("B", "2024-01-01 00:00:45", 2)]
+    h = hist(spark, rows)
+    got = sorted((r.TagName, r.DateTime.second, r.Value) for r in pit.values_at_instants(
+        h, "2024-01-01 00:00:00", "2024-01-01 00:01:00", 4, tags="A, B, C").collect())
+    assert got == [("A", 0, 1.0), ("A", 15, 1.0), ("A", 30, 1.0), ("A", 45, 1.0),
+                   ("B", 0, None), ("B", 15, None), ("B", 30, None), ("B", 45, 2.0)]
