@@ -98,3 +98,19 @@ def test_bucket_count_errors(spark):
     with pytest.raises(ValueError):
         bk.buckets(h, S, E, 0, "avg")
     assert dt.datetime  # keep import
+
+
+@pytest.mark.parametrize("n,bounds", [(7, "[)"), (7, "[]"), (300, "[)"), (300, "[]"), (5999, "[]"), (6000, "[]")])
+def test_fast_bucket_path_equals_general(spark, n, bounds):
+    # offsets: every whole second of a 6000 s range plus random sub-second points
+    import random
+    from pyspark.sql import functions as F
+    rnd = random.Random(n)
+    T = 6000
+    xs = [s * 1_000_000 for s in range(T + 1)] + [rnd.randrange(T * 1_000_000) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in xs], "_x long")
+    if bounds == "[)":
+        df = df.filter(F.col("_x") < T * 1_000_000)
+    fast = df.select("_x", F.explode(bk.bucket_of("_x", T, n, bounds)).alias("i"))
+    slow = df.select("_x", F.explode(bk.bucket_members("_x", T, n, bounds)).alias("i"))
+    assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
