@@ -1,8 +1,8 @@
 """Time helpers that stay in TIMESTAMP_NTZ and in JVM expressions.
 
-All arithmetic is NTZ interval arithmetic against the NTZ epoch
-(``epoch_us``) or ``timestampadd`` on NTZ, so results never depend on the
-session time zone, and literals are typed NTZ so that range filters reach the
+Epoch values come from ``unix_timestamp`` and the seconds field, which read
+the stored NTZ wall time, and shifts use ``timestampadd`` on NTZ, so results
+never depend on the session time zone, and literals are typed NTZ so that range filters reach the
 Parquet scan as pushed filters.
 """
 
@@ -41,19 +41,25 @@ def seconds_between(start, end) -> int:
     return int((to_datetime(end) - to_datetime(start)).total_seconds())
 
 
+def epoch_seconds_trunc(col: str | Column) -> Column:
+    """Whole seconds since 1970 of a TIMESTAMP_NTZ, zone-free (``unix_timestamp``
+    on NTZ reads the stored wall time).  Truncated toward zero, so monotone but
+    one too high for fractional times before 1970: fine for chunk numbers."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.unix_timestamp(c)
+
+
 def epoch_us(col: str | Column) -> Column:
-    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, without any time zone.
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, exact and zone-free.
 
-    NTZ minus NTZ is a day-time interval (exact, zone-free); its day, hour,
-    minute and second fields give the microseconds in long and compact
-    decimal(16,6) arithmetic.  (``timestamp_diff`` would cast NTZ to the
-    session zone and shift wall times in DST gaps.)
+    Whole seconds from ``unix_timestamp`` (floored for times before 1970)
+    plus the microsecond of the second from the seconds field.  (``timestamp_diff``
+    would cast NTZ to the session zone and shift wall times in DST gaps.)
     """
     c = F.col(col) if isinstance(col, str) else col
-    iv = c - F.expr(EPOCH)
-    minutes = ((F.extract(F.lit("DAY"), iv).cast("long") * 24 + F.extract(F.lit("HOUR"), iv)) * 60
-               + F.extract(F.lit("MINUTE"), iv))
-    return minutes * F.lit(60 * US) + (F.extract(F.lit("SECOND"), iv) * F.lit(US)).cast("long")
+    frac = (F.extract(F.lit("SECOND"), c) * F.lit(US)).cast("long") % F.lit(US)
+    secs = F.unix_timestamp(c) - F.when((c < F.expr(EPOCH)) & (frac > 0), F.lit(1)).otherwise(F.lit(0))
+    return secs * F.lit(US) + frac
 
 
 def epoch_us_value(value) -> int:

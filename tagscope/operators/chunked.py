@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagscope.functions.timecols import US, epoch_us
+from tagscope.functions.timecols import epoch_seconds_trunc
 
 DEFAULT_CHUNK_SECONDS = 3600
 CK = "_ck"
@@ -36,9 +36,11 @@ def chunk_seconds() -> int:
 
 
 def time_chunk(col: str | Column, seconds: int | None = None) -> Column:
-    """Chunk number of a timestamp: ``floor(epoch / seconds)``."""
+    """Chunk number of a timestamp: ``floor(epoch seconds / width)``.  Any
+    monotone function of time is a valid chunking, so the cheap truncated
+    epoch seconds are used."""
     seconds = seconds or chunk_seconds()
-    return F.floor(epoch_us(col) / F.lit(seconds * US)).cast("long")
+    return F.floor(epoch_seconds_trunc(col) / F.lit(seconds)).cast("long")
 
 
 def index_chunk(col: str | Column, size: int = 4096) -> Column:
@@ -60,7 +62,7 @@ def adaptive_target(df: DataFrame) -> int | None:
 
 def chunk_widths(df: DataFrame, keys: Sequence[str], order: str, target_rows: int) -> DataFrame:
     """Per key: a chunk width (s) putting ~``target_rows`` of its densest hour in one chunk."""
-    hour = F.floor(epoch_us(order) / F.lit(3600 * US))
+    hour = F.floor(epoch_seconds_trunc(order) / F.lit(3600))
     peak = df.groupBy(*keys, hour.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
         F.max("_n").alias("_peak"))
     w = F.least(F.lit(MAX_CHUNK_SECONDS).cast("long"),
@@ -77,7 +79,7 @@ def with_chunk(df: DataFrame, keys: Sequence[str], order: str, chunk: Column | N
     if widths.count() > MAX_BROADCAST_KEYS:          # size check before broadcasting
         return df.withColumn(CK, time_chunk(order))
     j = df.join(F.broadcast(widths), list(keys), "left")
-    ck = F.floor(epoch_us(order) / (F.coalesce(F.col("_w"), F.lit(DEFAULT_CHUNK_SECONDS)) * F.lit(US))).cast("long")
+    ck = F.floor(epoch_seconds_trunc(order) / F.coalesce(F.col("_w"), F.lit(DEFAULT_CHUNK_SECONDS))).cast("long")
     return j.withColumn(CK, ck).drop("_w")
 
 
