@@ -107,9 +107,12 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str
     carry = edges.select(*keys, CK, *[shift(f"_e{i}").over(ws).alias(f"_c{i}") for i in range(len(cols))])
     j = d.join(carry, [*keys, CK], "left")
     w = Window.partitionBy(*keys, CK).orderBy(order)
-    at_edge = shift(F.lit(1)).over(w).isNull()
-    new = [F.when(at_edge, F.col(f"_c{i}")).otherwise(shift(c).over(w)).alias(prefix + c) for i, c in enumerate(cols)]
-    return j.select(*[F.col(c) for c in df.columns], *new)
+    # one window pass: the in-chunk neighbours and a single chunk-edge marker
+    lagged = j.select("*", shift(F.lit(1)).over(w).isNull().alias("_edge"),
+                      *[shift(c).over(w).alias(f"_s{i}") for i, c in enumerate(cols)])
+    new = [F.when(F.col("_edge"), F.col(f"_c{i}")).otherwise(F.col(f"_s{i}")).alias(prefix + c)
+           for i, c in enumerate(cols)]
+    return lagged.select(*[F.col(c) for c in df.columns], *new)
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], present: str,
