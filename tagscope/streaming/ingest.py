@@ -11,7 +11,6 @@ restarted or retried batch never duplicates rows.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +40,11 @@ def drop_stream(spark: SparkSession, source_dir: str, kind: str = "history",
          .option("columnNameOfCorruptRecord", "_corrupt_record")
          .option("timestampNTZFormat", TIME_FORMAT))
     if clean_source:
+        # "archive" (recommended) moves processed drops, corrupt ones included,
+        # to a folder beside the drop folder; "delete" removes them
         r = r.option("cleanSource", clean_source)
         if clean_source == "archive":
-            r = r.option("sourceArchiveDir", os.path.join(source_dir, "_archive"))
+            r = r.option("sourceArchiveDir", source_dir.rstrip("/") + "_archive")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.json(source_dir).withColumn("_file", F.col("_metadata.file_path"))
