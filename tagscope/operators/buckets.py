@@ -59,15 +59,28 @@ def _edge_us(i: str, T: int, n: int) -> str:
     return f"((({i}) * {T}L) div {n}L) * {US}L"
 
 
-def bucket_of(x_us: str, T: int, n: int, bounds: str) -> F.Column:
-    """Fast path (``N <= T``, bounds ``[)`` or ``[]``): array of the 1 or 2
-    buckets of ``x_us``, without a lambda, so it stays in generated code.
+def with_bucket_of(df: DataFrame, x_us: str, T: int, n: int, bounds: str) -> DataFrame:
+    """Fast path (``N <= T``, bounds ``[)`` or ``[]``): add ``_bk``, the array of
+    the 1 or 2 buckets of ``x_us``, without a lambda, so it stays in generated code.
 
     The estimate ``floor(x*N/T) + 1`` is corrected exactly against the integer
     edges (two rounds of +-1 cover the estimate's rounding and the truncated
     edge); a point on an inner edge of closed buckets also gets the bucket on
-    its left.
+    its left.  Each step is its own column, so no expression is repeated.
     """
+    d = df.withColumn("_bk", F.expr(f"cast(floor({x_us} / {US}D * {n} / {T}) as bigint) + 1"))
+    for _ in range(2):
+        d = d.withColumn("_bk", F.expr(f"case when {x_us} < {_edge_us('_bk - 1', T, n)} then _bk - 1 "
+                                       f"when {x_us} >= {_edge_us('_bk', T, n)} then _bk + 1 else _bk end"))
+    d = d.withColumn("_bk", F.expr(f"least(greatest(_bk, 1L), {n}L)"))
+    if bounds == "[]":
+        return d.withColumn("_bk", F.expr(f"case when _bk > 1 and {x_us} = {_edge_us('_bk - 1', T, n)} "
+                                          f"then array(_bk - 1, _bk) else array(_bk) end"))
+    return d.withColumn("_bk", F.array("_bk"))
+
+
+def bucket_of(x_us: str, T: int, n: int, bounds: str) -> F.Column:
+    """Column form of ``with_bucket_of`` (for tests and one-off use)."""
     c = f"cast(floor({x_us} / {US}D * {n} / {T}) as bigint) + 1"
     for _ in range(2):
         c = (f"(case when {x_us} < {_edge_us(f'({c}) - 1', T, n)} then ({c}) - 1 "
@@ -81,9 +94,12 @@ def bucket_of(x_us: str, T: int, n: int, bounds: str) -> F.Column:
 
 def _explode_buckets(rows: DataFrame, start, T: int, n: int, bounds: str) -> DataFrame:
     x = rows.withColumn("_x", epoch_us("DateTime") - F.lit(epoch_us_value(start)))
-    members = bucket_of("_x", T, n, bounds) if (0 < n <= T and bounds in ("[)", "[]")) \
-        else bucket_members("_x", T, n, bounds)
-    return x.withColumn("i", F.explode(members)).drop("_x")
+    if 0 < n <= T and bounds in ("[)", "[]"):
+        # never empty: explode_outer avoids the inferred size(_bk) > 0 filter,
+        # which Catalyst would push down by inlining every step of _bk
+        return with_bucket_of(x, "_x", T, n, bounds).withColumn("i", F.explode_outer("_bk")).drop("_x", "_bk")
+    x = x.withColumn("_bk", bucket_members("_x", T, n, bounds))
+    return x.withColumn("i", F.explode("_bk")).drop("_x", "_bk")
 
 
 def buckets_raw(history: DataFrame, start, end, n: int, group: str, tags=None, bounds: str = "[)") -> DataFrame:

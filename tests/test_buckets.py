@@ -111,6 +111,8 @@ def test_fast_bucket_path_equals_general(spark, n, bounds):
     df = spark.createDataFrame([(x,) for x in xs], "_x long")
     if bounds == "[)":
         df = df.filter(F.col("_x") < T * 1_000_000)
-    fast = df.select("_x", F.explode(bk.bucket_of("_x", T, n, bounds)).alias("i"))
+    fast = bk.with_bucket_of(df, "_x", T, n, bounds).select("_x", F.explode("_bk").alias("i"))
+    fast_col = df.select("_x", F.explode(bk.bucket_of("_x", T, n, bounds)).alias("i"))
+    assert fast.exceptAll(fast_col).count() == 0
     slow = df.select("_x", F.explode(bk.bucket_members("_x", T, n, bounds)).alias("i"))
     assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
