@@ -569,7 +569,7 @@ ba as (select tg.TagName, b.hi as DateTime, round(round(a.v, {DIGITS}) * 100.0)
 with {_BUCKET_AVG_SQL}
 select strftime(DateTime, '%Y-%m-%d %H:%M:%S') as time,
        to_json({{'time': strftime(DateTime, '%Y-%m-%d %H:%M:%S'),
-                 'data': list({{'name': TagName, 'value': v}} order by TagName, v nulls first)}}) as json
+                 'data': list({{'name': TagName, 'value': v}} order by TagName, v nulls first)}})::varchar as json
 from ba group by DateTime""")
 def q_grafana_by_time(spark, sf_dir):
     # the chart of the registered bucket result (6-digit means, as in buckets_raw)
@@ -580,7 +580,7 @@ def q_grafana_by_time(spark, sf_dir):
 with {_BUCKET_AVG_SQL}
 select TagName as target, floor(epoch_us(DateTime) / {exp.SERIES_CHUNK_SECONDS * 1_000_000})::bigint as chunk,
        to_json({{'target': TagName, 'datapoints': list({{'value': v, 'ms': epoch_us(DateTime) // 1000}}
-                 order by epoch_us(DateTime) // 1000, v nulls first)}}) as json
+                 order by epoch_us(DateTime) // 1000, v nulls first)}})::varchar as json
 from ba group by TagName, chunk""")
 def q_grafana_by_series(spark, sf_dir):
     return exp.grafana_by_series(q_buckets_raw(spark, sf_dir))
@@ -643,7 +643,7 @@ def q_export_xml_rows(spark, sf_dir):
 with {_BUCKET_AVG_SQL}
 select TagName, floor(epoch_us(DateTime) / {exp.SERIES_CHUNK_SECONDS * 1_000_000})::bigint as chunk,
        to_json(map_from_entries(list({{'k': strftime(DateTime, '%Y-%m-%d %H:%M:%S'), 'v': v}}
-                                     order by strftime(DateTime, '%Y-%m-%d %H:%M:%S')))) as json
+                                     order by strftime(DateTime, '%Y-%m-%d %H:%M:%S'))))::varchar as json
 from ba group by TagName, chunk""")
 def q_export_tag_time_map(spark, sf_dir):
     return exp.tag_time_map(q_buckets_raw(spark, sf_dir), ROUND)

@@ -28,6 +28,17 @@ def norm(v):
     return repr(v)
 
 
+DUCK_TO_SPARK = {"DOUBLE": "double", "BIGINT": "bigint", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz",
+                 "INTEGER": "int", "BOOLEAN": "boolean", "DATE": "date"}
+
+
+def type_diffs(df, rel):
+    """Columns whose Spark type differs from the DuckDB oracle's type."""
+    st = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    dt = {c: DUCK_TO_SPARK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    return [(c, st.get(c), dt.get(c)) for c in sorted(set(st) | set(dt)) if st.get(c) != dt.get(c)]
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted(tuple(norm(r[i]) for i in order) for r in rows), sorted(cols)
@@ -59,12 +70,15 @@ def main():
         orows = res.fetchall()
         s, scols = rows_of(df.columns, srows)
         o, ocols = rows_of(res.columns, orows)
-        ok = s == o and scols == ocols
+        tdiff = type_diffs(df, res)
+        ok = s == o and scols == ocols and not tdiff
         bad += not ok
         print(f"{name:28s} spark={len(s):8d} oracle={len(o):8d} {'OK' if ok else 'MISMATCH'} {ts:.1f}s")
         if not ok:
             if scols != ocols:
                 print("   cols", scols, ocols)
+            if tdiff:
+                print("   types (col, spark, duckdb)", tdiff)
             ss, oo = set(s), set(o)
             print("   spark-only", sorted(ss - oo)[:3])
             print("   oracle-only", sorted(oo - ss)[:3])
