@@ -60,6 +60,21 @@ def adaptive_target(df: DataFrame) -> int | None:
     return int(v) if v else ADAPTIVE_TARGET_ROWS
 
 
+def shuffled_by_chunk(df: DataFrame, keys: Sequence[str], order: str, chunk: Column | None = None) -> DataFrame:
+    """Rows with their chunk, hash-partitioned once by ``(keys, chunk)``.
+
+    Both the chunk-edge summary (an aggregate whose distribution this already
+    satisfies) and the windowed main pass read this one exchange, which Spark
+    reuses: the input is scanned and shuffled once.  Rows with a NULL key are
+    dropped (they belong to no series); filtering them here also keeps both
+    branches identical, since a join would otherwise add that filter to one side.
+    """
+    d = with_chunk(df, keys, order, chunk)
+    for k in keys:
+        d = d.filter(F.col(k).isNotNull())
+    return d.repartition(*keys, CK)
+
+
 def chunk_widths(df: DataFrame, keys: Sequence[str], order: str, target_rows: int) -> DataFrame:
     """Per key: a chunk width (s) putting ~``target_rows`` of its densest hour in one chunk."""
     hour = F.floor(epoch_seconds_trunc(order) / F.lit(3600))
@@ -100,7 +115,7 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str
     if small:  # proven small input: one plain window is bounded and cheaper
         w1 = Window.partitionBy(*keys).orderBy(order)
         return df.select(*[F.col(c) for c in df.columns], *[shift(c).over(w1).alias(prefix + c) for c in cols])
-    d = with_chunk(df, keys, order, chunk)
+    d = shuffled_by_chunk(df, keys, order, chunk)
     pick = F.max_by if direction < 0 else F.min_by
     edges = d.groupBy(*keys, CK).agg(*[pick(F.col(c), F.col(order)).alias(f"_e{i}") for i, c in enumerate(cols)])
     ws = Window.partitionBy(*keys).orderBy(CK)
@@ -120,7 +135,7 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[
     """Rows where ``present`` is false take ``cols`` from the last earlier row
     of their key where it is true (NULL when there is none)."""
     keys, cols = list(keys), list(cols)
-    d = with_chunk(df, keys, order, chunk)
+    d = shuffled_by_chunk(df, keys, order, chunk)
     o = F.when(F.col(present), F.col(order))
     edges = d.groupBy(*keys, CK).agg(F.max(o).alias("_eo"),
                                      *[F.max_by(F.col(c), o).alias(f"_e{i}") for i, c in enumerate(cols)])
@@ -142,7 +157,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: s
                 chunk: Column | None = None) -> DataFrame:
     """Cumulative sum of ``col`` per key in ``order`` (NULLs count as 0)."""
     keys, order = list(keys), list(order)
-    d = with_chunk(df, keys, order[0], chunk) if len(order) == 1 else df.withColumn(CK, _default_chunk(order, chunk))
+    d = shuffled_by_chunk(df, keys, order[0], chunk) if len(order) == 1 else \
+        df.withColumn(CK, _default_chunk(order, chunk)).repartition(*keys, CK)
     totals = d.groupBy(*keys, CK).agg(F.sum(col).alias("_tot"))
     before = Window.partitionBy(*keys).orderBy(CK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, CK, F.coalesce(F.sum("_tot").over(before), F.lit(0.0)).alias("_carry"))
@@ -167,7 +183,8 @@ def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
         w1 = Window.partitionBy(*keys).orderBy(*order)
         return (df.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") == n + 1)
                 .select(*[F.col(c) for c in df.columns]))
-    d = with_chunk(df, keys, order[0], chunk) if len(order) == 1 else df.withColumn(CK, _default_chunk(order, chunk))
+    d = shuffled_by_chunk(df, keys, order[0], chunk) if len(order) == 1 else \
+        df.withColumn(CK, _default_chunk(order, chunk)).repartition(*keys, CK)
     counts = d.groupBy(*keys, CK).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(CK).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, CK, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
