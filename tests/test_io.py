@@ -211,3 +211,12 @@ def test_long_tag_list_semi_join(spark):
     assert got.count() == h.filter(h.TagName.isin(names[:3])).count()
     tags_df = spark.createDataFrame([("A20_WT_01",)], "TagName string")
     assert flt.filter_tags(h, tags_df).count() == h.filter("TagName = 'A20_WT_01'").count()
+
+
+def test_api_up_dates_and_decode(spark):
+    s = td.state_history(spark, SF_SMALL)
+    ups = api.get_up_dates(spark, s, None, "2024-01-01 00:00:00", "2024-02-01 00:00:00")
+    first = api.get_up_dates(spark, s, None, "2024-01-01 00:00:00", "2024-02-01 00:00:00", count=0)
+    assert ups.count() >= first.count() == ups.select("TagName").distinct().count()
+    d = api.decode(spark.createDataFrame([("A20_WT_01",)], "TagName string")).first()
+    assert (d.area, d.device_type_id, d.device_num) == ("20", "WT", "01")
