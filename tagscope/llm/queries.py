@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagscope.llm import bpe_automaton, mixing
+from tagscope.llm import bpe_automaton, mixing, quality_gbdt, quality_rules, secrets, toxicity
 from tagscope.llm.common import table
 
 QUERIES: dict = {}
@@ -52,6 +52,21 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "size", "source_size", "target", "taken")
 
 
+# ---- 5: secret scans ----------------------------------------------------------------
+@register("op5_secret_links")
+def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs).select("doc_id", "secret_spans")
+
+    def count(kind):
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.STRONG],
+        F.sha2(secrets.joined_spans(secrets.strong_spans(F.col("secret_spans"))).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined_spans(F.col("secret_spans")).alias("spans"))
+
+
 # ---- 10: BPE encoding and decoding ------------------------------------------------
 def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
@@ -60,3 +75,21 @@ def vocabulary() -> str:
 @register("op10_bpe_automaton")
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(table(spark, sf_dir, "documents"), vocabulary(), ids=False)
+
+
+# ---- 4, 6, 8: models over texts ------------------------------------------------------
+@register("op4_quality_trees")
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbdt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_toxicity_chain")
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
