@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagscope.llm.common import held_out
-from tagscope.llm.textgrid import STEPS, U, Block, blocks, mixed
+from tagscope.llm.textgrid import LETTER, LOWER, STEPS, U, Block, blocks, mixed
 
 BITS = 18
 DIM = 1 << BITS
 # Families of n-grams: name -> seed.  Each family's counts are divided by their
 # sum in the text, so a text is scored by the mean weight of its n-grams.
-WORDS, PAIRS, HEADS, CHARS3, CHARS4 = range(5)
+WORDS, PAIRS, HEADS, CHARS3, CHARS4, STEMS = range(6)
 SCALE = 12.0
 
 
@@ -31,10 +31,12 @@ def ngrams(block: Block, families: tuple[int, ...]) -> Iterator[tuple[np.ndarray
             h, at = block.word_windows(words, 2)
             same = words[at] == words[at + 1]
             h, owner = np.where(same, U(12345), h), block.word_doc[at]
-        elif family == HEADS:   # first bytes of words of more than five
-            long = block.word_stop - block.word_start > 5
+        elif family == STEMS:   # words without their punctuation
+            h, owner = block.word_hashes(lower=True, kept=LETTER), block.word_doc
+        elif family == HEADS:   # first bytes of longer words
+            long = block.word_stop - block.word_start >= 5
             at = block.word_start[long]
-            h, owner = _bytes(block.data, at, 5), block.word_doc[long]
+            h, owner = _bytes(LOWER[block.data], at, 5), block.word_doc[long]
         else:
             n = 3 if family == CHARS3 else 4
             owner = np.repeat(np.arange(block.n), np.maximum(block.size - n + 1, 0))
@@ -85,8 +87,12 @@ def scores(block: Block, families: tuple[int, ...], weights: np.ndarray) -> np.n
 class Sparse:
     """Training rows as one long list of (row, bucket, value), with dense extras."""
 
-    def __init__(self, features: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, features: list[tuple[np.ndarray, np.ndarray]], least_rows: int = 1):
+        """Buckets that occur in fewer than ``least_rows`` rows are left out."""
         self.n = len(features)
+        if least_rows > 1 and features:
+            often = np.bincount(np.concatenate([b for b, _ in features]), minlength=DIM) >= least_rows
+            features = [(b[often[b]], v[often[b]]) for b, v in features]
         self.row = np.repeat(np.arange(self.n), [len(b) for b, _ in features])
         bucket = np.concatenate([b for b, _ in features]) if features else np.zeros(0, np.int64)
         self.value = np.concatenate([v for _, v in features]) if features else np.zeros(0)

@@ -19,6 +19,8 @@ _BASE = U(0x9E3779B97F4A7C15 | 1)
 STEPS = _RNG.integers(1, 1 << 63, 16, dtype=U) | U(1)     # for n-grams of words or bytes
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True                      # fixed values: the blanks of the word rule
+LETTER = np.zeros(256, bool)
+LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _POWERS = [np.ones(1, U)]
@@ -78,10 +80,20 @@ class Block:
         """Bytes of each text for which the mask holds."""
         return np.add.reduceat(mask, self.start, dtype=np.int64) if self.n else np.zeros(0, np.int64)
 
-    def word_hashes(self, lower: bool = False) -> np.ndarray:
-        kept = self.data[self.word_byte]
+    def word_hashes(self, lower: bool = False, kept: np.ndarray | None = None) -> np.ndarray:
+        """One hash per word; ``kept`` marks the byte values that count (a word
+        without any hashes as empty)."""
+        raw = self.data[self.word_byte]
         length = self.word_stop - self.word_start
-        return segment_hashes(LOWER[kept] if lower else kept, np.cumsum(length) - length)
+        if kept is not None:
+            counts = kept[raw]
+            length = np.add.reduceat(counts, np.cumsum(length) - length, dtype=np.int64) if len(length) else length
+            raw = raw[counts]
+        out = np.zeros(len(length), U)
+        some = length > 0
+        starts = (np.cumsum(length) - length)[some]
+        out[some] = segment_hashes(LOWER[raw] if lower else raw, starts)
+        return out
 
     def word_chars(self) -> np.ndarray:
         """Code points in words, per text (bytes that continue none)."""

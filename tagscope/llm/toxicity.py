@@ -14,9 +14,11 @@ from tagscope.llm import hashed
 from tagscope.llm.common import held_out
 from tagscope.llm.textgrid import Block, blocks
 
-FAMILIES = (hashed.WORDS, hashed.HEADS)
+FAMILIES = (hashed.STEMS, hashed.HEADS, hashed.CHARS4)
 MAX_TRAIN_ROWS = 5000     # labelled rows the chain is fitted on, at most
 FOLDS = 3
+L2 = 5e-4
+LEAST_ROWS = 8            # n-grams of fewer sample rows are not learned (fewer in small samples)
 TOXIC_AT = 0.5
 # Categories in chain order.  Labels tell toxic from not; a labelled toxic text
 # belongs to a category when it holds one of its words, and to "coded" when it
@@ -65,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, doc_
                                              lambda block: hashed.rows(block, FAMILIES), max_rows)
     y = np.stack([(bits.astype(int) >> k) & 1 for k in range(len(CHAIN))], 1).astype(float) if len(bits) else np.zeros((0, len(CHAIN)))
     weights, earlier, intercept = np.zeros((hashed.DIM, len(CHAIN)), np.float32), [], np.full(len(CHAIN), -40.0)
-    x = hashed.Sparse(features)
+    x = hashed.Sparse(features, max(2, min(LEAST_ROWS, len(y) // 200)))
     fold = np.arange(len(y)) % FOLDS
     known = np.zeros((len(y), 0))
     for k in range(len(CHAIN)):
@@ -73,10 +75,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, doc_
         if len(target) and target.min() < target.max():
             balance = np.where(target > 0, 0.5 / target.mean(), 0.5 / (1 - target.mean()))
             for f in range(FOLDS):
-                w, d, b = hashed.fit_logistic(x, target, balance * (fold != f), known, l2=1e-5)
+                w, d, b = hashed.fit_logistic(x, target, balance * (fold != f), known, l2=L2)
                 z = x.times(w[x.used]) + known @ d + b
                 fresh[fold == f] = hashed.sigmoid(z[fold == f])
-            w, d, b = hashed.fit_logistic(x, target, balance, known, l2=1e-5)
+            w, d, b = hashed.fit_logistic(x, target, balance, known, l2=L2)
             weights[:, k], intercept[k] = w, b
             earlier.append(d)
         else:
