@@ -14,7 +14,7 @@ from tagscope.llm import hashed
 from tagscope.llm.common import held_out
 from tagscope.llm.textgrid import Block, blocks
 
-FAMILIES = (hashed.STEMS, hashed.HEADS, hashed.CHARS4)
+FAMILIES = (hashed.STEMS, hashed.HEADS)
 MAX_TRAIN_ROWS = 5000     # labelled rows the chain is fitted on, at most
 FOLDS = 3
 L2 = 5e-4
