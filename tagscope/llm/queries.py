@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagscope.llm import bpe_automaton, mixing, quality_gbdt, quality_rules, secrets, toxicity
+from tagscope.llm import ann, bpe_automaton, mixing, quality_gbdt, quality_rules, secrets, toxicity
 from tagscope.llm.common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# ---- 2: approximate nearest neighbours ------------------------------------------
+@register("op2_nearest_vectors")
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 # ---- 3: mixing sources to target weights ----------------------------------------
 MIX_SQL = f"""
 with sized as (
