@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagscope.llm import ann, bpe_automaton, mixing, quality_gbdt, quality_rules, secrets, toxicity
+from tagscope.llm import ann, bpe_automaton, html_templates, mixing, quality_gbdt, quality_rules, secrets, toxicity
 from tagscope.llm.common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# ---- 1: HTML extraction ------------------------------------------------------------
+@register("op1_main_text")
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_templates.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 # ---- 2: approximate nearest neighbours ------------------------------------------
 @register("op2_nearest_vectors")
 def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
