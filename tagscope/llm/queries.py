@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagscope.llm import ann, bpe_automaton, html_templates, mixing, quality_gbdt, quality_rules, secrets, toxicity
+from tagscope.llm import ann, bpe_automaton, html_templates, mixing, ngram_join, quality_gbdt, quality_rules, secrets, toxicity
 from tagscope.llm.common import table
 
 QUERIES: dict = {}
@@ -79,6 +79,12 @@ def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined_spans(F.col("secret_spans")).alias("spans"))
 
 
+# ---- 9: n-gram Jaccard join ----------------------------------------------------------
+@register("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 # ---- 10: BPE encoding and decoding ------------------------------------------------
 def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
