@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagscope.llm import ann, bpe_automaton, html_templates, mixing, ngram_join, quality_gbdt, quality_rules, secrets, toxicity
+from tagscope.llm import ann, bpe_automaton, html_templates, mixing, ngram_join, quality_gbdt, quality_rules, secrets, tool_chat, toxicity
 from tagscope.llm.common import table
 
 QUERIES: dict = {}
@@ -79,6 +79,13 @@ def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined_spans(F.col("secret_spans")).alias("spans"))
 
 
+# ---- 7: chat formatting --------------------------------------------------------------
+@register("op7_tool_chats")
+def op7_tool_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations``, in the tool wire format, formatted."""
+    return tool_chat.format_chats(tool_chat.as_tool_transcript(table(spark, sf_dir, "conversations")), tool_chat.ANSWER_SCHEMA)
+
+
 # ---- 9: n-gram Jaccard join ----------------------------------------------------------
 @register("op9_ngram_join")
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
