@@ -44,6 +44,21 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+class Renamed:
+    """A table under plain column names (c0, c1, ...), so that columns an
+    operator adds cannot clash with the table's own; ``back`` restores them."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def name(self, column: str) -> str:
+        return f"c{self.names.index(column)}"
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.df.columns).toDF(*self.names)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")

@@ -143,19 +143,17 @@ def deduce(pages: list[list[Token]]) -> Template:
             if len(inside) == 1:
                 template.nested.setdefault(inside.pop(), []).append(frozenset(members))
 
-    # what encloses each slot, from the skeleton's own tags
-    first = {t.role: t for t in pages[0]}
+    # what encloses each slot, on the first page
     around: list[list[Token]] = [[]]
-    for r in skeleton:
-        t, stack = first[r], list(around[-1])
+    stack: list[Token] = []
+    for t in pages[0]:
         if t.kind == "open":
-            stack.append(t)
+            stack = [*stack, t]
         elif t.kind == "close":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == t.name:
-                    del stack[k:]
-                    break
-        around.append(stack)
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == t.name), None)
+            stack = stack if at is None else stack[:at]
+        if t.role in marks:
+            around.append(stack)
     allowed = [not any(t.furniture for t in stack) for stack in around]
     has_main = any(t.kind == "open" and t.name in MAIN for page in pages for t in page)
     if has_main:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagscope.llm.common import id_key, word_count
+from tagscope.llm.common import Renamed, id_key, word_count
 
 WEIGHTS = (5, 2, 1)      # given to the sources in order, repeating
 MAX_EPOCHS = 3           # no source is read more often than this
@@ -97,11 +97,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
         .drop(*[c for c in rows.columns if c.startswith("_mix")])
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
+                    doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken; the
     one partly taken document of a source appears when half of it or more is
     (documents stay whole).  Columns are those of ``docs``."""
-    m = mix(docs.select("*", F.lit(0).alias("_keep")), **options)
+    names = Renamed(docs)
+    m = mix(names.df, weights, max_epochs, seed, *[names.name(c) for c in (doc_id, text, source)])
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rows = m.withColumn("_times", times).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return names.back(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tagscope.llm import hashed
-from tagscope.llm.common import held_out
+from tagscope.llm.common import Renamed, held_out
 from tagscope.llm.textgrid import Block, blocks
 
 MAX_TRAIN_ROWS = 20_000   # labelled rows the trees are fitted on, at most
@@ -192,5 +192,6 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, columns unchanged."""
-    return score_documents(docs, fit(docs, labels, doc_id=doc_id, text=text), doc_id, text) \
-        .where("predicted = 1").select(*docs.columns)
+    names = Renamed(docs)
+    forest = fit(docs, labels, doc_id=doc_id, text=text)
+    return names.back(score_documents(names.df, forest, names.name(doc_id), names.name(text)).where("predicted = 1"))

@@ -44,12 +44,12 @@ with sized as (
 tot as (select source, sum(size)::bigint as source_size from sized group by source),
 ranked as (select *, [{', '.join(map(str, mixing.WEIGHTS))}][((row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)}) + 1] as w,
                   {mixing.MAX_EPOCHS} * source_size as cap from tot),
-lev as (select *, row_number() over o as at,
+lev as (select *, row_number() over o as pos,
                (sum(source_size) over () - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))::double
                / sum(w) over (o rows between current row and unbounded following) as lvl
         from ranked window o as (order by cap / w, source nulls last)),
-stop as (select min(at) as at0, arg_min(lvl, at) as lvl0 from lev where cap > lvl * w),
-tgt as (select source as s, source_size, case when at0 is null or at < at0 then cap::double else lvl0 * w end as target from lev, stop),
+stop as (select min(pos) as pos0, arg_min(lvl, pos) as lvl0 from lev where cap > lvl * w),
+tgt as (select source as s, source_size, case when pos0 is null or pos < pos0 then cap::double else lvl0 * w end as target from lev, stop),
 ex as (select *, case when source_size > 0 then least(floor(target / source_size), {mixing.MAX_EPOCHS}) else 0 end::bigint as whole from tgt),
 run as (select d.*, source_size, target, whole, round(target)::bigint - whole * source_size as extra,
                sum(size) over (partition by source order by h, doc_id, size rows unbounded preceding) - size as start

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagscope.llm.common import id_key
+from tagscope.llm.common import Renamed, id_key
 
 SCOPE = 256            # code points between two parts of one credential, at most
 MARK = "[SECRET]"
@@ -149,8 +149,11 @@ def masked(text: Column, spans: Column, mark: str = MARK) -> Column:
 def mask_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all secrets masked in the text (``n_chars``, where there is
     such a column, follows); same rows and columns."""
-    out = scan(docs, doc_id, text).withColumn(text, masked(F.col(text), F.col("secret_spans")))
+    names = Renamed(docs)
+    body = names.name(text)
+    out = scan(names.df, names.name(doc_id), body).withColumn(body, masked(F.col(body), F.col("secret_spans")))
     if "n_chars" in docs.columns:
-        n = F.when(F.size("secret_spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType))
-        out = out.withColumn("n_chars", F.coalesce(n, F.col("n_chars")))
-    return out.select(*docs.columns)
+        size = names.name("n_chars")
+        n = F.when(F.size("secret_spans") > 0, F.length(body).cast(names.df.schema[size].dataType))
+        out = out.withColumn(size, F.coalesce(n, F.col(size)))
+    return names.back(out)
