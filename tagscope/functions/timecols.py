@@ -18,12 +18,13 @@ US = 1_000_000
 
 
 def to_datetime(value) -> _dt.datetime:
-    """Accept a datetime or ISO-like text (``2024-01-10 00:00:00``)."""
+    """A naive UTC datetime from a datetime or ISO-like text (``2024-01-10
+    00:00:00``); an offset, in either form, is converted to UTC."""
     if isinstance(value, _dt.datetime):
-        return value.replace(tzinfo=None)
+        return value if value.tzinfo is None else value.astimezone(_dt.timezone.utc).replace(tzinfo=None)
     if isinstance(value, _dt.date):
         return _dt.datetime(value.year, value.month, value.day)
-    return _dt.datetime.fromisoformat(str(value).strip().replace("T", " "))
+    return to_datetime(_dt.datetime.fromisoformat(str(value).strip()))
 
 
 def ts_text(value) -> str:
@@ -36,6 +37,11 @@ def ts_lit(value) -> Column:
     return F.expr(f"TIMESTAMP_NTZ'{ts_text(value)}'")
 
 
+def div(a: Column, b: int) -> Column:
+    """Whole quotient of non-negative integers, exact beyond 2^53."""
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
 def seconds_between(start, end) -> int:
     """Whole seconds from ``start`` to ``end`` (both at second resolution)."""
     return int((to_datetime(end) - to_datetime(start)).total_seconds())

@@ -7,7 +7,8 @@ Rules (the reference's date parser):
   not a number                    -> error ``not a float``;
   above 1e9                       -> epoch **milliseconds**;
   otherwise                       -> Excel day serial, ``(x - 25569) * 86400``
-  seconds, truncated to whole seconds
+  seconds, truncated to whole seconds; outside the years 1 to 9999 -> error
+  ``date is not valid``
 * with ``:``                      -> the layouts below, first match wins;
   none matches                    -> error ``date is not valid``
 
@@ -45,6 +46,7 @@ EXCEL_EPOCH_DAYS = 25569.0
 EPOCH_MS_THRESHOLD = 1e9
 ERR_INVALID_DATE = "date is not valid"
 ERR_NOT_A_FLOAT = "not a float"
+YEARS_1_TO_9999 = (-62_135_596_800_000_000, 253_402_300_799_999_999)   # microseconds
 
 _NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -61,19 +63,40 @@ def _parse_layout(text: Column, pattern: str, has_offset: bool) -> Column:
 
 
 def parse_text_time(text: Column, layouts=DATE_LAYOUTS) -> Column:
-    """Cascade over the layouts; NULL when none matches."""
+    """NULL when no layout matches.  The shape of the text (year or day first,
+    blank or T, seconds, trailing Z or offset) leaves one or two layouts to try."""
     s = F.regexp_replace(text, " +", " ")
-    return F.coalesce(*[_parse_layout(s, p, off) for p, off in layouts])
+    found = F.lit(None).cast("timestamp_ntz")
+    for shape, members in reversed(_by_shape(layouts).items()):
+        found = F.when(s.rlike(shape), F.coalesce(*[_parse_layout(s, p, off) for p, off in members])).otherwise(found)
+    return found
+
+
+def _by_shape(layouts) -> dict[str, list]:
+    """Layouts by a pattern that every text they accept has."""
+    out: dict[str, list] = {}
+    for pattern, has_offset in layouts:
+        day = "^[0-9]{4}-" if pattern.startswith("yyyy") else "^[0-9]{2}[.]"
+        blank = "[^T]*T" if "'T'" in pattern else "[^T]* "
+        seconds = "[^:]*:[0-9]{2}:" if ":ss" in pattern else "[^:]*:[0-9]{2}$"
+        end = "" if ":ss" not in pattern else ".*Z$" if "'Z'" in pattern else ".*([+-][0-9]{2}:[0-9]{2}|Z)$" if has_offset else "[0-9.]*$"
+        out.setdefault(day + blank + seconds + end, []).append((pattern, has_offset))
+    return out
+
+
+def _decimal_point(text: Column) -> Column:
+    return F.regexp_replace(text, "^([^,]*),", "$1.")
 
 
 def parse_number_time(text: Column) -> Column:
     """Epoch milliseconds (> 1e9) or Excel serial; NULL when not a number."""
-    s = F.regexp_replace(text, "^([^,]*),", "$1.")
+    s = _decimal_point(text)
     x = F.when(s.rlike(_NUMBER), s.try_cast("double"))
     ms = x.try_cast("long")
     excel_s = ((x - F.lit(EXCEL_EPOCH_DAYS)) * F.lit(86400.0)).try_cast("long")
-    return (F.when(x > F.lit(EPOCH_MS_THRESHOLD), from_epoch_us(ms * F.lit(1000)))
-            .otherwise(from_epoch_us(excel_s * F.lit(1_000_000))))
+    us = F.when(x > F.lit(EPOCH_MS_THRESHOLD), F.try_multiply(ms, F.lit(1000))) \
+        .otherwise(F.try_multiply(excel_s, F.lit(1_000_000)))
+    return F.when(us.between(*YEARS_1_TO_9999), from_epoch_us(us))
 
 
 def normalise_time(raw: Column, layouts=DATE_LAYOUTS) -> Column:
@@ -83,7 +106,7 @@ def normalise_time(raw: Column, layouts=DATE_LAYOUTS) -> Column:
               .when(has_colon, parse_text_time(raw, layouts))
               .otherwise(parse_number_time(raw)))
     error = (F.when(parsed.isNotNull(), F.lit(None).cast("string"))
-             .when(raw.isNull() | (raw == "") | has_colon, F.lit(ERR_INVALID_DATE))
+             .when(raw.isNull() | (raw == "") | has_colon | _decimal_point(raw).rlike(_NUMBER), F.lit(ERR_INVALID_DATE))
              .otherwise(F.lit(ERR_NOT_A_FLOAT)))
     return F.struct(parsed.alias("DateTime"), error.alias("error"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tagscope.functions.timecols import epoch_us_value, ts_lit
 from tagscope.operators import pointintime as pit
 from tagscope.operators.chunked import index_chunk, neighbour
-from tagscope.operators.filters import filter_range, filter_tags
+from tagscope.operators.filters import complete_tags, filter_range, filter_tags
 from tagscope.operators.resample import fill_runs
 from tagscope.operators.rollup import around_source, asof_source
 
@@ -85,10 +85,9 @@ def cyclic_runs(history: DataFrame, start, end, step_ms: int = 60000, tags=None,
     span_us = epoch_us_value(end) - epoch_us_value(start)
     k = max(0, -(-span_us // step_us))
     last_at = pit.from_us_value(epoch_us_value(start) + max(k - 1, 0) * step_us)
-    runs, small = pit.instant_runs(filter_tags(history, tags), start, k,
-                                   lambda x: pit._first_instant_step(x, step_us), last_at, lookback_seconds, rollup)
-    runs = runs.select("TagName", "i", "Value")
-    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size), small=small)
+    runs = pit.instant_runs(filter_tags(history, tags), start, k,
+                            lambda x: pit._first_instant_step(x, step_us), last_at, lookback_seconds, rollup)
+    nb = neighbour(runs.select("TagName", "i", "Value"), ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
     return nb.select("TagName", "i", F.coalesce("next_i", F.lit(k).cast("long")).alias("next_i"), "Value")
 
 
@@ -136,11 +135,23 @@ def aggregate(history: DataFrame, start, end, group: str, mode: str = "filled",
     """AGG12: grouped value per tag for any group name and series mode.
 
     ``dif`` is the last-value difference except in ``raw`` mode (interpolated,
-    as MySQL); ``avgm`` is the plain mean of the mode's retrieved series.
+    as MySQL); ``avgm`` is the plain mean of the mode's retrieved series.  With
+    a list of tags each asked tag has its row, also without samples (count 0,
+    otherwise NULL).
     """
     g = check_group(group)
+    check_mode(mode)
+    found = _aggregate(history, start, end, g, mode, tags, lookback_seconds, rollup)
+    return complete_tags(found, tags, end, 0.0 if g == "count" else None)
+
+
+def check_mode(mode: str) -> str:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    return mode
+
+
+def _aggregate(history, start, end, g, mode, tags, lookback_seconds, rollup) -> DataFrame:
     if g == "dif":
         return aggregate_dif(history, start, end, tags, interpolate=(mode == "raw"), rollup=rollup)
     if g == "avgm":

@@ -5,9 +5,13 @@ Edges are ``from + (i*T) div N`` seconds, i = 0..N; bucket i (1-based) spans
 right edge.  A sample finds its buckets by arithmetic: a handful of candidate
 numbers around ``x*N/T`` are generated and filtered by exact integer edge
 tests, so a sample on an inner edge of a closed bucket lands in both buckets
-and no range join is needed.  Empty buckets come from a small tag x bucket
-grid: left-joined to the checkpointed bucket aggregate (raw samples) or
-unioned in before the final aggregation (filled series).
+and no range join is needed.  Empty buckets are added to the reduced rows of each
+tag (at most N of them), so the samples are read once.
+
+Every mode is the series a single range of that mode would give, bucket by
+bucket: ``raw`` samples in ``[)``, ``closed_raw`` in ``[]``, ``filled`` the
+1-second series of the closed bucket, ``seeded`` the same with the last known
+values at both edges, ``cyclic`` the held value every minute from the left edge.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagscope.functions.timecols import US, add_seconds, epoch_us, epoch_us_value, seconds_between
+from tagscope.functions.timecols import US, add_seconds, div, epoch_us, epoch_us_value, seconds_between
 from tagscope.operators import pointintime as pit
-from tagscope.operators.aggregate import check_group, raw_agg, weighted_agg
-from tagscope.operators.chunked import index_chunk, neighbour
-from tagscope.operators.filters import filter_range, filter_tags
+from tagscope.operators.aggregate import MODES, check_group, raw_agg, weighted_agg
+from tagscope.operators.chunked import explode_span, index_chunk, neighbour
+from tagscope.operators.filters import asked_names, filter_range, filter_tags
 from tagscope.operators.resample import fill_runs
-from tagscope.session import shared
+from tagscope.operators.rollup import asof_source
 
 
 def _check_n(n):
@@ -45,8 +49,16 @@ def bucket_members(x_us: str, T: int, n: int, bounds: str) -> F.Column:
     return F.expr(f"case when {lo} <= {hi} then filter(sequence({lo}, {hi}), b -> {test}) else array() end")
 
 
-def _grid(tags_df: DataFrame, n: int) -> DataFrame:
-    return tags_df.select("TagName", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("i"))
+def _complete(agg: DataFrame, n: int, tags=None, empty: float | None = None) -> DataFrame:
+    """``TagName, i, _v`` for i = 1..N of every tag (every asked one, when the
+    request lists tags); buckets without a row get ``empty``.  One array of at
+    most N numbers per tag, N being the request's own count."""
+    held = agg.groupBy("TagName").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("_v").cast("double").alias("v")))).alias("_m"))
+    if tags is not None:
+        names = asked_names(agg.sparkSession, tags).withColumnRenamed("TagName", "_asked")
+        held = held.join(names, F.col("TagName") == F.col("_asked"), "right").select(F.col("_asked").alias("TagName"), "_m")
+    full = held.select("TagName", "_m", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("i"))
+    return full.select("TagName", "i", F.coalesce(F.element_at("_m", F.col("i")), F.lit(empty).cast("double")).alias("_v"))
 
 
 def _label(df: DataFrame, start, T: int, n: int, value) -> DataFrame:
@@ -109,25 +121,110 @@ def buckets_raw(history: DataFrame, start, end, n: int, group: str, tags=None, b
     T = seconds_between(start, end)
     rows = filter_range(filter_tags(history, tags), start, end, bounds).select("TagName", "DateTime", "Value")
     b = _explode_buckets(rows, start, T, n, bounds).select("TagName", "i", "Value")
-    agg = shared(b.groupBy("TagName", "i").agg(raw_agg(g).alias("_v")))
-    full = _grid(agg.select("TagName").distinct(), n).join(agg, ["TagName", "i"], "left")
-    v = F.coalesce(F.col("_v"), F.lit(0)) if g == "count" else F.col("_v")
-    return _label(full, start, T, n, v)
+    agg = b.groupBy("TagName", "i").agg(raw_agg(g).alias("_v"))
+    return _label(_complete(agg, n, tags, 0.0 if g == "count" else None), start, T, n, F.col("_v"))
+
+
+def _edge_seeds(history, start, end, n: int, tags, rollup) -> DataFrame:
+    """``TagName, i, DateTime, Value``: the last known value at both edges of
+    every bucket, stamped with the edge (none before a tag's first sample)."""
+    T = seconds_between(start, end)
+    runs = pit.instant_runs(filter_tags(history, tags), start, n + 1, lambda x: pit._first_instant_even(x, T, n), end, None, rollup)
+    at = pit.instant_values(runs, n + 1, leading_nulls=False, chunk_size=4096).select("TagName", F.col("i").alias("edge"), "Value")
+    sides = F.filter(F.array(F.col("edge"), F.col("edge") + 1), lambda b: (b >= 1) & (b <= n))
+    return at.select("TagName", F.explode(sides).alias("i"),
+                     add_seconds(start, pit.even_offset(F.col("edge"), T, n)).alias("DateTime"), "Value")
 
 
-def buckets_filled(history: DataFrame, start, end, n: int, group: str, tags=None, step_seconds: int = 1) -> DataFrame:
-    """AGG10 over the per-bucket 1-second filled series (ClickHouse, closed buckets)."""
+def buckets_filled(history: DataFrame, start, end, n: int, group: str, tags=None, step_seconds: int = 1,
+                   seeded: bool = False, rollup: DataFrame | None = None) -> DataFrame:
+    """AGG10 over the per-bucket 1-second filled series (closed buckets); with
+    ``seeded`` each bucket also holds the last known values at its edges."""
     _check_n(n)
     g = check_group(group)
     T = seconds_between(start, end)
     rows = filter_range(filter_tags(history, tags), start, end, "[]").select("TagName", "DateTime", "Value")
     b = _explode_buckets(rows, start, T, n, "[]")
+    if seeded:
+        b = b.select("TagName", "i", "DateTime", "Value").unionByName(_edge_seeds(history, start, end, n, tags, rollup))
     runs = fill_runs(None, start, end, step_seconds, seeded=False, keys=("TagName", "i"), rows=b)
     runs = runs.select("TagName", "i", "Value", (F.col("next_slot") - F.col("slot")).alias("w"))
-    grid = _grid(runs.select("TagName").distinct(), n).select(
-        "TagName", "i", F.lit(None).cast("double").alias("Value"), F.lit(None).cast("long").alias("w"))
-    agg = runs.unionByName(grid).groupBy("TagName", "i").agg(weighted_agg(g).alias("_v"))
-    return _label(agg, start, T, n, F.col("_v"))
+    agg = runs.groupBy("TagName", "i").agg(weighted_agg(g).alias("_v"))
+    return _label(_complete(agg, n, tags, 0.0 if g == "count" else None), start, T, n, F.col("_v"))
+
+
+def buckets_cyclic(history: DataFrame, start, end, n: int, group: str, tags=None, step_ms: int = 60000,
+                   rollup: DataFrame | None = None, chunk_size: int = 4096) -> DataFrame:
+    """AGG10 over the cyclic series of each bucket: the held value at its left
+    edge and every ``step_ms`` after it, before the right edge.  ``count`` is
+    hours, as for a single range.
+
+    The instants of all buckets are numbered in one row (bucket, then step), a
+    sample feeds the first instant at or after it and holds until the next one
+    that has a newer sample, and the weight of a run in a bucket is the number
+    of its instants there."""
+    _check_n(n)
+    g = check_group(group)
+    T = seconds_between(start, end)
+    step_us = step_ms * 1000
+    per = -(-(T // n + 1) * US // step_us) + 1       # more than any bucket has
+    last_at = pit.from_us_value(epoch_us_value(end))
+    src = asof_source(filter_tags(history, tags), start, last_at, rollup)
+    x = src.withColumn("_x", F.greatest(epoch_us("DateTime") - F.lit(epoch_us_value(start)), F.lit(0).cast("long"))) \
+        .filter(F.col("_x") < T * US)
+    if 0 < n <= T:
+        x = with_bucket_of(x, "_x", T, n, "[)").withColumn("_b", F.element_at("_bk", 1)).drop("_bk")
+    else:
+        x = x.withColumn("_b", F.element_at(bucket_members("_x", T, n, "[)"), 1))
+
+    def edge(i):
+        return f"({_edge_us(i, T, n)})"
+
+    def steps(i):     # instants of bucket i
+        return f"(({edge(i)} - {edge(f'{i} - 1')} + {step_us - 1}L) div {step_us}L)"
+
+    x = x.withColumn("_k", F.expr(f"(_x - {edge('_b - 1')} + {step_us - 1}L) div {step_us}L"))
+    over = F.expr(f"_k >= {steps('_b')}")
+    x = x.withColumn("i", F.when(over, (F.col("_b") + 1) * F.lit(per)).otherwise(F.col("_b") * F.lit(per) + F.col("_k")))
+    runs = x.filter(F.col("i") < (n + 1) * per).groupBy("TagName", "i").agg(*pit.last_sample()).select("TagName", "i", "Value")
+    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
+    nb = nb.select("TagName", "Value", F.col("i").alias("_from"), F.coalesce("next_i", F.lit((n + 1) * per).cast("long")).alias("_to"))
+    each = nb.withColumn("i", F.explode(F.sequence(div(F.col("_from"), per), F.least(div(F.col("_to"), per), F.lit(n).cast("long")))))
+    w = F.expr(f"least(_to - i * {per}L, {steps('i')}) - greatest(_from - i * {per}L, 0L)")
+    each = each.withColumn("w", w).filter(F.col("w") > 0)
+    value = weighted_agg("count") * F.lit(step_ms / 3_600_000) if g == "count" else weighted_agg(g)
+    agg = each.groupBy("TagName", "i").agg(value.alias("_v"))
+    return _label(_complete(agg, n, tags, 0.0 if g == "count" else None), start, T, n, F.col("_v"))
+
+
+def buckets_dif_interpolated(history: DataFrame, start, end, n: int, tags=None) -> DataFrame:
+    """AGG10 with ``dif`` of interpolated values (raw mode): the value at each
+    edge lies on the line between the samples around it; NULL when a side of an
+    edge has none.
+
+    Each sample meets the edges between it and the next sample of its tag: an
+    explode of the edge numbers of that gap, no join."""
+    _check_n(n)
+    T = seconds_between(start, end)
+    h = filter_tags(history, tags).groupBy("TagName", "DateTime").agg(F.max("Value").alias("Value"))
+    nb = neighbour(h, ["TagName"], "DateTime", ["DateTime", "Value"], direction=+1)
+    zero = F.lit(epoch_us_value(start))
+    lo, hi = epoch_us("DateTime") - zero, epoch_us("next_DateTime") - zero
+    first = F.coalesce(pit._first_instant_even(lo, T, n), F.lit(n + 1).cast("long"))
+    # up to the last edge before the next sample; a last sample serves only an edge it hits
+    after = F.when(F.col("next_DateTime").isNull(), F.when(lo < 0, F.lit(0)).otherwise(
+        F.coalesce(pit._first_instant_even(lo + 1, T, n), F.lit(n + 1).cast("long"))))
+    upto = F.coalesce(after, F.when(hi <= 0, F.lit(0)).otherwise(F.coalesce(pit._first_instant_even(hi, T, n), F.lit(n + 1).cast("long")))) - 1
+    at = explode_span(nb, first, F.least(upto, F.lit(n)), "edge")
+    edge_us = zero + pit.even_offset(F.col("edge"), T, n) * F.lit(US)
+    b = F.struct(F.col("DateTime").alias("DateTime"), F.col("Value").alias("Value"))
+    a = F.when(F.col("next_DateTime").isNotNull(), F.struct(F.col("next_DateTime").alias("DateTime"), F.col("next_Value").alias("Value")))
+    v = F.when(edge_us == epoch_us("DateTime"), F.col("Value")).otherwise(pit.interpolate_expr(edge_us, b, a))
+    sides = at.select("TagName", v.alias("v"), F.explode(F.array(
+        F.struct(F.col("edge").alias("i"), F.lit(True).alias("right")), F.struct((F.col("edge") + 1).alias("i"), F.lit(False).alias("right")))).alias("s"))
+    agg = sides.select("TagName", "v", "s.*").filter((F.col("i") >= 1) & (F.col("i") <= n)).groupBy("TagName", "i").agg(
+        (F.max(F.when(F.col("right"), F.col("v"))) - F.max(F.when(~F.col("right"), F.col("v")))).alias("_v"))
+    return _label(_complete(agg, n, tags), start, T, n, F.col("_v"))
 
 
 def buckets_dif(history: DataFrame, start, end, n: int, tags=None, lookback_seconds: int | None = None,
@@ -139,10 +236,8 @@ def buckets_dif(history: DataFrame, start, end, n: int, tags=None, lookback_seco
                             lambda x: pit._first_instant_even(x, T, n), end, lookback_seconds, rollup)
     g = pit.instant_values(runs, n + 1, leading_nulls=True, chunk_size=chunk_size).select(
         "TagName", "i", F.col("Value").alias("v"))
-    # the edge grid has tags x (N+1) rows: small exactly when the runs are
-    p = neighbour(g, ["TagName"], "i", ["v"], direction=-1, chunk=index_chunk("i", chunk_size), small=runs[1])
-    p = p.filter(F.col("i") >= 1)
-    return _label(p, start, T, n, F.col("v") - F.col("prev_v"))
+    p = neighbour(g, ["TagName"], "i", ["v"], direction=-1, chunk=index_chunk("i", chunk_size)).filter(F.col("i") >= 1)
+    return _label(_complete(p.select("TagName", "i", (F.col("v") - F.col("prev_v")).alias("_v")), n, tags), start, T, n, F.col("_v"))
 
 
 def buckets_avgm(history: DataFrame, start, end, n: int, tags=None, lookback_seconds: int | None = None,
@@ -159,32 +254,39 @@ def buckets_avgm(history: DataFrame, start, end, n: int, tags=None, lookback_sec
     r = runs.select("TagName", "Value", (F.col("slot") - F.lit(s0)).alias("ys"),
                     (F.col("next_slot") - F.lit(s0) - 1).alias("ye"))
     if T == 0:
-        ex = r.filter(F.lit(False)).withColumn("i", F.lit(1).cast("long")).withColumn("w", F.lit(0).cast("long"))
+        ex = r.withColumn("i", F.lit(1).cast("long")).withColumn("w", F.lit(0).cast("long"))
     else:
         lo = F.greatest(F.lit(1).cast("long"), F.floor(F.col("ys") * F.lit(n) / F.lit(T)).cast("long") - 1)
         hi = F.least(F.lit(n).cast("long"), F.floor(F.col("ye") * F.lit(n) / F.lit(T)).cast("long") + 2)
         ex = r.filter(lo <= hi).withColumn("i", F.explode(F.sequence(lo, hi)))
         a = F.floor((F.col("i") - 1) * F.lit(T) / F.lit(n)).cast("long")
         b = F.floor(F.col("i") * F.lit(T) / F.lit(n)).cast("long")
-        w = F.least(F.col("ye"), b - 1) - F.greatest(F.col("ys"), a + 1) + 1
-        ex = ex.withColumn("w", w).filter(F.col("w") > 0)
-    ex = ex.select("TagName", "i", "Value", "w")
-    grid = _grid(runs.select("TagName").distinct(), n).select(
-        "TagName", "i", F.lit(None).cast("double").alias("Value"), F.lit(None).cast("long").alias("w"))
-    agg = ex.unionByName(grid).groupBy("TagName", "i").agg(weighted_agg("avg").alias("_v"))
-    return _label(agg, start, T, n, F.col("_v"))
+        ex = ex.withColumn("w", F.least(F.col("ye"), b - 1) - F.greatest(F.col("ys"), a + 1) + 1)
+    # runs outside the open buckets weigh nothing but still name their tag
+    inside = F.col("w") > 0
+    ex = ex.select("TagName", "i", F.when(inside, F.col("Value")).alias("Value"), F.when(inside, F.col("w")).alias("w"))
+    agg = ex.groupBy("TagName", "i").agg(weighted_agg("avg").alias("_v"))
+    return _label(_complete(agg, n, tags), start, T, n, F.col("_v"))
 
 
 def buckets(history: DataFrame, start, end, n: int, group: str, mode: str = "filled", tags=None,
             rollup: DataFrame | None = None) -> DataFrame:
-    """Dispatch for ``count`` + ``group`` requests (GetTagCountGroup)."""
+    """Dispatch for ``count`` + ``group`` requests (GetTagCountGroup).
+
+    ``dif`` is the difference of last known values at the edges, in raw mode of
+    interpolated ones; ``avgm`` is the mean of the mode's series (the seeded one,
+    strictly inside the bucket, for filled and seeded)."""
     g = check_group(group)
-    if g == "avgm":
-        return buckets_avgm(history, start, end, n, tags, rollup=rollup)
+    if mode not in (*MODES, "closed_raw"):
+        raise ValueError(f"mode must be one of {(*MODES, 'closed_raw')}")
+    raw = mode in ("raw", "closed_raw")
     if g == "dif":
-        return buckets_dif(history, start, end, n, tags, rollup=rollup)
-    if mode == "raw":
-        return buckets_raw(history, start, end, n, g, tags, "[)")
-    if mode == "closed_raw":
-        return buckets_raw(history, start, end, n, g, tags, "[]")
-    return buckets_filled(history, start, end, n, g, tags)
+        return buckets_dif_interpolated(history, start, end, n, tags) if raw else buckets_dif(history, start, end, n, tags, rollup=rollup)
+    if g == "avgm" and mode in ("filled", "seeded"):
+        return buckets_avgm(history, start, end, n, tags, rollup=rollup)
+    g = "avg" if g == "avgm" else g
+    if raw:
+        return buckets_raw(history, start, end, n, g, tags, "[)" if mode == "raw" else "[]")
+    if mode == "cyclic":
+        return buckets_cyclic(history, start, end, n, g, tags, rollup=rollup)
+    return buckets_filled(history, start, end, n, g, tags, seeded=mode == "seeded", rollup=rollup)

@@ -23,7 +23,7 @@ CK = "_ck"
 # Adaptive chunking (off when None): each key gets its own chunk width so its
 # densest hour holds about this many rows per chunk.  The per-key width table
 # is broadcast only when it has at most MAX_BROADCAST_KEYS rows (checked with a
-# count); beyond that the fixed width is used.
+# count); beyond that it is joined by a shuffle.
 ADAPTIVE_TARGET_ROWS: int | None = None
 MAX_BROADCAST_KEYS = 2_000_000
 MAX_CHUNK_SECONDS = 86400
@@ -60,6 +60,20 @@ def adaptive_target(df: DataFrame) -> int | None:
     return int(v) if v else ADAPTIVE_TARGET_ROWS
 
 
+SPAN = 4096
+
+
+def explode_span(df: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
+    """One row per integer from ``lo`` to ``hi`` (none when ``hi < lo``), in two
+    steps, so that no row ever holds an array longer than ``SPAN`` or the span
+    divided by ``SPAN``."""
+    d = df.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).filter(F.col("_lo") <= F.col("_hi"))
+    piece = F.sequence(F.floor(F.col("_lo") / SPAN), F.floor(F.col("_hi") / SPAN))
+    d = d.withColumn("_piece", F.explode(piece))
+    own = F.sequence(F.greatest(F.col("_lo"), F.col("_piece") * SPAN), F.least(F.col("_hi"), F.col("_piece") * SPAN + SPAN - 1))
+    return d.withColumn(out, F.explode(own)).drop("_lo", "_hi", "_piece")
+
+
 def shuffled_by_chunk(df: DataFrame, keys: Sequence[str], order: str, chunk: Column | None = None) -> DataFrame:
     """Rows with their chunk, hash-partitioned once by ``(keys, chunk)``.
 
@@ -91,43 +105,49 @@ def with_chunk(df: DataFrame, keys: Sequence[str], order: str, chunk: Column | N
     if chunk is not None or target is None:
         return df.withColumn(CK, _default_chunk([order], chunk))
     widths = chunk_widths(df, keys, order, target)
-    if widths.count() > MAX_BROADCAST_KEYS:          # size check before broadcasting
-        return df.withColumn(CK, time_chunk(order))
-    j = df.join(F.broadcast(widths), list(keys), "left")
+    # size check before broadcasting; a larger table is joined by a shuffle
+    side = F.broadcast(widths) if widths.count() <= MAX_BROADCAST_KEYS else widths
+    j = df.join(side, list(keys), "left")
     ck = F.floor(epoch_seconds_trunc(order) / F.coalesce(F.col("_w"), F.lit(DEFAULT_CHUNK_SECONDS))).cast("long")
     return j.withColumn(CK, ck).drop("_w")
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
-              direction: int = -1, chunk: Column | None = None, prefix: str | None = None,
-              small: bool = False) -> DataFrame:
+              direction: int = -1, chunk: Column | None = None, prefix: str | None = None) -> DataFrame:
     """Add, per row, the values of ``cols`` on the previous (``direction=-1``)
     or next (``+1``) row of the same key ordered by the column ``order``.
 
     New columns are named ``prefix + col`` (default ``prev_`` / ``next_``);
     they are NULL on the first / last row of a key.  ``order`` must be unique
-    within a key.  Chunk edges are primitive ``max_by``/``min_by`` hash
-    aggregates (partial, map-side).
+    within a key.  The chunk-edge summary keeps the whole edge row, so that it
+    reads exactly the columns of the main pass and both share one exchange.
     """
-    keys, cols = list(keys), list(cols)
     prefix = prefix if prefix is not None else ("prev_" if direction < 0 else "next_")
-    shift = F.lag if direction < 0 else F.lead
-    if small:  # proven small input: one plain window is bounded and cheaper
-        w1 = Window.partitionBy(*keys).orderBy(order)
-        return df.select(*[F.col(c) for c in df.columns], *[shift(c).over(w1).alias(prefix + c) for c in cols])
+    return neighbours(df, keys, order, {direction: (list(cols), prefix)}, chunk)
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], order: str, wanted: dict[int, tuple[list[str], str]],
+               chunk: Column | None = None) -> DataFrame:
+    """``neighbour`` in one or both directions at once: ``wanted`` maps -1
+    and/or +1 to (columns, prefix)."""
+    keys = list(keys)
     d = shuffled_by_chunk(df, keys, order, chunk)
-    pick = F.max_by if direction < 0 else F.min_by
-    edges = d.groupBy(*keys, CK).agg(*[pick(F.col(c), F.col(order)).alias(f"_e{i}") for i, c in enumerate(cols)])
+    row = F.struct(*[F.col(c) for c in d.columns if c not in keys and c != CK])
+    names = {-1: "_eprev", 1: "_enext"}
+    pick = {-1: F.max_by, 1: F.min_by}
+    shift = {-1: F.lag, 1: F.lead}
+    edges = d.groupBy(*keys, CK).agg(*[pick[k](row, F.col(order)).alias(names[k]) for k in wanted])
     ws = Window.partitionBy(*keys).orderBy(CK)
-    carry = edges.select(*keys, CK, *[shift(f"_e{i}").over(ws).alias(f"_c{i}") for i in range(len(cols))])
-    j = d.join(carry, [*keys, CK], "left")
+    carry = edges.select(*keys, CK, *[shift[k](names[k]).over(ws).alias(names[k]) for k in wanted])
     w = Window.partitionBy(*keys, CK).orderBy(order)
-    # one window pass: the in-chunk neighbours and a single chunk-edge marker
-    lagged = j.select("*", shift(F.lit(1)).over(w).isNull().alias("_edge"),
-                      *[shift(c).over(w).alias(f"_s{i}") for i, c in enumerate(cols)])
-    new = [F.when(F.col("_edge"), F.col(f"_c{i}")).otherwise(F.col(f"_s{i}")).alias(prefix + c)
-           for i, c in enumerate(cols)]
-    return lagged.select(*[F.col(c) for c in df.columns], *new)
+    j = d.join(carry, [*keys, CK], "left")
+    # one window pass: the in-chunk neighbours and one chunk-edge marker a direction
+    inside = [shift[k](F.lit(1)).over(w).isNull().alias(f"_edge{names[k]}") for k in wanted]
+    inside += [shift[k](c).over(w).alias(f"_s{names[k]}{i}") for k, (cols, _) in wanted.items() for i, c in enumerate(cols)]
+    j = j.select("*", *inside)
+    new = [F.when(F.col(f"_edge{names[k]}"), F.col(names[k]).getField(c)).otherwise(F.col(f"_s{names[k]}{i}")).alias(prefix + c)
+           for k, (cols, prefix) in wanted.items() for i, c in enumerate(cols)]
+    return j.select(*[F.col(c) for c in df.columns], *new)
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], present: str,
@@ -170,7 +190,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: s
 
 
 def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-            chunk: Column | None = None, small: bool = False) -> DataFrame:
+            chunk: Column | None = None) -> DataFrame:
     """Row number ``n`` (0-based) of each key in ``order``; keys with fewer rows vanish.
 
     Counts per chunk locate the one chunk holding the row, so only that chunk
@@ -179,10 +199,6 @@ def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
     keys, order = list(keys), list(order)
     if n < 0:
         n = 0
-    if small:  # proven small input: rank within the key directly
-        w1 = Window.partitionBy(*keys).orderBy(*order)
-        return (df.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") == n + 1)
-                .select(*[F.col(c) for c in df.columns]))
     d = shuffled_by_chunk(df, keys, order[0], chunk) if len(order) == 1 else \
         df.withColumn(CK, _default_chunk(order, chunk)).repartition(*keys, CK)
     counts = d.groupBy(*keys, CK).agg(F.count(F.lit(1)).alias("_n"))

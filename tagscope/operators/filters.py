@@ -11,7 +11,8 @@ from tagscope.functions.timecols import bound_filter, to_datetime, ts_lit
 
 # Above this many names a tag list is joined (left_semi) instead of inlined.
 INLINE_TAG_LIMIT = 1000
-# A driver-side list larger than this is refused (send a DataFrame of names).
+# A driver-side list of at most this many names is broadcast; a longer one is
+# joined by a shuffle.
 MAX_BROADCAST_TAGS = 1_000_000
 
 
@@ -34,22 +35,40 @@ def split_tags(tag: str | Iterable[str] | None, strict: bool = False) -> list[st
 def filter_tags(history: DataFrame, tags: str | Iterable[str] | DataFrame | None,
                 strict: bool = False) -> DataFrame:
     """Keep the rows of the given tags.  A DataFrame of ``TagName`` is applied
-    as a ``left_semi`` join (Spark broadcasts it when AQE measures it small)."""
+    as a ``left_semi`` join (Spark broadcasts it when AQE measures it small).
+    Rows without a tag name belong to no series and are left out, with or
+    without a list."""
     if tags is None:
-        return history
+        return history.filter(F.col("TagName").isNotNull())
     if isinstance(tags, DataFrame):
         return history.join(tags.select("TagName").distinct(), "TagName", "left_semi")
     names = split_tags(tags, strict)
     if len(names) > INLINE_TAG_LIMIT:
-        if len(names) > MAX_BROADCAST_TAGS:
-            raise ValueError(f"{len(names)} tag names: pass them as a DataFrame instead")
-        spark = history.sparkSession
-        # the list came from the driver, so its size is known: broadcast it
-        names_df = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "TagName string")
-        return history.join(F.broadcast(names_df), "TagName", "left_semi")
+        side = asked_names(history.sparkSession, names)
+        return history.join(F.broadcast(side) if len(names) <= MAX_BROADCAST_TAGS else side, "TagName", "left_semi")
     return history.filter(F.col("TagName").isin(names))
 
 
+def asked_names(spark, tags) -> DataFrame:
+    """The names of a request as a table of distinct ``TagName``."""
+    if isinstance(tags, DataFrame):
+        return tags.select("TagName").where("TagName is not null").distinct()
+    return spark.createDataFrame([(n,) for n in dict.fromkeys(split_tags(tags))], "TagName string")
+
+
+def complete_tags(result: DataFrame, tags, end, empty: float | None = None) -> DataFrame:
+    """``TagName, DateTime, Value`` with a row for every asked tag: one that has
+    no samples gets ``DateTime`` = end and Value = ``empty``.  Without a list of
+    tags the result is complete as it is."""
+    if tags is None:
+        return result
+    names = asked_names(result.sparkSession, tags).withColumnRenamed("TagName", "_asked")
+    j = result.join(names, F.col("TagName") == F.col("_asked"), "right")
+    missing = F.col("TagName").isNull()
+    return j.select(F.col("_asked").alias("TagName"), F.when(missing, ts_lit(end)).otherwise(F.col("DateTime")).alias("DateTime"),
+                    F.when(missing, F.lit(empty).cast("double")).otherwise(F.col("Value")).alias("Value"))
+
+
 def filter_range(history: DataFrame, start, end, bounds: str = "[]", col: str = "DateTime") -> DataFrame:
     """Time range with bound kind ``[]`` (ClickHouse), ``[)`` (MS SQL, MySQL) or ``()``.
 

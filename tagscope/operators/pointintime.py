@@ -4,7 +4,7 @@ Single-date lookups are one hash aggregate with partial (map-side) combine,
 so a hot tag is pre-reduced in every task before the shuffle.  The N-instant
 form never joins instants to samples: each sample is numbered with the first
 instant it feeds (pure arithmetic), reduced to one row per (tag, instant)
-(checkpointed once), and each reduced row is exploded over the instants it
+and each reduced row is exploded over the instants it
 holds, up to the next reduced row found with the chunked lead.
 """
 
@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagscope.functions.timecols import (
-    US, add_seconds, epoch_us, epoch_us_value, from_epoch_us, seconds_between, to_datetime, ts_lit)
-from tagscope.operators.chunked import index_chunk, neighbour
+    US, add_seconds, div, epoch_us, epoch_us_value, from_epoch_us, seconds_between, to_datetime, ts_lit)
+from tagscope.operators.chunked import explode_span, index_chunk, neighbours
 from tagscope.operators.filters import filter_range, filter_tags, guard_after_mark, load_mark
 from tagscope.operators.rollup import around_source, asof_source
-from tagscope.session import shared_sized
 
 
 def last_sample(cond: Column | None = None, prefix: str = "") -> list[Column]:
@@ -111,33 +110,32 @@ def value_interpolated(history: DataFrame, at, tags=None, lookback_seconds: int
 
 def even_offset(i: Column, total_seconds: int, n: int) -> Column:
     """Offset (s) of instant ``i``: ``(i*T) div N``."""
-    return F.floor(i * F.lit(total_seconds) / F.lit(n)).cast("long")
+    return div(i * F.lit(total_seconds).cast("long"), n)
 
 
 def _first_instant_even(x_us: Column, total_seconds: int, n: int) -> Column:
     """Smallest i with ``(i*T) div N >= x`` for a sample ``x`` µs after the start."""
     if total_seconds == 0:
         return F.when(x_us <= 0, F.lit(0)).otherwise(F.lit(None).cast("long"))
-    c = F.ceil(x_us / F.lit(US)).cast("long")
-    i = F.floor((c * F.lit(n) + F.lit(total_seconds - 1)) / F.lit(total_seconds)).cast("long")
+    c = div(x_us + F.lit(US - 1), US)
+    i = div(c * F.lit(n).cast("long") + F.lit(total_seconds - 1), total_seconds)
     return F.when(x_us <= 0, F.lit(0)).otherwise(i)
 
 
 def _first_instant_step(x_us: Column, step_us: int) -> Column:
-    return F.when(x_us <= 0, F.lit(0)).otherwise(F.ceil(x_us / F.lit(step_us)).cast("long"))
+    return F.when(x_us <= 0, F.lit(0)).otherwise(div(x_us + F.lit(step_us - 1), step_us))
 
 
 def instant_runs(history: DataFrame, start, n_instants: int, first_instant: Column,
                  last_instant_at, lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Samples reduced to the last one per (tag, first instant it feeds).
 
-    Returns ``(runs, small)``: ``TagName, i, DateTime, Value`` for non-empty i
-    only (checkpointed), and whether it is provably small (see ``shared_sized``).
+    Returns ``TagName, i, DateTime, Value`` for non-empty i only.
     """
     src = asof_source(history, start, last_instant_at, rollup, lookback_seconds)
     x_us = epoch_us("DateTime") - F.lit(epoch_us_value(start))
     b = src.withColumn("i", first_instant(x_us)).filter(F.col("i").isNotNull() & (F.col("i") < n_instants))
-    return shared_sized(b.groupBy("TagName", "i").agg(*last_sample()))
+    return b.groupBy("TagName", "i").agg(*last_sample())
 
 
 def instant_values(runs, n_instants: int, leading_nulls: bool, chunk_size: int) -> DataFrame:
@@ -148,16 +146,15 @@ def instant_values(runs, n_instants: int, leading_nulls: bool, chunk_size: int)
     the output is never sorted or shuffled.  With ``leading_nulls`` the
     instants before a tag's first sample are emitted with NULLs.
     """
-    runs, small = runs
-    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size), small=small)
+    wanted = {1: (["i"], "next_")} | ({-1: (["i"], "prev_")} if leading_nulls else {})
+    nb = neighbours(runs, ["TagName"], "i", wanted, index_chunk("i", chunk_size))
+    start = F.col("_from")
+    if leading_nulls:   # a tag's first run also gives the instants before it, so the runs are read once
+        start = F.when(F.col("prev_i").isNull(), F.lit(0)).otherwise(start)
     upto = F.coalesce(F.col("next_i"), F.lit(n_instants).cast("long")) - 1
-    out = nb.select("TagName", F.explode(F.sequence(F.col("i"), upto)).alias("i"), "DateTime", "Value")
-    if leading_nulls:
-        first = runs.groupBy("TagName").agg(F.min("i").alias("_first")).filter(F.col("_first") > 0)
-        lead = first.select("TagName", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_first") - 1)).alias("i"),
-                            F.lit(None).cast("timestamp_ntz").alias("DateTime"), F.lit(None).cast("double").alias("Value"))
-        out = out.unionByName(lead)
-    return out
+    out = explode_span(nb.withColumnRenamed("i", "_from"), start, upto, "i")
+    held = F.col("i") >= F.col("_from")
+    return out.select("TagName", "i", F.when(held, F.col("DateTime")).alias("DateTime"), F.when(held, F.col("Value")).alias("Value"))
 
 
 def values_at_instants(history: DataFrame, start, end, n: int, tags=None,

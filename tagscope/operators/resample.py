@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from tagscope.functions.timecols import US, epoch_us, from_epoch_us, ts_lit
 from tagscope.operators import chunked
-from tagscope.operators.chunked import index_chunk, neighbour
+from tagscope.operators.chunked import explode_span, index_chunk, neighbour
 from tagscope.operators.filters import filter_range, filter_tags
 from tagscope.operators.pointintime import last_sample
 from tagscope.operators.rollup import asof_source
-from tagscope.session import shared_sized
 
 
 def range_raw(history: DataFrame, start, end, tags=None, bounds: str = "[)") -> DataFrame:
@@ -61,11 +60,10 @@ def fill_runs(history: DataFrame, start, end, step_seconds: int = 1, seeded: boo
         rows = seeded_rows(h, start, end, lookback_seconds, rollup) if seeded else \
             filter_range(h, start, end, "[]").select("TagName", "DateTime", "Value")
     chunk_seconds = chunk_seconds or chunked.chunk_seconds()
-    # the first reduction: read by both the edge summary and the main pass of the lead
-    per_slot, small = shared_sized(
-        rows.groupBy(*keys, slot_of(step_seconds).alias("slot")).agg(F.avg("Value").alias("Value")))
+    # the first reduction; its edge summary and the main pass of the lead share one exchange
+    per_slot = rows.groupBy(*keys, slot_of(step_seconds).alias("slot")).agg(F.avg("Value").alias("Value"))
     nb = neighbour(per_slot, keys, "slot", ["slot"], direction=+1,
-                   chunk=index_chunk("slot", max(1, chunk_seconds // step_seconds)), small=small)
+                   chunk=index_chunk("slot", max(1, chunk_seconds // step_seconds)))
     return nb.select(*keys, "slot", F.coalesce(F.col("next_slot"), F.col("slot") + 1).alias("next_slot"), "Value")
 
 
@@ -75,5 +73,5 @@ def resample(history: DataFrame, start, end, step_seconds: int = 1, seeded: bool
     with the previous value, from the first to the last present step."""
     runs = fill_runs(history, start, end, step_seconds, seeded, tags, lookback_seconds=lookback_seconds,
                      rollup=rollup)
-    s = runs.select("TagName", "Value", F.explode(F.sequence("slot", F.col("next_slot") - 1)).alias("s"))
+    s = explode_span(runs, F.col("slot"), F.col("next_slot") - 1, "s")
     return s.select("TagName", from_epoch_us(F.col("s") * F.lit(step_seconds * US)).alias("DateTime"), "Value")

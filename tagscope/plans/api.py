@@ -13,6 +13,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagscope.functions.timecols import to_datetime
 from tagscope.functions.timeparse import normalise_time
 from tagscope.operators import aggregate as agg
 from tagscope.operators import buckets as bk
@@ -27,7 +28,7 @@ from tagscope.functions import tagdecode as dec
 def parse_request_time(spark: SparkSession, value) -> _dt.datetime:
     """A request time (datetime or any accepted text form) as a naive UTC datetime."""
     if isinstance(value, _dt.datetime):
-        return value.replace(tzinfo=None)
+        return to_datetime(value)
     r = spark.range(1).select(normalise_time(F.lit(str(value))).alias("t")).first()["t"]
     if r["DateTime"] is None:
         raise ValueError(f"{r['error']}: {value!r}")

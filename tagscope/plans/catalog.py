@@ -673,3 +673,124 @@ select TagName, DateTime, last_value(Value ignore nulls) over (partition by TagN
 from sparse_history""")
 def q_values_held(spark, sf_dir):
     return ev.hold_previous(td.sparse_history(spark, sf_dir))
+
+
+# ---- more modes, groups and tag lists -------------------------------------------
+def _bucket_cte(n: int) -> str:
+    return f"b as ({buckets_sql(n)})"
+
+
+def _edge_values_sql(n: int) -> str:
+    """Last known value of every tag at every edge (edge number, time, value)."""
+    return (f"edges as (select i as edge, {ts(FROM)} + to_seconds((i * {T_SEC}) // {n}) as t from range(0, {n} + 1) r(i)), "
+            f"tags as (select distinct TagName from history where DateTime <= {ts(TO)}), "
+            f"ev as (select g.TagName, e.edge, e.t, h.Value as v from (select * from tags, edges) g "
+            f"join edges e on e.edge = g.edge asof left join history h on h.TagName = g.TagName and h.DateTime <= e.t)")
+
+
+@register("buckets_seeded", f"""
+with {V_HISTORY}, {_bucket_cte(N_DAYS)}, {_edge_values_sql(N_DAYS)},
+s as (select h.TagName, b.i, h.DateTime, h.Value from history h join b on h.DateTime between b.lo and b.hi
+      union all select TagName, edge, t, v from ev where edge >= 1 and v is not null
+      union all select TagName, edge + 1, t, v from ev where edge < {N_DAYS} and v is not null),
+r as ({runs_sql("select * from s", 1, "TagName, i")})
+select t.TagName, b.hi as DateTime, round(a.v, {DIGITS}) as Value from tags t cross join b
+left join (select TagName, i, sum(v * (nxt - slot)) / sum(nxt - slot) as v from r group by all) a on a.TagName = t.TagName and a.i = b.i""")
+def q_buckets_seeded(spark, sf_dir):
+    return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_DAYS, "avg", mode="seeded"))
+
+
+for _g in ("avg", "count"):
+    def _mk_cyclic(g):
+        def q(spark, sf_dir):
+            return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_FEW, g, mode="cyclic"))
+        return q
+    register(f"buckets_cyclic_{_g}", f"""
+with {V_HISTORY}, {_bucket_cte(N_FEW)}, tags as (select distinct TagName from history where DateTime < {ts(TO)}),
+inst as (select t.TagName, b.i, b.hi, unnest(generate_series(b.lo, b.hi - interval 1 microsecond, interval {CYCLIC_MS} millisecond)) as DateTime
+         from tags t cross join b),
+cyc as (select n.TagName, n.i, n.hi, h.Value from inst n asof left join history h on h.TagName = n.TagName and h.DateTime <= n.DateTime)
+select TagName, hi as DateTime, round({'avg(Value)' if _g == 'avg' else f'count(Value) * {CYCLIC_MS} / 3600000.0'}, {DIGITS}) as Value
+from cyc group by TagName, hi""")(_mk_cyclic(_g))
+
+
+@register("buckets_dif_interp", f"""
+with {V_HISTORY}, edges as (select i as edge, {ts(FROM)} + to_seconds((i * {T_SEC}) // {N_FEW}) as t from range(0, {N_FEW} + 1) r(i)),
+tags as (select distinct TagName from history), g as (select TagName, edge, t from tags, edges),
+p as (select g.*, h.DateTime as bt, h.Value as bv from g asof left join history h on h.TagName = g.TagName and h.DateTime <= g.t),
+q as (select p.*, h.DateTime as at_, h.Value as av from p asof left join history h on h.TagName = p.TagName and h.DateTime >= p.t),
+v as (select TagName, edge, t, case when bt = at_ then bv when bt is null or at_ is null then null
+      else bv + (epoch_us(t) - epoch_us(bt))::double / (epoch_us(at_) - epoch_us(bt))::double * (av - bv) end as v from q)
+select x.TagName, x.t as DateTime, round(x.v - y.v, {DIGITS}) as Value from v x join v y on y.TagName = x.TagName and y.edge = x.edge - 1""")
+def q_buckets_dif_interp(spark, sf_dir):
+    return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_FEW, "dif", mode="raw"))
+
+
+@register("buckets_avgm_raw", f"""
+with {V_HISTORY}, {_bucket_cte(N_DAYS)}, tags as (select distinct TagName from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}),
+a as (select h.TagName, b.i, avg(h.Value) as v from history h join b on h.DateTime >= b.lo and h.DateTime < b.hi group by all)
+select t.TagName, b.hi as DateTime, round(a.v, {DIGITS}) as Value
+from tags t cross join b left join a on a.TagName = t.TagName and a.i = b.i""")
+def q_buckets_avgm_raw(spark, sf_dir):
+    return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_DAYS, "avgm", mode="raw"))
+
+
+for _g, _sum in (("sum", "sum(v * (nxt - slot))"), ("min", "min(v)"), ("max", "max(v)")):
+    def _mk_filled(g):
+        def q(spark, sf_dir):
+            return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, g, mode="filled"))
+        return q
+    register(f"group_filled_{_g}", f"""
+with {V_HISTORY}, r as ({runs_sql(f"select * from history where DateTime between {ts(FROM)} and {ts(TO)}", 1)})
+select TagName, {ts(TO)} as DateTime, round({_sum}, {DIGITS}) as Value from r group by TagName""")(_mk_filled(_g))
+
+
+@register("group_cyclic_sum", f"""
+with {V_HISTORY}, {CYCLIC_INSTANTS}
+select TagName, {ts(TO)} as DateTime, round(sum(Value), {DIGITS}) as Value from cyc group by TagName""")
+def q_group_cyclic_sum(spark, sf_dir):
+    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "sum", mode="cyclic"))
+
+
+ASKED = ("A20_WT_01", "A20_WT_07", "A20_NONE")
+_ASKED_SQL = f"(values {', '.join(f'({chr(39)}{t}{chr(39)})' for t in ASKED)}) as n(TagName)"
+for _g in ("avg", "count"):
+    def _mk_asked(g):
+        def q(spark, sf_dir):
+            return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, g, mode="raw", tags=", ".join(ASKED)))
+        return q
+    register(f"group_{_g}_asked_tags", f"""
+with {V_HISTORY}
+select n.TagName, {ts(TO)} as DateTime, cast(round({_g}(h.Value), {DIGITS}) as double) as Value from {_ASKED_SQL}
+left join history h on h.TagName = n.TagName and h.DateTime >= {ts(FROM)} and h.DateTime < {ts(TO)} group by n.TagName""")(_mk_asked(_g))
+
+
+@register("range_raw_open", f"""
+with {V_HISTORY}
+select TagName, DateTime, Value from history where DateTime > {ts(AT)} and DateTime < {ts(AT_LATE)}""")
+def q_range_raw_open(spark, sf_dir):
+    return rs.range_raw(td.history(spark, sf_dir), AT, AT_LATE, bounds="()")
+
+
+@register("value_exact", f"""
+with {V_HISTORY}
+select TagName, DateTime, Value from history where DateTime = (select max(DateTime) from history)""")
+def q_value_exact(spark, sf_dir):
+    h = td.history(spark, sf_dir)
+    return pit.value_exact(h, h.agg({"DateTime": "max"}).first()[0])
+
+
+for _name, _seeded in (("range_resampled_seeded_1s_hours", True), ("range_gapfill_1s_hours", False)):
+    def _mk_hours(seeded):
+        def q(spark, sf_dir):
+            d = rs.resample(td.history(spark, sf_dir), FROM, TO, step_seconds=1, seeded=seeded)
+            return d.groupBy("TagName", F.date_trunc("hour", "DateTime").cast("timestamp_ntz").alias("hour")).agg(
+                F.count(F.lit(1)).alias("rows"), F.round(F.sum("Value"), 4).alias("total"), r6(F.min("Value")).alias("low"),
+                r6(F.max("Value")).alias("high"), F.min("DateTime").alias("first"), F.max("DateTime").alias("last"))
+        return q
+    _rows = seeded_union_sql("history", FROM, TO) if _seeded else f"select * from history where DateTime between {ts(FROM)} and {ts(TO)}"
+    register(_name, f"""
+with {V_HISTORY}, r as ({runs_sql(_rows, 1)}),
+grid as (select TagName, make_timestamp(s * 1000000) as DateTime, v from (select TagName, v, unnest(generate_series(slot, nxt - 1)) as s from r))
+select TagName, date_trunc('hour', DateTime) as hour, count(*) as rows, round(sum(v), 4) as total, round(min(v), {DIGITS}) as low,
+       round(max(v), {DIGITS}) as high, min(DateTime) as first, max(DateTime) as last from grid group by all""")(_mk_hours(_seeded))

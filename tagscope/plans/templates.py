@@ -3,7 +3,8 @@
 Templates live in a DataFrame ``(ID, Name, Body)``.  A body uses ``{key}``
 placeholders; they are rewritten to named parameter markers and bound by
 ``spark.sql(body, args=...)``, so values are never spliced into SQL text
-(a quoted ``'{key}'`` becomes one string parameter).
+(a quoted ``'{key}'`` becomes one string parameter, placeholders inside a longer
+literal a concatenation of its parts, and one before ``(`` a function name).
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEMPLATE_SCHEMA = "ID string, Name string, Body string"
-_PLACEHOLDER = re.compile(r"'\{(\w+)\}'|\{(\w+)\}")
+_LITERAL = re.compile(r"'(?:[^'\\]|''|\\.)*'|\{(\w+)\}(?=(\s*\())?", re.S)
+_KEY = re.compile(r"\{(\w+)\}")
 
 
 def template_table(spark: SparkSession, rows) -> DataFrame:
@@ -33,16 +35,27 @@ def template_list(templates: DataFrame, prefix: str = "") -> DataFrame:
 def to_bound_sql(body: str, identifiers=()) -> tuple[str, list[str]]:
     """``{key}`` / ``'{key}'`` -> ``:key``; returns the SQL and the keys used.
 
-    Keys listed in ``identifiers`` name a table or column and become
-    ``IDENTIFIER(:key)``, still bound, never spliced."""
+    Keys listed in ``identifiers`` name a table or column, keys before ``(`` a
+    function; they become ``IDENTIFIER(:key)``, still bound, never spliced."""
     keys: list[str] = []
     idents = set(identifiers)
 
     def repl(m):
-        k = m.group(1) or m.group(2)
-        keys.append(k)
-        return f"IDENTIFIER(:{k})" if k in idents else f":{k}"
-    return _PLACEHOLDER.sub(repl, body), keys
+        k = m.group(1)
+        if k:
+            keys.append(k)
+            return f"IDENTIFIER(:{k})" if k in idents or m.group(2) else f":{k}"
+        inner = m.group(0)[1:-1]
+        own = _KEY.findall(inner)
+        if not own:
+            return m.group(0)
+        keys.extend(own)
+        if inner == "{" + own[0] + "}":
+            return f":{own[0]}"
+        pieces = _KEY.split(inner)      # text, key, text, key, ..., text
+        parts = [f"cast(:{p} as string)" if j % 2 else f"'{p}'" for j, p in enumerate(pieces) if j % 2 or p]
+        return f"concat({', '.join(parts)})"
+    return _LITERAL.sub(repl, body), keys
 
 
 def template_body(templates: DataFrame, name: str) -> str:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every tagscope job relies on.  Timestamps are TIMESTAMP_NTZ end to
@@ -49,65 +46,10 @@ def build_session(master: str | None = None, app: str = "tagscope",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
-
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a private temporary folder is created and registered.
-    """
+    """Shared folder for checkpoints and intermediate tables, as the cluster
+    names it in ``spark.checkpoint.dir``.  There is no default: a folder of one
+    machine would be lost with it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # a remote (Connect) session exposes no SparkContext
-        sc = None
-    if not d and sc is not None:
-        d = sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="tagscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if sc is not None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return d
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared checkpoint folder for a written table."""
-    return os.path.join(checkpoint_dir(spark).rstrip("/"), name)
-
-
-def materialize(df, name: str, mode: str = "overwrite"):
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it
-    back: cuts lineage, so a lost executor later costs a re-read, not a
-    recomputation of everything upstream."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-# Reduced intermediates read by several branches of one plan (per-slot means,
-# per-instant runs, bucket aggregates) are checkpointed once into the shared
-# checkpoint folder, so the scan and aggregation beneath them run once instead
-# of once per branch, and lineage is cut for executor loss.  Session setting
-# ``spark.tagscope.shareIntermediates`` = true / false (default true).
-CONF_SHARE = "spark.tagscope.shareIntermediates"
-
-
-def shared(df):
-    """Checkpoint a small reduced DataFrame that several branches consume."""
-    return shared_sized(df)[0]
-
-
-# At most this many rows: a per-key window over the whole table is bounded by
-# it, so the chunked (skew-safe) machinery is not needed.
-ONE_TASK_ROWS = 1_000_000
-
-
-def shared_sized(df):
-    """``shared(df)`` plus a proven size class: True when the checkpointed
-    table has at most ``ONE_TASK_ROWS`` rows (counted on the checkpoint, which
-    is cheap), False when larger or not checkpointed (size unknown)."""
-    spark = df.sparkSession
-    if str(spark.conf.get(CONF_SHARE, "true")).lower() != "true":
-        return df, False
-    checkpoint_dir(spark)
-    c = df.checkpoint(eager=True)
-    return c, c.count() <= ONE_TASK_ROWS

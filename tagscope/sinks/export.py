@@ -71,7 +71,12 @@ def json_table_rows(df: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str, r: int | None = DEFAULT_ROUND) -> None:
-    json_records(df, r).write.mode("overwrite").json(path)
+    """EXP2 of a tag result; of a generic result, one object per row.  NULL
+    values are written as null."""
+    if "TagName" in df.columns:
+        json_records(df, r).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    else:
+        json_table_rows(df).write.mode("overwrite").text(path)
 
 
 def write_xml(df: DataFrame, path: str, r: int | None = DEFAULT_ROUND) -> None:
@@ -137,10 +142,15 @@ def export(df: DataFrame, fmt: str, path: str, r: int | None = DEFAULT_ROUND) ->
         write_text(df, path, r)
     elif fmt == "json":
         write_json(df, path, r)
+    elif fmt == "xml" and "TagName" not in df.columns:
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]
+        df.select(*cells).write.mode("overwrite").format("xml").option("rootTag", "data").option("rowTag", "row").save(path)
     elif fmt == "xml":
         write_xml(df, path, r)
     elif fmt == "csv":
         write_csv(df, path)
+    elif fmt == "grafana" and "TagName" not in df.columns:
+        json_table_rows(df).write.mode("overwrite").text(path)
     elif fmt == "grafana":
         grafana_by_time(df, r).select("json").write.mode("overwrite").text(path)
     else:

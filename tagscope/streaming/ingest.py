@@ -7,11 +7,18 @@ micro-batch is split into good rows (appended to the sink, Parquet,
 partitioned by day) and rejects (kept with the raw line and the source file).
 Batch output folders are keyed by batch id and overwritten on replay, so a
 restarted or retried batch never duplicates rows.
+
+The stream itself is over file names.  Each batch first tries every new file to
+its end; a file that cannot be read whole (a truncated gzip, say) goes to the
+rejects as one record, none of its rows are ingested, and the file is kept.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,28 +35,81 @@ REQUIRED = {"history": ["TagName", "DateTime"], "truck": ["DateTime"]}
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
+def _layout(kind: str) -> tuple[str, str]:
+    return (HISTORY_GLOB, HISTORY_SCHEMA) if kind == "history" else (TRUCK_GLOB, TRUCK_SCHEMA)
+
+
+def _json_options(reader):
+    return (reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("timestampNTZFormat", TIME_FORMAT))
+
+
 def drop_stream(spark: SparkSession, source_dir: str, kind: str = "history",
-                clean_source: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame over the drops of one kind (gzip is read transparently)."""
-    glob, schema = (HISTORY_GLOB, HISTORY_SCHEMA) if kind == "history" else (TRUCK_GLOB, TRUCK_SCHEMA)
-    r = (spark.readStream.schema(schema)
-         .option("pathGlobFilter", glob)
-         # an unreadable file (e.g. a truncated gzip) is skipped, not fatal
-         .option("ignoreCorruptFiles", "true")
-         .option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", "_corrupt_record")
-         .option("timestampNTZFormat", TIME_FORMAT))
-    if clean_source:
-        # "archive" (recommended) moves processed drops, corrupt ones included,
-        # to a folder beside the drop folder; "delete" removes them
-        r = r.option("cleanSource", clean_source)
-        if clean_source == "archive":
-            r = r.option("sourceArchiveDir", source_dir.rstrip("/") + "_archive")
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame over the rows of the drops of one kind (gzip is read
+    transparently); an unreadable file stops it, see ``start_ingest``."""
+    glob, schema = _layout(kind)
+    r = _json_options(spark.readStream.schema(schema).option("pathGlobFilter", glob))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.json(source_dir).withColumn("_file", F.col("_metadata.file_path"))
 
 
+def file_stream(spark: SparkSession, source_dir: str, kind: str = "history", clean_source: str | None = None,
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame of the paths of new drops (contents are not read)."""
+    r = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", _layout(kind)[0])
+    if clean_source:
+        if clean_source != "archive":
+            raise ValueError("clean_source must be 'archive': an unreadable drop must not be deleted")
+        r = r.option("cleanSource", clean_source).option("sourceArchiveDir", source_dir.rstrip("/") + "_archive")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.load(source_dir).select("path")
+
+
+BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def whole_gzip(content: bytes) -> bool:
+    """Can the gzip file be read to its end?  (Members may follow each other.)"""
+    view, reader = memoryview(content), zlib.decompressobj(31)
+    try:
+        while len(view):
+            reader.decompress(view, 1 << 20)
+            view = memoryview(reader.unconsumed_tail)
+            while len(view):
+                reader.decompress(view, 1 << 20)
+                view = memoryview(reader.unconsumed_tail)
+            if not reader.eof:
+                return False
+            view, reader = memoryview(reader.unused_data), zlib.decompressobj(31)
+        return len(content) > 0
+    except zlib.error:
+        return False
+
+
+def readable_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, whole) of each file: one task tries one file at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [whole_gzip(c.as_py()) for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.bool_())], names=["path", "whole"])
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, whole boolean")
+
+
+def read_drops(spark: SparkSession, paths: list[str], kind: str = "history") -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that can be read whole, and rejects of the others."""
+    found = readable_files(spark, paths).collect() if paths else []     # one row per new file
+    good = [r.path for r in found if r.whole]
+    bad = [(None, r.path, "unreadable file") for r in found if not r.whole]
+    schema = _layout(kind)[1]
+    rows = _json_options(spark.read.schema(schema)).json(good) if good else spark.createDataFrame([], schema)
+    file = F.col("_metadata.file_path") if good else F.lit(None).cast("string")
+    return rows.withColumn("_file", file), spark.createDataFrame(bad, "line string, file string, reason string")
+
+
 def split_batch(batch: DataFrame, kind: str = "history") -> tuple[DataFrame, DataFrame]:
     """Good rows (schema columns only) and rejects (raw line, file, reason)."""
     bad = F.col("_corrupt_record").isNotNull()
@@ -65,9 +125,12 @@ def split_batch(batch: DataFrame, kind: str = "history") -> tuple[DataFrame, Dat
 
 
 def _writer(sink_dir: str, reject_dir: str, kind: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+    def write(files: DataFrame, batch_id: int) -> None:
+        spark = files.sparkSession
+        rows, unreadable = read_drops(spark, [r.path for r in files.collect()], kind)
+        batch = rows.persist()
         good, rejects = split_batch(batch, kind)
+        rejects = rejects.unionByName(unreadable)
         (good.withColumn("day", F.to_date("DateTime")).withColumn("batch", F.lit(batch_id))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch", "day").parquet(sink_dir))
@@ -79,7 +142,7 @@ def _writer(sink_dir: str, reject_dir: str, kind: str):
             # the daily last-sample rollup of this batch (bounded as-of lookups)
             (daily_last(good).withColumn("batch", F.lit(batch_id))
                  .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("batch").parquet(rollup_dir(sink_dir)))
+                 .partitionBy("batch", "day").parquet(rollup_dir(sink_dir)))
         (rejects.withColumn("batch", F.lit(batch_id))
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("batch").json(reject_dir))
@@ -92,7 +155,7 @@ def start_ingest(spark: SparkSession, source_dir: str, sink_dir: str, reject_dir
                  clean_source: str | None = None) -> StreamingQuery:
     """STR1: start the ingest; ``once`` processes what is there (availableNow)
     and stops, otherwise it polls every ``every`` (the reference's cron)."""
-    w = (drop_stream(spark, source_dir, kind, clean_source).writeStream
+    w = (file_stream(spark, source_dir, kind, clean_source).writeStream
          .foreachBatch(_writer(sink_dir, reject_dir, kind))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime=every)

@@ -68,11 +68,7 @@ def test_buckets_avgm(spark, small_chunks):
     same(as_map(bk.buckets(hist(spark, rows), S, E, 6, "avgm")), bf.buckets_avgm(rows, S, E, 6))
 
 
-@pytest.mark.parametrize("chunked_path", [False, True])
-def test_buckets_dif(spark, monkeypatch, chunked_path):
-    if chunked_path:
-        from tagscope import session
-        monkeypatch.setattr(session, "ONE_TASK_ROWS", -1)
+def test_buckets_dif(spark):
     rows = random_rows(26)
     got = as_map(bk.buckets_dif(hist(spark, rows), S, E, 4, chunk_size=2))
     e = bf.edges(S, E, 4)
@@ -93,6 +89,59 @@ def test_more_buckets_than_seconds(spark):
     same(got, want)
 
 
+@pytest.mark.parametrize("group", ["avg", "sum", "min", "max", "count"])
+@pytest.mark.parametrize("n", [1, 5, 7])
+def test_buckets_seeded_and_cyclic(spark, small_chunks, group, n):
+    """Every bucket is what the single range of the same mode gives."""
+    rows = random_rows(27)
+    e = bf.edges(S, E, n)
+    first = {t: min(d for d, _ in s) for t, s in bf.by_tag(rows).items()}
+    seeded, cyclic = {}, {}
+    for i in range(1, n + 1):
+        one = bf.filled_agg(rows, e[i - 1], e[i], group, seeded=True)
+        held = {}
+        for t, _, v in bf.cyclic(rows, e[i - 1], e[i], 60000):
+            held.setdefault(t, []).append(v)
+        for t in first:
+            if first[t] <= e[n]:
+                seeded[(t, e[i])] = one.get(t, 0.0 if group == "count" else None)
+            if first[t] < e[n]:
+                v = bf.agg(held[t], group) if t in held else (0 if group == "count" else None)
+                cyclic[(t, e[i])] = v / 60 if group == "count" else v
+    h = hist(spark, rows)
+    same(as_map(bk.buckets(h, S, E, n, group, mode="seeded")), seeded)
+    got = as_map(bk.buckets(h, S, E, n, group, mode="cyclic"))
+    same({k: v for k, v in got.items() if k in cyclic}, {k: v for k, v in cyclic.items() if k in got})
+    assert {k[0] for k in got} == {t for t, _ in cyclic if any((t, x) in cyclic and cyclic[t, x] not in (None, 0) for x in e)}
+
+
+def test_buckets_dif_interpolated(spark, small_chunks):
+    rows = random_rows(28)
+    e = bf.edges(S, E, 6)
+    at = [bf.interp(rows, x) for x in e]
+    got = as_map(bk.buckets(hist(spark, rows), S, E, 6, "dif", mode="raw"))
+    want = {}
+    for t in {t for t, _ in got}:
+        for i in range(1, 7):
+            a, b = at[i - 1].get(t), at[i].get(t)
+            want[(t, e[i])] = None if a is None or b is None else b - a
+    same(got, want)
+    assert any(v is not None for v in want.values())
+
+
+def test_modes_are_checked_and_asked_tags_complete(spark):
+    rows = random_rows(29)
+    h = hist(spark, rows)
+    with pytest.raises(ValueError):
+        bk.buckets(h, S, E, 3, "avg", mode="nonsense")
+    tag = rows[0][0]
+    for mode in ("raw", "filled", "seeded", "cyclic"):
+        for group in ("avg", "count", "dif", "avgm"):
+            got = as_map(bk.buckets(h, S, E, 3, group, mode=mode, tags=f"{tag},zzz"))
+            assert {t for t, _ in got} == {tag, "zzz"} and len(got) == 6
+            assert {v for (t, _), v in got.items() if t == "zzz"} == {0.0 if group == "count" else None}
+
+
 def test_bucket_count_errors(spark):
     h = hist(spark, [("A", "2024-01-01 00:00:00", 1)])
     with pytest.raises(ValueError):

@@ -26,17 +26,3 @@ def test_every_query_runs_small(spark):
     for name, fn in m.queries().items():
         df = fn(spark, SF_SMALL)
         df.write.format("noop").mode("overwrite").save()
-
-
-def test_results_same_without_shared_checkpoints(spark):
-    m = load_entry()
-    qs = m.queries()
-    names = ["values_n_instants", "range_cyclic", "group_filled_seeded", "buckets_raw", "buckets_dif",
-             "nth_down_event", "buckets_avgm"]
-    on = {n: sorted(map(tuple, qs[n](spark, SF_SMALL).collect()), key=str) for n in names}
-    spark.conf.set("spark.tagscope.shareIntermediates", "false")
-    try:
-        off = {n: sorted(map(tuple, qs[n](spark, SF_SMALL).collect()), key=str) for n in names}
-    finally:
-        spark.conf.unset("spark.tagscope.shareIntermediates")
-    assert on == off

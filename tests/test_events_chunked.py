@@ -33,8 +33,6 @@ def test_down_up_cases(spark, small_chunks):
 @pytest.mark.parametrize("use_chunks", [False, True])
 def test_nth_event(spark, monkeypatch, use_chunks):
     if use_chunks:
-        from tagscope import session
-        monkeypatch.setattr(session, "ONE_TASK_ROWS", -1)
         monkeypatch.setattr(chunked, "DEFAULT_CHUNK_SECONDS", 60)
     h = hist(spark, CASES)
     e = ev.down_events(h, S, E)

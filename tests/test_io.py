@@ -136,12 +136,14 @@ def test_streaming_ingest(spark):
                                                  '{"DateTime":"2024-01-01 00:01:00","Value":3}'])
     _gz(os.path.join(src, "av_1.json.gz"), ['{"DateTime":"2024-01-01 00:00:00","CertNum":"c1","Tare":1,"Brutto":2}'])
     _gz(os.path.join(src, "other.json.gz"), ['{"TagName":"Z","DateTime":"2024-01-01 00:00:00","Value":9}'])
-    with open(os.path.join(src, "hs_broken.json.gz"), "wb") as fh:   # corrupt gzip: skipped, not fatal
+    with open(os.path.join(src, "hs_broken.json.gz"), "wb") as fh:   # corrupt gzip: one reject, not fatal
         fh.write(gzip.compress(b'{"TagName":"Q","DateTime":"2024-01-01 00:00:00","Value":1}\n')[:10] + b"\x00junk" * 20)
     q = ingest.start_ingest(spark, src, sink, rej, ck)
     q.awaitTermination(120)
     assert ingest.read_ingested(spark, sink).count() == 3
-    assert spark.read.json(rej).count() == 2
+    bad = spark.read.json(rej)
+    assert sorted(r.reason for r in bad.collect()) == ["malformed", "missing field", "unreadable file"]
+    assert bad.filter("reason = 'unreadable file'").first().file.endswith("hs_broken.json.gz")
     assert ingest.load_mark(spark, sink).first().LoadMark.minute == 1
     q = ingest.start_ingest(spark, src, sink, rej, ck)          # nothing new: nothing added
     q.awaitTermination(120)
@@ -163,6 +165,24 @@ def test_streaming_ingest(spark):
     assert (t.CertNum, t.Brutto) == ("c1", 2.0)
 
 
+def test_truncated_drop_is_one_reject(spark):
+    base = tempfile.mkdtemp(prefix="tagscope-truncated-")
+    src, sink, rej, ck = (os.path.join(base, x) for x in ("in", "sink", "rejects", "ckpt"))
+    os.makedirs(src)
+    lines = [f'{{"TagName":"T{i}","DateTime":"2024-01-01 00:00:00","Value":{i * 7919 % 1000}}}' for i in range(3000)]
+    whole = gzip.compress("\n".join(lines).encode())
+    with open(os.path.join(src, "hs_cut.json.gz"), "wb") as fh:
+        fh.write(whole[:len(whole) // 2])
+    with open(os.path.join(src, "hs_two.json.gz"), "wb") as fh:      # two gzip members are one readable file
+        fh.write(gzip.compress((lines[0] + "\n").encode()) + gzip.compress(lines[1].encode()))
+    ingest.start_ingest(spark, src, sink, rej, ck, clean_source="archive").awaitTermination(120)
+    assert sorted(r.TagName for r in ingest.read_ingested(spark, sink).collect()) == ["T0", "T1"]
+    (bad,) = spark.read.json(rej).collect()
+    assert bad.reason == "unreadable file" and bad.file.endswith("hs_cut.json.gz")
+    with pytest.raises(ValueError):
+        ingest.file_stream(spark, src, clean_source="delete")
+
+
 def test_day_partition_pruning(spark):
     from tagscope.operators import pointintime as pit
     from tagscope.operators import resample as rs
@@ -190,12 +210,16 @@ def test_streaming_running_load_mark(spark):
     assert spark.sql("select LoadMark from tagscope_mark").first().LoadMark.day == 3
 
 
-def test_materialize_and_table_json(spark):
-    from tagscope.session import materialize
-    h = td.history(spark, SF_SMALL)
-    m = materialize(h, "test_materialize")
-    assert m.count() == h.count() and m.rdd.getNumPartitions() >= 1
-    assert spark.conf.get("spark.checkpoint.dir") in m.inputFiles()[0]
+def test_checkpoint_dir_and_table_json(spark):
+    from tagscope.session import checkpoint_dir
+    assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    class Unset:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Unset)
     rows = [json.loads(r.value) for r in exp.json_table_rows(
         spark.createDataFrame([("a", 1, None)], "x string, n int, z double")).collect()]
     assert rows == [{"x": "a", "n": "1", "z": ""}]
@@ -220,3 +244,24 @@ def test_api_up_dates_and_decode(spark):
     assert ups.count() >= first.count() == ups.select("TagName").distinct().count()
     d = api.decode(spark.createDataFrame([("A20_WT_01",)], "TagName string")).first()
     assert (d.area, d.device_type_id, d.device_num) == ("20", "WT", "01")
+
+
+def test_template_literals_and_functions(spark):
+    t = tpl.template_table(spark, [
+        ("like", "select count(*) as n from values ('x1'), ('x2'), ('y') as t(a) where a like '{x}%' and a <> '{q}' and a <> ':z'"),
+        ("fn", "select {group} (a) as v from values (1), (5) as t(a) where a >= {lo}"),
+        ("quote", "select concat('it''s {x}, ', '{x}') as v")])
+    assert tpl.template_exec(spark, t, "like", {"x": "x", "q": "x2"}).first().n == 1
+    assert tpl.template_exec(spark, t, "fn", {"group": "max", "lo": 0}).first().v == 5
+    assert tpl.template_exec(spark, t, "quote", {"x": "o'k"}).first().v == "it's o'k, o'k"
+
+
+def test_generic_results_and_nulls_in_files(spark):
+    base = tempfile.mkdtemp(prefix="tagscope-export-")
+    g = spark.createDataFrame([("a", 1), (None, 2)], "x string, n int")
+    for fmt in ("json", "xml", "grafana", "csv", "text"):
+        exp.export(g, fmt, os.path.join(base, fmt))
+    assert sorted(spark.read.json(os.path.join(base, "json")).select("n", "x").collect()) == [("1", "a"), ("2", "")]
+    h = hist(spark, [("A", "2024-01-01 00:00:00", None)])
+    exp.export(h, "json", os.path.join(base, "null"))
+    assert json.loads(spark.read.text(os.path.join(base, "null")).first().value)["value"] is None
