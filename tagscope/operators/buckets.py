@@ -173,7 +173,7 @@ def buckets_cyclic(history: DataFrame, start, end, n: int, group: str, tags=None
     x = src.withColumn("_x", F.greatest(epoch_us("DateTime") - F.lit(epoch_us_value(start)), F.lit(0).cast("long"))) \
         .filter(F.col("_x") < T * US)
     if 0 < n <= T:
-        x = with_bucket_of(x, "_x", T, n, "[)").withColumn("_b", F.element_at("_bk", 1)).drop("_bk")
+        x = with_bucket_of(x, "_x", T, n, "[)").withColumn("_b", F.explode_outer("_bk")).drop("_bk")   # cuts generated code
     else:
         x = x.withColumn("_b", F.element_at(bucket_members("_x", T, n, "[)"), 1))
 
