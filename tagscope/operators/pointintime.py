@@ -130,16 +130,16 @@ def instant_runs(history: DataFrame, start, n_instants: int, first_instant: Colu
                  last_instant_at, lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Samples reduced to the last one per (tag, first instant it feeds).
 
-    Returns ``TagName, i, DateTime, Value`` for non-empty i only.
+    Returns ``TagName, i, Value`` for non-empty i only.
     """
     src = asof_source(history, start, last_instant_at, rollup, lookback_seconds)
     x_us = epoch_us("DateTime") - F.lit(epoch_us_value(start))
     b = src.withColumn("i", first_instant(x_us)).filter(F.col("i").isNotNull() & (F.col("i") < n_instants))
-    return b.groupBy("TagName", "i").agg(*last_sample())
+    return b.groupBy("TagName", "i").agg(F.max_by(F.col("Value"), F.col("DateTime")).alias("Value"))
 
 
 def instant_values(runs, n_instants: int, leading_nulls: bool, chunk_size: int) -> DataFrame:
-    """Expand reduced runs to one row per tag and instant: ``TagName, i, DateTime, Value``.
+    """Expand reduced runs to one row per tag and instant: ``TagName, i, Value``.
 
     Each non-empty instant holds until the next non-empty one (found with the
     chunked lead), so rows are produced by ``explode`` where the run lives and
@@ -154,7 +154,7 @@ def instant_values(runs, n_instants: int, leading_nulls: bool, chunk_size: int)
     upto = F.coalesce(F.col("next_i"), F.lit(n_instants).cast("long")) - 1
     out = explode_span(nb.withColumnRenamed("i", "_from"), start, upto, "i")
     held = F.col("i") >= F.col("_from")
-    return out.select("TagName", "i", F.when(held, F.col("DateTime")).alias("DateTime"), F.when(held, F.col("Value")).alias("Value"))
+    return out.select("TagName", "i", F.when(held, F.col("Value")).alias("Value"))
 
 
 def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
