@@ -62,9 +62,10 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_history(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Day-partitioned, tag-clustered Parquet layout for large histories."""
+    """Day-partitioned, tag-clustered Parquet layout for large histories; a hot
+    tag's day is dealt out by the hour."""
     (df.withColumn("day", F.to_date("DateTime"))
-       .repartition("day", "TagName")
+       .repartition("day", "TagName", F.hour("DateTime"))
        .sortWithinPartitions("TagName", "DateTime")
        .write.mode(mode).partitionBy("day").parquet(path))
 
