@@ -137,8 +137,6 @@ class WordBpe:
             number = self.numbers[key] = len(self.keys)
             self.keys.append(key)
             self.label.append(key[-1][1])
-            self.go.append({})
-            self.end_label.append({})
         return number
 
     def _step(self, state: int, symbol: int) -> list[tuple[int, int]]:
@@ -160,10 +158,17 @@ class WordBpe:
         self.numbers: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.label: list[int] = []
-        self.go: list[dict[int, int]] = []
-        self.end_label: list[dict[int, int]] = []
+        self.go: dict[int, int] = {}           # state and byte -> state
+        self.end_label: dict[int, int] = {}    # state and last byte -> label
         self._state(((0, -1),))
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts; the compiled tables stay."""
+        self._reset()
+        self.pieces, self.older = {}, {}
+        self.automaton._heads.clear()
+        self.automaton._tails.clear()
+
     def encode_word(self, word: str) -> list[int]:
         """Labels on the automaton's only path that spells the word."""
         if len(self.keys) > KEPT_STATES:
@@ -171,15 +176,16 @@ class WordBpe:
         raw = word.encode("utf-8")
         go, label, state, ends = self.go, self.label, 0, []
         for b in raw[:-1]:
-            to = go[state].get(b)
+            at = state << 8 | b
+            to = go.get(at)
             if to is None:
-                to = go[state][b] = self._state(tuple(self._step(state, self.inner[b])))
+                to = go[at] = self._state(tuple(self._step(state, self.inner[b])))
             state = to
             ends.append(label[state])
-        b = raw[-1]
-        last = self.end_label[state].get(b)
+        at = state << 8 | raw[-1]
+        last = self.end_label.get(at)
         if last is None:
-            last = self.end_label[state][b] = self._step(state, self.final[b])[-1][1]
+            last = self.end_label[at] = self._step(state, self.final[raw[-1]])[-1][1]
         length = self.length
         out, i = [last], len(ends) - length[last]
         while i >= 0:
@@ -278,6 +284,8 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *[pa.array(v, f[2]) for v, f in zip(out, fields)]], names=["doc_id", *[f[0] for f in fields]])
+        bpe.forget()     # the worker lives on and may serve other stages
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, ", ".join([f"doc_id {id_type}", *[f"{n} {t}" for n, t, _ in fields]]))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tagscope.llm import hashed
 from tagscope.llm.common import Renamed, held_out
@@ -168,19 +166,15 @@ def score_documents(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", tex
     score or predicted are replaced.  The whole text counts, however long.
     """
     kept = docs.drop("score", "predicted")
-    at, names = kept.columns.index(text), [*kept.columns, "score", "predicted"]
-    schema = StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, block in blocks(batch.column(at)):
-                # the trees see float32, as they did in training
-                s = forest.score(statistics(block).astype(np.float32).astype(float))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
-
-    return kept.mapInArrow(run, schema)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        # the trees see float32, as they did in training
+        parts = [forest.score(statistics(block).astype(np.float32).astype(float)) for _, _, block in blocks(texts)]
+        pa.default_memory_pool().release_unused()
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return kept.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
