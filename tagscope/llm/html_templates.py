@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_HOSTS = 1_000_000   # large hosts (name and number) that are broadcast at most; beyond, the join shuffles
 GROUP_PAGES = 48      # pages that are deduced together, about; larger hosts are dealt to several groups
 
 # HTML element kinds.
@@ -261,9 +262,15 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")).withColumn(
         "host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))))
-    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).withColumnRenamed("host", "_host")
-    dealt = rows.join(sizes, F.col("host") == F.col("_host")).withColumn(
-        "group", F.pmod(F.xxhash64("page_id", "url"), F.col("groups"))).drop("_host", "groups")
+    # only hosts of more than one group need their size; few enough are broadcast, so
+    # that pages move once, by (host, group), and never by host alone
+    large = rows.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1") \
+        .withColumnRenamed("host", "_host")
+    few = large.count() <= BROADCAST_HOSTS
+    dealt = rows.join(F.broadcast(large) if few else large, F.col("host") == F.col("_host"), "left").withColumn(
+        "group", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))).drop("_host", "groups")
+    if not few:
+        dealt = dealt.repartition("host", "group")
     id_type = pages.schema[page_id].dataType.simpleString()
 
     def run(part: pa.Table) -> pa.Table:

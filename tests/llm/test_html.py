@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from tagscope.llm import html_templates as ht
 from tagscope.llm import queries
 
@@ -50,7 +52,9 @@ def test_rows(spark):
     assert ht.main_text(df.limit(0)).count() == 0
 
 
-def test_large_host_is_dealt_out(spark):
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_large_host_is_dealt_out(spark, monkeypatch, limit):
+    monkeypatch.setattr(ht, "BROADCAST_HOSTS", limit)
     df = spark.createDataFrame([(i, "http://one.example/", PAGE.format(i, "")) for i in range(60)], "page_id long, url string, html string")
     got = ht.main_text(df, group_pages=8)
     assert {r.page_id: r.text for r in got.collect()} == {i: WANT.format(i) for i in range(60)}
