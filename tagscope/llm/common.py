@@ -19,12 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) is a warehouse subfolder
-    registered instead; a machine-local temporary folder is never used."""
+    Only when the session names none (local tests) is it a warehouse subfolder;
+    a machine-local temporary folder is never used."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
