@@ -7,10 +7,12 @@ equivalence class.  A class is valid when its tokens keep their order on every
 page and, for classes that repeat, when all its occurrences lie in one slot of
 the class around it.  The class that occurs once on every page is the skeleton;
 between its neighbouring tokens lie slots, into which the other valid classes
-are nested.  Slots whose enclosing skeleton elements are page furniture, or
-(on pages without an article element) that hold mostly links or lie outside the
-slots that vary, are left out; the whole text of the remaining slots is
-extracted, repeated passages included.
+are nested.  Page furniture is left out, and so are slots that hold mostly links
+or lie outside the slots that vary.  An article or main element is one feature
+of a slot: what lies in it stays, and it is the only main text where it holds
+the bulk of the varying text on the pages built like this one; elsewhere the
+slots around it stay too.  The whole text of what remains is extracted, repeated
+passages included.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
                     "strike strong sub sup time tt u var wbr").split())
 MAIN = frozenset(("article", "main"))
+UNCLOSED = frozenset("p li dt dd tr td th option".split())      # often left open: no part of a path
 FURNITURE = frozenset("head nav header footer aside form button dialog menu fieldset".split())
 FURNITURE_NAMES = frozenset((
     "ad ads advert adverts advertisement advertising sponsored sponsor promo banner sidebar aside nav navbar navigation menu "
@@ -94,6 +97,115 @@ class Template:
     skeleton: list[str]
     main: list[bool] = field(default_factory=list)
     nested: dict[int, list[frozenset]] = field(default_factory=dict)
+    articles: dict[frozenset, str] = field(default_factory=dict)    # by build of a page: "only", "some" or "links"
+
+
+def element_ends(page: list[Token]) -> dict[int, int]:
+    """Index after each furniture, article and main element, by where it opens;
+    one that is never closed ends at the next block-level tag (furniture) or
+    with the page."""
+    names = {t.name for t in page if t.kind == "open" and (t.furniture or t.name in MAIN)}
+    opened: dict[str, list[int]] = {name: [] for name in names}
+    ends: dict[int, int] = {}
+    for i, t in enumerate(page):
+        if t.name in names:
+            if t.kind == "open":
+                opened[t.name].append(i)
+            elif t.kind == "close" and opened[t.name]:
+                ends[opened[t.name].pop()] = i + 1
+    left = {i for places in opened.values() for i in places}
+    stop = len(page)
+    for i in range(len(page) - 1, -1, -1) if left else ():
+        t = page[i]
+        if i in left:
+            ends[i] = stop if t.furniture else len(page)
+        if t.kind in ("open", "close") and t.name not in INLINE:
+            stop = i
+    return ends
+
+
+@dataclass
+class Outline:
+    """Of one page: which tokens lie in furniture, which in an article, the
+    paths of its outermost articles (its build) and how many these are."""
+    hidden: bytearray
+    article: bytearray
+    build: frozenset
+    n_articles: int
+
+
+def outline(page: list[Token], ends: dict[int, int]) -> Outline:
+    hidden, article = bytearray(len(page)), bytearray(len(page))
+    paths, n, depth, skip = set(), 0, 0, 0
+    stack: list[Token] = []
+    for i, t in enumerate(page):
+        if i < skip:
+            hidden[i] = 1
+            continue
+        if t.kind == "open" and t.furniture:
+            skip = ends[i]
+            hidden[i] = 1
+            continue
+        if t.kind in ("open", "close"):
+            if t.name in MAIN:
+                if t.kind == "open" and not depth:
+                    paths.add("/".join(x.role for x in (*stack, t)))
+                    n += 1
+                depth = max(0, depth + (1 if t.kind == "open" else -1))
+            if t.name not in INLINE and t.name not in UNCLOSED:
+                if t.kind == "open":
+                    stack.append(t)
+                else:
+                    at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == t.name), None)
+                    if at is not None:
+                        del stack[at:]
+        article[i] = depth > 0
+    return Outline(hidden, article, frozenset(paths), n)
+
+
+def varying_text(pages: list[list[Token]], counts: list[Counter]) -> list[list[int]]:
+    """Per token, the length of a text outside links that is not the same on
+    every page; of every text if none varies."""
+    def lengths(same: set) -> list[list[int]]:
+        out = []
+        for page in pages:
+            link, own = 0, []
+            for t in page:
+                if t.name == "a" and t.kind != "text":
+                    link = t.kind == "open"
+                own.append(len(t.role) - 1 if t.kind == "text" and not link and t.role not in same else 0)
+            out.append(own)
+        return out
+
+    same = {r for r, n in counts[0].items() if all(c.get(r) == n for c in counts[1:])} if len(pages) > 1 else set()
+    found = lengths(same)
+    return found if any(map(any, found)) else lengths(set())
+
+
+def judge_articles(pages: list[list[Token]], outlines: list[Outline], weights: list[list[int]]) -> dict[frozenset, str]:
+    """What the articles are on the pages of each build: the only main text
+    ("only": one a page, and half of the varying text or more), part of it
+    ("some"), or lists of links beside it ("links")."""
+    inside, total, most = Counter(), Counter(), Counter()
+    linked, length = Counter(), Counter()
+    for page, o, weight in zip(pages, outlines, weights):
+        if not o.n_articles:
+            continue
+        most[o.build] = max(most[o.build], o.n_articles)
+        link = 0
+        for t, w, hidden, article in zip(page, weight, o.hidden, o.article):
+            if hidden:
+                continue
+            if t.name == "a" and t.kind != "text":
+                link = t.kind == "open"
+            total[o.build] += w
+            if article:
+                inside[o.build] += w
+                if t.kind == "text":
+                    length[o.build] += len(t.role) - 1
+                    linked[o.build] += link * (len(t.role) - 1)
+    return {b: "only" if 2 * inside[b] >= total[b] and (n == 1 or inside[b] == total[b])
+            else "links" if n > 1 and 2 * linked[b] > length[b] else "some" for b, n in most.items()}
 
 
 def in_order(places: list[list[int]]) -> list[int]:
@@ -144,65 +256,37 @@ def deduce(pages: list[list[Token]]) -> Template:
             if len(inside) == 1:
                 template.nested.setdefault(inside.pop(), []).append(frozenset(members))
 
-    # what encloses each slot, on the first page
-    around: list[list[Token]] = [[]]
-    stack: list[Token] = []
-    for t in pages[0]:
-        if t.kind == "open":
-            stack = [*stack, t]
-        elif t.kind == "close":
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == t.name), None)
-            stack = stack if at is None else stack[:at]
-        if t.role in marks:
-            around.append(stack)
-    allowed = [not any(t.furniture for t in stack) for stack in around]
-    has_main = any(t.kind == "open" and t.name in MAIN for page in pages for t in page)
-    if has_main:
-        enclosed = [any(t.name in MAIN for t in stack) for stack in around]
-        if any(enclosed):
-            template.main = [a and e for a, e in zip(allowed, enclosed)]
-        else:        # the article is no skeleton element on these pages: look into each slot
-            template.main = allowed
-        return template
+    # what each slot holds and, on the first page, what encloses it
+    outlines = [outline(page, element_ends(page)) for page in pages]
+    template.articles = judge_articles(pages, outlines, varying_text(pages, counts))
+    first = outlines[0]
+    around = [(False, False), *((bool(h), bool(a)) for t, h, a in zip(pages[0], first.hidden, first.article) if t.role in marks)]
+    allowed = [not h for h, _ in around]
     texts = [[set() for _ in pages] for _ in around]
     linked, length = [0] * len(around), [0] * len(around)
     for p, (page, slots) in enumerate(zip(pages, slot_of)):
         link = 0
-        for t, s in zip(page, slots):
+        for t, s, hidden in zip(page, slots, outlines[p].hidden):
             if t.name == "a" and t.kind != "text":
                 link = 1 if t.kind == "open" else 0
-            if t.kind == "text" and t.role != "T" and t.role not in marks:
+            if t.kind == "text" and t.role != "T" and t.role not in marks and not hidden:
                 texts[s][p].add(t.role)
                 length[s] += len(t.role)
                 linked[s] += link * len(t.role)
     # what never varies before the first or after the last varying slot is the template's
-    varying = [i for i, slot in enumerate(texts) if allowed[i] and len({frozenset(x) for x in slot}) > 1]
+    varying = [i for i, slot in enumerate(texts) if len({frozenset(x) for x in slot}) > 1]
     lo, hi = (varying[0], varying[-1]) if varying else (0, len(texts))
-    template.main = [a and lo <= i <= hi and 2 * k <= n for i, (a, k, n) in enumerate(zip(allowed, linked, length))]
+    template.main = [(any(texts[i]) or a) and (m or lo <= i <= hi and 2 * k <= n)
+                     for i, (a, (_, m), k, n) in enumerate(zip(allowed, around, linked, length))]
     return template
 
 
-def skip_to(page: list[Token], i: int, stop: int) -> int:
-    """Index after the furniture element that opens at ``i``; when it is never
-    closed, only up to the next block-level tag."""
-    depth = 0
-    for j in range(i, stop):
-        if page[j].name == page[i].name:
-            depth += (page[j].kind == "open") - (page[j].kind == "close")
-            if not depth:
-                return j + 1
-    for j in range(i + 1, stop):
-        if page[j].kind in ("open", "close") and page[j].name not in INLINE:
-            return j
-    return stop
-
-
 def extract(page: list[Token], template: Template) -> str:
     """Blocks of the slots that remain, joined by line ends."""
     marks = {r: i for i, r in enumerate(template.skeleton)}
-    slot, i, main_depth = 0, 0, 0
-    lacks = not any(template.main)
-    own_main = any(t.kind == "open" and t.name in MAIN for t in page)
+    o = outline(page, element_ends(page))
+    articles = template.articles[o.build] if o.n_articles else ""
+    slot, lacks = 0, not any(template.main)
     blocks: list[str] = []
     words: list[str] = []
 
@@ -212,29 +296,18 @@ def extract(page: list[Token], template: Template) -> str:
         if block:
             blocks.append(block)
 
-    while i < len(page):
-        t = page[i]
+    for t, hidden, article in zip(page, o.hidden, o.article):
         if t.role in marks:
             slot = marks[t.role] + 1
-        if t.kind == "open" and t.furniture:
-            end = skip_to(page, i, len(page))
+        if hidden:
             close_block()
-            for u in page[i:end]:
-                if u.role in marks:
-                    slot = marks[u.role] + 1
-            i = end
-            continue
-        if t.name in MAIN and t.kind != "text":
-            main_depth = max(0, main_depth + (1 if t.kind == "open" else -1))
-        if t.kind == "text":
-            wanted = main_depth > 0 if own_main else lacks or template.main[slot]
-            if wanted:
+        elif t.kind == "text":
+            if article and articles != "links" or articles != "only" and not article and (lacks or template.main[slot]):
                 words.append(t.name)
         elif t.name == "br":
             words.append(" ")
         elif t.name not in INLINE:
             close_block()
-        i += 1
     close_block()
     return "\n".join(blocks)
 

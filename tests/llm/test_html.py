@@ -68,3 +68,25 @@ def test_query(spark):
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
         want = "\n".join(b for b in blocks if b)
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want)
+
+
+TEASERS = ("<html><body><div class=bar><a href=/>Home</a></div><div class=content><h1>About {0}</h1><p>fixed words<p>Body {0} is the longer text of this page, "
+           "{0} it goes on for a while.</div>{1}</body></html>")
+
+
+@pytest.mark.parametrize("teasers", [
+    "<article class=teaser><p>See {0}</p></article><article class=teaser><p>And {0}</p></article>",
+    "<article><p>One {0}</p></article>", "<aside><article><p>Only {0} in furniture, and quite as long as the text of the page itself</p></article></aside>",
+    "<article><a href=/{0}>linked {0}</a></article><article><a href=/2{0}>again {0}</a></article>"])
+def test_articles_that_are_not_the_main_text(teasers):
+    for names in ("abc", "a"):
+        got = ht.extract_group([TEASERS.format(i, teasers.format(i)) for i in names])
+        for i, text in zip(names, got):
+            assert f"About {i}\nfixed words\nBody {i} is the longer text of this page, {i} it goes on for a while." in text
+            assert "in furniture" not in text and "linked" not in text
+
+
+def test_two_builds_on_one_host():
+    plain = PAGE.replace("First", "First long words " * 20)
+    got = ht.extract_group([plain.format(i, "") for i in range(4)] + [TEASERS.format("x", "<article><p>One</p></article>")])
+    assert "Body x is the longer text" in got[-1] and all("Title" in t and "reader" not in t for t in got[:-1])
