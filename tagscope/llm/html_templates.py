@@ -8,7 +8,8 @@ page and, for classes that repeat, when all its occurrences lie in one slot of
 the class around it.  The class that occurs once on every page is the skeleton;
 between its neighbouring tokens lie slots, into which the other valid classes
 are nested.  Page furniture is left out, and so are slots that hold mostly links
-or lie outside the slots that vary.  An article or main element is one feature
+or lie outside the slots that vary; an element marked as furniture that encloses
+the main text is none, and only furniture deeper in it is left out.  An article or main element is one feature
 of a slot: what lies in it stays, and it is the only main text where it holds
 the bulk of the varying text on the pages built like this one; elsewhere the
 slots around it stay too.  The whole text of what remains is extracted, repeated
@@ -18,9 +19,11 @@ passages included.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +45,8 @@ FURNITURE_NAMES = frozenset((
     "menubar breadcrumb breadcrumbs header masthead footer comment comments respond reply replies disqus cookie cookies consent "
     "notice notices gdpr popup modal newsletter subscribe subscription signup share sharing social related recommended widget "
     "toolbar pagination pager alert").split())
+COMMENT_NAMES = frozenset("comment comments respond reply replies disqus".split())
+WRAPPERS = frozenset(("form", "dialog", "fieldset", "header"))      # furniture by name that can also stand around a whole page
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 TOKEN = re.compile(
@@ -55,7 +60,7 @@ class Token:
     kind: str            # open, close, text
     name: str            # element name, or the text as written
     role: str            # what tells it apart from other tokens
-    furniture: bool = False
+    furniture: tuple = ()        # what marks it as furniture: name, role, words of class and id
 
 
 def tokens(page: str) -> list[Token]:
@@ -82,8 +87,9 @@ def tokens(page: str) -> list[Token]:
         words = set(re.split(r"[^a-z]+", marks.get("class", "") + " " + marks.get("id", "")))
         furniture = name in FURNITURE or marks.get("role", "") in FURNITURE_ROLES or (
             name not in MAIN and name not in ("html", "body") and bool(words & FURNITURE_NAMES))
+        mark = (name, marks.get("role", ""), frozenset(words)) if furniture else ()
         role = f"{name} {marks['class']}" if "class" in marks else name
-        out.append(Token("open", name, role, furniture))
+        out.append(Token("open", name, role, mark))
         if name in VOID or m.group("attrs").endswith("/") and name in ("path", "use"):
             out[-1].kind = "void"
     text(page[at:])
@@ -98,6 +104,7 @@ class Template:
     main: list[bool] = field(default_factory=list)
     nested: dict[int, list[frozenset]] = field(default_factory=dict)
     articles: dict[frozenset, str] = field(default_factory=dict)    # by build of a page: "only", "some" or "links"
+    wrappers: frozenset = frozenset()       # elements that enclose the main text: their furniture marks, from outside to inside
 
 
 def element_ends(page: list[Token]) -> dict[int, int]:
@@ -124,6 +131,24 @@ def element_ends(page: list[Token]) -> dict[int, int]:
     return ends
 
 
+class Around:
+    """The wrappers around a place that moves on through a page."""
+
+    def __init__(self, ends: dict[int, int], wrappers: set | frozenset):
+        self.ends, self.wrappers = ends, wrappers
+        self.open: list[tuple[int, tuple]] = [(math.inf, ())]
+
+    def enter(self, i: int, mark: tuple) -> bool:
+        """Whether the furniture that opens at ``i`` is a wrapper."""
+        while self.open[-1][0] <= i:
+            self.open.pop()
+        self.chain = (*self.open[-1][1], mark)
+        if self.chain in self.wrappers:
+            self.open.append((self.ends[i], self.chain))
+            return True
+        return False
+
+
 @dataclass
 class Outline:
     """Of one page: which tokens lie in furniture, which in an article, the
@@ -134,15 +159,17 @@ class Outline:
     n_articles: int
 
 
-def outline(page: list[Token], ends: dict[int, int]) -> Outline:
+def outline(page: list[Token], ends: dict[int, int], wrappers: set | frozenset) -> Outline:
     hidden, article = bytearray(len(page)), bytearray(len(page))
     paths, n, depth, skip = set(), 0, 0, 0
     stack: list[Token] = []
+    inside: Counter = Counter()      # names in the stack
+    around = Around(ends, wrappers)
     for i, t in enumerate(page):
         if i < skip:
             hidden[i] = 1
             continue
-        if t.kind == "open" and t.furniture:
+        if t.kind == "open" and t.furniture and not around.enter(i, t.furniture):
             skip = ends[i]
             hidden[i] = 1
             continue
@@ -155,10 +182,11 @@ def outline(page: list[Token], ends: dict[int, int]) -> Outline:
             if t.name not in INLINE and t.name not in UNCLOSED:
                 if t.kind == "open":
                     stack.append(t)
-                else:
-                    at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == t.name), None)
-                    if at is not None:
-                        del stack[at:]
+                    inside[t.name] += 1
+                while t.kind == "close" and inside[t.name]:
+                    inside[(last := stack.pop()).name] -= 1
+                    if last.name == t.name:
+                        break
         article[i] = depth > 0
     return Outline(hidden, article, frozenset(paths), n)
 
@@ -182,6 +210,56 @@ def varying_text(pages: list[list[Token]], counts: list[Counter]) -> list[list[i
     return found if any(map(any, found)) else lengths(set())
 
 
+def may_wrap(mark: tuple) -> bool:
+    """Furniture by a name or class that can also stand around a whole page."""
+    name, role, words = mark
+    if name in FURNITURE or role in FURNITURE_ROLES:
+        return name in WRAPPERS or name not in FURNITURE and role in WRAPPERS
+    return bool(words - FURNITURE_NAMES - {""})
+
+
+def find_wrappers(pages: list[list[Token]], ends: list[dict[int, int]], weights: list[list[int]]) -> frozenset:
+    """Marks of furniture that encloses the main text, from outside to inside.
+    On the pages with such an element, an article in it holds more varying text
+    than all that is in no furniture, and half of the element's or more; or the
+    element holds most of the page's varying text, with less than a tenth of it
+    in no furniture."""
+    sums = [[0, *accumulate(w)] for w in weights]
+    wrappers: set = set()
+    while True:
+        own, biggest, outside, total = Counter(), Counter(), Counter(), Counter()
+        for page, end, run in zip(pages, ends, sums):
+            found: dict[tuple, list[int]] = {}
+            hidden, skip, around = 0, 0, Around(end, wrappers)
+            for i in sorted(end):
+                t = page[i]
+                if i < skip:
+                    if t.name in MAIN:
+                        was = found[around.chain]
+                        was[1] = max(was[1], run[min(end[i], skip)] - run[i])
+                elif t.furniture and not around.enter(i, t.furniture):
+                    skip = end[i]
+                    hidden += run[skip] - run[i]
+                    found.setdefault(around.chain, [0, 0])[0] += run[skip] - run[i]
+            for key, (held, article) in found.items():
+                own[key] += held
+                biggest[key] += article
+                outside[key] += run[-1] - hidden
+                total[key] += run[-1]
+
+        def encloses_main(key: tuple) -> bool:
+            if key[-1][2] & COMMENT_NAMES and outside[key]:
+                return False
+            bulk = 2 * own[key] > total[key] and 10 * outside[key] < total[key]
+            return bulk and may_wrap(key[-1]) or biggest[key] > 0 and (
+                biggest[key] > outside[key] and 2 * biggest[key] >= own[key] or bulk and not outside[key])
+
+        more = {key for key in own if encloses_main(key)}
+        if not more:
+            return frozenset(wrappers)
+        wrappers |= {max(more, key=lambda k: (biggest[k], own[k], [(a, b, sorted(c)) for a, b, c in k]))}
+
+
 def judge_articles(pages: list[list[Token]], outlines: list[Outline], weights: list[list[int]]) -> dict[frozenset, str]:
     """What the articles are on the pages of each build: the only main text
     ("only": one a page, and half of the varying text or more), part of it
@@ -257,8 +335,10 @@ def deduce(pages: list[list[Token]]) -> Template:
                 template.nested.setdefault(inside.pop(), []).append(frozenset(members))
 
     # what each slot holds and, on the first page, what encloses it
-    outlines = [outline(page, element_ends(page)) for page in pages]
-    template.articles = judge_articles(pages, outlines, varying_text(pages, counts))
+    ends, weights = [element_ends(page) for page in pages], varying_text(pages, counts)
+    template.wrappers = find_wrappers(pages, ends, weights)
+    outlines = [outline(page, end, template.wrappers) for page, end in zip(pages, ends)]
+    template.articles = judge_articles(pages, outlines, weights)
     first = outlines[0]
     around = [(False, False), *((bool(h), bool(a)) for t, h, a in zip(pages[0], first.hidden, first.article) if t.role in marks)]
     allowed = [not h for h, _ in around]
@@ -284,7 +364,7 @@ def deduce(pages: list[list[Token]]) -> Template:
 def extract(page: list[Token], template: Template) -> str:
     """Blocks of the slots that remain, joined by line ends."""
     marks = {r: i for i, r in enumerate(template.skeleton)}
-    o = outline(page, element_ends(page))
+    o = outline(page, element_ends(page), template.wrappers)
     articles = template.articles[o.build] if o.n_articles else ""
     slot, lacks = 0, not any(template.main)
     blocks: list[str] = []

@@ -90,3 +90,29 @@ def test_two_builds_on_one_host():
     plain = PAGE.replace("First", "First long words " * 20)
     got = ht.extract_group([plain.format(i, "") for i in range(4)] + [TEASERS.format("x", "<article><p>One</p></article>")])
     assert "Body x is the longer text" in got[-1] and all("Title" in t and "reader" not in t for t in got[:-1])
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<form id='aspnetForm'>", "</form>"), ("<div class='layout has-sidebar'>", "</div>"), ("<div id='page' class='with-menu'>", "</div>"),
+    ("<div class='header'>", "</div>"), ("<form><div class='has-sidebar'><fieldset>", "</fieldset></div></form>")])
+def test_furniture_around_the_main_text(start, end):
+    whole = PAGE.replace("{1}", "").replace("<header>", start + "<header>") + end
+    close = PAGE.replace("{1}", "").replace("<article>", start + "<article>").replace("</article>", "</article>" + end)
+    for page in (whole, close):
+        page = page.replace("First", "First long words " * 9)
+        for names in ("abc", "a"):
+            got = ht.extract_group([page.format(i) for i in names])
+            assert got == [WANT.format(i).replace("First", ("First long words " * 9).strip()) for i in names]
+
+
+@pytest.mark.parametrize("start, end", [("<form id='aspnetForm'>", "</form>"), ("<div class='layout has-sidebar'>", "</div>"), ("<div id='page' class='with-menu'>", "</div>")])
+def test_furniture_around_a_page_without_article(start, end):
+    page = ("<body>" + start + "<nav><a href=/{0}>{0}</a></nav><h1>About {0}</h1><p>Body {0} text<p>fixed words</p><p>end {0}</p>"
+            "<aside>side {0}</aside><footer>imprint</footer>" + end + "</body>")
+    assert ht.extract_group([page.format(i) for i in "abc"]) == [f"About {i}\nBody {i} text\nfixed words\nend {i}" for i in "abc"]
+
+
+def test_comments_longer_than_the_text():
+    page = "<body>{1}<h1>About {0}</h1><p>Body {0}</p>{2}<div class='comment-list'>" + "<article><p>reader {0} likes this page</p></article>" * 20 + "</div></body>"
+    for a, b in (("", ""), ("<article>", "</article>")):
+        assert ht.extract_group([page.format(i, a, b) for i in "abc"]) == [f"About {i}\nBody {i}" for i in "abc"]
