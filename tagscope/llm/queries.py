@@ -3,12 +3,15 @@ where SQL can express it."""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagscope.llm import ann, bpe_automaton, html_templates, mixing, ngram_join, quality_gbdt, quality_rules, secrets, tool_chat, toxicity
-from tagscope.llm.common import table
+from tagscope.llm import (ann, bpe_automaton, html_templates, mixing, ngram_join, quality_gbdt, quality_rules, secrets,
+                          token_frames, tool_chat, toxicity)
+from tagscope.llm.common import shared_dir, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -118,3 +121,11 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+# ---- 13: token-id output -----------------------------------------------------------
+@register("op13_token_frames")
+def op13_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = token_frames.documents_to_frames(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-frames-{uuid.uuid4().hex}",
+                                            public_tokenizers.path("byte_bpe_50k.json"))
+    return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
