@@ -225,7 +225,7 @@ class TokenFramesWriter(DataSourceArrowWriter):
         if not overwrite and fs.get_file_info(f"{folder}/{MANIFEST}").type != pafs.FileType.NotFound:
             raise ValueError(f"{path} already holds a data set of token frames")
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> FileEntry | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> FileEntry:
         fs, folder = open_folder(self.path)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}{SUFFIX}"
@@ -239,7 +239,7 @@ class TokenFramesWriter(DataSourceArrowWriter):
                         writer = FrameWriter(sink, self.frame_ids, self.level)
                     writer.add(doc_id, ids.as_buffer() if ids.is_valid else b"")
             if sink is None:
-                return None
+                return FileEntry(part, "", 0, 0)
             writer.close()
         finally:
             if sink is not None:
@@ -250,7 +250,7 @@ class TokenFramesWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[FileEntry | None]) -> None:
         fs, folder = open_folder(self.path)
-        files = sorted((m for m in messages if m is not None), key=lambda m: m.part)
+        files = sorted((m for m in messages if m is not None and m.name), key=lambda m: m.part)
         fs.create_dir(folder, recursive=True)
         with fs.open_output_stream(f"{folder}/{MANIFEST}.new") as out:
             out.write(json.dumps([vars(m) for m in files]).encode())
@@ -262,7 +262,7 @@ class TokenFramesWriter(DataSourceArrowWriter):
     def abort(self, messages: list[FileEntry | None]) -> None:
         fs, folder = open_folder(self.path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.name:
                 fs.delete_file(f"{folder}/{m.name}")
 
     @staticmethod
