@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagscope.llm import (ann, bpe_automaton, html_templates, mixing, ngram_join, quality_gbdt, quality_rules, secrets,
-                          token_frames, tool_chat, toxicity)
+                          spelling, token_frames, tool_chat, toxicity)
 from tagscope.llm.common import shared_dir, table
 
 QUERIES: dict = {}
@@ -123,6 +123,58 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+# ---- 11: spelling variants ------------------------------------------------------------
+# crc32 byte by byte with a table made from the polynomial; near words by equal rests
+# after deleting one place; roots by recursion.
+SPELLING_SQL = """
+with recursive bits as (
+  select i, 0 as k, i as c from range(256) t(i)
+  union all
+  select i, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from bits where k < 8),
+crc as (select list(c order by i) as tbl from bits where k = 8),
+runs as (
+  select run, coalesce(doc_id::varchar, 'null') as id, count(*) as k
+  from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[A-Za-z\u00C0-\u00FF]+')) as run from documents)
+  where length(run) >= 6 group by all),
+bytes as (
+  select id, run, k, hex(encode(id || ':' || run)) as h from runs),
+hashed as (
+  select run, k, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(h) // 2),
+           lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+           lambda c, b: xor(c // 256, tbl[(xor(c, b) & 255) + 1]::bigint)), 4294967295::bigint) as c
+  from bytes, crc),
+vocab as (
+  select word, sum(k)::bigint as n
+  from (select k, case when c % 199 = 0 then substr(run, 1, (c % length(run))::int) || substr(run, (c % length(run))::int + 2) else run end as word
+        from hashed)
+  where length(word) >= 6 group by word having sum(k) >= 5),
+holes as (
+  select word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) as rest
+  from (select word, n, unnest(range(1, length(word) + 1)) as p from vocab)),
+near as (
+  select a.word, b.word as other, b.n as other_n from holes a join holes b on a.p = b.p and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from holes a join vocab b on a.rest = b.word
+  union select b.word, a.word, a.n from holes a join vocab b on a.rest = b.word),
+best as (
+  select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from near group by word),
+forms as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * v.n then other end as form,
+         case when other_n >= 5 * v.n then other_n end as form_n
+  from vocab v left join best using (word)),
+chain as (
+  select word, word as at from forms
+  union all
+  select c.word, f.form from chain c join forms f on f.word = c.at where f.form is not null)
+select f.word, f.form, c.at as root, f.n, f.n_near::bigint as n_near, f.form_n
+from forms f join chain c using (word) join forms e on e.word = c.at where e.form is null"""
+
+
+@register("op11_spelling_groups", SPELLING_SQL)
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 # ---- 13: token-id output -----------------------------------------------------------
 @register("op13_token_frames")
 def op13_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
