@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagscope.llm import (ann, bpe_automaton, html_templates, mixing, ngram_join, quality_gbdt, quality_rules, secrets,
-                          spelling, token_frames, tool_chat, toxicity)
+from tagscope.llm import (ann, bpe_automaton, html_templates, mixing, ngram_join, quality_gbdt, quality_rules,
+                          ranked_search, secrets, spelling, token_frames, tool_chat, toxicity)
 from tagscope.llm.common import shared_dir, table
 
 QUERIES: dict = {}
@@ -175,6 +175,36 @@ def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+# ---- 12: ranked lexical search ------------------------------------------------------
+SEARCH_SQL = r"""
+with lowered as (
+  select row_number() over () as r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+tok as (
+  select r, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from lowered),
+lens as (select r, any_value(doc_id) as doc_id, count(*) as n from tok group by r),
+tot as (select count(*)::bigint as nn, sum(n)::bigint as ll from lens),
+asked as (
+  select i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as i, item_id, text from benchmark)),
+qt as (select i, item_id, term, count(*) as k from asked group by all),
+tfs as (select r, term, count(*)::bigint as tf from tok where term in (select term from qt) group by all),
+w as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)))::bigint as w from tfs, tot group by term, nn),
+gains as (
+  select r, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))) as g
+  from tfs join w using (term) join lens using (r), tot),
+scored as (
+  select i, item_id, doc_id, r, sum(k * g)::bigint as score from qt join gains using (term) join lens using (r)
+  group by i, item_id, doc_id, r having sum(k * g) > 0),
+ranked as (select *, row_number() over (partition by i order by score desc, doc_id nulls last, r) as rk from scored)
+select item_id, rk::int as rank, doc_id, score from ranked where rk <= 20"""
+
+
+@register("op12_ranked_search", SEARCH_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # ---- 13: token-id output -----------------------------------------------------------
 @register("op13_token_frames")
 def op13_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
