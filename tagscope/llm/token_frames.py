@@ -35,6 +35,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -327,14 +328,20 @@ def write_frames(ids: DataFrame, path: str, mode: str = "append", frame_ids: int
 class Encoder:
     """A tokenizer file with a cache of short pieces.
 
-    With a byte-level pre-tokenizer a piece never reaches over a blank that stands
-    between two characters which are no blanks (either side is looked at only where
-    this is certain), so a text's ids are those of its pieces, joined."""
+    A byte-level pre-tokenizer always cuts before a single blank or line end that
+    stands between two characters which are neither, between such a line end and what
+    follows, and between a letter and a punctuation mark that ends a piece.  So a
+    text's ids are those of its pieces, joined: pieces seen before come from the
+    cache, others go to the library; letters with or without a blank before them are
+    one token of the pre-tokenizer and go straight to the library's model."""
 
-    CACHED = 400_000
+    CACHED = 700_000
     LONGEST = 64
-    # Fixed value: places where byte-level pre-tokenization always cuts.
-    CUTS = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
+    # Some characters that are no blanks, letters, and marks that follow them.
+    SOLID, LETTER, MARK = "!-~À-ɏ", "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
+    CUTS = re.compile(f"(?<=[{SOLID}])(?=[ \n][{SOLID}])")
+    MARKED = re.compile(f"[^{MARK}]*[{LETTER}][{MARK}]")
+    WORD = re.compile(f" ?[{LETTER}]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # one core per task
@@ -347,25 +354,54 @@ class Encoder:
         pre = rules["pre_tokenizer"] or {}
         self.cuts = (rules["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                      and not pre.get("add_prefix_space")
-                     and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in rules["added_tokens"]))
+                     and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
+                     and not any(re.search(f"\\s|[{self.MARK}]", c) or self.WORD.search(c) is None or self.WORD.fullmatch(c)
+                                 for c in (t["content"] for t in rules["added_tokens"])))
+        # the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        self.alphabet = {b: chr(b if b in shown else next(hidden)) for b in range(256)}
         self.pieces: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not in the cache."""
+        merge, alphabet, is_word, is_marked = self.tokenizer.model.tokenize, self.alphabet, self.WORD.fullmatch, self.MARKED.fullmatch
+        line, *marks = self._library(["\n", *self.MARK])
+        after = dict(zip(self.MARK, marks))
+        known, got, others = self.pieces, {}, []
+        for piece in missing:
+            head, core, tail = b"", piece, b""
+            if core[:1] == "\n":
+                head, core = line, core[1:]
+            if is_marked(core):
+                core, tail = core[:-1], after[core[-1]]
+            if is_word(core):
+                ids = known.get(core)
+                if ids is None:
+                    ids = array("I", [x.id for x in merge(core.encode().decode("latin-1").translate(alphabet))]).tobytes()
+                    if tail:
+                        got[core] = ids
+                got[piece] = head + ids + tail
+            else:
+                others.append(piece)
+        got.update(zip(others, self._library(others)))
+        if len(known) + len(got) > self.CACHED:
+            known.clear()
+        known.update((p, c) for p, c in got.items() if len(p) <= self.LONGEST)
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids' bytes of each text."""
         if not self.cuts:
-            return self._plain(texts)
+            return self._library(texts)
         split = [self.CUTS.split(t) for t in texts]
-        distinct = {p for pieces in split for p in pieces}
-        if len(self.pieces) + len(distinct) > self.CACHED:
-            self.pieces = {}
-        new = [p for p in distinct if p not in self.pieces]
-        coded = dict(zip(new, self._plain(new)))
-        self.pieces.update((p, c) for p, c in coded.items() if len(p) <= self.LONGEST)
-        known = self.pieces
-        return [b"".join([known[p] if p in known else coded[p] for p in pieces]) for pieces in split]
+        found = [list(map(self.pieces.get, pieces)) for pieces in split]
+        got = self._learn(list({p for pieces, ids in zip(split, found) if None in ids for p, x in zip(pieces, ids) if x is None}))
+        return [b"".join([got[p] if x is None else x for p, x in zip(pieces, ids)] if None in ids else ids)
+                for pieces, ids in zip(split, found)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -398,7 +434,6 @@ def encode_ordered(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
                 part = batch.slice(lo, 64)
                 ids = pa.array([i + end for i in code(part.column(1).to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
-        encoder(tokenizer_path).pieces = {}     # the worker lives on and may serve other stages
         pa.default_memory_pool().release_unused()
 
     return ordered.mapInArrow(run, "doc_id long, ids binary")
