@@ -2,135 +2,79 @@
 
 Gzip files of one JSON object per line land in a folder; history drops are
 ``result_*.json.gz`` / ``hs_*.json.gz``, truck-scale drops ``av_*.json.gz``.
-A checkpointed file stream picks up every new file exactly once; each
-micro-batch is split into good rows (appended to the sink, Parquet,
-partitioned by day) and rejects (kept with the raw line and the source file).
+The ``tag_drops`` source (``streaming.drops``) turns every new file into rows of
+lines, each file once and only if it can be read to its end.  Each micro-batch
+parses its lines in Spark and is split into good rows (appended to the sink,
+Parquet, partitioned by day) and rejects (kept with the raw line and the source
+file; a file that cannot be read whole is one reject and stays where it is).
 Batch output folders are keyed by batch id and overwritten on replay, so a
 restarted or retried batch never duplicates rows.
 
-The stream itself is over file names.  Each batch first tries every new file to
-its end; a file that cannot be read whole (a truncated gzip, say) goes to the
-rejects as one record, none of its rows are ingested, and the file is kept.
+Neither paths nor rows come to the driver with the data: it lists the folder and
+hands out names.  At most ``max_files`` drops make one micro-batch, so a backlog
+is worked off in pieces (``drain_ingest``).
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tagscope.operators.rollup import ROLLUP_COLUMNS, daily_last
-
-# File-name globs and record layouts of the drops.
-HISTORY_GLOB = "{result,hs}_*.json.gz"
-TRUCK_GLOB = "av_*.json.gz"
-HISTORY_SCHEMA = "TagName string, DateTime timestamp_ntz, Value double, _corrupt_record string"
-TRUCK_SCHEMA = ("DateTime timestamp_ntz, CertNum string, Tare double, Brutto double, DriverName string, "
-                "VanNum string, CargoType string, _corrupt_record string")
+from tagscope.streaming.drops import MAX_FILES, read_drop_lines, stream_drop_lines
+
+# File-name patterns and record layouts of the drops.
+PATTERNS = {"history": ["result_*.json.gz", "hs_*.json.gz"], "truck": ["av_*.json.gz"]}
+SCHEMAS = {
+    "history": "TagName string, DateTime timestamp_ntz, Value double, _corrupt_record string",
+    "truck": ("DateTime timestamp_ntz, CertNum string, Tare double, Brutto double, DriverName string, "
+              "VanNum string, CargoType string, _corrupt_record string"),
+}
 REQUIRED = {"history": ["TagName", "DateTime"], "truck": ["DateTime"]}
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-
-
-def _layout(kind: str) -> tuple[str, str]:
-    return (HISTORY_GLOB, HISTORY_SCHEMA) if kind == "history" else (TRUCK_GLOB, TRUCK_SCHEMA)
-
-
-def _json_options(reader):
-    return (reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-            .option("timestampNTZFormat", TIME_FORMAT))
-
-
-def drop_stream(spark: SparkSession, source_dir: str, kind: str = "history",
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame over the rows of the drops of one kind (gzip is read
-    transparently); an unreadable file stops it, see ``start_ingest``."""
-    glob, schema = _layout(kind)
-    r = _json_options(spark.readStream.schema(schema).option("pathGlobFilter", glob))
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.json(source_dir).withColumn("_file", F.col("_metadata.file_path"))
+JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
+                "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
 
 
-def file_stream(spark: SparkSession, source_dir: str, kind: str = "history", clean_source: str | None = None,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of the paths of new drops (contents are not read)."""
-    r = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", _layout(kind)[0])
-    if clean_source:
-        if clean_source != "archive":
-            raise ValueError("clean_source must be 'archive': an unreadable drop must not be deleted")
-        r = r.option("cleanSource", clean_source).option("sourceArchiveDir", source_dir.rstrip("/") + "_archive")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(source_dir).select("path")
+def parse_lines(lines: DataFrame, kind: str = "history") -> DataFrame:
+    """Rows of (file, line, problem): the record's columns, ``_corrupt_record``,
+    ``_file`` and ``_problem``."""
+    record = F.from_json("line", SCHEMAS[kind], JSON_OPTIONS)
+    return lines.select(record.alias("r"), F.col("file").alias("_file"), F.col("problem").alias("_problem"), F.col("line").alias("_line")) \
+        .select("r.*", "_file", "_problem", "_line")
 
 
-BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+def drop_stream(spark: SparkSession, source_dir: str, state: str, kind: str = "history", max_files: int = MAX_FILES) -> DataFrame:
+    """Streaming DataFrame of the parsed rows of the drops of one kind; ``state`` is
+    the folder of the source's file log (below the query's checkpoint)."""
+    return parse_lines(stream_drop_lines(spark, source_dir, PATTERNS[kind], state, max_files), kind)
 
 
-def whole_gzip(content: bytes) -> bool:
-    """Can the gzip file be read to its end?  (Members may follow each other.)"""
-    view, reader = memoryview(content), zlib.decompressobj(31)
-    try:
-        while len(view):
-            reader.decompress(view, 1 << 20)
-            view = memoryview(reader.unconsumed_tail)
-            while len(view):
-                reader.decompress(view, 1 << 20)
-                view = memoryview(reader.unconsumed_tail)
-            if not reader.eof:
-                return False
-            view, reader = memoryview(reader.unused_data), zlib.decompressobj(31)
-        return len(content) > 0
-    except zlib.error:
-        return False
-
-
-def readable_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, whole) of each file: one task tries one file at a time."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = [whole_gzip(c.as_py()) for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.bool_())], names=["path", "whole"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, whole boolean")
-
-
-def read_drops(spark: SparkSession, paths: list[str], kind: str = "history") -> tuple[DataFrame, DataFrame]:
-    """Rows of the files that can be read whole, and rejects of the others."""
-    found = readable_files(spark, paths).collect() if paths else []     # one row per new file
-    good = [r.path for r in found if r.whole]
-    bad = [(None, r.path, "unreadable file") for r in found if not r.whole]
-    schema = _layout(kind)[1]
-    rows = _json_options(spark.read.schema(schema)).json(good) if good else spark.createDataFrame([], schema)
-    file = F.col("_metadata.file_path") if good else F.lit(None).cast("string")
-    return rows.withColumn("_file", file), spark.createDataFrame(bad, "line string, file string, reason string")
+def read_drops(spark: SparkSession, source_dir: str, kind: str = "history") -> DataFrame:
+    """Parsed rows of the drops that lie in a folder now."""
+    return parse_lines(read_drop_lines(spark, source_dir, PATTERNS[kind]), kind)
 
 
 def split_batch(batch: DataFrame, kind: str = "history") -> tuple[DataFrame, DataFrame]:
-    """Good rows (schema columns only) and rejects (raw line, file, reason)."""
-    bad = F.col("_corrupt_record").isNotNull()
+    """Good rows (schema columns only) and rejects (raw line, file, reason): files
+    and lines that could not be read, malformed JSON, records that lack a required
+    field."""
+    lacking = F.lit(False)
     for c in REQUIRED[kind]:
-        bad = bad | F.col(c).isNull()
-    cols = [c for c in batch.columns if c not in ("_corrupt_record", "_file")]
-    good = batch.filter(~bad).select(*cols)
-    rejects = batch.filter(bad).select(
-        F.coalesce(F.col("_corrupt_record"), F.to_json(F.struct(*cols))).alias("line"),
-        F.col("_file").alias("file"),
-        F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed")).otherwise(F.lit("missing field")).alias("reason"))
+        lacking = lacking | F.col(c).isNull()
+    reason = (F.when(F.col("_problem").isNotNull(), F.col("_problem")).when(F.col("_corrupt_record").isNotNull(), "malformed")
+              .when(lacking, "missing field"))
+    judged = batch.withColumn("_reason", reason)
+    good = judged.filter(F.col("_reason").isNull()).select(*[c for c in batch.columns if not c.startswith("_")])
+    rejects = judged.filter(F.col("_reason").isNotNull()) \
+        .select(F.col("_line").alias("line"), F.col("_file").alias("file"), F.col("_reason").alias("reason"))
     return good, rejects
 
 
 def _writer(sink_dir: str, reject_dir: str, kind: str):
-    def write(files: DataFrame, batch_id: int) -> None:
-        spark = files.sparkSession
-        rows, unreadable = read_drops(spark, [r.path for r in files.collect()], kind)
+    def write(rows: DataFrame, batch_id: int) -> None:
         batch = rows.persist()
         good, rejects = split_batch(batch, kind)
-        rejects = rejects.unionByName(unreadable)
         (good.withColumn("day", F.to_date("DateTime")).withColumn("batch", F.lit(batch_id))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch", "day").parquet(sink_dir))
@@ -152,16 +96,32 @@ def _writer(sink_dir: str, reject_dir: str, kind: str):
 
 def start_ingest(spark: SparkSession, source_dir: str, sink_dir: str, reject_dir: str, checkpoint: str,
                  kind: str = "history", once: bool = True, every: str = "1 minute",
-                 clean_source: str | None = None) -> StreamingQuery:
-    """STR1: start the ingest; ``once`` processes what is there (availableNow)
-    and stops, otherwise it polls every ``every`` (the reference's cron)."""
-    w = (file_stream(spark, source_dir, kind, clean_source).writeStream
-         .foreachBatch(_writer(sink_dir, reject_dir, kind))
+                 clean_source: str | None = None, max_files: int = MAX_FILES) -> StreamingQuery:
+    """STR1: start the ingest; ``once`` takes one micro-batch of at most ``max_files``
+    drops and stops, otherwise it polls every ``every`` (the reference's cron).
+    With ``clean_source="archive"`` finished drops move to a folder beside the drop
+    folder; deleting drops is refused, since rejected ones are to be kept."""
+    if clean_source not in (None, "archive"):
+        raise ValueError("clean_source must be 'archive': an unreadable drop must not be deleted")
+    lines = stream_drop_lines(spark, source_dir, PATTERNS[kind], checkpoint.rstrip("/") + "/drops", max_files,
+                              source_dir.rstrip("/") + "_archive" if clean_source else None)
+    w = (parse_lines(lines, kind).writeStream.foreachBatch(_writer(sink_dir, reject_dir, kind))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime=every)
     return w.start()
 
 
+def drain_ingest(spark: SparkSession, source_dir: str, sink_dir: str, reject_dir: str, checkpoint: str, **options) -> int:
+    """Run one micro-batch after the other until no new drop is left; their number."""
+    batches = 0
+    while True:
+        q = start_ingest(spark, source_dir, sink_dir, reject_dir, checkpoint, once=True, **options)
+        q.awaitTermination()
+        if not any(p["numInputRows"] for p in q.recentProgress):
+            return batches
+        batches += 1
+
+
 def rollup_dir(sink_dir: str) -> str:
     """Where the per-batch daily last-sample rollups live."""
     return sink_dir.rstrip("/") + "_daily_last"
@@ -189,5 +149,5 @@ def load_mark(spark: SparkSession, sink_dir: str) -> DataFrame:
 
 
 def running_load_mark(stream: DataFrame) -> DataFrame:
-    """STR2 as a streaming aggregate (complete output mode)."""
+    """STR2 as a streaming aggregate (complete output mode) over ``drop_stream``."""
     return stream.filter(F.col("_corrupt_record").isNull()).agg(F.max("DateTime").alias("LoadMark"))

@@ -179,8 +179,14 @@ def test_truncated_drop_is_one_reject(spark):
     assert sorted(r.TagName for r in ingest.read_ingested(spark, sink).collect()) == ["T0", "T1"]
     (bad,) = spark.read.json(rej).collect()
     assert bad.reason == "unreadable file" and bad.file.endswith("hs_cut.json.gz")
+    _gz(os.path.join(src, "hs_next.json.gz"), [lines[2]])
+    assert ingest.drain_ingest(spark, src, sink, rej, ck, clean_source="archive") == 1
+    # finished drops move once a later step has begun, unreadable ones with them; none is lost
+    assert {"hs_cut.json.gz", "hs_two.json.gz"} <= set(os.listdir(src + "_archive"))
+    assert sorted(os.listdir(src + "_archive") + os.listdir(src)) == ["hs_cut.json.gz", "hs_next.json.gz", "hs_two.json.gz"]
+    assert ingest.read_ingested(spark, sink).count() == 3
     with pytest.raises(ValueError):
-        ingest.file_stream(spark, src, clean_source="delete")
+        ingest.start_ingest(spark, src, sink, rej, ck, clean_source="delete")
 
 
 def test_day_partition_pruning(spark):
@@ -203,7 +209,7 @@ def test_streaming_running_load_mark(spark):
     os.makedirs(src)
     _gz(os.path.join(src, "hs_1.json.gz"), ['{"TagName":"A","DateTime":"2024-01-01 00:00:00","Value":1}',
                                              '{"TagName":"A","DateTime":"2024-01-03 00:00:00","Value":2}', "junk"])
-    q = (ingest.running_load_mark(ingest.drop_stream(spark, src)).writeStream.outputMode("complete")
+    q = (ingest.running_load_mark(ingest.drop_stream(spark, src, os.path.join(base, "log"))).writeStream.outputMode("complete")
          .format("memory").queryName("tagscope_mark").option("checkpointLocation", os.path.join(base, "ck"))
          .trigger(availableNow=True).start())
     q.awaitTermination(120)
