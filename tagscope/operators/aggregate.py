@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from tagscope.functions.timecols import epoch_us_value, ts_lit
 from tagscope.operators import pointintime as pit
-from tagscope.operators.chunked import index_chunk, neighbour
+from tagscope.operators.chunked import forward_runs, index_chunk, shuffled_by_chunk
 from tagscope.operators.filters import complete_tags, filter_range, filter_tags
 from tagscope.operators.resample import fill_runs
-from tagscope.operators.rollup import around_source, asof_source
+from tagscope.operators.tree import SummaryTree, around_source, points_source
 
 GROUPS = ("avg", "sum", "min", "max", "count", "dif", "avgm")
 MODES = ("raw", "filled", "seeded", "cyclic")
@@ -62,41 +62,38 @@ def aggregate_raw(history: DataFrame, start, end, group: str, tags=None, bounds:
     return _stamp(h.groupBy("TagName").agg(raw_agg(g).alias("_v")), end, F.col("_v"))
 
 
-def filled_runs_weighted(history, start, end, seeded: bool, tags=None, step_seconds: int = 1,
-                         lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
-    runs = fill_runs(history, start, end, step_seconds, seeded, tags, lookback_seconds=lookback_seconds,
-                     rollup=rollup)
+def filled_runs_weighted(history, start, end, seeded: bool, tags=None, step_seconds: int = 1, tree: SummaryTree | None = None) -> DataFrame:
+    runs = fill_runs(history, start, end, step_seconds, seeded, tags,
+                     tree=tree)
     return runs.withColumn("w", F.col("next_slot") - F.col("slot"))
 
 
-def aggregate_filled(history: DataFrame, start, end, group: str, seeded: bool = False, tags=None,
-                     lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
+def aggregate_filled(history: DataFrame, start, end, group: str, seeded: bool = False, tags=None, tree: SummaryTree | None = None) -> DataFrame:
     """AGG2 (unseeded) / AGG3 (seeded): aggregate of the 1-second filled series."""
     g = check_group(group)
-    r = filled_runs_weighted(history, start, end, seeded, tags, lookback_seconds=lookback_seconds, rollup=rollup)
+    r = filled_runs_weighted(history, start, end, seeded, tags, tree=tree)
     return _stamp(r.groupBy("TagName").agg(weighted_agg(g).alias("_v")), end, F.col("_v"))
 
 
-def cyclic_runs(history: DataFrame, start, end, step_ms: int = 60000, tags=None,
-                lookback_seconds: int | None = None, chunk_size: int = 4096,
-                rollup: DataFrame | None = None) -> DataFrame:
+def cyclic_runs(history: DataFrame, start, end, step_ms: int = 60000, tags=None, chunk_size: int = 4096,
+                tree: SummaryTree | None = None) -> DataFrame:
     """Runs of the cyclic series: ``TagName, i, next_i, Value`` (instant numbers)."""
     step_us = step_ms * 1000
     span_us = epoch_us_value(end) - epoch_us_value(start)
     k = max(0, -(-span_us // step_us))
     last_at = pit.from_us_value(epoch_us_value(start) + max(k - 1, 0) * step_us)
     runs = pit.instant_runs(filter_tags(history, tags), start, k,
-                            lambda x: pit._first_instant_step(x, step_us), last_at, lookback_seconds, rollup)
-    nb = neighbour(runs.select("TagName", "i", "Value"), ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
-    return nb.select("TagName", "i", F.coalesce("next_i", F.lit(k).cast("long")).alias("next_i"), "Value")
+                            lambda x: pit._first_instant_step(x, step_us), last_at, tree)
+    near, tail = forward_runs(shuffled_by_chunk(runs.select("TagName", "i", "Value"), ["TagName"], "i", index_chunk("i", chunk_size)),
+                              ["TagName"], "i")
+    return near.unionByName(tail).select("TagName", "i", F.coalesce("next_i", F.lit(k).cast("long")).alias("next_i"), "Value")
 
 
-def aggregate_cyclic(history: DataFrame, start, end, group: str, step_ms: int = 60000, tags=None,
-                     lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
+def aggregate_cyclic(history: DataFrame, start, end, group: str, step_ms: int = 60000, tags=None, tree: SummaryTree | None = None) -> DataFrame:
     """AGG4 / AGG7 (MS SQL): aggregate of the cyclic series; ``count`` is hours
     (number of cyclic values x step / 1 h, i.e. count/60.0 at one minute)."""
     g = check_group(group)
-    r = cyclic_runs(history, start, end, step_ms, tags, lookback_seconds, rollup=rollup).withColumn(
+    r = cyclic_runs(history, start, end, step_ms, tags, tree=tree).withColumn(
         "w", F.col("next_i") - F.col("i"))
     if g == "count":
         v = weighted_agg("count") * F.lit(step_ms / 3_600_000)
@@ -106,7 +103,7 @@ def aggregate_cyclic(history: DataFrame, start, end, group: str, step_ms: int =
 
 
 def aggregate_dif(history: DataFrame, start, end, tags=None, interpolate: bool = False,
-                  rollup: DataFrame | None = None) -> DataFrame:
+                  tree: SummaryTree | None = None) -> DataFrame:
     """AGG5: value at ``to`` minus value at ``from`` (last at or before each);
     AGG6 with ``interpolate``: the same with linear interpolation at both ends.
     NULL when a side is missing."""
@@ -114,12 +111,12 @@ def aggregate_dif(history: DataFrame, start, end, tags=None, interpolate: bool =
     a, b = ts_lit(start), ts_lit(end)
     t = F.col("DateTime")
     if not interpolate:
-        g = asof_source(h, start, end, rollup).groupBy("TagName").agg(
-            *pit.last_sample(t <= a, "f_"), *pit.last_sample(None, "t_"))
+        g = points_source(h, [start, end], tree).groupBy("TagName").agg(
+            *pit.last_sample(t <= a, "f_"), *pit.last_sample(t <= b, "t_"))
         v = F.col("t_Value") - F.col("f_Value")
         g = g.withColumn("_v", F.when(F.col("f_DateTime").isNotNull(), v))
     else:
-        src = around_source(h, [start, end], rollup) if rollup is not None else h
+        src = around_source(h, [start, end], tree)
         g = src.groupBy("TagName").agg(
             *pit.last_sample(t <= a, "fb_"), *pit.first_sample(t >= a, "fa_"),
             *pit.last_sample(t <= b, "tb_"), *pit.first_sample(t >= b, "ta_"))
@@ -130,8 +127,7 @@ def aggregate_dif(history: DataFrame, start, end, tags=None, interpolate: bool =
     return _stamp(g, end, v)
 
 
-def aggregate(history: DataFrame, start, end, group: str, mode: str = "filled", tags=None,
-              lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
+def aggregate(history: DataFrame, start, end, group: str, mode: str = "filled", tags=None, tree: SummaryTree | None = None) -> DataFrame:
     """AGG12: grouped value per tag for any group name and series mode.
 
     ``dif`` is the last-value difference except in ``raw`` mode (interpolated,
@@ -141,7 +137,7 @@ def aggregate(history: DataFrame, start, end, group: str, mode: str = "filled",
     """
     g = check_group(group)
     check_mode(mode)
-    found = _aggregate(history, start, end, g, mode, tags, lookback_seconds, rollup)
+    found = _aggregate(history, start, end, g, mode, tags, tree)
     return complete_tags(found, tags, end, 0.0 if g == "count" else None)
 
 
@@ -151,30 +147,28 @@ def check_mode(mode: str) -> str:
     return mode
 
 
-def _aggregate(history, start, end, g, mode, tags, lookback_seconds, rollup) -> DataFrame:
+def _aggregate(history, start, end, g, mode, tags, tree) -> DataFrame:
     if g == "dif":
-        return aggregate_dif(history, start, end, tags, interpolate=(mode == "raw"), rollup=rollup)
+        return aggregate_dif(history, start, end, tags, interpolate=(mode == "raw"), tree=tree)
     if g == "avgm":
-        return average_of_series(history, start, end, mode, tags, lookback_seconds, rollup)
+        return average_of_series(history, start, end, mode, tags, tree)
     if mode == "raw":
         return aggregate_raw(history, start, end, g, tags)
     if mode == "cyclic":
-        return aggregate_cyclic(history, start, end, g, tags=tags, lookback_seconds=lookback_seconds, rollup=rollup)
-    return aggregate_filled(history, start, end, g, seeded=(mode == "seeded"), tags=tags,
-                            lookback_seconds=lookback_seconds, rollup=rollup)
+        return aggregate_cyclic(history, start, end, g, tags=tags, tree=tree)
+    return aggregate_filled(history, start, end, g, seeded=(mode == "seeded"), tags=tags, tree=tree)
 
 
-def average_of_series(history: DataFrame, start, end, mode: str = "filled", tags=None,
-                      lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
+def average_of_series(history: DataFrame, start, end, mode: str = "filled", tags=None, tree: SummaryTree | None = None) -> DataFrame:
     """AGG8 ``avgm``: arithmetic mean of the points the range retrieval returns
     (ClickHouse: the seeded 1-second series; MS SQL: cyclic; MySQL: raw)."""
     if mode == "raw":
         return aggregate_raw(history, start, end, "avg", tags)
     if mode == "cyclic":
-        return aggregate_cyclic(history, start, end, "avg", tags=tags, lookback_seconds=lookback_seconds,
-                                rollup=rollup)
-    return aggregate_filled(history, start, end, "avg", seeded=True, tags=tags, lookback_seconds=lookback_seconds,
-                            rollup=rollup)
+        return aggregate_cyclic(history, start, end, "avg", tags=tags,
+                                tree=tree)
+    return aggregate_filled(history, start, end, "avg", seeded=True, tags=tags,
+                            tree=tree)
 
 
 def average_labelled_from(history: DataFrame, start, end, tags=None) -> DataFrame:

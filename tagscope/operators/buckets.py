@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from tagscope.functions.timecols import US, add_seconds, div, epoch_us, epoch_us_value, seconds_between
 from tagscope.operators import pointintime as pit
 from tagscope.operators.aggregate import MODES, check_group, raw_agg, weighted_agg
-from tagscope.operators.chunked import explode_span, index_chunk, neighbour
+from tagscope.operators.chunked import explode_span, filled_grid, forward_runs, index_chunk, neighbour, neighbours, shuffled_by_chunk
 from tagscope.operators.filters import asked_names, filter_range, filter_tags
 from tagscope.operators.resample import fill_runs
-from tagscope.operators.rollup import asof_source
+from tagscope.operators.tree import SummaryTree, asof_source
 
 
 def _check_n(n):
@@ -51,14 +51,17 @@ def bucket_members(x_us: str, T: int, n: int, bounds: str) -> F.Column:
 
 def _complete(agg: DataFrame, n: int, tags=None, empty: float | None = None) -> DataFrame:
     """``TagName, i, _v`` for i = 1..N of every tag (every asked one, when the
-    request lists tags); buckets without a row get ``empty``.  One array of at
-    most N numbers per tag, N being the request's own count."""
-    held = agg.groupBy("TagName").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("_v").cast("double").alias("v")))).alias("_m"))
+    request lists tags); buckets without a row get ``empty``.
+
+    The gaps between a tag's rows are found with the chunked lead over the bucket
+    numbers and exploded, so the work follows the number of result rows.  An asked
+    tag starts with a row for a bucket 0, so one without samples is all gap."""
+    rows = agg.select("TagName", F.col("i").cast("long").alias("i"), F.col("_v").cast("double").alias("_v"))
     if tags is not None:
-        names = asked_names(agg.sparkSession, tags).withColumnRenamed("TagName", "_asked")
-        held = held.join(names, F.col("TagName") == F.col("_asked"), "right").select(F.col("_asked").alias("TagName"), "_m")
-    full = held.select("TagName", "_m", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("i"))
-    return full.select("TagName", "i", F.coalesce(F.element_at("_m", F.col("i")), F.lit(empty).cast("double")).alias("_v"))
+        zero = asked_names(agg.sparkSession, tags).select("TagName", F.lit(0).cast("long").alias("i"), F.lit(None).cast("double").alias("_v"))
+        rows = rows.unionByName(zero)
+    full = filled_grid(rows, ["TagName"], "i", 0 if tags is not None else 1, n).filter(F.col("i") >= 1)
+    return full.select("TagName", "i", F.when(F.col("_own"), F.col("_v")).otherwise(F.lit(empty).cast("double")).alias("_v"))
 
 
 def _label(df: DataFrame, start, T: int, n: int, value) -> DataFrame:
@@ -125,11 +128,11 @@ def buckets_raw(history: DataFrame, start, end, n: int, group: str, tags=None, b
     return _label(_complete(agg, n, tags, 0.0 if g == "count" else None), start, T, n, F.col("_v"))
 
 
-def _edge_seeds(history, start, end, n: int, tags, rollup) -> DataFrame:
+def _edge_seeds(history, start, end, n: int, tags, tree) -> DataFrame:
     """``TagName, i, DateTime, Value``: the last known value at both edges of
     every bucket, stamped with the edge (none before a tag's first sample)."""
     T = seconds_between(start, end)
-    runs = pit.instant_runs(filter_tags(history, tags), start, n + 1, lambda x: pit._first_instant_even(x, T, n), end, None, rollup)
+    runs = pit.instant_runs(filter_tags(history, tags), start, n + 1, lambda x: pit._first_instant_even(x, T, n), end, tree)
     at = pit.instant_values(runs, n + 1, leading_nulls=False, chunk_size=4096).select("TagName", F.col("i").alias("edge"), "Value")
     sides = F.filter(F.array(F.col("edge"), F.col("edge") + 1), lambda b: (b >= 1) & (b <= n))
     return at.select("TagName", F.explode(sides).alias("i"),
@@ -137,7 +140,7 @@ def _edge_seeds(history, start, end, n: int, tags, rollup) -> DataFrame:
 
 
 def buckets_filled(history: DataFrame, start, end, n: int, group: str, tags=None, step_seconds: int = 1,
-                   seeded: bool = False, rollup: DataFrame | None = None) -> DataFrame:
+                   seeded: bool = False, tree: SummaryTree | None = None) -> DataFrame:
     """AGG10 over the per-bucket 1-second filled series (closed buckets); with
     ``seeded`` each bucket also holds the last known values at its edges."""
     _check_n(n)
@@ -146,7 +149,7 @@ def buckets_filled(history: DataFrame, start, end, n: int, group: str, tags=None
     rows = filter_range(filter_tags(history, tags), start, end, "[]").select("TagName", "DateTime", "Value")
     b = _explode_buckets(rows, start, T, n, "[]")
     if seeded:
-        b = b.select("TagName", "i", "DateTime", "Value").unionByName(_edge_seeds(history, start, end, n, tags, rollup))
+        b = b.select("TagName", "i", "DateTime", "Value").unionByName(_edge_seeds(history, start, end, n, tags, tree))
     runs = fill_runs(None, start, end, step_seconds, seeded=False, keys=("TagName", "i"), rows=b)
     runs = runs.select("TagName", "i", "Value", (F.col("next_slot") - F.col("slot")).alias("w"))
     agg = runs.groupBy("TagName", "i").agg(weighted_agg(g).alias("_v"))
@@ -154,7 +157,7 @@ def buckets_filled(history: DataFrame, start, end, n: int, group: str, tags=None
 
 
 def buckets_cyclic(history: DataFrame, start, end, n: int, group: str, tags=None, step_ms: int = 60000,
-                   rollup: DataFrame | None = None, chunk_size: int = 4096) -> DataFrame:
+                   tree: SummaryTree | None = None, chunk_size: int = 4096) -> DataFrame:
     """AGG10 over the cyclic series of each bucket: the held value at its left
     edge and every ``step_ms`` after it, before the right edge.  ``count`` is
     hours, as for a single range.
@@ -169,7 +172,7 @@ def buckets_cyclic(history: DataFrame, start, end, n: int, group: str, tags=None
     step_us = step_ms * 1000
     per = -(-(T // n + 1) * US // step_us) + 1       # more than any bucket has
     last_at = pit.from_us_value(epoch_us_value(end))
-    src = asof_source(filter_tags(history, tags), start, last_at, rollup)
+    src = asof_source(filter_tags(history, tags), start, last_at, tree)
     x = src.withColumn("_x", F.greatest(epoch_us("DateTime") - F.lit(epoch_us_value(start)), F.lit(0).cast("long"))) \
         .filter(F.col("_x") < T * US)
     if 0 < n <= T:
@@ -187,7 +190,8 @@ def buckets_cyclic(history: DataFrame, start, end, n: int, group: str, tags=None
     over = F.expr(f"_k >= {steps('_b')}")
     x = x.withColumn("i", F.when(over, (F.col("_b") + 1) * F.lit(per)).otherwise(F.col("_b") * F.lit(per) + F.col("_k")))
     runs = x.filter(F.col("i") < (n + 1) * per).groupBy("TagName", "i").agg(*pit.last_sample()).select("TagName", "i", "Value")
-    nb = neighbour(runs, ["TagName"], "i", ["i"], direction=+1, chunk=index_chunk("i", chunk_size))
+    near, tail = forward_runs(shuffled_by_chunk(runs, ["TagName"], "i", index_chunk("i", chunk_size)), ["TagName"], "i")
+    nb = near.unionByName(tail)
     nb = nb.select("TagName", "Value", F.col("i").alias("_from"), F.coalesce("next_i", F.lit((n + 1) * per).cast("long")).alias("_to"))
     each = nb.withColumn("i", F.explode(F.sequence(div(F.col("_from"), per), F.least(div(F.col("_to"), per), F.lit(n).cast("long")))))
     w = F.expr(f"least(_to - i * {per}L, {steps('i')}) - greatest(_from - i * {per}L, 0L)")
@@ -227,21 +231,24 @@ def buckets_dif_interpolated(history: DataFrame, start, end, n: int, tags=None)
     return _label(_complete(agg, n, tags), start, T, n, F.col("_v"))
 
 
-def buckets_dif(history: DataFrame, start, end, n: int, tags=None, lookback_seconds: int | None = None,
-                chunk_size: int = 4096, rollup: DataFrame | None = None) -> DataFrame:
+def buckets_dif(history: DataFrame, start, end, n: int, tags=None,
+                chunk_size: int = 4096, tree: SummaryTree | None = None) -> DataFrame:
     """AGG10 with ``dif``: as-of value at each right edge minus at the left edge."""
     _check_n(n)
     T = seconds_between(start, end)
-    runs = pit.instant_runs(filter_tags(history, tags), start, n + 1,
-                            lambda x: pit._first_instant_even(x, T, n), end, lookback_seconds, rollup)
-    g = pit.instant_values(runs, n + 1, leading_nulls=True, chunk_size=chunk_size).select(
-        "TagName", "i", F.col("Value").alias("v"))
-    p = neighbour(g, ["TagName"], "i", ["v"], direction=-1, chunk=index_chunk("i", chunk_size)).filter(F.col("i") >= 1)
-    return _label(_complete(p.select("TagName", "i", (F.col("v") - F.col("prev_v")).alias("_v")), n, tags), start, T, n, F.col("_v"))
+    runs = pit.instant_runs(filter_tags(history, tags), start, n + 1, lambda x: pit._first_instant_even(x, T, n), end, tree)
+    # the value at an edge differs from that at the edge before only where a run begins
+    changed = neighbours(runs, ["TagName"], "i", {-1: (["Value"], "prev_")}, index_chunk("i", chunk_size)) \
+        .select("TagName", "i", (F.col("Value") - F.col("prev_Value")).alias("_change"), (F.col("Value") - F.col("Value")).alias("_held"))
+    if tags is not None:
+        names = asked_names(history.sparkSession, tags)
+        changed = changed.unionByName(names.select("TagName", F.lit(-1).cast("long").alias("i")), allowMissingColumns=True)
+    g = filled_grid(changed, ["TagName"], "i", 0 if tags is None else -1, n, chunk_size).filter(F.col("i") >= 1)
+    return _label(g.select("TagName", "i", F.when(F.col("_own"), F.col("_change")).otherwise(F.col("_held")).alias("_v")), start, T, n, F.col("_v"))
 
 
-def buckets_avgm(history: DataFrame, start, end, n: int, tags=None, lookback_seconds: int | None = None,
-                 rollup: DataFrame | None = None) -> DataFrame:
+def buckets_avgm(history: DataFrame, start, end, n: int, tags=None,
+                 tree: SummaryTree | None = None) -> DataFrame:
     """AGG11: per bucket, mean of the seeded 1-second series strictly inside ``(e(i-1), e(i))``.
 
     Runs stay unexploded: each run is split only over the buckets it overlaps
@@ -250,7 +257,7 @@ def buckets_avgm(history: DataFrame, start, end, n: int, tags=None, lookback_sec
     _check_n(n)
     T = seconds_between(start, end)
     s0 = epoch_us_value(start) // US
-    runs = fill_runs(history, start, end, 1, seeded=True, tags=tags, lookback_seconds=lookback_seconds, rollup=rollup)
+    runs = fill_runs(history, start, end, 1, seeded=True, tags=tags, tree=tree)
     r = runs.select("TagName", "Value", (F.col("slot") - F.lit(s0)).alias("ys"),
                     (F.col("next_slot") - F.lit(s0) - 1).alias("ye"))
     if T == 0:
@@ -270,7 +277,7 @@ def buckets_avgm(history: DataFrame, start, end, n: int, tags=None, lookback_sec
 
 
 def buckets(history: DataFrame, start, end, n: int, group: str, mode: str = "filled", tags=None,
-            rollup: DataFrame | None = None) -> DataFrame:
+            tree: SummaryTree | None = None) -> DataFrame:
     """Dispatch for ``count`` + ``group`` requests (GetTagCountGroup).
 
     ``dif`` is the difference of last known values at the edges, in raw mode of
@@ -281,12 +288,12 @@ def buckets(history: DataFrame, start, end, n: int, group: str, mode: str = "fil
         raise ValueError(f"mode must be one of {(*MODES, 'closed_raw')}")
     raw = mode in ("raw", "closed_raw")
     if g == "dif":
-        return buckets_dif_interpolated(history, start, end, n, tags) if raw else buckets_dif(history, start, end, n, tags, rollup=rollup)
+        return buckets_dif_interpolated(history, start, end, n, tags) if raw else buckets_dif(history, start, end, n, tags, tree=tree)
     if g == "avgm" and mode in ("filled", "seeded"):
-        return buckets_avgm(history, start, end, n, tags, rollup=rollup)
+        return buckets_avgm(history, start, end, n, tags, tree=tree)
     g = "avg" if g == "avgm" else g
     if raw:
         return buckets_raw(history, start, end, n, g, tags, "[)" if mode == "raw" else "[]")
     if mode == "cyclic":
-        return buckets_cyclic(history, start, end, n, g, tags, rollup=rollup)
-    return buckets_filled(history, start, end, n, g, tags, seeded=mode == "seeded", rollup=rollup)
+        return buckets_cyclic(history, start, end, n, g, tags, tree=tree)
+    return buckets_filled(history, start, end, n, g, tags, seeded=mode == "seeded", tree=tree)

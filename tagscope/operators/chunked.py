@@ -63,17 +63,60 @@ def adaptive_target(df: DataFrame) -> int | None:
 SPAN = 4096
 
 
-def explode_span(df: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
+def explode_span(df: DataFrame, lo: Column, hi: Column, out: str, deal: Sequence[str] | None = None) -> DataFrame:
     """One row per integer from ``lo`` to ``hi`` (none when ``hi < lo``), in two
     steps, so that no row ever holds an array longer than ``SPAN`` or the span
-    divided by ``SPAN``."""
+    divided by ``SPAN``.  With ``deal`` the pieces are dealt out by these columns
+    and their number between the steps, so that a long span is not one task's work."""
     d = df.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).filter(F.col("_lo") <= F.col("_hi"))
     piece = F.sequence(F.floor(F.col("_lo") / SPAN), F.floor(F.col("_hi") / SPAN))
     d = d.withColumn("_piece", F.explode(piece))
+    if deal is not None:
+        d = d.repartition(*deal, "_piece")
     own = F.sequence(F.greatest(F.col("_lo"), F.col("_piece") * SPAN), F.least(F.col("_hi"), F.col("_piece") * SPAN + SPAN - 1))
     return d.withColumn(out, F.explode(own)).drop("_lo", "_hi", "_piece")
 
 
+def forward_runs(d: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Each row with the next row's ``order`` of its key as ``next_<order>``, in two
+    parts: the rows that have a successor in their own chunk, and the last row of
+    every chunk (``next_`` is NULL on a key's last row).
+
+    ``d`` holds the chunk column and is partitioned by (keys, chunk), see
+    ``shuffled_by_chunk``.  The second part has one row per chunk and comes from a
+    window over those alone; no join puts the parts together."""
+    keys = list(keys)
+    cols = [c for c in d.columns if c not in keys and c != CK]
+    inside = d.withColumn(f"next_{order}", F.lead(order).over(Window.partitionBy(*keys, CK).orderBy(order))) \
+        .filter(F.col(f"next_{order}").isNotNull()).select(*keys, *cols, f"next_{order}")
+    edges = d.groupBy(*keys, CK).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_row"), F.min(order).alias("_first"))
+    after = F.lead("_first").over(Window.partitionBy(*keys).orderBy(CK))
+    tail = edges.select(*keys, *[F.col("_row")[c].alias(c) for c in cols], after.alias(f"next_{order}"))
+    return inside, tail
+
+
+def filled_grid(df: DataFrame, keys: Sequence[str], order: str, lo: int, hi: int, size: int = 4096) -> DataFrame:
+    """A row for every whole number from ``lo`` to ``hi`` (all of ``order`` lie there)
+    of each key: the columns of ``df`` and ``_own``.  Numbers without a row of ``df``
+    have ``_own`` false and the other columns of the row before them (NULL before the
+    first)."""
+    keys = list(keys)
+    d = shuffled_by_chunk(df, keys, order, index_chunk(order, size))
+    inside, tail = forward_runs(d, keys, order)
+    tail = tail.withColumn(f"next_{order}", F.coalesce(f"next_{order}", F.lit(hi + 1).cast("long")))
+    cols = [c for c in df.columns if c not in keys and c != order]
+    first = d.groupBy(*keys).agg(F.min(order).alias(f"next_{order}")).filter(F.col(f"next_{order}") > lo)
+    none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
+    lead_in = first.select(*keys, F.lit(lo).cast("long").alias(order), *none, F.col(f"next_{order}"), F.lit(False).alias("_own"))
+    tail = tail.select(*keys, order, *cols, f"next_{order}").withColumn("_own", F.lit(True)).unionByName(lead_in)
+    near = inside.withColumn("_own", F.lit(True)).withColumn("_from", F.col(order)) \
+        .withColumn("_at", F.explode(F.sequence(F.col(order).cast("long"), F.col(f"next_{order}").cast("long") - 1)))
+    far = explode_span(tail.withColumn("_from", F.col(order)), F.col(order), F.col(f"next_{order}") - 1, "_at", deal=keys)
+    names = [*keys, "_from", "_at", "_own", *cols]
+    out = near.select(*names).unionByName(far.select(*names))
+    return out.select(*keys, F.col("_at").alias(order), *cols, (F.col("_own") & (F.col("_at") == F.col("_from"))).alias("_own"))
+
+
 def shuffled_by_chunk(df: DataFrame, keys: Sequence[str], order: str, chunk: Column | None = None) -> DataFrame:
     """Rows with their chunk, hash-partitioned once by ``(keys, chunk)``.
 

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tagscope.functions.timecols import (
     US, add_seconds, div, epoch_us, epoch_us_value, from_epoch_us, seconds_between, to_datetime, ts_lit)
-from tagscope.operators.chunked import explode_span, index_chunk, neighbours
+from tagscope.operators.chunked import explode_span, filled_grid, forward_runs, index_chunk, shuffled_by_chunk
 from tagscope.operators.filters import filter_range, filter_tags, guard_after_mark, load_mark
-from tagscope.operators.rollup import around_source, asof_source
+from tagscope.operators.tree import SummaryTree, around_source, asof_source, at_instant
 
 
 def last_sample(cond: Column | None = None, prefix: str = "") -> list[Column]:
@@ -47,23 +47,19 @@ def collapse_duplicates(history: DataFrame, how: str = "avg") -> DataFrame:
     return history.groupBy("TagName", "DateTime").agg(f("Value").alias("Value"))
 
 
-def _since(start, lookback_seconds):
-    if lookback_seconds is None:
-        return None
-    return to_datetime(start) - _dt.timedelta(seconds=lookback_seconds)
-
-
-def value_at(history: DataFrame, at, tags=None, lookback_seconds: int | None = None,
-             guard: bool = False, mark: DataFrame | None = None, rollup: DataFrame | None = None) -> DataFrame:
+def value_at(history: DataFrame, at, tags=None, guard: bool = False, mark: DataFrame | None = None,
+             tree: SummaryTree | None = None) -> DataFrame:
     """PIT1/PIT4: last sample at or before ``at`` per tag.
 
     Returns ``TagName, DateTime`` (the sample's own time), ``Value``.  With
-    ``guard`` the value is NULL when ``at`` is past the load mark (FLT5).
-    ``lookback_seconds`` bounds the search (prunes old partitions); a daily
-    ``rollup`` (see ``operators.rollup``) makes the search exact and bounded.
+    ``guard`` the value is NULL when ``at`` is past the load mark (FLT5).  With a
+    summary ``tree`` only ``at``'s day and three folders of the tree are read;
+    without one all history up to ``at``.
     """
-    src = asof_source(history, at, at, rollup, lookback_seconds, tags)
-    last = src.groupBy("TagName").agg(*last_sample())
+    src = asof_source(history, at, at, tree, tags)
+    # with a tree few rows are left and ties take the largest value
+    last = (at_instant(src, at).select("TagName", F.col("b_DateTime").alias("DateTime"), F.col("b_Value").alias("Value"))
+            if tree is not None else src.groupBy("TagName").agg(*last_sample()))
     value = F.col("Value")
     if guard:
         value = guard_after_mark(value, at, mark if mark is not None else load_mark(history))
@@ -89,23 +85,20 @@ def interpolate_expr(at_us: Column, before: Column, after: Column) -> Column:
             .otherwise(before["Value"] + frac * (after["Value"] - before["Value"])))
 
 
-def value_interpolated(history: DataFrame, at, tags=None, lookback_seconds: int | None = None,
-                       rollup: DataFrame | None = None) -> DataFrame:
+def value_interpolated(history: DataFrame, at, tags=None, tree: SummaryTree | None = None) -> DataFrame:
     """PIT3: linear interpolation at ``at``; tags lacking a side give no row.
 
-    With a daily ``rollup`` only the day partitions of ``at`` are scanned
-    (exact); ``lookback_seconds`` instead bounds both sides (inexact)."""
-    h = around_source(history, [at], rollup, tags) if rollup is not None else filter_tags(history, tags)
-    if lookback_seconds is not None and rollup is None:
-        lo = _since(at, lookback_seconds)
-        hi = to_datetime(at) + _dt.timedelta(seconds=lookback_seconds)
-        h = filter_range(h, lo, hi, "[]")
-    a = ts_lit(at)
-    g = h.groupBy("TagName").agg(*last_sample(F.col("DateTime") <= a, "b_"),
-                                 *first_sample(F.col("DateTime") >= a, "a_"))
+    With a summary ``tree`` only ``at``'s day is read from the history, and the
+    folders of the tree beside it on both sides."""
+    src = around_source(history, [at], tree, tags)
+    if tree is not None:
+        g = at_instant(src, at, after=True)
+    else:
+        a = ts_lit(at)
+        g = src.groupBy("TagName").agg(*last_sample(F.col("DateTime") <= a, "b_"), *first_sample(F.col("DateTime") >= a, "a_"))
     v = interpolate_expr(F.lit(epoch_us_value(at)), sample_struct("b_"), sample_struct("a_"))
     return (g.filter(F.col("b_DateTime").isNotNull() & F.col("a_DateTime").isNotNull())
-            .select("TagName", a.alias("DateTime"), v.alias("Value")))
+            .select("TagName", ts_lit(at).alias("DateTime"), v.alias("Value")))
 
 
 def even_offset(i: Column, total_seconds: int, n: int) -> Column:
@@ -127,12 +120,12 @@ def _first_instant_step(x_us: Column, step_us: int) -> Column:
 
 
 def instant_runs(history: DataFrame, start, n_instants: int, first_instant: Column,
-                 last_instant_at, lookback_seconds: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
+                 last_instant_at, tree: SummaryTree | None = None) -> DataFrame:
     """Samples reduced to the last one per (tag, first instant it feeds).
 
     Returns ``TagName, i, Value`` for non-empty i only.
     """
-    src = asof_source(history, start, last_instant_at, rollup, lookback_seconds)
+    src = asof_source(history, start, last_instant_at, tree)
     x_us = epoch_us("DateTime") - F.lit(epoch_us_value(start))
     b = src.withColumn("i", first_instant(x_us)).filter(F.col("i").isNotNull() & (F.col("i") < n_instants))
     return b.groupBy("TagName", "i").agg(F.max_by(F.col("Value"), F.col("DateTime")).alias("Value"))
@@ -142,24 +135,22 @@ def instant_values(runs, n_instants: int, leading_nulls: bool, chunk_size: int)
     """Expand reduced runs to one row per tag and instant: ``TagName, i, Value``.
 
     Each non-empty instant holds until the next non-empty one (found with the
-    chunked lead), so rows are produced by ``explode`` where the run lives and
-    the output is never sorted or shuffled.  With ``leading_nulls`` the
-    instants before a tag's first sample are emitted with NULLs.
+    chunked lead), so rows are produced by ``explode`` where the run lives (long runs
+    are cut and dealt out) and the output is never sorted.  With ``leading_nulls``
+    the instants before a tag's first sample are emitted with NULLs.
     """
-    wanted = {1: (["i"], "next_")} | ({-1: (["i"], "prev_")} if leading_nulls else {})
-    nb = neighbours(runs, ["TagName"], "i", wanted, index_chunk("i", chunk_size))
-    start = F.col("_from")
-    if leading_nulls:   # a tag's first run also gives the instants before it, so the runs are read once
-        start = F.when(F.col("prev_i").isNull(), F.lit(0)).otherwise(start)
-    upto = F.coalesce(F.col("next_i"), F.lit(n_instants).cast("long")) - 1
-    out = explode_span(nb.withColumnRenamed("i", "_from"), start, upto, "i")
-    held = F.col("i") >= F.col("_from")
-    return out.select("TagName", "i", F.when(held, F.col("Value")).alias("Value"))
-
-
-def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
-                       lookback_seconds: int | None = None, chunk_size: int = 4096,
-                       rollup: DataFrame | None = None, guard: bool = False,
+    if leading_nulls:
+        return filled_grid(runs.select("TagName", "i", "Value"), ["TagName"], "i", 0, n_instants - 1, chunk_size).drop("_own")
+    d = shuffled_by_chunk(runs.select("TagName", "i", "Value"), ["TagName"], "i", index_chunk("i", chunk_size))
+    near, tail = forward_runs(d, ["TagName"], "i")
+    near = near.withColumn("_at", F.explode(F.sequence("i", F.col("next_i") - 1)))
+    far = explode_span(tail, F.col("i"), F.coalesce("next_i", F.lit(n_instants).cast("long")) - 1, "_at", deal=["TagName"])
+    cols = ["TagName", F.col("_at").alias("i"), "Value"]
+    return near.select(*cols).unionByName(far.select(*cols))
+
+
+def values_at_instants(history: DataFrame, start, end, n: int, tags=None, chunk_size: int = 4096,
+                       tree: SummaryTree | None = None, guard: bool = False,
                        mark: DataFrame | None = None) -> DataFrame:
     """PIT5: as-of value at N evenly spaced instants ``start + (i*T) div N`` s.
 
@@ -174,7 +165,7 @@ def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
     T = seconds_between(start, end)
     last_at = to_datetime(start) + _dt.timedelta(seconds=((n - 1) * T) // n)
     runs = instant_runs(filter_tags(history, tags), start, n, lambda x: _first_instant_even(x, T, n),
-                        last_at, lookback_seconds, rollup)
+                        last_at, tree)
     g = instant_values(runs, n, leading_nulls=True, chunk_size=chunk_size)
     t = add_seconds(start, even_offset(F.col("i"), T, n))
     value = F.col("Value")
@@ -184,9 +175,8 @@ def values_at_instants(history: DataFrame, start, end, n: int, tags=None,
     return g.select("TagName", t.alias("DateTime"), value.alias("Value"))
 
 
-def values_cyclic(history: DataFrame, start, end, step_ms: int = 60000, tags=None,
-                  lookback_seconds: int | None = None, chunk_size: int = 4096,
-                  rollup: DataFrame | None = None) -> DataFrame:
+def values_cyclic(history: DataFrame, start, end, step_ms: int = 60000, tags=None, chunk_size: int = 4096,
+                  tree: SummaryTree | None = None) -> DataFrame:
     """RNG3: cyclic retrieval, one held value every ``step_ms`` in ``[start, end)``.
 
     Instants before a tag's first sample are dropped.
@@ -198,7 +188,7 @@ def values_cyclic(history: DataFrame, start, end, step_ms: int = 60000, tags=Non
         return history.sparkSession.createDataFrame([], "TagName string, DateTime timestamp_ntz, Value double")
     last_at = from_us_value(epoch_us_value(start) + (k - 1) * step_us)
     runs = instant_runs(filter_tags(history, tags), start, k, lambda x: _first_instant_step(x, step_us),
-                        last_at, lookback_seconds, rollup)
+                        last_at, tree)
     g = instant_values(runs, k, leading_nulls=False, chunk_size=chunk_size)
     t = from_epoch_us(F.lit(epoch_us_value(start)) + F.col("i") * F.lit(step_us))
     return g.select("TagName", t.alias("DateTime"), "Value")

@@ -22,6 +22,7 @@ from tagscope.operators import filters as flt
 from tagscope.operators import paging as pg
 from tagscope.operators import pointintime as pit
 from tagscope.operators import resample as rs
+from tagscope.operators.tree import SummaryTree
 from tagscope.functions import tagdecode as dec
 
 
@@ -37,36 +38,36 @@ def parse_request_time(spark: SparkSession, value) -> _dt.datetime:
 
 def get_tag(spark: SparkSession, history: DataFrame, tag=None, date=None, start=None, end=None,
             count=None, group=None, mode: str = "filled", guard: bool = True,
-            rollup: DataFrame | None = None, method: str = "previous") -> DataFrame:
+            tree: SummaryTree | None = None, method: str = "previous") -> DataFrame:
     """``/get/tag/``: value at a date, range, grouped value, N instants or N buckets.
 
     A date lookup is ``method='previous'`` (last value, optionally guarded by
-    the load mark), ``'linear'`` (interpolated) or ``'exact'``.  ``rollup``
-    (a daily last/first-sample table) bounds every as-of search."""
+    the load mark), ``'linear'`` (interpolated) or ``'exact'``.  ``tree``
+    (a summary tree) bounds every as-of search."""
     tags = flt.split_tags(tag, strict=group is not None) if tag is not None else None
     if date is not None:
         at = parse_request_time(spark, date)
         if method == "linear":
-            return pit.value_interpolated(history, at, tags, rollup=rollup)
+            return pit.value_interpolated(history, at, tags, tree=tree)
         if method == "exact":
             return pit.value_exact(history, at, tags)
         if method != "previous":
             raise ValueError(f"method must be previous, linear or exact, got {method!r}")
-        return pit.value_at(history, at, tags, guard=guard, rollup=rollup)
+        return pit.value_at(history, at, tags, guard=guard, tree=tree)
     if start is None or end is None:
         raise ValueError("need date, or from and to")
     a, b = parse_request_time(spark, start), parse_request_time(spark, end)
     if count is not None and group is not None:
-        return bk.buckets(history, a, b, int(count), group, mode, tags, rollup=rollup)
+        return bk.buckets(history, a, b, int(count), group, mode, tags, tree=tree)
     if count is not None:
-        return pit.values_at_instants(history, a, b, int(count), tags, guard=guard, rollup=rollup)
+        return pit.values_at_instants(history, a, b, int(count), tags, guard=guard, tree=tree)
     if group is not None:
-        return agg.aggregate(history, a, b, group, mode, tags, rollup=rollup)
+        return agg.aggregate(history, a, b, group, mode, tags, tree=tree)
     if mode == "raw":
         return rs.range_raw(history, a, b, tags)
     if mode == "cyclic":
-        return pit.values_cyclic(history, a, b, tags=tags, rollup=rollup)
-    return rs.resample(history, a, b, 1, seeded=(mode != "gapfill"), tags=tags, rollup=rollup)
+        return pit.values_cyclic(history, a, b, tags=tags, tree=tree)
+    return rs.resample(history, a, b, 1, seeded=(mode != "gapfill"), tags=tags, tree=tree)
 
 
 def get_tag_list(tag_table: DataFrame, like: str | None = None, page: int | None = None,

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagscope.operators import pointintime as pit
+from tagscope.plans.derived import derived
 from tagscope.sources import testdata as td
+from tagscope.streaming import dimension as dim
 
 # Parameters of the registered queries.
 FROM = "2024-01-01 00:00:00"
@@ -58,7 +60,8 @@ with {V_HISTORY}
 select TagName, max(DateTime) as DateTime, arg_max(Value, DateTime) as Value
 from history where DateTime <= {ts(AT)} group by TagName""")
 def q_value_at_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pit.value_at(td.history(spark, sf_dir), AT)
+    d = derived(spark, sf_dir)
+    return pit.value_at(d.history, AT, tree=d.tree)
 
 
 @register("value_at_date_guarded", f"""
@@ -67,7 +70,8 @@ select TagName, max(DateTime) as DateTime,
        case when {ts(AT_LATE)} > (select m from mark) then null else arg_max(Value, DateTime) end as Value
 from history where DateTime <= {ts(AT_LATE)} group by TagName""")
 def q_value_at_date_guarded(spark, sf_dir):
-    return pit.value_at(td.history(spark, sf_dir), AT_LATE, guard=True)
+    d = derived(spark, sf_dir)
+    return pit.value_at(d.history, AT_LATE, guard=True, mark=dim.load_mark(d.dimension), tree=d.tree)
 
 
 @register("value_at_date_interp", f"""
@@ -79,8 +83,9 @@ select b.TagName, {ts(AT)} as DateTime,
        else bv + (epoch_us({ts(AT)}) - epoch_us(b.bt))::double / (epoch_us(a.at_) - epoch_us(b.bt))::double * (av - bv) end, {DIGITS}) as Value
 from b join a on a.TagName = b.TagName""")
 def q_value_at_date_interp(spark, sf_dir):
-    d = pit.value_interpolated(td.history(spark, sf_dir), AT)
-    return d.select("TagName", "DateTime", r6(F.col("Value")).alias("Value"))
+    d = derived(spark, sf_dir)
+    v = pit.value_interpolated(d.history, AT, tree=d.tree)
+    return v.select("TagName", "DateTime", r6(F.col("Value")).alias("Value"))
 
 
 @register("values_n_instants", f"""
@@ -92,7 +97,8 @@ inst as (select TagName, {ts(FROM)} + to_seconds((i * (epoch({ts(TO)}) - epoch({
 select inst.TagName, inst.DateTime, h.Value
 from inst asof left join history h on h.TagName = inst.TagName and h.DateTime <= inst.DateTime""")
 def q_values_n_instants(spark, sf_dir):
-    return pit.values_at_instants(td.history(spark, sf_dir), FROM, TO, N_INSTANTS)
+    d = derived(spark, sf_dir)
+    return pit.values_at_instants(d.history, FROM, TO, N_INSTANTS, tree=d.tree)
 
 
 # ---- shared oracle fragments ------------------------------------------------
@@ -149,7 +155,8 @@ with {V_HISTORY}, r as ({runs_sql(seeded_union_sql('history', FROM, TO), STEP)})
 select TagName, make_timestamp(s * {STEP * 1_000_000}) as DateTime, round(v, {DIGITS}) as Value
 from (select TagName, v, unnest(generate_series(slot, nxt - 1)) as s from r)""")
 def q_range_resampled_seeded(spark, sf_dir):
-    return rounded(rs.resample(td.history(spark, sf_dir), FROM, TO, step_seconds=STEP, seeded=True))
+    d = derived(spark, sf_dir)
+    return rounded(rs.resample(d.history, FROM, TO, step_seconds=STEP, seeded=True, tree=d.tree))
 
 
 @register("range_gapfill", f"""
@@ -172,7 +179,8 @@ cyc as (select i.TagName, i.DateTime, h.Value from inst i asof join history h
 with {V_HISTORY}, {CYCLIC_INSTANTS}
 select TagName, DateTime, Value from cyc""")
 def q_range_cyclic(spark, sf_dir):
-    return pit.values_cyclic(td.history(spark, sf_dir), FROM, TO, CYCLIC_MS)
+    d = derived(spark, sf_dir)
+    return pit.values_cyclic(d.history, FROM, TO, CYCLIC_MS, tree=d.tree)
 
 
 # ---- grouped values (AGG1-9) ----------------------------------------------------
@@ -208,26 +216,30 @@ def q_group_filled(spark, sf_dir):
 
 @register("group_filled_seeded", _weighted_sql(seeded_union_sql("history", FROM, TO)))
 def q_group_filled_seeded(spark, sf_dir):
-    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "avg", mode="seeded"))
+    d = derived(spark, sf_dir)
+    return rounded(agg.aggregate(d.history, FROM, TO, "avg", mode="seeded", tree=d.tree))
 
 
 @register("group_avgm", _weighted_sql(seeded_union_sql("history", FROM, TO)))
 def q_group_avgm(spark, sf_dir):
-    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "avgm", mode="filled"))
+    d = derived(spark, sf_dir)
+    return rounded(agg.aggregate(d.history, FROM, TO, "avgm", mode="filled", tree=d.tree))
 
 
 @register("group_cyclic", f"""
 with {V_HISTORY}, {CYCLIC_INSTANTS}
 select TagName, {ts(TO)} as DateTime, round(avg(Value), {DIGITS}) as Value from cyc group by TagName""")
 def q_group_cyclic(spark, sf_dir):
-    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "avg", mode="cyclic"))
+    d = derived(spark, sf_dir)
+    return rounded(agg.aggregate(d.history, FROM, TO, "avg", mode="cyclic", tree=d.tree))
 
 
 @register("group_hours", f"""
 with {V_HISTORY}, {CYCLIC_INSTANTS}
 select TagName, {ts(TO)} as DateTime, round(count(Value) / 60.0, {DIGITS}) as Value from cyc group by TagName""")
 def q_group_hours(spark, sf_dir):
-    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "count", mode="cyclic"))
+    d = derived(spark, sf_dir)
+    return rounded(agg.aggregate(d.history, FROM, TO, "count", mode="cyclic", tree=d.tree))
 
 
 @register("group_dif", f"""
@@ -236,7 +248,8 @@ f as (select TagName, arg_max(Value, DateTime) as v from counter_history where D
 t as (select TagName, arg_max(Value, DateTime) as v from counter_history where DateTime <= {ts(DIF_TO)} group by TagName)
 select t.TagName, {ts(DIF_TO)} as DateTime, round(t.v - f.v, {DIGITS}) as Value from t left join f on f.TagName = t.TagName""")
 def q_group_dif(spark, sf_dir):
-    return rounded(agg.aggregate(td.counter_history(spark, sf_dir), DIF_FROM, DIF_TO, "dif", mode="filled"))
+    d = derived(spark, sf_dir, "counter")
+    return rounded(agg.aggregate(d.history, DIF_FROM, DIF_TO, "dif", mode="filled", tree=d.tree))
 
 
 def _interp_sql(src: str, at: str, name: str) -> str:
@@ -253,14 +266,15 @@ tg as (select distinct TagName from counter_history)
 select tg.TagName, {ts(DIF_TO)} as DateTime, round(t.v - f.v, {DIGITS}) as Value
 from tg left join t on t.TagName = tg.TagName left join f on f.TagName = tg.TagName""")
 def q_group_dif_interp(spark, sf_dir):
-    return rounded(agg.aggregate(td.counter_history(spark, sf_dir), DIF_FROM, DIF_TO, "dif", mode="raw"))
+    d = derived(spark, sf_dir, "counter")
+    return rounded(agg.aggregate(d.history, DIF_FROM, DIF_TO, "dif", mode="raw", tree=d.tree))
 
 
 @register("totals", f"""
 with {V_HISTORY}
 select count(distinct TagName) as tags, count(*) as records from history""")
 def q_totals(spark, sf_dir):
-    return agg.totals(td.history(spark, sf_dir))
+    return dim.totals(derived(spark, sf_dir).dimension)
 
 
 # ---- N buckets (AGG10-11) -------------------------------------------------------
@@ -308,7 +322,8 @@ tg as (select distinct TagName from r)
 select tg.TagName, bb.hi as DateTime, round(a.v, {DIGITS}) as Value
 from tg cross join bb left join a on a.TagName = tg.TagName and a.i = bb.i""")
 def q_buckets_avgm(spark, sf_dir):
-    return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_FEW, "avgm"))
+    d = derived(spark, sf_dir)
+    return rounded(bk.buckets(d.history, FROM, TO, N_FEW, "avgm", tree=d.tree))
 
 
 @register("buckets_dif", f"""
@@ -319,7 +334,8 @@ v as (select e.TagName, e.j, e.DateTime, h.Value from e asof left join counter_h
 select TagName, DateTime, round(Value - lag(Value) over (partition by TagName order by j), {DIGITS}) as Value
 from v qualify j >= 1""")
 def q_buckets_dif(spark, sf_dir):
-    return rounded(bk.buckets(td.counter_history(spark, sf_dir), FROM, TO, N_DAYS, "dif"))
+    d = derived(spark, sf_dir, "counter")
+    return rounded(bk.buckets(d.history, FROM, TO, N_DAYS, "dif", tree=d.tree))
 
 
 # ---- events and paging (WIN, SRT) -------------------------------------------------
@@ -369,14 +385,14 @@ with {V_STATE}
 select TagName from (select distinct TagName from state_history) order by TagName
 limit {pg.PER_PAGE} offset {(PAGE - 1) * pg.PER_PAGE}""")
 def q_page_of_tags(spark, sf_dir):
-    return pg.page(td.state_history(spark, sf_dir).select("TagName").distinct(), ["TagName"], PAGE)
+    return pg.page(dim.tags(derived(spark, sf_dir, "state").dimension), ["TagName"], PAGE)
 
 
 @register("load_mark", f"""
 with {V_HISTORY}
 select max(DateTime) as LoadMark from history""")
 def q_load_mark(spark, sf_dir):
-    return flt.load_mark(td.history(spark, sf_dir))
+    return dim.load_mark(derived(spark, sf_dir).dimension)
 
 
 # ---- column jobs: time normalisation, decoding, logs, formatting (COL, SRC9) -----
@@ -608,7 +624,7 @@ def q_group_avg_labelled_from(spark, sf_dir):
 with {V_STATE}
 select distinct TagName from state_history where TagName like '%'""")
 def q_tag_list_all(spark, sf_dir):
-    return flt.tag_list(td.state_history(spark, sf_dir), "")
+    return flt.tag_list(dim.tags(derived(spark, sf_dir, "state").dimension), "")
 
 
 @register("export_text_lines", f"""
@@ -659,7 +675,8 @@ select inst.TagName, inst.DateTime,
        case when inst.DateTime > (select max(DateTime) from history) then null else h.Value end as Value
 from inst asof left join history h on h.TagName = inst.TagName and h.DateTime <= inst.DateTime""")
 def q_values_n_instants_guarded(spark, sf_dir):
-    return pit.values_at_instants(td.history(spark, sf_dir), FROM, TO, N_INSTANTS, guard=True)
+    d = derived(spark, sf_dir)
+    return pit.values_at_instants(d.history, FROM, TO, N_INSTANTS, guard=True, mark=dim.load_mark(d.dimension), tree=d.tree)
 
 
 V_SPARSE = ("sparse_history as (select concat('A20_WT_', lpad(cast(user_id % 20 as varchar), 2, '0')) as TagName, "
@@ -697,7 +714,8 @@ r as ({runs_sql("select * from s", 1, "TagName, i")})
 select t.TagName, b.hi as DateTime, round(a.v, {DIGITS}) as Value from tags t cross join b
 left join (select TagName, i, sum(v * (nxt - slot)) / sum(nxt - slot) as v from r group by all) a on a.TagName = t.TagName and a.i = b.i""")
 def q_buckets_seeded(spark, sf_dir):
-    return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_DAYS, "avg", mode="seeded"))
+    d = derived(spark, sf_dir)
+    return rounded(bk.buckets(d.history, FROM, TO, N_DAYS, "avg", mode="seeded", tree=d.tree))
 
 
 for _g in ("avg", "count"):
@@ -749,7 +767,8 @@ select TagName, {ts(TO)} as DateTime, round({_sum}, {DIGITS}) as Value from r gr
 with {V_HISTORY}, {CYCLIC_INSTANTS}
 select TagName, {ts(TO)} as DateTime, round(sum(Value), {DIGITS}) as Value from cyc group by TagName""")
 def q_group_cyclic_sum(spark, sf_dir):
-    return rounded(agg.aggregate(td.history(spark, sf_dir), FROM, TO, "sum", mode="cyclic"))
+    d = derived(spark, sf_dir)
+    return rounded(agg.aggregate(d.history, FROM, TO, "sum", mode="cyclic", tree=d.tree))
 
 
 ASKED = ("A20_WT_01", "A20_WT_07", "A20_NONE")

@@ -53,3 +53,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return d
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``checkpoint_dir``, or a folder below the warehouse where the session names
+    none (local runs only: a cluster names one)."""
+    try:
+        return checkpoint_dir(spark).rstrip("/")
+    except ValueError:
+        return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")

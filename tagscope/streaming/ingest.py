@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tagscope.operators.rollup import ROLLUP_COLUMNS, daily_last
+from tagscope.operators.tree import SummaryTree, read_tree, write_tree
+from tagscope.streaming import dimension as dim
 from tagscope.streaming.drops import MAX_FILES, read_drop_lines, stream_drop_lines
 
 # File-name patterns and record layouts of the drops.
@@ -55,18 +56,23 @@ def read_drops(spark: SparkSession, source_dir: str, kind: str = "history") -> D
     return parse_lines(read_drop_lines(spark, source_dir, PATTERNS[kind]), kind)
 
 
-def split_batch(batch: DataFrame, kind: str = "history") -> tuple[DataFrame, DataFrame]:
-    """Good rows (schema columns only) and rejects (raw line, file, reason): files
-    and lines that could not be read, malformed JSON, records that lack a required
-    field."""
+def judged(batch: DataFrame, kind: str = "history") -> DataFrame:
+    """Parsed rows with the reason why they are rejected (NULL: they are not)."""
     lacking = F.lit(False)
     for c in REQUIRED[kind]:
         lacking = lacking | F.col(c).isNull()
     reason = (F.when(F.col("_problem").isNotNull(), F.col("_problem")).when(F.col("_corrupt_record").isNotNull(), "malformed")
               .when(lacking, "missing field"))
-    judged = batch.withColumn("_reason", reason)
-    good = judged.filter(F.col("_reason").isNull()).select(*[c for c in batch.columns if not c.startswith("_")])
-    rejects = judged.filter(F.col("_reason").isNotNull()) \
+    return batch.withColumn("_reason", reason)
+
+
+def split_batch(batch: DataFrame, kind: str = "history") -> tuple[DataFrame, DataFrame]:
+    """Good rows (schema columns only) and rejects (raw line, file, reason): files
+    and lines that could not be read, malformed JSON, records that lack a required
+    field."""
+    rows = judged(batch, kind)
+    good = rows.filter(F.col("_reason").isNull()).select(*[c for c in batch.columns if not c.startswith("_")])
+    rejects = rows.filter(F.col("_reason").isNotNull()) \
         .select(F.col("_line").alias("line"), F.col("_file").alias("file"), F.col("_reason").alias("reason"))
     return good, rejects
 
@@ -79,14 +85,10 @@ def _writer(sink_dir: str, reject_dir: str, kind: str):
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch", "day").parquet(sink_dir))
         if kind == "history":
-            # the load mark: newest sample time of this batch, one row per batch
-            (good.agg(F.max("DateTime").alias("LoadMark")).withColumn("batch", F.lit(batch_id))
-                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("batch").parquet(mark_dir(sink_dir)))
-            # the daily last-sample rollup of this batch (bounded as-of lookups)
-            (daily_last(good).withColumn("batch", F.lit(batch_id))
-                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("batch", "day").parquet(rollup_dir(sink_dir)))
+            # what requests read instead of the history: nodes of the summary tree, tags with counts and load marks
+            write_tree(good, tree_dir(sink_dir), batch_id)
+            source = F.regexp_extract("_file", r"([^/_]+)_[^/]*$", 1)
+            dim.add_batch(judged(batch, kind).filter(F.col("_reason").isNull()), dimension_dir(sink_dir), batch_id, source)
         (rejects.withColumn("batch", F.lit(batch_id))
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("batch").json(reject_dir))
@@ -122,19 +124,19 @@ def drain_ingest(spark: SparkSession, source_dir: str, sink_dir: str, reject_dir
         batches += 1
 
 
-def rollup_dir(sink_dir: str) -> str:
-    """Where the per-batch daily last-sample rollups live."""
-    return sink_dir.rstrip("/") + "_daily_last"
+def tree_dir(sink_dir: str) -> str:
+    """Where the summary tree lives (beside the sink, not inside it)."""
+    return sink_dir.rstrip("/") + "_tree"
 
 
-def read_rollup(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """The daily rollup of everything ingested (pass as ``rollup=`` to as-of operators)."""
-    return spark.read.parquet(rollup_dir(sink_dir)).select(*ROLLUP_COLUMNS)
+def dimension_dir(sink_dir: str) -> str:
+    """Where the tag dimension with counts and load marks lives."""
+    return sink_dir.rstrip("/") + "_tags"
 
 
-def mark_dir(sink_dir: str) -> str:
-    """Where the per-batch load marks live (beside the sink, not inside it)."""
-    return sink_dir.rstrip("/") + "_loadmark"
+def read_ingested_tree(spark: SparkSession, sink_dir: str) -> SummaryTree:
+    """The summary tree of everything ingested (pass as ``tree=`` to as-of operators)."""
+    return read_tree(spark, tree_dir(sink_dir))
 
 
 def read_ingested(spark: SparkSession, sink_dir: str) -> DataFrame:
@@ -142,10 +144,15 @@ def read_ingested(spark: SparkSession, sink_dir: str) -> DataFrame:
     return spark.read.parquet(sink_dir).select("TagName", "DateTime", "Value", "day")
 
 
+def read_ingested_dimension(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """SRC4: TagName, source, records, LoadMark of everything ingested."""
+    return dim.read_dimension(spark, dimension_dir(sink_dir))
+
+
 def load_mark(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """SRC8/STR2: newest loaded sample time (one row), read from the per-batch
-    marks the ingest writes, so it never scans the history."""
-    return spark.read.parquet(mark_dir(sink_dir)).agg(F.max("LoadMark").alias("LoadMark"))
+    """SRC8/STR2: newest loaded sample time (one row), from the dimension the ingest
+    maintains, so it never scans the history."""
+    return dim.load_mark(read_ingested_dimension(spark, sink_dir))
 
 
 def running_load_mark(stream: DataFrame) -> DataFrame:

@@ -153,9 +153,11 @@ def test_streaming_ingest(spark):
     q.awaitTermination(120)
     assert ingest.read_ingested(spark, sink).count() == 4
     from tagscope.operators import pointintime as pit
-    h, r = ingest.read_ingested(spark, sink), ingest.read_rollup(spark, sink)
-    assert r.count() == 3    # one row per (batch, tag, day)
-    assert sorted(map(tuple, pit.value_at(h, "2024-01-02 00:00:00", rollup=r).collect())) == \
+    h, r = ingest.read_ingested(spark, sink), ingest.read_ingested_tree(spark, sink)
+    assert r.nodes.filter("parent = '2024-01'").count() == 3    # one row per (batch, tag, day)
+    tags = ingest.read_ingested_dimension(spark, sink)
+    assert sorted((x.TagName, x.source, x.records) for x in tags.collect()) == [("A", "hs", 1), ("A", "result", 1), ("B", "hs", 1), ("C", "hs", 1)]
+    assert sorted(map(tuple, pit.value_at(h, "2024-01-02 00:00:00", tree=r).collect())) == \
         sorted(map(tuple, pit.value_at(h, "2024-01-02 00:00:00").collect()))
     # truck-scale drops go through the same job with their own schema
     tsink = os.path.join(base, "trucks")

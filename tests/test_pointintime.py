@@ -45,12 +45,6 @@ def test_value_at_guard(spark):
     assert ok == {"A": 7.0, "B": 20.0}
 
 
-def test_value_at_lookback(spark):
-    h = hist(spark, ROWS)
-    r = {x.TagName: x.Value for x in pit.value_at(h, "2024-01-01 00:30:00", lookback_seconds=900).collect()}
-    assert r == {"A": 7.0, "B": 10.0}
-
-
 def test_value_exact(spark):
     r = pit.value_exact(hist(spark, ROWS), "2024-01-01 00:10:00").collect()
     assert [(x.TagName, x.Value) for x in r] == [("A", 3.0)]
@@ -118,29 +112,32 @@ def test_duplicates_collapse(spark):
     assert r[0].Value == 2.0
 
 
-def test_rollup_gives_identical_asof(spark):
+def test_tree_gives_identical_asof(spark):
     from tagscope.operators import aggregate as agg
     from tagscope.operators import buckets as bk
     from tagscope.operators import resample as rs
-    from tagscope.operators.rollup import daily_last
+    from tagscope.operators.tree import SummaryTree, compacted, tree_nodes
     from tagscope.sources import testdata as td
     from tests.conftest import SF_SMALL
     h = td.history(spark, SF_SMALL)
-    r = daily_last(h).unionByName(daily_last(h))    # duplicate rollup rows are harmless
+    half = h.filter("DateTime < '2024-01-13 12:00:00'")
+    many = tree_nodes(h).unionByName(tree_nodes(half)).unionByName(tree_nodes(h))    # repeated and partial nodes are harmless
+    assert sorted(map(tuple, compacted(SummaryTree(many)).collect())) == sorted(map(tuple, tree_nodes(h).collect()))
+    r = SummaryTree(many)
     def same(a, b):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     for at in ["2024-01-10 00:00:00", "2024-01-10 13:17:00", "2024-01-01 00:00:00"]:
-        same(pit.value_at(h, at, rollup=r), pit.value_at(h, at))
+        same(pit.value_at(h, at, tree=r), pit.value_at(h, at))
     a, b = "2024-01-12 06:00:00", "2024-01-14 18:30:00"
-    same(rs.resample(h, a, b, 600, rollup=r), rs.resample(h, a, b, 600))
-    same(pit.values_at_instants(h, a, b, 50, rollup=r), pit.values_at_instants(h, a, b, 50))
-    same(pit.values_cyclic(h, a, b, 3600000, rollup=r), pit.values_cyclic(h, a, b, 3600000))
-    same(agg.aggregate(h, a, b, "dif", rollup=r), agg.aggregate(h, a, b, "dif"))
-    same(agg.aggregate(h, a, b, "avgm", rollup=r), agg.aggregate(h, a, b, "avgm"))
-    same(bk.buckets(h, a, b, 5, "dif", rollup=r), bk.buckets(h, a, b, 5, "dif"))
+    same(rs.resample(h, a, b, 600, tree=r), rs.resample(h, a, b, 600))
+    same(pit.values_at_instants(h, a, b, 50, tree=r), pit.values_at_instants(h, a, b, 50))
+    same(pit.values_cyclic(h, a, b, 3600000, tree=r), pit.values_cyclic(h, a, b, 3600000))
+    same(agg.aggregate(h, a, b, "dif", tree=r), agg.aggregate(h, a, b, "dif"))
+    same(agg.aggregate(h, a, b, "avgm", tree=r), agg.aggregate(h, a, b, "avgm"))
+    same(bk.buckets(h, a, b, 5, "dif", tree=r), bk.buckets(h, a, b, 5, "dif"))
     for at in ["2024-01-10 00:00:00", "2024-01-10 13:17:00", "2024-01-29 23:00:00"]:
-        same(pit.value_interpolated(h, at, rollup=r), pit.value_interpolated(h, at))
-    same(agg.aggregate(h, a, b, "dif", mode="raw", rollup=r), agg.aggregate(h, a, b, "dif", mode="raw"))
+        same(pit.value_interpolated(h, at, tree=r), pit.value_interpolated(h, at))
+    same(agg.aggregate(h, a, b, "dif", mode="raw", tree=r), agg.aggregate(h, a, b, "dif", mode="raw"))
 
 
 def test_more_instants_than_seconds(spark):
