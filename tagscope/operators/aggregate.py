@@ -86,7 +86,7 @@ def cyclic_runs(history: DataFrame, start, end, step_ms: int = 60000, tags=None,
                             lambda x: pit._first_instant_step(x, step_us), last_at, tree)
     near, tail = forward_runs(shuffled_by_chunk(runs.select("TagName", "i", "Value"), ["TagName"], "i", index_chunk("i", chunk_size)),
                               ["TagName"], "i")
-    return near.unionByName(tail).select("TagName", "i", F.coalesce("next_i", F.lit(k).cast("long")).alias("next_i"), "Value")
+    return near.unionByName(tail.drop("_first")).select("TagName", "i", F.coalesce("next_i", F.lit(k).cast("long")).alias("next_i"), "Value")
 
 
 def aggregate_cyclic(history: DataFrame, start, end, group: str, step_ms: int = 60000, tags=None, tree: SummaryTree | None = None) -> DataFrame:

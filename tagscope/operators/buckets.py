@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tagscope.functions.timecols import US, add_seconds, div, epoch_us, epoch_us_value, seconds_between
 from tagscope.operators import pointintime as pit
 from tagscope.operators.aggregate import MODES, check_group, raw_agg, weighted_agg
-from tagscope.operators.chunked import explode_span, filled_grid, forward_runs, index_chunk, neighbour, neighbours, shuffled_by_chunk
+from tagscope.operators.chunked import explode_span, filled_grid, forward_runs, index_chunk, neighbour, shuffled_by_chunk
 from tagscope.operators.filters import asked_names, filter_range, filter_tags
 from tagscope.operators.resample import fill_runs
 from tagscope.operators.tree import SummaryTree, asof_source
@@ -191,7 +191,7 @@ def buckets_cyclic(history: DataFrame, start, end, n: int, group: str, tags=None
     x = x.withColumn("i", F.when(over, (F.col("_b") + 1) * F.lit(per)).otherwise(F.col("_b") * F.lit(per) + F.col("_k")))
     runs = x.filter(F.col("i") < (n + 1) * per).groupBy("TagName", "i").agg(*pit.last_sample()).select("TagName", "i", "Value")
     near, tail = forward_runs(shuffled_by_chunk(runs, ["TagName"], "i", index_chunk("i", chunk_size)), ["TagName"], "i")
-    nb = near.unionByName(tail)
+    nb = near.unionByName(tail.drop("_first"))
     nb = nb.select("TagName", "Value", F.col("i").alias("_from"), F.coalesce("next_i", F.lit((n + 1) * per).cast("long")).alias("_to"))
     each = nb.withColumn("i", F.explode(F.sequence(div(F.col("_from"), per), F.least(div(F.col("_to"), per), F.lit(n).cast("long")))))
     w = F.expr(f"least(_to - i * {per}L, {steps('i')}) - greatest(_from - i * {per}L, 0L)")
@@ -237,14 +237,22 @@ def buckets_dif(history: DataFrame, start, end, n: int, tags=None,
     _check_n(n)
     T = seconds_between(start, end)
     runs = pit.instant_runs(filter_tags(history, tags), start, n + 1, lambda x: pit._first_instant_even(x, T, n), end, tree)
-    # the value at an edge differs from that at the edge before only where a run begins
-    changed = neighbours(runs, ["TagName"], "i", {-1: (["Value"], "prev_")}, index_chunk("i", chunk_size)) \
-        .select("TagName", "i", (F.col("Value") - F.col("prev_Value")).alias("_change"), (F.col("Value") - F.col("Value")).alias("_held"))
+    # edges e+1 .. next-1 have the value of the run that begins at edge e, edge next another one
+    d = shuffled_by_chunk(runs.select("TagName", "i", "Value"), ["TagName"], "i", index_chunk("i", chunk_size))
+    near, tail = forward_runs(d, ["TagName"], "i", carry=["Value"])
+    near = near.select("TagName", "Value", "next_i", "next_Value", F.explode(F.sequence(F.col("i") + 1, F.col("next_i"))).alias("b"))
+    own = F.struct((F.col("i") + 1).alias("lo"), F.coalesce("next_i", F.lit(n).cast("long")).alias("hi"), "Value", "next_i", "next_Value")
+    before = F.struct(F.lit(1).cast("long").alias("lo"), F.col("_first").alias("hi"), F.lit(None).cast("double").alias("Value"),
+                      F.lit(None).cast("long").alias("next_i"), F.lit(None).cast("double").alias("next_Value"))
+    far = tail.select("TagName", F.inline(F.when(F.col("_first") > 0, F.array(before, own)).otherwise(F.array(own))))
+    far = explode_span(far, F.col("lo"), F.col("hi"), "b", deal=["TagName"]).select(*near.columns)
+    new = F.when(F.col("b") == F.col("next_i"), F.col("next_Value")).otherwise(F.col("Value"))
+    g = near.unionByName(far).select("TagName", F.col("b").alias("i"), (new - F.col("Value")).alias("_v"))
     if tags is not None:
         names = asked_names(history.sparkSession, tags)
-        changed = changed.unionByName(names.select("TagName", F.lit(-1).cast("long").alias("i")), allowMissingColumns=True)
-    g = filled_grid(changed, ["TagName"], "i", 0 if tags is None else -1, n, chunk_size).filter(F.col("i") >= 1)
-    return _label(g.select("TagName", "i", F.when(F.col("_own"), F.col("_change")).otherwise(F.col("_held")).alias("_v")), start, T, n, F.col("_v"))
+        silent = names.join(runs.select("TagName").distinct(), "TagName", "left_anti").withColumn("_v", F.lit(None).cast("double"))
+        g = g.unionByName(explode_span(silent, F.lit(1), F.lit(n), "i", deal=["TagName"]).select("TagName", "i", "_v"))
+    return _label(g, start, T, n, F.col("_v"))
 
 
 def buckets_avgm(history: DataFrame, start, end, n: int, tags=None,

@@ -77,22 +77,28 @@ def explode_span(df: DataFrame, lo: Column, hi: Column, out: str, deal: Sequence
     return d.withColumn(out, F.explode(own)).drop("_lo", "_hi", "_piece")
 
 
-def forward_runs(d: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """Each row with the next row's ``order`` of its key as ``next_<order>``, in two
-    parts: the rows that have a successor in their own chunk, and the last row of
-    every chunk (``next_`` is NULL on a key's last row).
+def forward_runs(d: DataFrame, keys: Sequence[str], order: str, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Each row with the next row's ``order`` (and ``carry`` columns) of its key as
+    ``next_<column>``, in two parts: the rows that have a successor in their own chunk,
+    and the last row of every chunk (``next_`` is NULL on a key's last row).  The
+    second part also has ``_first``: a key's least ``order`` on its first chunk's row,
+    NULL on the others.
 
     ``d`` holds the chunk column and is partitioned by (keys, chunk), see
     ``shuffled_by_chunk``.  The second part has one row per chunk and comes from a
     window over those alone; no join puts the parts together."""
     keys = list(keys)
     cols = [c for c in d.columns if c not in keys and c != CK]
-    inside = d.withColumn(f"next_{order}", F.lead(order).over(Window.partitionBy(*keys, CK).orderBy(order))) \
-        .filter(F.col(f"next_{order}").isNotNull()).select(*keys, *cols, f"next_{order}")
-    edges = d.groupBy(*keys, CK).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_row"), F.min(order).alias("_first"))
-    after = F.lead("_first").over(Window.partitionBy(*keys).orderBy(CK))
-    tail = edges.select(*keys, *[F.col("_row")[c].alias(c) for c in cols], after.alias(f"next_{order}"))
-    return inside, tail
+    new = [order, *carry]
+    w = Window.partitionBy(*keys, CK).orderBy(order)
+    inside = d.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in new]) \
+        .filter(F.col(f"next_{order}").isNotNull()).select(*keys, *cols, *[f"next_{c}" for c in new])
+    edges = d.groupBy(*keys, CK).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_row"),
+                                     F.min_by(F.struct(*new), F.col(order)).alias("_begin"))
+    over = Window.partitionBy(*keys).orderBy(CK)
+    tail = edges.select(*keys, *[F.col("_row")[c].alias(c) for c in cols], F.lead("_begin").over(over).alias("_next"),
+                        F.when(F.lag(F.lit(1)).over(over).isNull(), F.col("_begin")[order]).alias("_first"))
+    return inside, tail.select(*keys, *cols, *[F.col("_next")[c].alias(f"next_{c}") for c in new], "_first")
 
 
 def filled_grid(df: DataFrame, keys: Sequence[str], order: str, lo: int, hi: int, size: int = 4096) -> DataFrame:
@@ -101,17 +107,17 @@ def filled_grid(df: DataFrame, keys: Sequence[str], order: str, lo: int, hi: int
     have ``_own`` false and the other columns of the row before them (NULL before the
     first)."""
     keys = list(keys)
-    d = shuffled_by_chunk(df, keys, order, index_chunk(order, size))
-    inside, tail = forward_runs(d, keys, order)
-    tail = tail.withColumn(f"next_{order}", F.coalesce(f"next_{order}", F.lit(hi + 1).cast("long")))
+    inside, tail = forward_runs(shuffled_by_chunk(df, keys, order, index_chunk(order, size)), keys, order)
     cols = [c for c in df.columns if c not in keys and c != order]
-    first = d.groupBy(*keys).agg(F.min(order).alias(f"next_{order}")).filter(F.col(f"next_{order}") > lo)
-    none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
-    lead_in = first.select(*keys, F.lit(lo).cast("long").alias(order), *none, F.col(f"next_{order}"), F.lit(False).alias("_own"))
-    tail = tail.select(*keys, order, *cols, f"next_{order}").withColumn("_own", F.lit(True)).unionByName(lead_in)
-    near = inside.withColumn("_own", F.lit(True)).withColumn("_from", F.col(order)) \
-        .withColumn("_at", F.explode(F.sequence(F.col(order).cast("long"), F.col(f"next_{order}").cast("long") - 1)))
-    far = explode_span(tail.withColumn("_from", F.col(order)), F.col(order), F.col(f"next_{order}") - 1, "_at", deal=keys)
+    nxt = f"next_{order}"
+    own = F.struct(F.col(order).cast("long").alias("_from"), F.coalesce(nxt, F.lit(hi + 1)).cast("long").alias("_to"),
+                   F.lit(True).alias("_own"), *cols)
+    before = F.struct(F.lit(lo).cast("long").alias("_from"), F.col("_first").cast("long").alias("_to"), F.lit(False).alias("_own"),
+                      *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols])
+    far = tail.select(*keys, F.inline(F.when(F.col("_first") > lo, F.array(before, own)).otherwise(F.array(own))))
+    far = explode_span(far, F.col("_from"), F.col("_to") - 1, "_at", deal=keys)
+    near = inside.select(*keys, F.col(order).cast("long").alias("_from"), F.lit(True).alias("_own"), *cols,
+                         F.explode(F.sequence(F.col(order).cast("long"), F.col(nxt).cast("long") - 1)).alias("_at"))
     names = [*keys, "_from", "_at", "_own", *cols]
     out = near.select(*names).unionByName(far.select(*names))
     return out.select(*keys, F.col("_at").alias(order), *cols, (F.col("_own") & (F.col("_at") == F.col("_from"))).alias("_own"))

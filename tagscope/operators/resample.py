@@ -61,7 +61,7 @@ def _runs(history, start, end, step_seconds, seeded, tags, keys=("TagName",), ro
             return _seeded_runs(history, rows, start, end, step_seconds, size, tags, tree)
     d = _per_slot(rows, keys, size, slot_of(step_seconds), F.avg("Value").alias("Value"))
     near, tail = chunked.forward_runs(d, keys, "slot")
-    return near, tail.withColumn("next_slot", F.coalesce("next_slot", F.col("slot") + 1))
+    return near, tail.drop("_first").withColumn("next_slot", F.coalesce("next_slot", F.col("slot") + 1))
 
 
 def _seeded_runs(history, inside, start, end, step_seconds, size, tags, tree):
