@@ -7,11 +7,14 @@ both sides so the comparison is immune to summation order.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagscope.operators import pointintime as pit
 from tagscope.plans.derived import derived
+from tagscope.session import shared_dir
 from tagscope.sources import testdata as td
 from tagscope.streaming import dimension as dim
 
@@ -220,7 +223,10 @@ def q_group_filled_seeded(spark, sf_dir):
     return rounded(agg.aggregate(d.history, FROM, TO, "avg", mode="seeded", tree=d.tree))
 
 
-@register("group_avgm", _weighted_sql(seeded_union_sql("history", FROM, TO)))
+@register("group_avgm", f"""
+with {V_HISTORY}, r as ({runs_sql(seeded_union_sql("history", FROM, TO), 1)}),
+points as (select TagName, v, unnest(generate_series(slot, nxt - 1)) as second from r)
+select TagName, {ts(TO)} as DateTime, round(avg(v), {DIGITS}) as Value from points group by TagName""")
 def q_group_avgm(spark, sf_dir):
     d = derived(spark, sf_dir)
     return rounded(agg.aggregate(d.history, FROM, TO, "avgm", mode="filled", tree=d.tree))
@@ -404,30 +410,36 @@ from tagscope.sources import logs as lg  # noqa: E402
 LATEST_K = 20
 ROUND = num.DEFAULT_ROUND
 
-V_RAW_TIMES = """raw_times as (select event_id, case event_id % 6
-  when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then strftime(ts, '%Y-%m-%dT%H:%M:%S')
-  when 2 then strftime(ts, '%d.%m.%Y %H:%M:%S')
-  when 3 then cast(epoch_us(ts) // 86400000000 + 25569 as varchar) || ',' ||
-              lpad(cast((epoch_us(ts) % 86400000000) * 100000000 // 86400000000 as varchar), 8, '0')
-  when 4 then cast(epoch_us(ts) // 1000 as varchar) else 'bad-' || event_id end as raw from events)"""
 
-# DuckDB spellings of the text layouts the fixture produces, in cascade order
-_DUCK_LAYOUTS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M",
-                 "%d.%m.%Y %H:%M:%S", "%d.%m.%Y %H:%M"]
+
+def _raw_times_sql() -> tuple[str, str]:
+    """(raw text, the time it stands for) of every kind, from the event's own time."""
+    raws, times = [], []
+    for pattern, digits, minutes, end in td.RAW_TIME_KINDS:
+        fmt = pattern.replace("'T'", "T")
+        for spark_name, duck in (("yyyy", "%Y"), ("MM", "%m"), ("dd", "%d"), ("HH", "%H"), ("mm", "%M"), ("ss", "%S")):
+            fmt = fmt.replace(spark_name, duck)
+        t = f"ts + to_minutes({minutes or 0})"
+        frac = f" || '.' || left(strftime({t}, '%f'), {digits})" if digits else ""
+        raws.append(f"strftime({t}, '{fmt}'){frac} || '{end}'")
+        unit = 60_000_000 if ":ss" not in pattern else 10 ** (6 - digits)
+        times.append(f"make_timestamp(epoch_us(ts) // {unit} * {unit})")
+    x = "(epoch_us(ts) // 86400000000 + (epoch_us(ts) % 86400000000 * 100000000 // 86400000000) / 100000000.0)"
+    raws += ["cast(epoch_us(ts) // 86400000000 + 25569 as varchar) || ',' || "
+             "lpad(cast((epoch_us(ts) % 86400000000) * 100000000 // 86400000000 as varchar), 8, '0')",
+             "cast(epoch_us(ts) // 1000 as varchar)", *[f"'{b}'" for b in td.RAW_TIME_BAD], "'bad-' || event_id"]
+    times += [f"make_timestamp(trunc(({x} + 25569.0 - 25569.0) * 86400.0)::bigint * 1000000)",
+              "make_timestamp(epoch_us(ts) // 1000 * 1000)", *["null" for _ in td.RAW_TIME_BAD], "null"]
+    def case(xs):
+        return f"case event_id % {len(xs)} " + " ".join(f"when {i} then {x}" for i, x in enumerate(xs)) + " end"
+    return case(raws), case(times)
 
 
 @register("timestamps_normalised", f"""
-with {V_RAW_TIMES},
-p as (select event_id, raw, regexp_replace(raw, ' +', ' ', 'g') as s, strpos(raw, ':') > 0 as has_colon,
-      case when regexp_matches(regexp_replace(raw, ',', '.'), '{tp._NUMBER}')
-           then try_cast(regexp_replace(raw, ',', '.') as double) end as x from raw_times),
-q as (select event_id, raw, has_colon, case when raw = '' then null
-        when has_colon then coalesce({', '.join(f"try_strptime(s, '{f}')" for f in _DUCK_LAYOUTS)})
-        when x > 1e9 then make_timestamp(trunc(x)::bigint * 1000)
-        else make_timestamp(trunc((x - 25569.0) * 86400.0)::bigint * 1000000) end as DateTime from p)
+with r as (select event_id, {_raw_times_sql()[0]} as raw, {_raw_times_sql()[1]} as DateTime from events)
 select event_id, raw, DateTime,
-  case when DateTime is not null then null when raw = '' or has_colon then '{tp.ERR_INVALID_DATE}'
-       else '{tp.ERR_NOT_A_FLOAT}' end as error from q""")
+  case when DateTime is not null then null when starts_with(raw, 'bad-') then '{tp.ERR_NOT_A_FLOAT}' else '{tp.ERR_INVALID_DATE}' end as error
+from r""")
 def q_timestamps_normalised(spark, sf_dir):
     return tp.normalise_times(td.raw_times(spark, sf_dir))
 
@@ -450,7 +462,7 @@ def _duck_field(regex: str, spec: dict) -> str:
     return cap if has_group else "''"
 
 
-def decode_sql(classifier: dict = dec.DEFAULT_CLASSIFIER) -> str:
+def decode_sql(classifier: dict) -> str:
     per: dict = {}
     for cls in classifier.values():
         m = f"regexp_matches(TagName, {_sql_str(cls['regex'])})"
@@ -461,6 +473,12 @@ def decode_sql(classifier: dict = dec.DEFAULT_CLASSIFIER) -> str:
     return "select TagName as tag_name, " + ", ".join(exprs)
 
 
+# Texts of the registered rows: a table of codes, made by rule from the fixture's codes.
+TAG_TEXTS = ([("area_descr", a[1:], f"section {a[1:]}") for a in td.TAG_AREAS if a[1:].isdigit() and a != "A35"]
+             + [("device_type", d, f"{d.lower()} device") for d in td.TAG_DEVICES if d and d != "CVR"]
+             + [("tag_descr", x, f"signal {x}") for x in ("AH", "HI", "URS")] + [("tag_hand", "A20_WT_07_TOT", "seventh total")])
+TAG_CLASSES = dec.with_texts(TAG_TEXTS)
+
 V_TAG_NAMES = f"""tag_names as (select distinct concat_ws('_', (['{"','".join(td.TAG_AREAS)}'])[p_partkey % 5 + 1],
   nullif((['{"','".join(td.TAG_DEVICES)}'])[p_size % 6 + 1], ''), lpad(cast(p_partkey % 100 as varchar), 2, '0'))
   || (['{"','".join(td.TAG_SUFFIXES)}'])[p_partkey % 7 + 1] as TagName from part)"""
@@ -468,9 +486,10 @@ V_TAG_NAMES = f"""tag_names as (select distinct concat_ws('_', (['{"','".join(td
 
 @register("tag_dimension", f"""
 with {V_TAG_NAMES}
-{decode_sql()} from tag_names""")
+{decode_sql(TAG_CLASSES)} from tag_names""")
 def q_tag_dimension(spark, sf_dir):
-    return dec.decode_tags(td.tag_names(spark, sf_dir))
+    texts = spark.createDataFrame(TAG_TEXTS, "field string, code string, text string")
+    return dec.decode_tags(td.tag_names(spark, sf_dir), dec.with_texts(texts))
 
 
 def _units_sql() -> str:
@@ -495,10 +514,10 @@ def _descr_sql() -> str:
 
 
 @register("tag_units", f"""
-with {V_TAG_NAMES}, d as ({decode_sql()} from tag_names)
+with {V_TAG_NAMES}, d as ({decode_sql(TAG_CLASSES)} from tag_names)
 select tag_name, {_units_sql()} as unit, {_descr_sql()} as description from d""")
 def q_tag_units(spark, sf_dir):
-    return dec.tag_units(td.tag_names(spark, sf_dir))
+    return dec.tag_units(td.tag_names(spark, sf_dir), TAG_CLASSES)
 
 
 V_LOG_LINES = """log_lines as (select event_id, case event_id % 3
@@ -583,8 +602,8 @@ ba as (select tg.TagName, b.hi as DateTime, round(round(a.v, {DIGITS}) * 100.0)
 
 @register("grafana_by_time", f"""
 with {_BUCKET_AVG_SQL}
-select strftime(DateTime, '%Y-%m-%d %H:%M:%S') as time,
-       to_json({{'time': strftime(DateTime, '%Y-%m-%d %H:%M:%S'),
+select strftime(DateTime, '%Y-%m-%dT%H:%M:%SZ') as time,
+       to_json({{'time': strftime(DateTime, '%Y-%m-%dT%H:%M:%SZ'),
                  'data': list({{'name': TagName, 'value': v}} order by TagName, v nulls first)}})::varchar as json
 from ba group by DateTime""")
 def q_grafana_by_time(spark, sf_dir):
@@ -592,14 +611,27 @@ def q_grafana_by_time(spark, sf_dir):
     return exp.grafana_by_time(q_buckets_raw(spark, sf_dir))
 
 
+N_POINTS = 1488      # half hours of the range: points of every document
+_POINTS_SQL = _BUCKET_AVG_SQL.replace(f"b as ({buckets_sql(N_BUCKETS)})", f"b as ({buckets_sql(N_POINTS)})")
+
+
+def _points(spark, sf_dir):
+    return rounded(bk.buckets(td.history(spark, sf_dir), FROM, TO, N_POINTS, "avg", mode="raw"))
+
+
+def _documents(spark, write, df, suffix=".json"):
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    return exp.read_documents(write(df, path), path, suffix)
+
+
 @register("grafana_by_series", f"""
-with {_BUCKET_AVG_SQL}
-select TagName as target, floor(epoch_us(DateTime) / {exp.SERIES_CHUNK_SECONDS * 1_000_000})::bigint as chunk,
-       to_json({{'target': TagName, 'datapoints': list({{'value': v, 'ms': epoch_us(DateTime) // 1000}}
-                 order by epoch_us(DateTime) // 1000, v nulls first)}})::varchar as json
-from ba group by TagName, chunk""")
+with {_POINTS_SQL}
+select TagName as doc, '{{"target":"' || TagName || '","datapoints":[' ||
+       string_agg('[' || coalesce(regexp_replace(cast(v as varchar), '\\.0$', ''), 'null') || ',' || (epoch_us(DateTime) // 1000) || ']', ',' order by DateTime)
+       || ']}}' as text
+from ba group by TagName""")
 def q_grafana_by_series(spark, sf_dir):
-    return exp.grafana_by_series(q_buckets_raw(spark, sf_dir))
+    return _documents(spark, exp.write_grafana_series, _points(spark, sf_dir))
 
 
 # ---- more surface: labelled average, exports as rows, full tag list ----------------
@@ -649,20 +681,33 @@ def q_export_json_records(spark, sf_dir):
 with {V_HISTORY}
 select '<row>' || chr(10) || '    <TagName>' || TagName || '</TagName>' || chr(10) ||
        '    <DateTime>' || strftime(DateTime, '%Y-%m-%d %H:%M:%S') || '</DateTime>' || chr(10) ||
-       '    <Value>' || cast({_round2_sql('Value')} as varchar) || '</Value>' || chr(10) || '</row>' as value
+       '    <Value>' || replace({_plain_sql(_round2_sql('Value'))}, '.', ',') || '</Value>' || chr(10) || '</row>' as value
 from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}""")
 def q_export_xml_rows(spark, sf_dir):
     return exp.xml_rows(rs.range_raw(td.history(spark, sf_dir), FROM, TO), ROUND)
 
 
 @register("export_tag_time_map", f"""
-with {_BUCKET_AVG_SQL}
-select TagName, floor(epoch_us(DateTime) / {exp.SERIES_CHUNK_SECONDS * 1_000_000})::bigint as chunk,
-       to_json(map_from_entries(list({{'k': strftime(DateTime, '%Y-%m-%d %H:%M:%S'), 'v': v}}
-                                     order by strftime(DateTime, '%Y-%m-%d %H:%M:%S'))))::varchar as json
-from ba group by TagName, chunk""")
+with {_POINTS_SQL}
+select TagName as doc, '{{"' || TagName || '":{{' ||
+       string_agg('"' || strftime(DateTime, '%Y-%m-%d %H:%M:%S') || '":' ||
+                  coalesce('"' || replace(regexp_replace(cast(v as varchar), '\\.0$', ''), '.', ',') || '"', 'null'), ',' order by DateTime)
+       || '}}}}' as text
+from ba group by TagName""")
 def q_export_tag_time_map(spark, sf_dir):
-    return exp.tag_time_map(q_buckets_raw(spark, sf_dir), ROUND)
+    return _documents(spark, exp.write_tag_time_maps, _points(spark, sf_dir))
+
+
+@register("export_xml_documents", f"""
+with {V_HISTORY}
+select TagName as doc, '<data>' || chr(10) || string_agg(
+       '<row>' || chr(10) || '    <TagName>' || TagName || '</TagName>' || chr(10) ||
+       '    <DateTime>' || strftime(DateTime, '%Y-%m-%d %H:%M:%S') || '</DateTime>' || chr(10) ||
+       '    <Value>' || replace({_plain_sql(_round2_sql('Value'))}, '.', ',') || '</Value>' || chr(10) || '</row>', chr(10) order by DateTime)
+       || chr(10) || '</data>' as text
+from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)} group by TagName""")
+def q_export_xml_documents(spark, sf_dir):
+    return _documents(spark, exp.write_xml_documents, rs.range_raw(td.history(spark, sf_dir), FROM, TO), ".xml")
 
 
 @register("values_n_instants_guarded", f"""
@@ -763,12 +808,26 @@ with {V_HISTORY}, r as ({runs_sql(f"select * from history where DateTime between
 select TagName, {ts(TO)} as DateTime, round({_sum}, {DIGITS}) as Value from r group by TagName""")(_mk_filled(_g))
 
 
-@register("group_cyclic_sum", f"""
+for _g, _sum in (("sum", "sum(v * (nxt - slot))"), ("min", "min(v)"), ("max", "max(v)")):
+    def _mk_seeded(g):
+        def q(spark, sf_dir):
+            d = derived(spark, sf_dir)
+            return rounded(agg.aggregate(d.history, FROM, TO, g, mode="seeded", tree=d.tree))
+        return q
+    register(f"group_filled_seeded_{_g}", f"""
+with {V_HISTORY}, r as ({runs_sql(seeded_union_sql("history", FROM, TO), 1)})
+select TagName, {ts(TO)} as DateTime, round({_sum}, {DIGITS}) as Value from r group by TagName""")(_mk_seeded(_g))
+
+
+for _g in ("sum", "min", "max"):
+    def _mk_cyclic(g):
+        def q(spark, sf_dir):
+            d = derived(spark, sf_dir)
+            return rounded(agg.aggregate(d.history, FROM, TO, g, mode="cyclic", tree=d.tree))
+        return q
+    register(f"group_cyclic_{_g}", f"""
 with {V_HISTORY}, {CYCLIC_INSTANTS}
-select TagName, {ts(TO)} as DateTime, round(sum(Value), {DIGITS}) as Value from cyc group by TagName""")
-def q_group_cyclic_sum(spark, sf_dir):
-    d = derived(spark, sf_dir)
-    return rounded(agg.aggregate(d.history, FROM, TO, "sum", mode="cyclic", tree=d.tree))
+select TagName, {ts(TO)} as DateTime, round({_g}(Value), {DIGITS}) as Value from cyc group by TagName""")(_mk_cyclic(_g))
 
 
 ASKED = ("A20_WT_01", "A20_WT_07", "A20_NONE")
@@ -813,3 +872,107 @@ with {V_HISTORY}, r as ({runs_sql(_rows, 1)}),
 grid as (select TagName, make_timestamp(s * 1000000) as DateTime, v from (select TagName, v, unnest(generate_series(slot, nxt - 1)) as s from r))
 select TagName, date_trunc('hour', DateTime) as hour, count(*) as rows, round(sum(v), 4) as total, round(min(v), {DIGITS}) as low,
        round(max(v), {DIGITS}) as high, min(DateTime) as first, max(DateTime) as last from grid group by all""")(_mk_hours(_seeded))
+
+
+# ---- many buckets: one row per tag and hour of a result of N rows per tag -------------------
+N_MANY = 86_400      # of 31 s each
+
+
+@register("buckets_many_hours", f"""
+with {V_HISTORY}, tg as (select distinct TagName from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}),
+a as (select TagName, (epoch_us(DateTime) - epoch_us({ts(FROM)})) // {T_SEC // N_MANY * 1_000_000} + 1 as i,
+             count(Value) as n from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)} group by all),
+g as (select tg.TagName, b.i, {ts(FROM)} + to_seconds(b.i * {T_SEC // N_MANY}) as hi, coalesce(a.n, 0) as n
+      from tg cross join range(1, {N_MANY} + 1) b(i) left join a on a.TagName = tg.TagName and a.i = b.i)
+select TagName, date_trunc('hour', hi) as hour, count(*) as buckets, sum(n)::double as samples, count_if(n > 0)::bigint as filled,
+       min(hi) as first, max(hi) as last from g group by all""")
+def q_buckets_many_hours(spark, sf_dir):
+    b = bk.buckets(td.history(spark, sf_dir), FROM, TO, N_MANY, "count", mode="raw")
+    return b.groupBy("TagName", F.date_trunc("hour", "DateTime").cast("timestamp_ntz").alias("hour")).agg(
+        F.count(F.lit(1)).alias("buckets"), F.sum("Value").alias("samples"), F.count_if(F.col("Value") > 0).alias("filled"),
+        F.min("DateTime").alias("first"), F.max("DateTime").alias("last"))
+
+
+# ---- ingest: lines of drops into rows and rejects (SRC3, SRC7) -------------------------------
+from tagscope.sources import history as hs  # noqa: E402
+from tagscope.streaming import drops, ingest  # noqa: E402
+
+
+@register("drops_split", f"""
+with l as (select event_id, 'hs_' || event_id % 5 || '.json.gz' as file, event_id % 8 as k, 'T' || event_id % 20 as tag,
+                  strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as t, cast(value as varchar) as v, ts, value from events),
+lines as (select *, case k when 0 then '{{"TagName":"' || tag || '","DateTime":"' || t || '"' when 1 then '{{"DateTime":"' || t || '","Value":1}}'
+  when 2 then '{{"TagName":"' || tag || '","DateTime":"soon","Value":1}}' when 3 then null when 4 then 'begin of ' || event_id
+  when 5 then '{{"TagName":"' || tag || '","DateTime":"' || t || '","Value":null}}'
+  else '{{"TagName":"' || tag || '","DateTime":"' || t || '","Value":' || v || '}}' end as line from l)
+select case when k >= 5 then 'row' else 'reject' end as kind, case when k >= 5 then tag end as TagName, case when k >= 5 then ts end as DateTime,
+       case when k >= 6 then value::double end as Value, case when k < 5 then line end as line, case when k < 5 then file end as file,
+       case k when 0 then 'malformed' when 1 then 'missing field' when 2 then 'malformed' when 3 then '{drops.UNREADABLE}' when 4 then '{drops.TOO_LONG}' end as reason
+from lines""")
+def q_drops_split(spark, sf_dir):
+    """Lines as the drop source gives them: good ones, and by rule cut off, without a
+    tag, without a time, of an unreadable file, too long, without a value."""
+    e = td.table(spark, sf_dir, "events")
+    k, tag = F.col("event_id") % 8, F.concat(F.lit("T"), (F.col("event_id") % 20).cast("string"))
+    t = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    named = F.concat(F.lit('{"TagName":"'), tag, F.lit('","DateTime":"'))
+    line = (F.when(k == 0, F.concat(named, t, F.lit('"'))).when(k == 1, F.concat(F.lit('{"DateTime":"'), t, F.lit('","Value":1}')))
+            .when(k == 2, F.concat(named, F.lit('soon","Value":1}'))).when(k == 3, F.lit(None).cast("string"))
+            .when(k == 4, F.concat(F.lit("begin of "), F.col("event_id").cast("string")))
+            .when(k == 5, F.concat(named, t, F.lit('","Value":null}')))
+            .otherwise(F.concat(named, t, F.lit('","Value":'), F.col("value").cast("string"), F.lit("}"))))
+    problem = F.when(k == 3, drops.UNREADABLE).when(k == 4, drops.TOO_LONG)
+    lines = e.select(F.concat(F.lit("hs_"), (F.col("event_id") % 5).cast("string"), F.lit(".json.gz")).alias("file"), line.alias("line"), problem.alias("problem"))
+    good, rejects = ingest.split_batch(ingest.parse_lines(lines))
+    return good.select(F.lit("row").alias("kind"), "TagName", "DateTime", "Value", *[F.lit(None).cast("string").alias(c) for c in ("line", "file", "reason")]) \
+        .unionByName(rejects.select(F.lit("reject").alias("kind"), "line", "file", "reason"), allowMissingColumns=True)
+
+
+@register("history_shapes", f"""
+with {V_HISTORY}
+select 'three' as shape, TagName, DateTime, Value from history
+union all select 'spelled', TagName, DateTime, Value from history
+union all select 'two', 'A20_WT_03', DateTime, Value from history where TagName = 'A20_WT_03'""")
+def q_history_shapes(spark, sf_dir):
+    h = td.history(spark, sf_dir)
+    shapes = [("three", h.toDF("tag", "at", "number"), None),
+              ("spelled", h.select(F.col("Value").cast("string").alias("v"), F.col("DateTime").alias("DataTime"), F.col("TagName").alias("t")), None),
+              ("two", h.filter("TagName = 'A20_WT_03'").select("DateTime", "Value"), "A20_WT_03")]
+    out = None
+    for name, rows, tag in shapes:
+        part = hs.normalize_history(rows, tag).withColumn("shape", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("shape", "TagName", "DateTime", "Value")
+
+
+# ---- templates by prefix, ad hoc SQL (FLT4, TPL2, TPL3), CSV (EXP6) ---------------------------
+PREFIX = "NATION_1"
+
+
+@register("templates_by_prefix", f"""
+select n_name as Name, 'select * from supplier where s_nationkey = ' || n_nationkey || ' and s_name like ' || chr(39) || '{{mask}}' || chr(39) as Body
+from nation where starts_with(n_name, '{PREFIX}')""")
+def q_templates_by_prefix(spark, sf_dir):
+    body = F.concat(F.lit("select * from supplier where s_nationkey = "), F.col("n_nationkey").cast("string"), F.lit(" and s_name like '{mask}'"))
+    stored = td.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("ID"), F.col("n_name").alias("Name"), body.alias("Body"))
+    return tpl.template_list(stored, PREFIX)
+
+
+@register("query_ad_hoc", f"""
+with {V_HISTORY}
+select TagName, date_trunc('day', DateTime) as day, count(*) as n, round(max(Value), {DIGITS}) as high from history
+where Value > 50 group by all having count(*) > 1""")
+def q_query_ad_hoc(spark, sf_dir):
+    td.history(spark, sf_dir).createOrReplaceTempView("history")
+    return tpl.exec_query(spark, f"select TagName, cast(date_trunc('day', DateTime) as timestamp_ntz) as day, count(*) as n, round(max(Value), {DIGITS}) as high "
+                                 "from history where Value > :least group by 1, 2 having count(*) > 1", {"least": 50})
+
+
+@register("export_csv_lines", f"""
+with {V_HISTORY}
+select '"' || TagName || '","' || strftime(DateTime, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(DateTime) // 1000 % 1000)::varchar, 3, '0') || '","' ||
+       cast(Value as varchar) || '"' as value from history where DateTime >= {ts(FROM)} and DateTime < {ts(TO)}""")
+def q_export_csv_lines(spark, sf_dir):
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    exp.write_csv(rs.range_raw(td.history(spark, sf_dir), FROM, TO), path)
+    return spark.read.text(path).filter(F.col("value") != '"TagName","DateTime","Value"')

@@ -1,9 +1,9 @@
 """Export of results (EXP1-7).  Rounding (COL2) is applied here, never inside aggregates.
 
 Every writer is a distributed Spark write; nothing passes through the driver.
-Chart-shaped outputs that group many points into one record (series per tag,
-map per tag) are emitted per (tag, time chunk), so no record grows with the
-history: a consumer concatenates the pieces of one tag.
+Outputs that are one document per tag (chart series, time map, XML) go through the
+ordered document writer (``sinks.documents``): their points are rows until the
+document is a file, so no row grows with the history.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagscope.functions.numbers import DEFAULT_ROUND, decimal_comma, plain_text, round_half_away
-from tagscope.functions.timecols import US, epoch_us
+from tagscope.functions.timecols import epoch_us
+from tagscope.sinks.documents import write_documents
 
 DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
-SERIES_CHUNK_SECONDS = 3600
 # missing values are written as null rather than dropped from the object
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 
-FORMATS = ("text", "json", "xml", "csv", "grafana")
+FORMATS = ("text", "json", "xml", "csv", "grafana", "series", "map")
 
 
 def _date(col: str = "DateTime") -> Column:
@@ -62,6 +62,14 @@ def json_records(df: DataFrame, r: int | None = DEFAULT_ROUND) -> DataFrame:
     return df.select(F.col("TagName").alias("name"), _date().alias("date"), v.alias("value"))
 
 
+def json_table(df: DataFrame) -> DataFrame:
+    """EXP2 for generic results in the reference's form, ``headers`` and ``rows`` of
+    text cells: one line with the headers, then one array per row."""
+    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    head = df.sparkSession.range(1).select(F.to_json(F.array(*[F.lit(c) for c in df.columns])).alias("value"))
+    return head.unionByName(df.select(F.to_json(cells).alias("value")))
+
+
 def json_table_rows(df: DataFrame) -> DataFrame:
     """EXP2 for generic (template) results: one JSON object per row, cells as
     text (the reference's headers+rows form, without one record that holds
@@ -79,16 +87,27 @@ def write_json(df: DataFrame, path: str, r: int | None = DEFAULT_ROUND) -> None:
         json_table_rows(df).write.mode("overwrite").text(path)
 
 
+def _xml_row(r: int | None) -> F.Column:
+    s = F.struct(F.col("TagName"), _date().alias("DateTime"), decimal_comma(_value(r)).alias("Value"))
+    return F.to_xml(s, {"rowTag": "row"})
+
+
 def write_xml(df: DataFrame, path: str, r: int | None = DEFAULT_ROUND) -> None:
-    """EXP3: ``<data><row><TagName/><DateTime/><Value/></row>...</data>``."""
-    out = df.select("TagName", _date().alias("DateTime"), _value(r).alias("Value"))
+    """EXP3: ``<data><row><TagName/><DateTime/><Value/></row>...</data>`` with a
+    decimal comma; every part file is a document."""
+    out = df.select("TagName", _date().alias("DateTime"), decimal_comma(_value(r)).alias("Value"))
     out.write.mode("overwrite").format("xml").option("rootTag", "data").option("rowTag", "row").save(path)
 
 
 def xml_rows(df: DataFrame, r: int | None = DEFAULT_ROUND) -> DataFrame:
     """EXP3 per row, as text (``to_xml``)."""
-    s = F.struct(F.col("TagName"), _date().alias("DateTime"), _value(r).alias("Value"))
-    return df.select(F.to_xml(s, {"rowTag": "row"}).alias("value"))
+    return df.select(_xml_row(r).alias("value"))
+
+
+def write_xml_documents(df: DataFrame, path: str, r: int | None = DEFAULT_ROUND) -> DataFrame:
+    """EXP3 as one ordered document per tag."""
+    pieces = df.select(F.col("TagName").alias("doc"), F.col("DateTime").alias("at"), _xml_row(r).alias("piece"))
+    return write_documents(pieces, path, F.lit("<data>\n"), "\n", "\n</data>", ".xml")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -96,43 +115,65 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
+def rfc3339(col: str = "DateTime") -> Column:
+    """The instant with as many fraction digits as it has, in UTC."""
+    c = F.col(col)
+    fraction = F.rtrim(F.date_format(c, "SSSSSS"), F.lit("0"))
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z"))
+
+
 def grafana_by_time(df: DataFrame, r: int | None = DEFAULT_ROUND) -> DataFrame:
-    """EXP4: one record per time point: ``{time, data: [{name, value}]}``.
+    """EXP4: one record per instant: ``{time, data: [{name, value}]}``.
 
     A record holds one point per tag at that instant, so it is bounded by the
     number of tags, not by the history.
     """
-    pts = df.select(_date().alias("time"), F.struct(F.col("TagName").alias("name"),
-                                                    _json_value(r).alias("value")).alias("p"))
-    g = pts.groupBy("time").agg(F.sort_array(F.collect_list("p")).alias("data"))
+    pts = df.select("DateTime", F.struct(F.col("TagName").alias("name"), _json_value(r).alias("value")).alias("p"))
+    g = pts.groupBy("DateTime").agg(F.sort_array(F.collect_list("p")).alias("data")).withColumn("time", rfc3339())
     return g.select("time", F.to_json(F.struct("time", "data"), JSON_OPTIONS).alias("json"))
 
 
-def _chunk(chunk_seconds: int) -> Column:
-    return F.floor(epoch_us("DateTime") / F.lit(chunk_seconds * US)).cast("long")
+def _json_text(c: Column) -> Column:
+    """A JSON string literal."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'^\{"s":(.*)\}$', 1)
+
+
+def series_points(df: DataFrame, r: int | None = DEFAULT_ROUND) -> DataFrame:
+    """(doc, at, piece) of EXP5: ``[value, epoch ms]`` pairs; a missing value is null."""
+    v = _json_value(r)
+    ms = F.floor(epoch_us("DateTime") / F.lit(1000)).cast("long").cast("string")
+    return df.select(F.col("TagName").alias("doc"), F.col("DateTime").alias("at"),
+                     F.concat(F.lit("["), F.coalesce(F.when(F.abs(v) < float("inf"), plain_text(v)), F.lit("null")), F.lit(","), ms, F.lit("]")).alias("piece"))
+
+
+def write_grafana_series(df: DataFrame, path: str, r: int | None = DEFAULT_ROUND) -> DataFrame:
+    """EXP5: one document ``{"target": tag, "datapoints": [[value, ms], ...]}`` per tag."""
+    head = F.concat(F.lit('{"target":'), _json_text(F.col("doc")), F.lit(',"datapoints":['))
+    return write_documents(series_points(df, r), path, head, ",", "]}", ".json")
+
+
+def map_entries(df: DataFrame, r: int | None = DEFAULT_ROUND) -> DataFrame:
+    """(doc, at, piece) of EXP7: ``"time":"value"`` with a decimal comma, a missing
+    value null.  Points of one second are averaged first, since keys are unique."""
+    second = F.date_trunc("second", "DateTime").cast("timestamp_ntz")
+    per = df.groupBy("TagName", second.alias("DateTime")).agg(F.avg("Value").alias("Value"))
+    text = F.when(F.col("Value").isNotNull(), F.concat(F.lit('"'), decimal_comma(_value(r)), F.lit('"'))).otherwise("null")
+    return per.select(F.col("TagName").alias("doc"), F.col("DateTime").alias("at"),
+                      F.concat(F.lit('"'), _date(), F.lit('":'), text).alias("piece"))
 
 
-def grafana_by_series(df: DataFrame, r: int | None = DEFAULT_ROUND,
-                      chunk_seconds: int = SERIES_CHUNK_SECONDS) -> DataFrame:
-    """EXP5: ``{target, datapoints: [{value, ms}]}`` per tag and time chunk."""
-    ms = F.floor(epoch_us("DateTime") / F.lit(1000)).cast("long")
-    pts = df.select(F.col("TagName").alias("target"), _chunk(chunk_seconds).alias("chunk"),
-                    F.struct(ms.alias("ms"), _json_value(r).alias("value")).alias("p"))
-    g = pts.groupBy("target", "chunk").agg(F.sort_array(F.collect_list("p")).alias("pts"))
-    dp = F.transform("pts", lambda p: F.struct(p["value"].alias("value"), p["ms"].alias("ms")))
-    return g.select("target", "chunk",
-                    F.to_json(F.struct(F.col("target"), dp.alias("datapoints")), JSON_OPTIONS).alias("json"))
+def write_tag_time_maps(df: DataFrame, path: str, r: int | None = DEFAULT_ROUND) -> DataFrame:
+    """EXP7: one document ``{tag: {time: value, ...}}`` per tag."""
+    head = F.concat(F.lit("{"), _json_text(F.col("doc")), F.lit(":{"))
+    return write_documents(map_entries(df, r), path, head, ",", "}}", ".json")
 
 
-def tag_time_map(df: DataFrame, r: int | None = DEFAULT_ROUND,
-                 chunk_seconds: int = SERIES_CHUNK_SECONDS) -> DataFrame:
-    """EXP7: tag -> {time text -> value}, per tag and time chunk.  Points of
-    one second are averaged first, since map keys must be unique."""
-    per_sec = df.groupBy("TagName", _date().alias("t"), _chunk(chunk_seconds).alias("chunk")).agg(
-        F.avg("Value").alias("Value"))
-    g = per_sec.groupBy("TagName", "chunk").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", _json_value(r).alias("v"))))).alias("m"))
-    return g.select("TagName", "chunk", F.to_json("m", JSON_OPTIONS).alias("json"))
+def read_documents(written: DataFrame, path: str, suffix: str = ".json") -> DataFrame:
+    """(doc, text) of written documents, each as one value: for small results."""
+    texts = written.sparkSession.read.option("pathGlobFilter", "*" + suffix).text(path, wholetext=True) \
+        .select(F.element_at(F.split("_metadata.file_name", "/"), -1).alias("_name"), F.col("value").alias("text"))
+    names = written.select("doc", F.element_at(F.split("file", "/"), -1).alias("_name"))
+    return names.join(texts, "_name").select("doc", "text")
 
 
 def export(df: DataFrame, fmt: str, path: str, r: int | None = DEFAULT_ROUND) -> None:
@@ -153,5 +194,9 @@ def export(df: DataFrame, fmt: str, path: str, r: int | None = DEFAULT_ROUND) ->
         json_table_rows(df).write.mode("overwrite").text(path)
     elif fmt == "grafana":
         grafana_by_time(df, r).select("json").write.mode("overwrite").text(path)
+    elif fmt == "series":
+        write_grafana_series(df, path, r)
+    elif fmt == "map":
+        write_tag_time_maps(df, path, r)
     else:
         raise ValueError(f"formatter '{fmt}' not found")

@@ -88,22 +88,39 @@ def tag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(name.alias("TagName")).distinct()
 
 
+# Kinds of raw time text: (date and time pattern, fraction digits, minutes of offset
+# from UTC or None, ending).  The thirteen layouts, then runs of blanks with a fraction.
+RAW_TIME_KINDS = [
+    ("yyyy-MM-dd HH:mm:ss", 0, None, ""), ("yyyy-MM-dd'T'HH:mm:ss", 0, None, "Z"), ("yyyy-MM-dd'T'HH:mm:ss", 0, None, ""),
+    ("yyyy-MM-dd'T'HH:mm", 0, None, ""), ("dd.MM.yyyy HH:mm:ss", 0, None, ""), ("dd.MM.yyyy HH:mm", 0, None, ""),
+    ("dd.MM.yyyy'T'HH:mm:ss", 0, None, "Z"), ("dd.MM.yyyy'T'HH:mm:ss", 0, None, ""), ("dd.MM.yyyy'T'HH:mm", 0, None, ""),
+    ("yyyy-MM-dd'T'HH:mm:ss", 0, 330, "+05:30"), ("yyyy-MM-dd'T'HH:mm:ss", 1, -420, "-07:00"), ("yyyy-MM-dd'T'HH:mm:ss", 2, 0, "+00:00"),
+    ("yyyy-MM-dd'T'HH:mm:ss", 3, 840, "+14:00"), ("yyyy-MM-dd   HH:mm:ss", 6, None, ""),
+]
+# Numbers and texts that are no times: out of range both ways, no date, empty.
+RAW_TIME_BAD = ["500000000", "9e18", "2024-13-45 00:00:00", "2024-01-01 25:00:00", "31.02.2024 10:00", ""]
+
+
 def raw_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event times rendered as text in six ways (event_id % 6): ISO, ISO with
-    T, ``dd.MM.yyyy HH:mm:ss``, Excel day serial with a decimal comma (8
-    decimals, integer arithmetic), epoch milliseconds, and invalid text."""
+    """Event times rendered as text, by event_id: every kind of RAW_TIME_KINDS, Excel day
+    serial with a decimal comma (8 decimals, integer arithmetic), epoch milliseconds,
+    the texts of RAW_TIME_BAD and other text."""
     e = _events(spark, sf_dir).withColumn("_us", epoch_us("ts"))
-    ts = F.col("ts")
-    k = F.col("event_id") % 6
     excel = F.expr("concat(cast(_us div 86400000000L + 25569 as string), ',', "
                    "lpad(cast(pmod(_us, 86400000000L) * 100000000L div 86400000000L as string), 8, '0'))")
-    millis = F.expr("cast(_us div 1000L as string)")
-    raw = (F.when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-           .when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
-           .when(k == 2, F.date_format(ts, "dd.MM.yyyy HH:mm:ss"))
-           .when(k == 3, excel)
-           .when(k == 4, millis)
-           .otherwise(F.concat(F.lit("bad-"), F.col("event_id").cast("string"))))
+    forms = []
+    for pattern, digits, minutes, end in RAW_TIME_KINDS:
+        t = F.col("ts") if not minutes else F.timestamp_add("MINUTE", F.lit(minutes), F.col("ts"))
+        parts = [F.date_format(t, pattern)]
+        if digits:
+            parts += [F.lit("."), F.substring(F.date_format(t, "SSSSSS"), 1, digits)]
+        forms.append(F.concat(*parts, F.lit(end)))
+    forms += [excel, F.expr("cast(_us div 1000L as string)"), *[F.lit(x) for x in RAW_TIME_BAD],
+              F.concat(F.lit("bad-"), F.col("event_id").cast("string"))]
+    k = F.col("event_id") % len(forms)
+    raw = F.when(k == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        raw = raw.when(k == i, form)
     return e.select("event_id", raw.alias("raw"))
 
 

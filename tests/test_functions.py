@@ -37,13 +37,21 @@ def test_timestamp_cases(spark):
 def test_timestamp_fixture_roundtrip(spark):
     d = tp.normalise_times(td.raw_times(spark, SF_SMALL)).join(
         td.table(spark, SF_SMALL, "events").select("event_id", "ts"), "event_id")
-    k = F.col("event_id") % 6
-    text_ok = d.filter((k <= 2) & (F.col("DateTime") != F.date_trunc("second", "ts").cast("timestamp_ntz"))).count()
-    ms_ok = d.filter((k == 4) & (F.col("DateTime") != F.timestamp_millis(F.expr("unix_millis(cast(ts as timestamp))")).cast("timestamp_ntz"))).count()
-    assert text_ok == 0 and ms_ok == 0
-    assert d.filter((k == 5) & (F.col("error") != "not a float")).count() == 0
+    d = d.persist()
+    kinds = td.RAW_TIME_KINDS
+    k = F.col("event_id") % (len(kinds) + 2 + len(td.RAW_TIME_BAD) + 1)
+    for i, (pattern, digits, _, _) in enumerate(kinds):
+        unit = 60_000_000 if ":ss" not in pattern else 10 ** (6 - digits)
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        same = F.unix_micros(F.col("DateTime").cast("timestamp")) == us - us % unit
+        assert d.filter((k == i) & ~F.coalesce(same, F.lit(False))).count() == 0, pattern
+    n = len(kinds)
+    assert d.filter((k == n + 1) & (F.col("DateTime") != F.timestamp_millis(F.expr("unix_millis(cast(ts as timestamp))")).cast("timestamp_ntz"))).count() == 0
+    bad = (k >= n + 2) & (k < n + 2 + len(td.RAW_TIME_BAD))
+    assert d.filter(bad & (F.col("DateTime").isNotNull() | (F.col("error") != "date is not valid"))).count() == 0
+    assert d.filter((k == n + 2 + len(td.RAW_TIME_BAD)) & (F.col("error") != "not a float")).count() == 0
     # the 8-decimal Excel serial lands within a second of the event time
-    assert d.filter((k == 3) & (F.abs(F.unix_micros(F.col("DateTime").cast("timestamp")) -
+    assert d.filter((k == n) & (F.abs(F.unix_micros(F.col("DateTime").cast("timestamp")) -
                                       F.unix_micros(F.col("ts").cast("timestamp"))) > 1_000_000)).count() == 0
 
 
@@ -101,6 +109,10 @@ def test_decode_custom_classifier_and_units(spark):
     assert got == {"P_1": ("pump", "x"), "Q_2": ("Q", "x"), "zz": (None, None)}
     u = {r.tag_name: (r.unit, r.description) for r in dec.tag_units(spark.createDataFrame(
         [("A20_WT_01",), ("A20_07_URS_",), ("zzz",), ("A10_SPEED_X",)], "TagName string")).collect()}
-    assert u["A20_WT_01"] == ("t", "Weight No 01 (gold line grinding)")
+    assert u["A20_WT_01"] == ("t", "WT No 01 (20)")          # codes mean what the caller says
+    texts = dec.with_texts([("area_descr", "20", "mill"), ("device_type", "WT", "scale"), ("tag_descr", "URS", "runs"), ("no_field", "x", "y")])
+    named = {r.tag_name: r.description for r in dec.tag_units(spark.createDataFrame([("A20_WT_01",), ("A20_07_URS_",)], "TagName string"), texts).collect()}
+    assert named == {"A20_WT_01": "Scale No 01 (mill)", "A20_07_URS_": "Process value (mill) - runs"}
+    assert dec.DEFAULT_CLASSIFIER["area"]["on_match"]["area_descr"]["value"] == {}
     assert u["A20_07_URS_"][0] == "" and u["zzz"] == ("—", "Process value")
     assert u["A10_SPEED_X"][0] == "rpm"
