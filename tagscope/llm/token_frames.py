@@ -38,6 +38,8 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -333,15 +335,20 @@ class Encoder:
     follows, and between a letter and a punctuation mark that ends a piece.  So a
     text's ids are those of its pieces, joined: pieces seen before come from the
     cache, others go to the library; letters with or without a blank before them are
-    one token of the pre-tokenizer and go straight to the library's model."""
+    one token of the pre-tokenizer and go straight to the library's model.
 
-    CACHED = 700_000
+    A piece is named without its blank (``x`` stands for `` x``, ``\\nx`` for itself)
+    and kept when it is met again: most pieces of a corpus occur once."""
+
+    CACHED = 400_000
     LONGEST = 64
     # Some characters that are no blanks, letters, and marks that follow them.
     SOLID, LETTER, MARK = "!-~À-ɏ", "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
     CUTS = re.compile(f"(?<=[{SOLID}])(?=[ \n][{SOLID}])")
-    MARKED = re.compile(f"[^{MARK}]*[{LETTER}][{MARK}]")
-    WORD = re.compile(f" ?[{LETTER}]+")
+    WHOLE = re.compile(f"\n?[{SOLID}](?:.*[{SOLID}])?", re.S)
+    ENDS = re.compile(f"(?:.*[{SOLID}])", re.S)
+    PARTS = re.compile(f"(\\n?)([{LETTER}]+)([{MARK}]?)")
+    WORD = re.compile(f"[{LETTER}]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # one core per task
@@ -362,46 +369,75 @@ class Encoder:
         hidden = iter(range(256, 512))
         self.alphabet = {b: chr(b if b in shown else next(hidden)) for b in range(256)}
         self.pieces: dict[str, bytes] = {}
+        self.met = bytearray(1 << 21)       # hashes of pieces met once
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pieces that are not in the cache."""
-        merge, alphabet, is_word, is_marked = self.tokenizer.model.tokenize, self.alphabet, self.WORD.fullmatch, self.MARKED.fullmatch
+        merge, alphabet, parts = self.tokenizer.model.tokenize, self.alphabet, self.PARTS.fullmatch
         line, *marks = self._library(["\n", *self.MARK])
         after = dict(zip(self.MARK, marks))
-        known, got, others = self.pieces, {}, []
+        known, met, places, blank = self.pieces, self.met, len(self.met) - 1, alphabet[32]
+        got, others = {}, []
         for piece in missing:
-            head, core, tail = b"", piece, b""
-            if core[:1] == "\n":
-                head, core = line, core[1:]
-            if is_marked(core):
-                core, tail = core[:-1], after[core[-1]]
-            if is_word(core):
-                ids = known.get(core)
-                if ids is None:
-                    ids = array("I", [x.id for x in merge(core.encode().decode("latin-1").translate(alphabet))]).tobytes()
-                    if tail:
-                        got[core] = ids
-                got[piece] = head + ids + tail
-            else:
+            found = parts(piece)
+            if found is None:
                 others.append(piece)
-        got.update(zip(others, self._library(others)))
-        if len(known) + len(got) > self.CACHED:
+                continue
+            end, word, mark = found.groups()
+            ids = known.get(word) if mark and not end else None
+            if ids is None:
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(alphabet)
+                ids = array("I", [x.id for x in merge(shown if end else blank + shown)]).tobytes()
+            if end:
+                ids = line + ids
+            if mark:
+                ids += after[mark]
+            got[piece] = ids
+            at = hash(piece) & places
+            if met[at]:
+                known[piece] = ids
+            else:
+                met[at] = 1
+        for piece, ids in zip(others, self._library([p if p[0] == "\n" else " " + p for p in others])):
+            got[piece] = ids
+            at = hash(piece) & places
+            if not met[at]:
+                met[at] = 1
+            elif len(piece) <= self.LONGEST and self.WHOLE.fullmatch(piece):   # only such are cut out again without a look at their ends
+                known[piece] = ids
+        if len(known) > self.CACHED:
             known.clear()
-        known.update((p, c) for p, c in got.items() if len(p) <= self.LONGEST)
+            met[:] = bytes(len(met))
         return got
 
+    def _cut(self, text: str) -> tuple[str, list[str], list, list[int]]:
+        """Head, pieces, their ids as far as known, and the places of the others."""
+        head, *pieces = text.replace("\n", " \n").split(" ")
+        ids = list(map(self.pieces.get, pieces))
+        open_ = list(compress(range(len(ids)), map(not_, ids)))
+        if pieces and not self.ENDS.fullmatch(head) or not all([pieces[i].isalnum() or self.WHOLE.fullmatch(pieces[i]) for i in open_]):
+            head, *units = self.CUTS.split(text)       # other blanks: cut only where it is certain
+            pieces = [u[1:] if u[0] == " " else u for u in units]
+            ids = list(map(self.pieces.get, pieces))
+            open_ = list(compress(range(len(ids)), map(not_, ids)))
+        return head, pieces, ids, open_
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids' bytes of each text."""
         if not self.cuts:
             return self._library(texts)
-        split = [self.CUTS.split(t) for t in texts]
-        found = [list(map(self.pieces.get, pieces)) for pieces in split]
-        got = self._learn(list({p for pieces, ids in zip(split, found) if None in ids for p, x in zip(pieces, ids) if x is None}))
-        return [b"".join([got[p] if x is None else x for p, x in zip(pieces, ids)] if None in ids else ids)
-                for pieces, ids in zip(split, found)]
+        cut = [self._cut(t) for t in texts]
+        got = self._learn({pieces[i] for _, pieces, _, open_ in cut for i in open_})
+        heads = self._library([c[0] for c in cut])
+        out = []
+        for head, (_, pieces, ids, open_) in zip(heads, cut):
+            for i in open_:
+                ids[i] = got[pieces[i]]
+            out.append(head + b"".join(ids))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
