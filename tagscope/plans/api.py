@@ -23,7 +23,9 @@ from tagscope.operators import paging as pg
 from tagscope.operators import pointintime as pit
 from tagscope.operators import resample as rs
 from tagscope.operators.tree import SummaryTree
+from tagscope.functions import numbers as num
 from tagscope.functions import tagdecode as dec
+from tagscope.sinks import export as exp
 
 
 def parse_request_time(spark: SparkSession, value) -> _dt.datetime:
@@ -38,12 +40,23 @@ def parse_request_time(spark: SparkSession, value) -> _dt.datetime:
 
 def get_tag(spark: SparkSession, history: DataFrame, tag=None, date=None, start=None, end=None,
             count=None, group=None, mode: str = "filled", guard: bool = True,
-            tree: SummaryTree | None = None, method: str = "previous") -> DataFrame:
+            tree: SummaryTree | None = None, method: str = "previous", mark: DataFrame | None = None,
+            round=None, format: str | None = None) -> DataFrame:
     """``/get/tag/``: value at a date, range, grouped value, N instants or N buckets.
 
     A date lookup is ``method='previous'`` (last value, optionally guarded by
     the load mark), ``'linear'`` (interpolated) or ``'exact'``.  ``tree``
-    (a summary tree) bounds every as-of search."""
+    (a summary tree) bounds every as-of search; ``mark`` (one row, from the tag
+    dimension) is the load mark, so that a guarded request reads the history once.
+
+    With ``format`` (text, json, xml, csv, grafana) the result is rows of that format,
+    rounded to ``round`` decimals (2 unless it is a number); without one it is
+    ``TagName, DateTime, Value`` unrounded."""
+    found = _get_tag(spark, history, tag, date, start, end, count, group, mode, guard, tree, method, mark)
+    return found if format is None else exp.rows_as(found, format, num.parse_round(round))
+
+
+def _get_tag(spark, history, tag, date, start, end, count, group, mode, guard, tree, method, mark) -> DataFrame:
     tags = flt.split_tags(tag, strict=group is not None) if tag is not None else None
     if date is not None:
         at = parse_request_time(spark, date)
@@ -53,14 +66,14 @@ def get_tag(spark: SparkSession, history: DataFrame, tag=None, date=None, start=
             return pit.value_exact(history, at, tags)
         if method != "previous":
             raise ValueError(f"method must be previous, linear or exact, got {method!r}")
-        return pit.value_at(history, at, tags, guard=guard, tree=tree)
+        return pit.value_at(history, at, tags, guard=guard, mark=mark, tree=tree)
     if start is None or end is None:
         raise ValueError("need date, or from and to")
     a, b = parse_request_time(spark, start), parse_request_time(spark, end)
     if count is not None and group is not None:
         return bk.buckets(history, a, b, int(count), group, mode, tags, tree=tree)
     if count is not None:
-        return pit.values_at_instants(history, a, b, int(count), tags, guard=guard, tree=tree)
+        return pit.values_at_instants(history, a, b, int(count), tags, guard=guard, mark=mark, tree=tree)
     if group is not None:
         return agg.aggregate(history, a, b, group, mode, tags, tree=tree)
     if mode == "raw":

@@ -383,7 +383,7 @@ def q_nth_down_event(spark, sf_dir):
 with {V_HISTORY}
 select distinct TagName from history where TagName like '{flt.mask_to_like(MASK)}'""")
 def q_tag_list_mask(spark, sf_dir):
-    return flt.tag_list(td.history(spark, sf_dir), MASK)
+    return flt.tag_list(dim.tags(derived(spark, sf_dir).dimension), MASK)
 
 
 @register("page_of_tags", f"""
@@ -976,3 +976,32 @@ def q_export_csv_lines(spark, sf_dir):
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     exp.write_csv(rs.range_raw(td.history(spark, sf_dir), FROM, TO), path)
     return spark.read.text(path).filter(F.col("value") != '"TagName","DateTime","Value"')
+
+
+# ---- a deep page (SRT3), marks after late and replayed batches (STR2, SRC8) --------------------
+DEEP_PAGE = 500      # of 23 rows: beyond what is taken as a top-k
+
+
+@register("page_deep", f"""
+with {V_HISTORY}, n as (select count(*) as n from history),
+p as (select least({DEEP_PAGE}, greatest(1, (n + 22) // 23)) as p from n),
+r as (select *, row_number() over (order by DateTime desc, TagName, Value) as rn from history)
+select TagName, DateTime, Value from r, p where rn > (p - 1) * 23 and rn <= p * 23""")
+def q_page_deep(spark, sf_dir):
+    return pg.page(td.history(spark, sf_dir), [F.col("DateTime").desc(), F.col("TagName"), F.col("Value")], DEEP_PAGE)
+
+
+@register("load_marks_replayed", f"""
+with {V_HISTORY}, h as (select h.*, 'source ' || (epoch_us(DateTime) // 1000000 % 2) as source from history h)
+select TagName, source, count(*) as records, max(DateTime) as LoadMark from h group by all""")
+def q_load_marks_replayed(spark, sf_dir):
+    """The dimension after batches that hold late data, a replay and a fold."""
+    path = f"{shared_dir(spark)}/marks-{uuid.uuid4().hex}"
+    h = td.history(spark, sf_dir).withColumn("second", F.unix_timestamp("DateTime"))
+    source = F.concat(F.lit("source "), (F.col("second") % 2).cast("string"))
+    late = [h.filter(F.pmod(F.xxhash64("DateTime"), F.lit(3)) == k) for k in (2, 0, 1)]
+    for batch in (0, 1, 1, 2):
+        dim.add_batch(late[batch], path, batch, source)
+        if batch == 1:
+            dim.fold(spark, path, 0)
+    return dim.read_dimension(spark, path)

@@ -62,14 +62,6 @@ def json_records(df: DataFrame, r: int | None = DEFAULT_ROUND) -> DataFrame:
     return df.select(F.col("TagName").alias("name"), _date().alias("date"), v.alias("value"))
 
 
-def json_table(df: DataFrame) -> DataFrame:
-    """EXP2 for generic results in the reference's form, ``headers`` and ``rows`` of
-    text cells: one line with the headers, then one array per row."""
-    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
-    head = df.sparkSession.range(1).select(F.to_json(F.array(*[F.lit(c) for c in df.columns])).alias("value"))
-    return head.unionByName(df.select(F.to_json(cells).alias("value")))
-
-
 def json_table_rows(df: DataFrame) -> DataFrame:
     """EXP2 for generic (template) results: one JSON object per row, cells as
     text (the reference's headers+rows form, without one record that holds
@@ -176,6 +168,32 @@ def read_documents(written: DataFrame, path: str, suffix: str = ".json") -> Data
     return names.join(texts, "_name").select("doc", "text")
 
 
+def rows_as(df: DataFrame, fmt: str, r: int | None = DEFAULT_ROUND) -> DataFrame:
+    """A tag result as text rows (``value``) of a named format: one line, object, XML
+    row, CSV line, or chart instant each."""
+    fmt = (fmt or "text").lower()
+    if fmt == "text":
+        return text_lines(df, r)
+    if fmt == "json":
+        return json_records(df, r).select(F.to_json(F.struct("name", "date", "value"), JSON_OPTIONS).alias("value"))
+    if fmt == "xml":
+        return xml_rows(df, r)
+    if fmt == "csv":
+        return df.select(F.to_csv(F.struct("TagName", _date().alias("DateTime"), _value(r).alias("Value")), {"quoteAll": "true"}).alias("value"))
+    if fmt == "grafana":
+        return grafana_by_time(df, r).select(F.col("json").alias("value"))
+    raise ValueError(f"formatter '{fmt}' not found")
+
+
+def write_json_table(df: DataFrame, path: str) -> DataFrame:
+    """EXP2 of a generic result as one document ``{"headers": [...], "rows": [[...], ...]}``
+    of text cells, rows in the order Spark holds them."""
+    cells = F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]))
+    pieces = df.select(F.lit("table").alias("doc"), F.monotonically_increasing_id().alias("at"), cells.alias("piece"))
+    head = F.concat(F.lit('{"headers":'), F.to_json(F.array(*[F.lit(c) for c in df.columns])), F.lit(',"rows":['))
+    return write_documents(pieces, path, head, ",", "]}", ".json")
+
+
 def export(df: DataFrame, fmt: str, path: str, r: int | None = DEFAULT_ROUND) -> None:
     """Write ``df`` in a named format (text is the default, as in the reference)."""
     fmt = (fmt or "text").lower()
