@@ -54,6 +54,7 @@ from pyspark.sql.types import StructType
 
 FORMAT = "token_frames"
 FRAME_IDS = 1 << 16
+LEVEL = 1
 MANIFEST = "_manifest.json"
 SUFFIX = ".ids.zst"
 BATCH_BYTES = 4 << 20
@@ -82,7 +83,7 @@ def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
 class FrameWriter:
     """Writes documents to one file; holds one frame of ids and the index."""
 
-    def __init__(self, sink, frame_ids: int = FRAME_IDS, level: int = 3):
+    def __init__(self, sink, frame_ids: int = FRAME_IDS, level: int = LEVEL):
         self.sink, self.frame_bytes, self.frame_ids = sink, 4 * frame_ids, frame_ids
         self.compressor = zstandard.ZstdCompressor(level=level)
         self.held = bytearray()
@@ -197,12 +198,14 @@ class FilePart(InputPartition):
 
 
 class TokenFrames(DataSource):
-    """``token_frames``: writes (doc_id long, ids binary) whose rows lie in order
-    over the partitions and inside them; reads doc_id, start, n_tokens, ids.
+    """``token_frames``: writes (doc_id long, ids binary), or (doc_id long, text) with a
+    tokenizer, whose rows lie in order over the partitions and inside them; reads
+    doc_id, start, n_tokens, ids.
 
-    Options: ``path``; writing: ``frame_ids``, ``level``; reading: ``doc_ids``
-    (a comma list: only these documents, and only the frames that hold them).
-    A data set is written whole: mode append needs an empty folder."""
+    Options: ``path``; writing: ``tokenizer`` (its file; texts are encoded where they
+    are written) and ``end_id``, ``frame_ids``, ``level``; reading: ``doc_ids`` (a
+    comma list: only these documents, and only the frames that hold them).  A data
+    set is written whole: mode append needs an empty folder."""
 
     @classmethod
     def name(cls) -> str:
@@ -215,32 +218,46 @@ class TokenFrames(DataSource):
         return TokenFramesReader(self.options["path"], self.options.get("doc_ids"))
 
     def writer(self, schema: StructType, overwrite: bool) -> "TokenFramesWriter":
-        if schema.fieldNames() != ["doc_id", "ids"]:
-            raise ValueError(f"token frames take the columns doc_id and ids, not {schema.fieldNames()}")
+        tokenizer = self.options.get("tokenizer")
+        if schema.fieldNames() != ["doc_id", "text" if tokenizer else "ids"]:
+            raise ValueError(f"token frames take the columns doc_id and ids, or doc_id and text with a tokenizer, not {schema.fieldNames()}")
         return TokenFramesWriter(self.options["path"], overwrite, int(self.options.get("frame_ids", FRAME_IDS)),
-                                 int(self.options.get("level", 3)))
+                                 int(self.options.get("level", LEVEL)), tokenizer, int(self.options.get("end_id", 0)))
 
 
 class TokenFramesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool, frame_ids: int, level: int):
+    def __init__(self, path: str, overwrite: bool, frame_ids: int, level: int, tokenizer: str | None, end_id: int):
         self.path, self.overwrite, self.frame_ids, self.level = path, overwrite, frame_ids, level
+        self.tokenizer, self.end = tokenizer, struct.pack("<I", end_id)
         fs, folder = open_folder(path)
         if not overwrite and fs.get_file_info(f"{folder}/{MANIFEST}").type != pafs.FileType.NotFound:
             raise ValueError(f"{path} already holds a data set of token frames")
 
+    def _documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+        """(doc_id, ids' bytes) of the rows; null texts, or ids, count as empty."""
+        for batch in batches:
+            if self.tokenizer is None:
+                for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    yield doc_id, ids.as_buffer() if ids.is_valid else b""
+                continue
+            code = encoder(self.tokenizer).encode
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                for doc_id, ids in zip(part.column(0).to_pylist(), code([t or "" for t in part.column(1).to_pylist()])):
+                    yield doc_id, ids + self.end
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> FileEntry:
         fs, folder = open_folder(self.path)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}{SUFFIX}"
         sink = writer = None
         try:
-            for batch in iterator:
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                    if sink is None:            # partitions without rows write no file
-                        fs.create_dir(folder, recursive=True)
-                        sink = fs.open_output_stream(f"{folder}/{name}", compression=None)
-                        writer = FrameWriter(sink, self.frame_ids, self.level)
-                    writer.add(doc_id, ids.as_buffer() if ids.is_valid else b"")
+            for doc_id, ids in self._documents(iterator):
+                if sink is None:            # partitions without rows write no file
+                    fs.create_dir(folder, recursive=True)
+                    sink = fs.open_output_stream(f"{folder}/{name}", compression=None)
+                    writer = FrameWriter(sink, self.frame_ids, self.level)
+                writer.add(doc_id, ids)
             if sink is None:
                 return FileEntry(part, "", 0, 0)
             writer.close()
@@ -319,10 +336,15 @@ def read_frames(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     return (reader if doc_ids is None else reader.option("doc_ids", ",".join(map(str, doc_ids)))).load()
 
 
-def write_frames(ids: DataFrame, path: str, mode: str = "append", frame_ids: int = FRAME_IDS) -> None:
-    """Write (doc_id, ids binary), already in ascending order, as a data set."""
-    ids.sparkSession.dataSource.register(TokenFrames)
-    ids.select("doc_id", "ids").write.format(FORMAT).option("path", path).option("frame_ids", str(frame_ids)).mode(mode).save()
+def write_frames(rows: DataFrame, path: str, tokenizer: str | None = None, mode: str = "append", frame_ids: int = FRAME_IDS,
+                 end_id: int = 0) -> None:
+    """Write (doc_id, ids binary), or (doc_id, text) with a tokenizer's file, already in
+    ascending order, as a data set."""
+    rows.sparkSession.dataSource.register(TokenFrames)
+    out = rows.select("doc_id", "text" if tokenizer else "ids").write.format(FORMAT).option("path", path).option("frame_ids", str(frame_ids))
+    if tokenizer:
+        out = out.option("tokenizer", tokenizer).option("end_id", str(end_id))
+    out.mode(mode).save()
 
 
 # ---- encoding ---------------------------------------------------------------------
@@ -451,31 +473,18 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_ordered(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """(doc_id, ids binary) in ascending doc_id order over the partitions.
-
-    The texts are range-partitioned (rows of one id may spread over several
-    partitions: the text's hash and the row's place cut them further), sorted and
-    encoded where they lie; ``end_id`` ends each document."""
+def ordered_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) in ascending doc_id order over the partitions and inside them;
+    null texts are empty.  Rows of one id may spread over several partitions: the
+    text's hash and the row's place cut them further."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")) \
         .withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
     key = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")]
-    ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
-    end = struct.pack("<I", end_id)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer_path).encode
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                ids = pa.array([i + end for i in code(part.column(1).to_pylist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
-        pa.default_memory_pool().release_unused()
-
-    return ordered.mapInArrow(run, "doc_id long, ids binary")
+    return rows.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
 
 
 def documents_to_frames(docs: DataFrame, path: str, tokenizer_path: str, mode: str = "append", frame_ids: int = FRAME_IDS) -> DataFrame:
-    """Encode ``docs``, write them below ``path`` and return what the files hold."""
-    write_frames(encode_ordered(docs, tokenizer_path), path, mode, frame_ids)
+    """Encode ``docs`` where they are written below ``path``, each with the end id 0
+    behind it, and return what the files hold."""
+    write_frames(ordered_texts(docs), path, tokenizer_path, mode, frame_ids)
     return read_frames(docs.sparkSession, path)

@@ -57,7 +57,7 @@ def test_one_document_reads_only_its_frames():
 def test_damaged_files_are_refused():
     raw = written([(i, list(range(50))) for i in range(20)], 64)
     bad = bytearray(raw)
-    bad[len(zstandard.ZstdCompressor(level=3).compress(packed(range(64)))) // 2] ^= 0xFF
+    bad[len(zstandard.ZstdCompressor(level=tf.LEVEL).compress(packed(range(64)))) // 2] ^= 0xFF
     file = tf.FrameReader(Source(bytes(bad)))
     with pytest.raises((ValueError, zstandard.ZstdError)):
         file.ids(0)
@@ -119,7 +119,7 @@ def test_one_id_spreads_over_partitions(spark, tmp_path):
     df = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        parts = tf.encode_ordered(df, PATH).select(F.spark_partition_id().alias("p")).collect()
+        parts = tf.ordered_texts(df).select(F.spark_partition_id().alias("p")).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = Counter(r.p for r in parts).values()
@@ -136,6 +136,15 @@ def test_empty_table_overwrite_and_refusal(spark, docs, tmp_path):
     assert len(list((tmp_path / "set").glob("*.zst"))) == 1       # files of the earlier set are gone
 
 
+def test_given_ids(spark, tmp_path):
+    df = spark.createDataFrame([(i, bytearray(packed(range(i)))) for i in range(5)], "doc_id long, ids binary").coalesce(1)
+    tf.write_frames(df, str(tmp_path / "g"))
+    assert [(r.doc_id, r.start, bytes(r.ids)) for r in tf.read_frames(spark, str(tmp_path / "g")).orderBy("doc_id").collect()] \
+        == [(i, sum(range(i)), packed(range(i))) for i in range(5)]
+    with pytest.raises(Exception, match="take the columns"):
+        df.withColumnRenamed("ids", "text").write.format(tf.FORMAT).option("path", str(tmp_path / "h")).mode("append").save()
+
+
 def test_other_tokenizers_are_encoded_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     text = "Some words it's <|endoftext|> here"
