@@ -10,14 +10,19 @@ candidate is reported only when the parts it needs co-occur with it.
 | secret | 32 or more base64 characters with upper, lower case and a digit | an identifier (access, ident) |
 | ident | user, login, account or client id followed by a value | a secret part (assign, hex, secret) |
 | endpoint | a URL, or host and port | an identifier and a secret part |
+
+The patterns run once over a text.  Their matches become rows (place among the
+matches, length of the text before, own length), positions are running sums over one
+text's matches of one kind, and everything after that joins and groups small rows:
+the work follows the text's length and its number of matches, not their product.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagscope.llm.common import Renamed, id_key
+from tagscope.llm.common import Renamed, id_key, staged
 
 SCOPE = 256            # code points between two parts of one credential, at most
 MARK = "[SECRET]"
@@ -28,44 +33,66 @@ HEX = r"[0-9a-f]+"
 HEX_LONG = r"[0-9a-f]{24,}"   # the same runs, only those long enough
 # The weak patterns.
 SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,}+={0,2}"
-ENDPOINT = r"""(?:https?|s3|ftp)://[A-Za-z0-9][^\x20\x09-\x0D"'<>]*+|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]++\.){1,8}[A-Za-z]{2,}:[0-9]{2,5}"""
+ENDPOINT = r"""(?:https?|s3|ftp)://[A-Za-z0-9][^\x20\x09-\x0D"'<>]*+|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}:[0-9]{2,5}"""
 IDENT = r"""(?i:\b(?:user(?:_?name)?|login|account(?:_?id)?|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)"""
 STRONG = ("assign", "access", "hex")
 KINDS = (*STRONG, "secret", "endpoint", "ident")
 NO_SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def _spans(text: Column, kind: str, pattern: str, value_group: int = 0, least: int = 1) -> Column:
-    """All leftmost non-overlapping matches as (kind, start, end) in code points,
-    end exclusive; those whose value is shorter than ``least`` are dropped.
-    Positions are running sums over the matches and the text between them."""
-    p = F.lit(pattern)
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
-                        F.regexp_extract_all(text, p, F.lit(0)).alias("all"),
-                        F.regexp_extract_all(text, p, F.lit(value_group)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("found"))
+PATTERNS = {"assign": (ASSIGN, 6), "access": (ACCESS, 20), "hex": (HEX_LONG, 24), "secret": (SECRET, 1), "endpoint": (ENDPOINT, 1),
+            "ident": (IDENT, 1)}
 
-    def step(acc, m):
-        lo = acc["at"] + F.length(m["gap"])
-        hi = lo + F.coalesce(F.length(m["all"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), lo.cast("int").alias("start"), hi.cast("int").alias("end"))
-        kept = F.when(F.length(m["value"]) >= least, F.array_append(acc["found"], span)).otherwise(acc["found"])
-        return F.struct(hi.alias("at"), kept.alias("found"))
 
-    found = F.aggregate(rows, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(NO_SPANS))
+def hits(docs: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """One row per leftmost non-overlapping match of every kind: keys, kind, place
+    (from 0), gap (code points since the match before), size, long (its value reaches
+    the kind's least length).  Texts without a match cost their patterns only."""
+    caught = docs.select(*keys, text.alias("_text"), *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_{k}") for k, (p, _) in PATTERNS.items()])
+    kinds = []
+    for kind, (pattern, least) in PATTERNS.items():
+        all_ = F.col(f"_{kind}")
+        gaps = F.transform(F.split("_text", pattern, -1), F.char_length)
+        rows = F.transform(all_, _describe(kind, least))
+        some = F.arrays_zip(rows.alias("m"), F.slice(gaps, F.lit(1), F.size(all_)).alias("gap"))
+        kinds.append(F.when(F.size(all_) > 0, some).otherwise(F.array().cast(HITS)))
+    return caught.select(*keys, F.explode(F.concat(*kinds)).alias("h")).select(*keys, "h.m.*", F.col("h.gap").alias("gap"))
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_strong`` and ``_weak``, arrays of spans."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    strong = F.concat(_spans(t, "assign", ASSIGN, 2, 6), _spans(t, "access", ACCESS, 0, 20),
-                      _spans(t, "hex", HEX_LONG, 0, 24))
-    weak = F.concat(_spans(t, "secret", SECRET), _spans(t, "endpoint", ENDPOINT), _spans(t, "ident", IDENT))
-    out = docs.withColumn("_strong", strong).withColumn("_weak", weak)
-    # a weak span that touches a strong one says nothing new
-    return out.withColumn("_weak", F.filter("_weak", lambda w: ~F.exists(
-        "_strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))))
+def _describe(kind: str, least: int):
+    """What is kept of a match; the value of an assignment is its second group."""
+    def describe(match, place):
+        value = F.regexp_extract(match, ASSIGN, 2) if kind == "assign" else match
+        return F.struct(F.lit(kind).alias("kind"), place.alias("place"), F.char_length(match).alias("size"),
+                        (F.char_length(value) >= least).alias("long"))
+    return describe
+
+
+HITS = "array<struct<m:struct<kind:string,place:int,size:int,long:boolean>,gap:int>>"
+
+
+def positions(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, kind, start, end of the matches that are long enough.  The running sums
+    span the matches of one kind in one text; equal texts of one id count once."""
+    w = Window.partitionBy(*keys, "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = found.dropDuplicates([*keys, "kind", "place"]).withColumn("end", F.sum(F.col("gap") + F.col("size")).over(w).cast("int"))
+    return spans.where("long").select(*keys, "kind", (F.col("end") - F.col("size")).alias("start"), "end")
+
+
+def _in_buckets(spans: DataFrame, width: int, reach: int = 0) -> DataFrame:
+    return spans.withColumn("_bucket", F.explode(F.sequence(F.floor((F.col("start") - reach) / width), F.floor((F.col("end") + reach) / width))))
+
+
+def untouched(spans: DataFrame, keys: list[str], width: int = SCOPE) -> DataFrame:
+    """Strong spans, and the weak ones that touch no strong one (one that does says
+    nothing new)."""
+    strong, weak = spans.where(F.col("kind").isin(*STRONG)), spans.where(~F.col("kind").isin(*STRONG))
+    other = _in_buckets(strong, width).select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bucket").alias("_o_bucket"),
+                                              F.col("start").alias("_o_start"), F.col("end").alias("_o_end"))
+    meets = [F.col(k) == F.col(f"_o_{k}") for k in keys] + [F.col("_bucket") == F.col("_o_bucket"),
+                                                          F.col("_o_start") < F.col("end"), F.col("start") < F.col("_o_end")]
+    touched = _in_buckets(weak, width).join(other, meets, "left_semi").select(*spans.columns).distinct()
+    return strong.unionByName(weak.join(touched, spans.columns, "left_anti"))
 
 
 def link(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
@@ -73,13 +100,11 @@ def link(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
     report.  Interval join: both sides are dealt to position buckets as wide as
     the scope, partners also to those within reach, so only neighbours meet and
     the pairs of a bucket are bounded by what fits into a scope."""
-    near = F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope)))
-    partner = parts.withColumn("_bucket", near).select(
+    partner = _in_buckets(parts, scope, scope).select(
         *[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_bucket").alias("_p_bucket"),
         F.when(F.col("kind").isin("access", "ident"), "id").when(F.col("kind") != "endpoint", "key").alias("_p_role"),
         F.col("start").alias("_p_start"), F.col("end").alias("_p_end")).where("_p_role is not null")
-    weak = parts.where(~F.col("kind").isin(*STRONG)).withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
+    weak = _in_buckets(parts.where(~F.col("kind").isin(*STRONG)), scope)
     on = [F.col(k) == F.col(f"_p_{k}") for k in keys] + [F.col("_bucket") == F.col("_p_bucket")]
     close = (F.col("_p_start") - F.col("end") <= scope) & (F.col("start") - F.col("_p_end") <= scope)
     met = weak.join(partner, on).where(close).groupBy(*keys, "kind", "start", "end").agg(
@@ -88,6 +113,22 @@ def link(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
                      | (F.col("kind") == "endpoint") & F.col("_id") & F.col("_key")).select(*keys, "kind", "start", "end")
 
 
+KEYS = ["_sec_id", "_sec_hash", "_sec_len"]
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn("_sec_id", id_key(F.col(doc_id))).withColumn("_sec_hash", F.xxhash64(t)).withColumn("_sec_len", F.length(t))
+
+
+def span_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
+    """KEYS, kind, start, end of every reported span, once per different (id, text)."""
+    found = staged(hits(_keyed(docs.select(doc_id, text), doc_id, text), KEYS, F.coalesce(F.col(text), F.lit(""))), "secret-hits")
+    parts = staged(untouched(positions(found, KEYS), KEYS, scope), "secret-parts")
+    strong = parts.where(F.col("kind").isin(*STRONG))
+    return strong.unionByName(link(parts, KEYS, scope))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """``docs`` with ``secret_spans``: array of (kind, start, end) by start,
     then kind as listed in ``KINDS``; positions in code points, end exclusive.
@@ -97,23 +138,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int
     and null ids work too.  Other columns pass through; one called
     secret_spans, or starting with "_sec", is replaced.  No row is dropped.
     """
-    keys = ["_sec_id", "_sec_hash", "_sec_len"]
-    t = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.drop("secret_spans").withColumn("_sec_id", id_key(F.col(doc_id))) \
-        .withColumn("_sec_hash", F.xxhash64(t)).withColumn("_sec_len", F.length(t))
-    found = candidates(keyed, text)
-    parts = found.where(F.size("_weak") > 0).select(*keys, F.explode(F.concat("_strong", "_weak")).alias("p")) \
-        .select(*keys, "p.*").distinct()
-    linked = link(parts, keys, scope).groupBy(*keys).agg(F.collect_list(F.struct("kind", "start", "end")).alias("_linked")) \
-        .select(*[F.col(k).alias(f"_l{k}") for k in keys], "_linked")
-    joined = found.join(linked, [F.col(k) == F.col(f"_l{k}") for k in keys], "left")
-    every = F.concat("_strong", F.coalesce("_linked", F.array().cast(NO_SPANS)))
-    order = {k: i for i, k in enumerate(KINDS)}
-    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    ordered = F.transform(F.array_sort(F.transform(every, lambda s: F.struct(
-        s["start"].alias("start"), place[s["kind"]].alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))),
-        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.withColumn("secret_spans", ordered).drop("_strong", "_weak", "_linked", *keys, *[f"_l{k}" for k in keys])
+    place = F.create_map(*[F.lit(x) for kv in {k: i for i, k in enumerate(KINDS)}.items() for x in kv])
+    rows = span_rows(docs, doc_id, text, scope)
+    lists = rows.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("start", place[F.col("kind")].alias("k"), "end", "kind"))).alias("_secret_list"))
+    lists = lists.select(*[F.col(k).alias(f"_l{k}") for k in KEYS], F.transform("_secret_list", lambda s: F.struct(
+        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("_secret_list"))
+    keyed = _keyed(docs.drop("secret_spans"), doc_id, text)
+    joined = keyed.join(lists, [F.col(k) == F.col(f"_l{k}") for k in KEYS], "left")
+    return joined.withColumn("secret_spans", F.coalesce("_secret_list", F.array().cast(NO_SPANS))) \
+        .drop("_secret_list", *KEYS, *[f"_l{k}" for k in KEYS])
 
 
 def joined_spans(spans: Column) -> Column:
@@ -125,35 +158,49 @@ def strong_spans(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*STRONG))
 
 
-def masked(text: Column, spans: Column, mark: str = MARK) -> Column:
-    """The text with every stretch covered by spans replaced by one mark."""
-    def merge(acc, s):
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        before = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(s["start"] < last["end"], F.array_append(before, grown)).otherwise(F.array_append(acc, own))
+BLOCK = 4096     # code points of a text that are masked together
+
+
+def mask_cuts(spans: DataFrame) -> DataFrame:
+    """Per text (``_l`` keys) the stretches that spans cover, cut to blocks of the
+    text: a map from block number to (from, to, begins) inside the block, sorted."""
+    before = Window.partitionBy(*KEYS).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*KEYS).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # spans that overlap one before belong to its stretch
+    begun = spans.withColumn("_new", (F.coalesce(F.max("end").over(before), F.lit(0)) <= F.col("start")).cast("int"))
+    stretches = begun.withColumn("_no", F.sum("_new").over(so_far)).groupBy(*KEYS, "_no").agg(F.min("start").alias("s"), F.max("end").alias("e"))
+    b = F.col("b")
+    cut = stretches.withColumn("b", F.explode(F.sequence(F.floor(F.col("s") / BLOCK).cast("int"), F.floor((F.col("e") - 1) / BLOCK).cast("int")))) \
+        .select(*KEYS, "b", F.struct(F.greatest(F.col("s") - b * BLOCK, F.lit(0)).alias("lo"),
+                                     F.least(F.col("e") - b * BLOCK, F.lit(BLOCK)).alias("hi"), (F.col("s") >= b * BLOCK).alias("begins")).alias("c"))
+    blocks = cut.groupBy(*KEYS, "b").agg(F.sort_array(F.collect_list("c")).alias("cuts"))
+    return blocks.groupBy(*[F.col(k).alias(f"_l{k}") for k in KEYS]).agg(F.map_from_entries(F.collect_list(F.struct("b", "cuts"))).alias("_cuts"))
 
-    stretches = F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), merge)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def cut(acc, s):
-        piece = F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(s["end"].alias("at"), F.array_append(acc["out"], piece).alias("out"))
+def masked(text: Column, cuts: Column, mark: str = MARK) -> Column:
+    """The text with every stretch of ``cuts`` replaced by one mark (null cuts: as it
+    is).  A block's pieces are taken from the block, so a text's length counts once."""
+    def one(block, held):
+        def piece(c, j):
+            at = F.when(j == 0, F.lit(0)).otherwise(F.try_element_at(held, j)["hi"])
+            return F.concat(F.substr(block, at + 1, c["lo"] - at), F.when(c["begins"], F.lit(mark)).otherwise(F.lit("")))
+        return F.concat(F.array_join(F.transform(held, piece), ""), F.substr(block, F.element_at(held, -1)["hi"] + 1, F.lit(BLOCK)))
 
-    whole = F.aggregate(stretches, start, cut, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    whole = F.transform(blocks, lambda block, i: F.coalesce(one(block, F.try_element_at(cuts, i)), block))
+    return F.when(cuts.isNotNull(), F.array_join(whole, "")).otherwise(text)
 
 
 def mask_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all secrets masked in the text (``n_chars``, where there is
     such a column, follows); same rows and columns."""
     names = Renamed(docs)
-    body = names.name(text)
-    out = scan(names.df, names.name(doc_id), body).withColumn(body, masked(F.col(body), F.col("secret_spans")))
+    ident, body = names.name(doc_id), names.name(text)
+    cuts = mask_cuts(span_rows(names.df, ident, body))
+    out = _keyed(names.df, ident, body).join(cuts, [F.col(k) == F.col(f"_l{k}") for k in KEYS], "left")
+    out = out.withColumn(body, masked(F.col(body), F.col("_cuts")))
     if "n_chars" in docs.columns:
         size = names.name("n_chars")
-        n = F.when(F.size("secret_spans") > 0, F.length(body).cast(names.df.schema[size].dataType))
+        n = F.when(F.col("_cuts").isNotNull(), F.length(body).cast(names.df.schema[size].dataType))
         out = out.withColumn(size, F.coalesce(n, F.col(size)))
     return names.back(out)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -90,3 +91,31 @@ def test_native(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = secrets.mask_documents(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_text_of_very_many_matches(spark):
+    """200,000 matches in one text, some weak ones linked, and its mask."""
+    n = 200_000
+    text = "".join(f"token=abcdef{i % 10} " for i in range(n)) + f"user=bob {B64}"
+    df = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    began = time.time()
+    spans = secrets.scan(df).select("doc_id", F.size("secret_spans").alias("n"), F.element_at("secret_spans", 1).alias("a"),
+                                    F.element_at("secret_spans", -1).alias("z")).where("n > 0").collect()
+    (r,) = spans
+    assert (r.n, tuple(r.a), r.z.end) == (n + 2, ("assign", 0, 13), len(text))
+    got = {r.doc_id: r.text for r in secrets.mask_documents(df).collect()}
+    assert got == {1: f"{secrets.MARK} " * n + f"{secrets.MARK} {secrets.MARK}", 2: "plain"}
+    assert time.time() - began < 60
+
+
+def test_masks_over_block_edges(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 7)
+    text = "é" * 5 + "token=abcdefghijklmnopqrstuvwxyz0123456789" + " 漢 " + "f" * 30 + "!password=zzzzzz"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.mask_documents(df).first().text == "ééééé" + secrets.MARK + " 漢 " + secrets.MARK + "!" + secrets.MARK
+
+
+def test_patterns_run_once(spark):
+    """The texts' patterns run in one pass; what follows reads their matches."""
+    plan = queries.op5_secret_links(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
