@@ -6,15 +6,23 @@ object, or JSON text of one) and a tool text ``{"tool_call_id", "content"}``;
 anything else is plain content.  An argument value ``{"$result": id}`` stands for
 the result of an earlier call, so calls depend on calls.
 
+No text is JSON that holds a number without a finite value (``NaN``, ``1e999``) or
+nests deeper than ``DEPTH``.  Lone surrogates, which no UTF-8 text can hold, become
+U+FFFD.  Values are walked with a stack of their own.
+
 Parsing, validation and canonical JSON work on one message at a time; linking is
-an equi-join on (conversation, identifier), and the topological order comes from
-level-by-level joins.  One row per message comes out, so a long conversation is
-never gathered into one row.
+an equi-join on (conversation, identifier).  The topological order is found piece by
+piece: the calls of one stretch of turns order themselves in one task as far as they
+depend on each other, and a round of joins hands on what the next stretches need; a
+chain of calls takes as many rounds as it has stretches, not calls.  One row per
+message comes out, so a long conversation is never gathered into one row.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +32,9 @@ from pyspark.sql import functions as F
 from tagscope.llm.common import drop_staged, staged
 
 TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
+DEPTH = 4000
+STRETCH = 4096           # turns whose calls are ordered together
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
 
 
 def canonical(value) -> str:
@@ -31,13 +42,43 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _whole(text: str) -> str:
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _checked(value, mend: bool):
+    """The value, with lone surrogates replaced if ``mend``; raises beyond ``DEPTH``."""
+    if not isinstance(value, (dict, list)):
+        return _whole(value) if mend and isinstance(value, str) else value
+    waiting = [(value, 1)]
+    while waiting:
+        inside, depth = waiting.pop()
+        if depth > DEPTH:
+            raise ValueError("nested too deep")
+        if mend and isinstance(inside, dict):
+            for k in [k for k in inside if _whole(k) != k]:
+                inside[_whole(k)] = inside.pop(k)
+        for k, v in list(inside.items()) if isinstance(inside, dict) else enumerate(inside):
+            if isinstance(v, (dict, list)):
+                waiting.append((v, depth + 1))
+            elif mend and isinstance(v, str):
+                inside[k] = _whole(v)
+    return value
+
+
 def parsed(text: str | None):
-    """The JSON value of a text, or None when it is none (or holds NaN)."""
+    """The JSON value of a text, or None when it is none."""
     def refuse(name):
         raise ValueError(name)
 
+    def finite(number):
+        x = float(number)
+        return x if math.isfinite(x) else refuse(number)
+
+    if not text or text.lstrip()[:1] not in ("{", "["):
+        return None
     try:
-        return json.loads(text, parse_constant=refuse) if text and text.lstrip()[:1] in ("{", "[") else None
+        return _checked(json.loads(text, parse_constant=refuse, parse_float=finite), _SURROGATE.search(text) is not None)
     except (ValueError, RecursionError):
         return None
 
@@ -54,13 +95,29 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What is wrong with a value, by the usual schema words: type, enum, const,
     minimum, maximum, minLength, maxLength, minItems, maxItems, items, required,
     properties, additionalProperties.  A result reference fits any schema."""
+    out: list[str] = []
+    waiting = [(value, schema, at)]
+    while waiting:
+        value, schema, at = waiting.pop()
+        if schema is None:                               # a finding that waited for its turn
+            out.append(value)
+            continue
+        own, inner = _own_violations(value, schema, at)
+        out += own
+        waiting += reversed(inner)
+    return out
+
+
+def _own_violations(value, schema: dict, at: str) -> tuple[list[str], list]:
+    """A value's own findings, and what is inside it in order: (value, schema, place),
+    or a finding with None."""
     if isinstance(value, dict) and set(value) == {"$result"}:
-        return []
+        return [], []
     out = []
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
     if kinds and not any(is_type(value, k) for k in kinds):
-        return [f"{at}: not {' or '.join(kinds)}"]
+        return [f"{at}: not {' or '.join(kinds)}"], []
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not one of the allowed values")
     if "const" in schema and value != schema["const"]:
@@ -72,28 +129,34 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
         low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
         out += [f"{at}: too short"] if len(value) < schema.get(low, 0) else []
         out += [f"{at}: too long"] if len(value) > schema.get(high, len(value)) else []
+    inner: list = []
     if isinstance(value, list) and isinstance(schema.get("items"), dict):
-        for i, v in enumerate(value):
-            out += violations(v, schema["items"], f"{at}[{i}]")
+        inner += [(v, schema["items"], f"{at}[{i}]") for i, v in enumerate(value)]
     if isinstance(value, dict):
-        own = schema.get("properties", {})
+        own, more = schema.get("properties", {}), schema.get("additionalProperties")
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
             if k in own:
-                out += violations(value[k], own[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: unknown")
-            elif isinstance(schema.get("additionalProperties"), dict):
-                out += violations(value[k], schema["additionalProperties"], f"{at}.{k}")
-    return out
+                inner.append((value[k], own[k], f"{at}.{k}"))
+            elif more is False:
+                inner.append((f"{at}.{k}: unknown", None, at))
+            elif isinstance(more, dict):
+                inner.append((value[k], more, f"{at}.{k}"))
+    return out, inner
 
 
 def references(value) -> set[str]:
-    if isinstance(value, dict):
-        if set(value) == {"$result"} and isinstance(value["$result"], str):
-            return {value["$result"]}
-        return set().union(*map(references, value.values())) if value else set()
-    return set().union(*map(references, value)) if isinstance(value, list) and value else set()
+    found, waiting = set(), [value]
+    while waiting:
+        inside = waiting.pop()
+        if isinstance(inside, dict):
+            if set(inside) == {"$result"} and isinstance(inside["$result"], str):
+                found.add(inside["$result"])
+            else:
+                waiting += inside.values()
+        elif isinstance(inside, list):
+            waiting += inside
+    return found
 
 
 def read_message(role: str | None, text: str | None, schemas: dict) -> dict:
@@ -129,25 +192,60 @@ CALL_TYPE = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments",
                        ("errors", pa.list_(pa.string())), ("needs", pa.list_(pa.string()))])
 
 
+def order_stretch(table: pa.Table) -> pa.Table:
+    """Levels of the calls of one stretch that can be told: rows (conv, stretch, id,
+    need, inside, known) are their needs, ``inside`` if the needed call lies in the
+    stretch and is open too, else with its level (null: not known yet)."""
+    waits: dict[str, set] = {}
+    level: dict[str, int] = {}
+    users: dict[str, list] = {}
+    for ident, need, inside, known in zip(*[table.column(c).to_pylist() for c in ("id", "need", "inside", "known")]):
+        w = waits.setdefault(ident, set())
+        if known is not None:
+            level[ident] = max(level.get(ident, 0), known + 1)
+        else:
+            w.add(need)                       # outside and unknown: nobody takes it away in this round
+            if inside:
+                users.setdefault(need, []).append(ident)
+    ready, done = [i for i, w in waits.items() if not w], []
+    while ready:
+        ident = ready.pop()
+        done.append(ident)
+        for user in users.get(ident, ()):
+            level[user] = max(level.get(user, 0), level.get(ident, 0) + 1)
+            waits[user].discard(ident)
+            if not waits[user]:
+                ready.append(user)
+    conv = table.column("conv")[:1].to_pylist() * len(done)
+    return pa.table({"conv": pa.array(conv, table.schema.field("conv").type), "id": pa.array(done, pa.string()),
+                     "level": pa.array([level.get(i, 0) for i in done], pa.int32())})
+
+
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv, id, level): 0 for calls that need no other call, else one more
     than the highest level among the calls needed; calls on a cycle, or that
-    need one, get null.  One join per level."""
+    need one, get null.
+
+    ``calls`` (conv, id, stretch); ``needs`` (conv, id, need).  In each round every
+    stretch orders its open calls as far as their needs are known; rounds end when
+    none is settled.  A group holds the calls of one stretch of turns."""
     keys = ["conv", "id"]
-    edges = staged(needs.join(calls.select("conv", F.col("id").alias("need")), ["conv", "need"]).distinct(), "chat-needs")
-    waiting = edges.select(*keys).distinct()
-    done = staged(calls.select(*keys).join(waiting, keys, "left_anti").withColumn("level", F.lit(0)), "chat-levels")
-    if edges.isEmpty():
-        return done
+    kinds = dict(calls.dtypes)
+    place = calls.select("conv", F.col("id").alias("need"), F.col("stretch").alias("need_stretch"))
+    edges = staged(needs.join(place, ["conv", "need"]).join(calls, keys).distinct(), "chat-needs")
+    done = staged(calls.select(*keys).join(edges.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(0)), "chat-levels")
     while True:
-        ready = edges.join(done.select("conv", F.col("id").alias("need"), "level"), ["conv", "need"], "left") \
-            .join(done.select(*keys), keys, "left_anti").groupBy(*keys) \
-            .agg(F.max(F.col("level").isNull()).alias("_open"), (F.max("level") + 1).alias("level")).where("not _open").drop("_open")
-        fresh = staged(ready.select(*keys, "level"), "chat-levels")
+        known = done.select("conv", F.col("id").alias("need"), F.col("level").alias("known"))
+        # the needs of calls that are settled already have done their work
+        open_ = edges.join(done.select(*keys), keys, "left_anti").join(known, ["conv", "need"], "left") \
+            .withColumn("inside", F.col("need_stretch") == F.col("stretch"))
+        fresh = staged(open_.groupBy("conv", "stretch").applyInArrow(order_stretch, f"conv {kinds['conv']}, id string, level int"), "chat-levels")
         if fresh.isEmpty():
+            drop_staged(edges)
             return done
         longer = staged(done.unionByName(fresh), "chat-levels")
         drop_staged(done)
+        drop_staged(fresh)
         done = longer
 
 
@@ -194,7 +292,9 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict], conv: str = "con
         return df.withColumn("nth", F.row_number().over(Window.partitionBy("conv", "id").orderBy(*order)))
 
     linked = numbered(named, "turn", "msg", "place").join(numbered(results, "result_turn", "result_msg"), ["conv", "id", "nth"], "full_outer")
-    at = levels(named.select("conv", "id").distinct(), named.select("conv", "id", F.explode("needs").alias("need")))
+    stretch = F.floor(F.coalesce(F.col("turn").try_cast("double"), F.lit(0.0)) / STRETCH).try_cast("long")
+    places = named.groupBy("conv", "id").agg(F.min(stretch).alias("stretch"))
+    at = levels(places, named.select("conv", "id", F.explode("needs").alias("need")))
     linked = staged(linked.join(at, ["conv", "id"], "left"), "chat-links")
 
     by_call = linked.where("msg is not null").select("conv", "turn", "msg", "place", "level", (F.col("result_turn").isNotNull()).alias("has_result"))
@@ -215,12 +315,17 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict], conv: str = "con
                 calls = r["calls"] or []
                 order = sorted(range(len(calls)), key=lambda i: (
                     lev if (lev := marks.get(i, {}).get("level")) is not None else 1 << 30, i))
-                message = {"content": r["content"], "role": r["role"]}
-                if calls:
-                    message["tool_calls"] = [{"arguments": json.loads(calls[i]["arguments"]), "id": calls[i]["id"], "name": calls[i]["name"]}
-                                             for i in order]
+                # arguments are canonical already; keys in sorted order
+                message = [f'"content":{canonical(r["content"])}']
                 if r["result_of"] is not None:
-                    message |= {"tool_call_id": r["result_of"], "name": r["tool_name"]}
+                    message.append(f'"name":{canonical(r["tool_name"])}')
+                message.append(f'"role":{canonical(r["role"])}')
+                if r["result_of"] is not None:
+                    message.append(f'"tool_call_id":{canonical(r["result_of"])}')
+                if calls:
+                    message.append('"tool_calls":[' + ",".join(
+                        f'{{"arguments":{calls[i]["arguments"]},"id":{canonical(calls[i]["id"])},"name":{canonical(calls[i]["name"])}}}'
+                        for i in order) + "]")
                 n_linked = sum(bool(m["has_result"]) for m in marks.values())
                 status, level = "plain", None
                 if calls:
@@ -229,7 +334,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict], conv: str = "con
                     status = "cyclic" if None in found else "linked" if n_linked == len(calls) else "open"
                 elif r["result_of"] is not None:
                     status, level = r["result_status"] or "orphan", r["result_level"]
-                out.append((level, len(calls), n_linked, sum(bool(c["errors"]) for c in calls), status, canonical(message)))
+                out.append((level, len(calls), n_linked, sum(bool(c["errors"]) for c in calls), status, "{" + ",".join(message) + "}"))
             columns = list(zip(*out)) if out else [()] * 6
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, kinds)]],
@@ -246,21 +351,33 @@ ANSWER_SCHEMA = {"answer": {
     "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "after": {"type": "string"}}}}
 
 
+ODD_TURNS = 16
+
+
 def as_tool_transcript(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
                        chain: int = 4) -> DataFrame:
     """Conversations in the wire format: a user turn becomes a call of the tool
     ``answer`` with the prompt, and the assistant turn after it that call's
     result.  A call refers to the result of the user turn two before it, but for
-    every ``chain``-th, so dependencies are real and their chains short."""
+    every ``chain``-th, so dependencies are real and their chains short.
+
+    One in ``ODD_TURNS`` each, by a hash of conversation and turn, does it wrong: a call
+    with a negative turn and a word too much, one that waits for itself, one with the
+    identifier of the call before it; a result of nothing, and one of the call that
+    comes after it."""
     c, t, x = F.col(conv).cast("string"), F.col(turn), F.coalesce(F.col(text), F.lit(""))
+    odd = F.pmod(F.xxhash64(c, t.cast("string")), F.lit(ODD_TURNS))
 
     def ident(n):
         return F.concat(F.lit("c"), c, F.lit("-"), n.cast("string"))
 
-    after = F.when(F.pmod(F.floor(t / 2), F.lit(chain)) != 0, F.struct(ident(t - 2).alias("$result")))
-    arguments = F.struct(x.alias("prompt"), t.alias("turn"), after.alias("after"))
-    call = F.struct(F.lit("").alias("content"), F.array(F.struct(ident(t).alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"))).alias("tool_calls"))
-    result = F.struct(ident(t - 1).alias("tool_call_id"), x.alias("content"))
+    after = F.when(odd == 1, F.struct(ident(t).alias("$result"))).when(F.pmod(F.floor(t / 2), F.lit(chain)) != 0, F.struct(ident(t - 2).alias("$result")))
+    arguments = F.struct(x.alias("prompt"), F.when(odd == 0, -1 - t).otherwise(t).alias("turn"), after.alias("after"),
+                         F.when(odd == 0, F.lit("?")).alias("mood"))
+    own = F.when(odd == 2, ident(t - 2)).otherwise(ident(t))
+    call = F.struct(F.lit("").alias("content"), F.array(F.struct(own.alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"))).alias("tool_calls"))
+    of = F.when(odd == 3, F.lit("nothing")).when(odd == 4, ident(t + 1)).otherwise(ident(t - 1))
+    result = F.struct(of.alias("tool_call_id"), x.alias("content"))
     return conversations.select(
         conv, turn, F.when(F.col(role) == "user", "assistant").when(F.col(role) == "assistant", "tool").otherwise(F.col(role)).alias(role),
         F.when(F.col(role) == "user", F.to_json(call)).when(F.col(role) == "assistant", F.to_json(result)).otherwise(F.col(text)).alias(text))
