@@ -21,11 +21,8 @@ DEFAULT_CHUNK_SECONDS = 3600
 CK = "_ck"
 
 # Adaptive chunking (off when None): each key gets its own chunk width so its
-# densest hour holds about this many rows per chunk.  The per-key width table
-# is broadcast only when it has at most MAX_BROADCAST_KEYS rows (checked with a
-# count); beyond that it is joined by a shuffle.
+# densest hour holds about this many rows per chunk.
 ADAPTIVE_TARGET_ROWS: int | None = None
-MAX_BROADCAST_KEYS = 2_000_000
 MAX_CHUNK_SECONDS = 86400
 CONF_TARGET_ROWS = "spark.tagscope.chunkTargetRows"
 
@@ -153,10 +150,8 @@ def with_chunk(df: DataFrame, keys: Sequence[str], order: str, chunk: Column | N
     target = adaptive_target(df)
     if chunk is not None or target is None:
         return df.withColumn(CK, _default_chunk([order], chunk))
-    widths = chunk_widths(df, keys, order, target)
-    # size check before broadcasting; a larger table is joined by a shuffle
-    side = F.broadcast(widths) if widths.count() <= MAX_BROADCAST_KEYS else widths
-    j = df.join(side, list(keys), "left")
+    # one row per key; broadcast or shuffled as its size at run time says
+    j = df.join(chunk_widths(df, keys, order, target), list(keys), "left")
     ck = F.floor(epoch_seconds_trunc(order) / F.coalesce(F.col("_w"), F.lit(DEFAULT_CHUNK_SECONDS))).cast("long")
     return j.withColumn(CK, ck).drop("_w")
 

@@ -11,9 +11,6 @@ from tagscope.functions.timecols import bound_filter, to_datetime, ts_lit
 
 # Above this many names a tag list is joined (left_semi) instead of inlined.
 INLINE_TAG_LIMIT = 1000
-# A driver-side list of at most this many names is broadcast; a longer one is
-# joined by a shuffle.
-MAX_BROADCAST_TAGS = 1_000_000
 
 
 def split_tags(tag: str | Iterable[str] | None, strict: bool = False) -> list[str] | None:
@@ -44,8 +41,8 @@ def filter_tags(history: DataFrame, tags: str | Iterable[str] | DataFrame | None
         return history.join(tags.select("TagName").distinct(), "TagName", "left_semi")
     names = split_tags(tags, strict)
     if len(names) > INLINE_TAG_LIMIT:
-        side = asked_names(history.sparkSession, names)
-        return history.join(F.broadcast(side) if len(names) <= MAX_BROADCAST_TAGS else side, "TagName", "left_semi")
+        # a local table of known size: Spark broadcasts it where it is small enough
+        return history.join(asked_names(history.sparkSession, names), "TagName", "left_semi")
     return history.filter(F.col("TagName").isin(names))
 
 

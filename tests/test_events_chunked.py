@@ -80,12 +80,9 @@ def test_neighbour_next(spark, small_chunks):
     assert isinstance(pd.__version__, str)
 
 
-@pytest.mark.parametrize("max_keys", [2_000_000, 0])
-def test_adaptive_chunks_equal_plain_window(spark, monkeypatch, max_keys):
-    # tiny target: dense tags get 1-second-scale chunks, sparse ones wide chunks;
-    # max_keys=0 exercises the fallback when the width table is too large to broadcast
+def test_adaptive_chunks_equal_plain_window(spark, monkeypatch):
+    # tiny target: dense tags get 1-second-scale chunks, sparse ones wide chunks
     monkeypatch.setattr(chunked, "ADAPTIVE_TARGET_ROWS", 3)
-    monkeypatch.setattr(chunked, "MAX_BROADCAST_KEYS", max_keys)
     h = td.history(spark, SF_SMALL)
     got = ev.with_previous(h).select("TagName", "DateTime", "prev_Value")
     w = Window.partitionBy("TagName").orderBy("DateTime")
