@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,8 @@ def asked_names(spark, tags) -> DataFrame:
     """The names of a request as a table of distinct ``TagName``."""
     if isinstance(tags, DataFrame):
         return tags.select("TagName").where("TagName is not null").distinct()
-    return spark.createDataFrame([(n,) for n in dict.fromkeys(split_tags(tags))], "TagName string")
+    # from Arrow the names are a local table whose size the planner knows
+    return spark.createDataFrame(pa.table({"TagName": pa.array(list(dict.fromkeys(split_tags(tags))), pa.string())}))
 
 
 def complete_tags(result: DataFrame, tags, end, empty: float | None = None) -> DataFrame:
