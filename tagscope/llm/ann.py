@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tagscope.llm.common import staged
 
 SAMPLE_ROWS = 16_000      # rows the lists are fitted on, at most
-SEED_ROWS = 4096          # of them, rows every query is compared with for a first threshold
+SEED_ROWS = 256           # of them, rows every query is compared with for a first threshold
 PROBE_QUERIES = 256       # sample rows that act as queries when the number of probes is chosen
 LIST_ROWS = 400           # rows a list should have, about
 MAX_LISTS = 2048

@@ -77,6 +77,27 @@ def test_scan_abandons_but_keeps_the_best():
         assert len(set(got) & set(want)) >= 19 and np.allclose(scores, x[got] @ q[i])
 
 
+def recall(spark, rows):
+    got = search(spark, rows)
+    x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    hits = 0
+    for q, v in got.items():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -s))[:20]]) & {i for i, _ in v})
+    assert len(got) == sum(ids % 20 == 0)
+    return hits / (20 * len(got))
+
+
+def test_recall_comes_from_the_lists(spark, monkeypatch):
+    """The given vectors (sf0.1), with the seeds a small part of them, and without any."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    assert ann.SEED_ROWS < len(rows) / 5
+    assert recall(spark, rows) >= 0.95
+    monkeypatch.setattr(ann, "SEED_ROWS", 0)
+    assert recall(spark, rows) >= 0.95
+
+
 def test_query_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
