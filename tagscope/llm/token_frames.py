@@ -369,8 +369,6 @@ class Encoder:
     # Some characters that are no blanks, letters, and marks that follow them.
     SOLID, LETTER, MARK = "!-~À-ɏ", "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
     CUTS = re.compile(f"(?<=[{SOLID}])(?=[ \n][{SOLID}])")
-    WHOLE = re.compile(f"\n?[{SOLID}](?:.*[{SOLID}])?", re.S)
-    ENDS = re.compile(f"(?:.*[{SOLID}])", re.S)
     PARTS = re.compile(f"(\\n?)([{LETTER}]+)([{MARK}]?)")
     WORD = re.compile(f"[{LETTER}]+")
 
@@ -392,6 +390,7 @@ class Encoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = iter(range(256, 512))
         self.alphabet = {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+        self.solid = {chr(c) for c in range(0x250) if re.fullmatch(f"[{self.SOLID}]", chr(c))}
         self.pieces: dict[str, bytes] = {}
         self.met = bytearray(1 << 23)       # hashes of pieces met once
 
@@ -406,11 +405,14 @@ class Encoder:
         known, met, places, blank = self.pieces, self.met, len(self.met) - 1, alphabet[32]
         got, others = {}, []
         for piece in missing:
-            found = parts(piece)
-            if found is None:
-                others.append(piece)
-                continue
-            end, word, mark = found.groups()
+            if piece.isascii() and piece.isalpha():         # most pieces
+                end, word, mark = "", piece, ""
+            else:
+                found = parts(piece)
+                if found is None:
+                    others.append(piece)
+                    continue
+                end, word, mark = found.groups()
             ids = known.get(word) if mark and not end else None
             if ids is None:
                 shown = word if word.isascii() else word.encode().decode("latin-1").translate(alphabet)
@@ -430,19 +432,24 @@ class Encoder:
             at = hash(piece) & places
             if not met[at]:
                 met[at] = 1
-            elif len(piece) <= self.LONGEST and self.WHOLE.fullmatch(piece):   # only such are cut out again without a look at their ends
+            elif len(piece) <= self.LONGEST and self._whole(piece):   # only such are cut out again without a look at their ends
                 known[piece] = ids
         if len(known) > self.CACHED:
             known.clear()
             met[:] = bytes(len(met))
         return got
 
+    def _whole(self, piece: str) -> bool:
+        """Does a piece (with a line end before it or not) begin and end solid?"""
+        solid = self.solid
+        return piece[-1:] in solid and (piece[0] in solid or piece[0] == "\n" and piece[1:2] in solid)
+
     def _cut(self, text: str) -> tuple[str, list[str], list, list[int]]:
         """Head, pieces, their ids as far as known, and the places of the others."""
         head, *pieces = text.replace("\n", " \n").split(" ")
         ids = list(map(self.pieces.get, pieces))
         open_ = list(compress(range(len(ids)), map(not_, ids)))
-        if pieces and not self.ENDS.fullmatch(head) or not all([pieces[i].isalnum() or self.WHOLE.fullmatch(pieces[i]) for i in open_]):
+        if pieces and head[-1:] not in self.solid or not all([self._whole(pieces[i]) for i in open_]):
             head, *units = self.CUTS.split(text)       # other blanks: cut only where it is certain
             pieces = [u[1:] if u[0] == " " else u for u in units]
             ids = list(map(self.pieces.get, pieces))
