@@ -32,15 +32,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     lineage, so a lost executor costs a re-read of files that survive it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete a table made by ``staged`` once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, f)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete every table that ``staged`` made in this process, once the results that
+    read them are written; their number."""
+    n = len(_STAGED)
+    while _STAGED:
+        _delete(spark, _STAGED.pop())
+    return n
 
 
 class Renamed:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tagscope.llm import queries, spelling
+from tagscope.llm import common, queries, spelling
 from tests.llm.conftest import SF, odd_rows
 
 
@@ -125,3 +125,11 @@ def test_odd_rows_and_empty_table(spark, docs):
     df = docs(rows).withColumn("word", F.lit("w")).withColumn("form", F.lit("f")).withColumn("run", F.lit("r"))
     assert result(spelling.spelling_groups(df)) == plain([r[:2] for r in rows])
     assert result(spelling.spelling_groups(docs([]))) == set()
+
+
+def test_staged_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    df = spark.createDataFrame([(i, "spelling spelling spellings") for i in range(30)], "doc_id long, text string")
+    assert {r.word for r in spelling.spelling_groups(df).collect()} >= {"spelling", "spellings"}
+    assert list(tmp_path.iterdir()) and common.clear_staged(spark) >= 2
+    assert list(tmp_path.iterdir()) == []
