@@ -240,7 +240,7 @@ def buckets_dif(history: DataFrame, start, end, n: int, tags=None,
     # edges e+1 .. next-1 have the value of the run that begins at edge e, edge next another one
     d = shuffled_by_chunk(runs.select("TagName", "i", "Value"), ["TagName"], "i", index_chunk("i", chunk_size))
     near, tail = forward_runs(d, ["TagName"], "i", carry=["Value"])
-    near = near.select("TagName", "Value", "next_i", "next_Value", F.explode(F.sequence(F.col("i") + 1, F.col("next_i"))).alias("b"))
+    near = near.select("TagName", "Value", "next_i", "next_Value", F.explode_outer(F.sequence(F.col("i") + 1, F.col("next_i"))).alias("b"))
     own = F.struct((F.col("i") + 1).alias("lo"), F.coalesce("next_i", F.lit(n).cast("long")).alias("hi"), "Value", "next_i", "next_Value")
     before = F.struct(F.lit(1).cast("long").alias("lo"), F.col("_first").alias("hi"), F.lit(None).cast("double").alias("Value"),
                       F.lit(None).cast("long").alias("next_i"), F.lit(None).cast("double").alias("next_Value"))

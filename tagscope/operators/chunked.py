@@ -63,15 +63,16 @@ SPAN = 4096
 def explode_span(df: DataFrame, lo: Column, hi: Column, out: str, deal: Sequence[str] | None = None) -> DataFrame:
     """One row per integer from ``lo`` to ``hi`` (none when ``hi < lo``), in two
     steps, so that no row ever holds an array longer than ``SPAN`` or the span
-    divided by ``SPAN``.  With ``deal`` the pieces are dealt out by these columns
+    divided by ``SPAN``.  (``explode_outer`` of sequences that are never empty: plain
+    ``explode`` infers a filter on their size and makes each twice.)  With ``deal`` the pieces are dealt out by these columns
     and their number between the steps, so that a long span is not one task's work."""
     d = df.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).filter(F.col("_lo") <= F.col("_hi"))
     piece = F.sequence(F.floor(F.col("_lo") / SPAN), F.floor(F.col("_hi") / SPAN))
-    d = d.withColumn("_piece", F.explode(piece))
+    d = d.withColumn("_piece", F.explode_outer(piece))
     if deal is not None:
         d = d.repartition(*deal, "_piece")
     own = F.sequence(F.greatest(F.col("_lo"), F.col("_piece") * SPAN), F.least(F.col("_hi"), F.col("_piece") * SPAN + SPAN - 1))
-    return d.withColumn(out, F.explode(own)).drop("_lo", "_hi", "_piece")
+    return d.withColumn(out, F.explode_outer(own)).drop("_lo", "_hi", "_piece")
 
 
 def forward_runs(d: DataFrame, keys: Sequence[str], order: str, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +115,7 @@ def filled_grid(df: DataFrame, keys: Sequence[str], order: str, lo: int, hi: int
     far = tail.select(*keys, F.inline(F.when(F.col("_first") > lo, F.array(before, own)).otherwise(F.array(own))))
     far = explode_span(far, F.col("_from"), F.col("_to") - 1, "_at", deal=keys)
     near = inside.select(*keys, F.col(order).cast("long").alias("_from"), F.lit(True).alias("_own"), *cols,
-                         F.explode(F.sequence(F.col(order).cast("long"), F.col(nxt).cast("long") - 1)).alias("_at"))
+                         F.explode_outer(F.sequence(F.col(order).cast("long"), F.col(nxt).cast("long") - 1)).alias("_at"))
     names = [*keys, "_from", "_at", "_own", *cols]
     out = near.select(*names).unionByName(far.select(*names))
     return out.select(*keys, F.col("_at").alias(order), *cols, (F.col("_own") & (F.col("_at") == F.col("_from"))).alias("_own"))

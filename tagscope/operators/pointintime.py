@@ -143,7 +143,7 @@ def instant_values(runs, n_instants: int, leading_nulls: bool, chunk_size: int)
         return filled_grid(runs.select("TagName", "i", "Value"), ["TagName"], "i", 0, n_instants - 1, chunk_size).drop("_own")
     d = shuffled_by_chunk(runs.select("TagName", "i", "Value"), ["TagName"], "i", index_chunk("i", chunk_size))
     near, tail = forward_runs(d, ["TagName"], "i")
-    near = near.withColumn("_at", F.explode(F.sequence("i", F.col("next_i") - 1)))
+    near = near.withColumn("_at", F.explode_outer(F.sequence("i", F.col("next_i") - 1)))
     far = explode_span(tail, F.col("i"), F.coalesce("next_i", F.lit(n_instants).cast("long")) - 1, "_at", deal=["TagName"])
     cols = ["TagName", F.col("_at").alias("i"), "Value"]
     return near.select(*cols).unionByName(far.select(*cols))

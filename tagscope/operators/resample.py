@@ -106,7 +106,7 @@ def resample(history: DataFrame, start, end, step_seconds: int = 1, seeded: bool
     (one per chunk at most) are cut into pieces that are dealt out first, so a tag
     that is silent for a year is not one task's work."""
     near, tail = _runs(history, start, end, step_seconds, seeded, tags, tree=tree)
-    near = near.withColumn("s", F.explode(F.sequence("slot", F.col("next_slot") - 1)))
+    near = near.withColumn("s", F.explode_outer(F.sequence("slot", F.col("next_slot") - 1)))
     far = explode_span(tail, F.col("slot"), F.col("next_slot") - 1, "s", deal=["TagName"])
     s = near.select("TagName", "s", "Value").unionByName(far.select("TagName", "s", "Value"))
     return s.select("TagName", from_epoch_us(F.col("s") * F.lit(step_seconds * US)).alias("DateTime"), "Value")
