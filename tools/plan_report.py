@@ -29,8 +29,7 @@ def main():
              f"Produced by `python tools/plan_report.py` at `{sf}` (Spark {spark.version}, AQE on), from each",
              "query's final adaptive plan after it ran. Columns: shuffle and broadcast query stages;",
              "*reused*, exchanges Spark reused instead of recomputing; *ckpt*, reads of intermediates",
-             "checkpointed by `session.shared()` (the job that wrote each, one scan plus one partial",
-             "aggregate, ran when the DataFrame was built). Every scan reads only the listed columns,",
+             "checkpointed on the way (none). Every scan reads only the listed columns,",
              "with the listed pushed filters.", "",
              "| query | scans | shuffle stages | reused | bcast stages | ckpt | sort-agg / cartesian / python | read schema | pushed filters |",
              "| --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
