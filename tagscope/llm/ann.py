@@ -4,14 +4,19 @@ with adaptive use of dimensions.
 All vectors are turned by one random rotation, so any prefix of the dimensions
 is a random sample of the whole.  Inside each probed list the inner products
 grow by column blocks; after each block a hypothesis test compares the partial
-product with the query's current 20th best: the rest of the product behaves
-like a normal variable with deviation |rest of q| * |rest of x| / sqrt(rest of
-dimensions), and a candidate that would need more than ``Z`` deviations to get
-in is abandoned.  Survivors are scored again on the original vectors.
-
-Every row is indexed.  The model (rotation, centroids, number of probed lists)
-is fitted on at most ``SAMPLE_ROWS`` rows; the number of lists to probe is the
-smallest that finds ``COVERAGE`` of the sample's true neighbours.
+product with the query's current 20th best: a candidate x of cosine c with the
+query q is c * q and a part across q whose direction is random, so its partial
+product is c * a, a being the share of |q|^2 in the columns so far, and a chance
+part of deviation sqrt((1 - c^2) * a * (1 - a) / (dims - 1)), both times
+|q| * |x|.  A candidate whose product is more than ``Z`` deviations below what
+the 20th best would show is abandoned; this holds for any rows, near copies
+too.  Survivors are scored again on the original vectors.
+
+Every row is indexed.  The model is fitted on bounded samples: rotation and
+centroids on ``SAMPLE_ROWS`` rows and the ``LONG_ROWS`` longest ones, and the
+number of lists to probe is the smallest that finds ``COVERAGE`` of the true
+neighbours of ``PROBE_QUERIES`` of the queries, among ``TEST_ROWS`` rows the
+centroids have not seen and the longest (small tables: among all rows).
 """
 
 from __future__ import annotations
@@ -27,14 +32,19 @@ from pyspark.sql import functions as F
 from tagscope.llm.common import staged
 
 SAMPLE_ROWS = 16_000      # rows the lists are fitted on, at most
+TEST_ROWS = 16_000        # further rows among which the number of probes is chosen, at most
+LONG_ROWS = 1024          # longest rows, which win by inner product, added to both, at most
 SEED_ROWS = 4096          # of them, rows every query is compared with for a first threshold
-PROBE_QUERIES = 256       # sample rows that act as queries when the number of probes is chosen
+PROBE_QUERIES = 256       # queries for which the number of probes is chosen, at most
 LIST_ROWS = 400           # rows a list should have, about
 MAX_LISTS = 2048
 CELL_ROWS = 2048          # vectors, and queries, that meet in one cell, about
 COVERAGE = 0.97
 COLUMNS = 16              # dimensions added between two tests
 SCAN_ROWS = 512           # candidates between two updates of the threshold
+SCAN_QUERIES = 256        # queries scanned together
+PAIRS = 4096              # pairs whose columns are gathered at once
+FEW = 0.125               # share of pairs left below which only these are multiplied
 Z = 4.0
 TOP = 20
 
@@ -68,22 +78,51 @@ def valid_vectors(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
         .where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0))
 
 
+def norm(vector: str) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, c: a + c * c))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return np.asarray(column.flatten(), dtype=float).reshape(-1, dims)
 
 
-def fit(vectors: DataFrame, dims: int, total: int, longest: float, top: int = TOP) -> Lists:
-    """Fit the lists on the rows with the smallest id hashes."""
-    got = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
-    x = matrix(got.column("v"), dims)
-    ids = np.asarray(got.column("id").combine_chunks())
+def sampled(rows: DataFrame, dims: int, n: int, *order: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the first ``n`` rows, by ``order`` and a hash."""
+    got = rows.orderBy(*order, F.xxhash64("id", "v"), "id").limit(n).toArrow()
+    return np.asarray(got.column("id").combine_chunks()), matrix(got.column("v"), dims)
+
+
+def fit(vectors: DataFrame, asked: DataFrame, dims: int, total: int, longest: float, top: int = TOP) -> Lists:
+    """Fit the lists on the rows with the smallest hashes and the longest."""
+    # twice as many rows as needed are ordered, not the first of every partition
+    n = SAMPLE_ROWS + TEST_ROWS
+    some = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(2 * n / total * (1 << 30))
+    ids, x = sampled(vectors.where(some), dims, n)
+    if len(x) < min(n, total):
+        ids, x = sampled(vectors, dims, n)
+    query_ids, q = sampled(asked, dims, PROBE_QUERIES)
+    if total > len(x):
+        long_ids, long = sampled(vectors, dims, LONG_ROWS, norm("v").desc())
+        new = ~np.isin(long_ids, ids)
+        long_ids, long = long_ids[new], long[new]
+    else:
+        long_ids, long = ids[:0], x[:0]
+    return fitted(ids, x, long_ids, long, query_ids, q, total, longest, top)
+
+
+def fitted(ids: np.ndarray, x: np.ndarray, long_ids: np.ndarray, long: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
+           total: int, longest: float, top: int = TOP) -> Lists:
+    """The model from ``SAMPLE_ROWS`` rows and test rows after them (x), the
+    longest rows and queries."""
+    dims = x.shape[1]
     rng = np.random.default_rng(7)
     rotation = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
-    k = max(1, min(MAX_LISTS, total // LIST_ROWS, len(x)))
+    learned = np.concatenate([x[:SAMPLE_ROWS], long])
+    k = max(1, min(MAX_LISTS, total // LIST_ROWS, len(learned)))
     model = Lists(rotation, np.zeros((1, dims + 1)), longest, 1, ids[:SEED_ROWS], x[:SEED_ROWS])
-    ext = model.extended(x)
+    ext = model.extended(learned)
     centroids = ext[rng.choice(len(ext), k, replace=False)]
     for _ in range(8 if k > 1 else 1):
         near = ((centroids ** 2).sum(1) - 2 * ext @ centroids.T).argmin(1)
@@ -91,14 +130,18 @@ def fit(vectors: DataFrame, dims: int, total: int, longest: float, top: int = TO
         sums = np.stack([np.bincount(near, ext[:, j], k) for j in range(dims + 1)], 1)
         centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centroids)
     model = Lists(rotation, centroids, longest, 1, model.seed_ids, model.seeds)
-    own = model.distances(ext).argmin(1)
-    q = np.arange(0, len(x), max(1, len(x) // PROBE_QUERIES))
-    scores = x[q] @ x.T
-    scores[np.arange(len(q)), q] = -np.inf
-    near = np.argsort(-scores, axis=1)[:, :min(top, max(len(x) - 1, 1))]
-    place = model.distances(np.column_stack([x[q], np.zeros(len(q))])).argsort(1).argsort(1)
-    needed = np.sort(np.take_along_axis(place, own[near], 1).ravel())
-    probes = int(needed[min(len(needed) - 1, int(np.ceil(COVERAGE * len(needed))))]) + 1 if len(needed) else 1
+    # rows the centroids were fitted on lie nearer to them than others do
+    skip = SAMPLE_ROWS if total > len(x) and len(x) > SAMPLE_ROWS else 0
+    test_ids, test = np.concatenate([ids[skip:], long_ids]), np.concatenate([x[skip:], long])
+    own = model.distances(model.extended(test)).argmin(1)
+    place = model.distances(np.column_stack([q, np.zeros(len(q))])).argsort(1, kind="stable").argsort(1)
+    needed = []
+    for i in range(len(q)):
+        other = np.flatnonzero(test_ids != query_ids[i])
+        at = other[best(test_ids[other], exact(q[i], test[other]), top)]
+        needed.extend(place[i, own[at]].tolist())
+    needed.sort()
+    probes = needed[min(len(needed) - 1, int(np.ceil(COVERAGE * len(needed))))] + 1 if needed else 1
     return Lists(rotation, centroids, longest, probes, model.seed_ids, model.seeds)
 
 
@@ -114,39 +157,75 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1)
 
 
+def least(limit: np.ndarray, share: np.ndarray, dims: int) -> np.ndarray:
+    """The least partial product, by |q| * |x|, that a candidate of the cosine
+    ``limit`` or more shows, but for ``Z`` deviations, in columns that hold
+    ``share`` of |q|^2."""
+    chance = np.sqrt(share * np.maximum(1 - share, 0)) * min(1.0, Z / np.sqrt(max(dims - 1, 1)))
+    # c * share - sqrt(1 - c^2) * chance falls with c down to ``lowest`` and grows after it
+    lowest = -share / np.maximum(np.hypot(share, chance), 1e-300)
+    c = np.clip(limit, lowest, 1)
+    return np.where(limit > 1, np.inf, c * share - np.sqrt(1 - c * c) * chance)
+
+
+def merged(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of every owner's best ``top`` distinct ids, in the order of
+    owner, score down, id up, and their ranks from 0."""
+    order = np.lexsort((-scores, ids, owner))
+    o, i = owner[order], ids[order]
+    order = order[np.r_[True, (o[1:] != o[:-1]) | (i[1:] != i[:-1])][:len(order)]]
+    order = order[np.lexsort((ids[order], -scores[order], owner[order]))]
+    o = owner[order]
+    rank = np.arange(len(o)) - np.searchsorted(o, o)
+    return order[rank < top], rank[rank < top]
+
+
 def scan(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, rotation: np.ndarray,
          top: int = TOP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query position, ids, scores): the best ``top`` of one cell for each
     query, those that reach the query's floor."""
     dims = x.shape[1]
     stops = [*range(COLUMNS, dims, COLUMNS), dims]
-    starts = [0, *stops[:-1]]
-    xr, qr = x @ rotation, queries @ rotation
-    # deviation of what is missing after each block
-    rest = [(np.sqrt((xr[:, s:] ** 2).sum(1) / max(dims - s, 1)), np.sqrt((qr[:, s:] ** 2).sum(1))) for s in stops]
-    parts = [np.ascontiguousarray(xr[:, a:b]) for a, b in zip(starts, stops)]
-    margin = 1e-9 * (1 + np.abs(queries).sum(1) * np.abs(x).max(initial=0))
-    for i in range(len(queries)):
-        limit, kept_ids, kept = floor[i], np.zeros(0, ids.dtype), np.zeros(0)
+    xr, x_length = x @ rotation, np.sqrt((x * x).sum(1))
+    names, place = np.unique(ids, return_inverse=True)
+    for first in range(0, len(queries), SCAN_QUERIES):
+        q = queries[first:first + SCAN_QUERIES]
+        own = query_ids[first:first + SCAN_QUERIES]
+        qr, q_length = q @ rotation, np.sqrt((q * q).sum(1))
+        shares = np.cumsum(qr * qr, 1) / np.maximum((qr * qr).sum(1), 1e-300)[:, None]
+        limit = np.array(floor[first:first + SCAN_QUERIES], float)
+        kept, kept_at, scores = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         for lo in range(0, len(x), SCAN_ROWS):
-            alive = np.arange(lo, min(lo + SCAN_ROWS, len(x)))
-            sums = np.zeros(len(alive))
-            for part, a, b, (xs, qs) in zip(parts, starts, stops, rest):
-                sums = sums + part[alive] @ qr[i, a:b]
-                passed = sums + Z * qs[i] * xs[alive] >= limit - margin[i]
-                alive, sums = alive[passed], sums[passed]
-                if not len(alive):
-                    break
-            alive = alive[ids[alive] != query_ids[i]]
-            if len(alive):
-                s = exact(queries[i], x[alive])
-                all_ids, all_scores = np.concatenate([kept_ids, ids[alive]]), np.concatenate([kept, s])
-                at = best(all_ids, all_scores, top)
-                kept_ids, kept = all_ids[at], all_scores[at]
-                if len(kept) == top:
-                    limit = max(limit, kept[-1])
-        if len(kept):
-            yield i, kept_ids, kept
+            rows = slice(lo, lo + SCAN_ROWS)
+            lengths = q_length[:, None] * x_length[None, rows]
+            with np.errstate(all="ignore"):
+                cosine = limit[:, None] / lengths - 1e-9            # less what rounding may change
+                # written so that a product that is no number stays
+                i, j = np.nonzero(~(cosine > 1) & (own[:, None] != ids[None, rows]))
+                sums = np.zeros(lengths.shape)
+                for start, stop in zip([0, *stops[:-1]], stops):
+                    if not len(i):
+                        break
+                    if len(i) > FEW * sums.size:
+                        sums += qr[:, start:stop] @ xr[rows, start:stop].T
+                    else:
+                        for at in range(0, len(i), PAIRS):
+                            a, b = i[at:at + PAIRS], j[at:at + PAIRS]
+                            sums[a, b] += (qr[a, start:stop] * xr[lo + b, start:stop]).sum(1)
+                    share = shares[i, stop - 1] if stop < dims else np.ones(len(i))
+                    stay = ~(sums[i, j] < lengths[i, j] * least(cosine[i, j], share, dims))
+                    i, j = i[stay], j[stay]
+            if not len(i):
+                continue
+            s = np.concatenate([(q[i[at:at + PAIRS]] * x[lo + j[at:at + PAIRS]]).sum(1) for at in range(0, len(i), PAIRS)])
+            kept, kept_at, scores = np.concatenate([kept, i]), np.concatenate([kept_at, place[lo + j]]), np.concatenate([scores, s])
+            at, rank = merged(kept, kept_at, scores, top)
+            kept, kept_at, scores = kept[at], kept_at[at], scores[at]
+            full = rank == top - 1
+            limit[kept[full]] = np.maximum(limit[kept[full]], scores[full])
+        starts = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]][:len(kept)])
+        for a, b in zip(starts, [*starts[1:], len(kept)]):
+            yield first + int(kept[a]), names[kept_at[a:b]], scores[a:b]
 
 
 def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", top: int = TOP) -> DataFrame:
@@ -167,13 +246,14 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     schema = f"query_id {id_type}, vec_id {id_type}, score double"
     vectors = valid_vectors(table, vec_id, vector)
     lengths = vectors.groupBy(F.size("v").alias("dims")).agg(
-        F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).alias("longest")) \
+        F.count("*").alias("n"), F.max(norm("v")).alias("longest")) \
         .orderBy(F.desc("n"), "dims").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id " + id_type + ", rank int, vec_id " + id_type + ", score double")
     dims, total, longest = lengths[0]
     vectors = vectors.where(F.size("v") == dims)
-    model = fit(vectors, dims, total, longest, top)
+    asked = vectors.withColumnRenamed("id", vec_id).where(is_query).withColumnRenamed(vec_id, "id")
+    model = fit(vectors, asked, dims, total, longest, top)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +282,6 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
                     names=["id", "v", "floor", "lists", "seed_ids", "seed_scores"])
 
     placed = staged(vectors.mapInArrow(assign, f"id {id_type}, v array<double>, list int"), "ann-lists")
-    asked = vectors.withColumnRenamed("id", vec_id).where(is_query).withColumnRenamed(vec_id, "id")
     queries = staged(asked.mapInArrow(
         probe, f"id {id_type}, v array<double>, floor double, lists array<int>, seed_ids array<{id_type}>, seed_scores array<double>"),
         "ann-queries")

@@ -109,3 +109,61 @@ def test_query_recall(spark):
         s[ids == q] = -np.inf
         hits += len(set(ids[np.lexsort((ids, -s))[:20]]) & {i for i, _ in v})
     assert len(got) == sum(ids % 20 == 0) and hits >= 0.9 * 20 * len(got)
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_scan_keeps_rows_that_are_all_near():
+    """Near copies, vectors far off the origin, opposite ones, lengths of all scales: a threshold
+    close to |q| * |x| abandons none of the nearest."""
+    rng = np.random.default_rng(4)
+    turn = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    ids = np.arange(1500)
+    noise = rng.normal(size=(1500, 64))
+    for x in (unit(unit(rng.normal(size=(1, 64))) + 0.02 * noise), noise + 5, np.abs(noise), noise * np.exp(2 * rng.normal(size=(1500, 1))),
+              noise * 1e-9, np.repeat(noise[:50], 30, 0)):
+        for q in (x[:5], -x[:5]):
+            s = q @ x.T
+            s[np.arange(5), np.arange(5)] = -np.inf
+            want = -np.sort(-s, axis=1)[:, :20]
+            seeds = -np.sort(-s[:, :600], axis=1)[:, 19]                                    # a first threshold
+            for floor in (np.full(5, -np.inf), seeds, want[:, 19]):
+                got = {i: (found, scores) for i, found, scores in ann.scan(q, ids[:5], floor, x, ids, turn)}
+                for i in range(5):
+                    assert i not in got[i][0] and np.allclose(got[i][1], (x[got[i][0]] * q[i]).sum(1), rtol=1e-12)
+                near = sum((scores >= want[i, 19] - 1e-9 * abs(want[i, 19])).sum() for i, (_, scores) in got.items())
+                assert near >= 99
+
+
+def test_scan_ties_repeats_and_ends():
+    """Ties at the threshold go to the smaller id, a repeated id counts once with its best row."""
+    rng = np.random.default_rng(5)
+    turn = np.linalg.qr(rng.normal(size=(32, 32)))[0]
+    v = rng.normal(size=32)
+    x = np.concatenate([np.repeat(v[None], 700, 0), 2 * v[None], np.zeros((0, 32))])
+    ids = np.r_[np.arange(700, 0, -1), 9]
+    ((i, got, scores),) = ann.scan(v[None], np.array([3]), np.array([v @ v]), x, ids, turn)
+    assert i == 0 and got.tolist() == [9, 1, 2, *range(4, 9), *range(10, 22)] and np.allclose(scores, [2 * (v @ v)] + 19 * [v @ v])
+    assert list(ann.scan(v[None], np.array([3]), np.array([np.inf]), x, ids, turn)) == []
+    assert list(ann.scan(v[None], np.array([3]), np.array([-np.inf]), x[:1], np.array([3]), turn)) == []
+    many = rng.normal(size=(600, 32))                                                       # more queries than one group
+    assert [i for i, _, _ in ann.scan(many, np.arange(600), np.full(600, -np.inf), many, np.arange(600), turn)] == list(range(600))
+
+
+def test_recall_on_other_rows(spark, monkeypatch):
+    """Rows in a few narrow groups, off the origin, and queries unlike the other rows, with few seeds and
+    tables larger than what the lists are fitted and the probes are chosen on."""
+    monkeypatch.setattr(ann, "SEED_ROWS", 64)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 1000)
+    monkeypatch.setattr(ann, "TEST_ROWS", 1000)
+    monkeypatch.setattr(ann, "LONG_ROWS", 100)
+    monkeypatch.setattr(ann, "LIST_ROWS", 100)
+    rng = np.random.default_rng(6)
+    noise, asks = rng.normal(size=(4000, 64)), np.arange(4000) % 20 == 0
+    groups = unit(unit(rng.normal(size=(40, 64)))[rng.integers(0, 40, 4000)] + 0.05 * noise)
+    strange = np.where(asks[:, None], 0.01 * rng.normal(size=(4000, 64)), groups)
+    long = np.where(rng.random((4000, 1)) < 0.008, 100, 1) * unit(noise)
+    for x in (groups, noise + 5, strange, long):
+        assert recall(spark, [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]) >= 0.9
